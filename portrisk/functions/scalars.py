@@ -45,7 +45,7 @@ def parse_br_number(col: ColumnOrName) -> Column:
     """Brazilian number text -> double; drop '.', ',' -> '.', bad/NaN -> 0."""
     text = F.trim(_c(col).cast("string"))
     cleaned = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    return F.coalesce(nan_to_null(F.try_cast(cleaned, "double")), F.lit(0.0))
+    return F.coalesce(nan_to_null(cleaned.try_cast("double")), F.lit(0.0))
 
 
 def parse_dayfirst(col: ColumnOrName, formats: Sequence[str] = tuple(S.DAYFIRST_FORMATS)) -> Column:
@@ -98,12 +98,12 @@ POINT_PATTERN = r"(?i)^\s*POINT\s*\(\s*" + _NUM + r"\s+" + _NUM + r"\s*\)\s*$"
 
 def point_x(col: ColumnOrName) -> Column:
     """Longitude of a WKT ``POINT(x y)``; other text -> NULL."""
-    return F.try_cast(F.nullif(F.regexp_extract(_c(col), POINT_PATTERN, 1), F.lit("")), "double")
+    return F.nullif(F.regexp_extract(_c(col), POINT_PATTERN, 1), F.lit("")).try_cast("double")
 
 
 def point_y(col: ColumnOrName) -> Column:
     """Latitude of a WKT ``POINT(x y)``; other text -> NULL."""
-    return F.try_cast(F.nullif(F.regexp_extract(_c(col), POINT_PATTERN, 2), F.lit("")), "double")
+    return F.nullif(F.regexp_extract(_c(col), POINT_PATTERN, 2), F.lit("")).try_cast("double")
 
 
 def tier(col: ColumnOrName, thresholds: Sequence[tuple[float, str]], default: str) -> Column:

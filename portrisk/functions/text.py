@@ -37,7 +37,7 @@ def _decode_numeric_refs(col: Column) -> Column:
     def piece(p: Column) -> Column:
         dec = F.regexp_extract(p, r"^&#([0-9]+);", 1)
         hexd = F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]+);", 1)
-        code_hex = (F.when(dec != "", F.hex(F.try_cast(dec, "bigint")))
+        code_hex = (F.when(dec != "", F.hex(dec.try_cast("bigint")))
                     .when(hexd != "", F.upper(hexd)))
         char = F.decode(F.unhex(F.lpad(code_hex, 8, "0")), "UTF-32")
         rest = F.regexp_replace(p, r"^" + NUMERIC_REF_RE, "")

@@ -138,7 +138,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
 
 
 def describe_columns(df: DataFrame, cols: Sequence[str], digits: int | None = None) -> DataFrame:
-    """Pandas ``describe()`` in long form ``(column, stat, value)``.
+    """Pandas ``describe()`` in long form ``(measure, stat, value)``.
 
     count, mean, std (sample), min, 25%, 50%, 75% (exact, linear), max; NaN
     counts as missing, as in pandas.
@@ -155,7 +155,7 @@ def describe_columns(df: DataFrame, cols: Sequence[str], digits: int | None = No
         q = exact_quantiles(df, c, [0.25, 0.5, 0.75]).select(
             F.concat((F.col("prob") * 100).cast("int").cast("string"), F.lit("%")).alias("stat"),
             "value")
-        parts.append(stats.unionByName(q).select(F.lit(c).alias("column"), "stat", "value"))
+        parts.append(stats.unionByName(q).select(F.lit(c).alias("measure"), "stat", "value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -183,7 +183,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20, lo: float | None = None,
     """
     v, lo_c, hi_c = _bounds(df, col, lo, hi)
     width = (hi_c - lo_c) / F.lit(float(bins))
-    b = F.least(F.floor((v - lo_c) / width), F.lit(bins - 1)).cast("int")
+    b = F.least(F.floor((F.col("v") - lo_c) / width), F.lit(bins - 1)).cast("int")
     counts = (df.select(v.alias("v")).filter(F.col("v").isNotNull()
                                               & (F.col("v") >= lo_c) & (F.col("v") <= hi_c))
               .select(F.when(width > 0, b).otherwise(F.lit(0)).alias("bin"))
@@ -212,16 +212,20 @@ def kde(df: DataFrame, col: str, grid_size: int = 200, fine_bins: int = 1024,
     sd = stats.select("sd").scalar()
     h = F.lit(float(bandwidth)) if bandwidth is not None else sd * F.pow(n.cast("double"), F.lit(-0.2))
     width = (hi_c - lo_c) / F.lit(float(fine_bins))
-    b = F.least(F.floor((v - lo_c) / width), F.lit(fine_bins - 1)).cast("int")
+    b = F.least(F.floor((F.col("v") - lo_c) / width), F.lit(fine_bins - 1)).cast("int")
     binned = (df.select(v.alias("v")).filter(F.col("v").isNotNull())
               .select(F.when(width > 0, b).otherwise(F.lit(0)).alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("c")))
     g_lo = lo_c - F.lit(cut) * h
     g_step = ((hi_c + F.lit(cut) * h) - g_lo) / F.lit(float(grid_size - 1))
     center = lo_c + (F.col("bin") + F.lit(0.5)) * width
-    contrib = binned.select(F.posexplode(F.transform(
+    # scalars are projected first: subqueries may not appear inside the lambda
+    per_bin = binned.select("c", center.alias("_ctr"), g_lo.alias("_glo"),
+                            g_step.alias("_gst"), h.alias("_h"))
+    contrib = per_bin.select(F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(grid_size - 1)),
-        lambda i: F.col("c") * F.exp(F.lit(-0.5) * F.pow(((g_lo + i * g_step) - center) / h, 2))
+        lambda i: F.col("c") * F.exp(F.lit(-0.5) * F.pow(
+            ((F.col("_glo") + i * F.col("_gst")) - F.col("_ctr")) / F.col("_h"), 2))
     )).alias("i", "w"))
     norm = n * h * F.lit(math.sqrt(2.0 * math.pi))
     return (contrib.groupBy("i").agg(F.sum("w").alias("w"))

@@ -1,35 +1,556 @@
 """Registered queries over the driver's tables, one per operator group.
 
 Each entry is ``(spark, sf_dir) -> DataFrame`` and runs over whole tables.
-Column names equal those of the SQL in ``plans/oracle.py``.
+Column names equal those of the SQL in ``plans/oracle.py``; timestamps are
+returned as ``timestamp_ntz`` (wall time in UTC) so both engines print the
+same value.  Queries that land files (CSV, NDJSON, streams, the cycle) write
+below the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import reports, state
+from .. import schemas as S
+from ..functions import scalars as X
+from ..functions.text import page_text
+from ..operators import asof, contingency, ingest, ml, reports, state
+from ..session import scratch_path
+from ..sources import files, html
 from . import standins as SI
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+RUN_TS = dt.datetime(2026, 1, 1, 0, 0, 0)
+RUN_TS_TEXT = "2026-01-01 00:00:00"
 
-def q_latest_per_ship(spark: SparkSession, d: str) -> DataFrame:
-    """Newest line-up row per ship with local time text."""
+# Stand-in rules for the news scorer on the driver's pages (the Portuguese
+# defaults have no hits there; they are unit-tested on fixtures instead).
+STANDIN_RULES = contingency.Rules(
+    road_tiers=((("license",), 0.5, "Road: blocked"), (("token", " und "), 0.2, "Road: slow")),
+    news_words=("the", "de"), news_weight=0.5, news_prefix="News: ",
+    headline_chars=40, headlines_per_page=5, link_tag="a", link_class=None,
+    default_text="Normal access.")
+
+
+def _ntz(df: DataFrame) -> DataFrame:
+    cols = [F.col(f.name).cast("timestamp_ntz").alias(f.name)
+            if isinstance(f.dataType, T.TimestampType) else F.col(f.name) for f in df.schema.fields]
+    return df.select(*cols)
+
+
+def _weather_str(spark, d):
+    return SI.weather(spark, d).withColumn("loc_id", F.col("loc_id").cast("string"))
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks
+# ---------------------------------------------------------------------------
+
+def q_weather_normalize(spark, d):
+    """P1 P2 P3 T13 on raw readings."""
+    raw = SI.weather_raw(spark, d)
+    return _ntz(ingest.normalize_weather(raw, time_col="ts", keep=["event_id"]))
+
+
+def _land_weather_csv(spark, d) -> str:
+    raw = SI.weather_raw(spark, d).select(
+        F.col("loc_id").cast("string").alias("loc_id"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "precip", "windspeed", "humidity")
+    path = scratch_path(spark, "weather-csv")
+    files.write_weather_csv(raw.repartition("loc_id"), path)
+    return path
+
+
+def q_weather_csv_roundtrip(spark, d):
+    """Land per-location CSV folders, read all in one scan, normalise."""
+    path = _land_weather_csv(spark, d)
+    return _ntz(ingest.normalize_weather(files.read_weather_csv(spark, path)))
+
+
+def _lineup_rows(spark, d):
+    o = SI.table(spark, d, "orders")
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("lineup_id"),
+        F.col("o_custkey").cast("string").alias("ship_id"),
+        F.to_date("o_orderdate").alias("data_chegada_prevista"),
+        F.col("o_orderdate").cast("timestamp").alias("data_atracacao_prevista"),
+        F.lit(S.LINEUP_STATUS).alias("status_atual"),
+        F.col("o_orderpriority").alias("terminal"),
+        F.col("o_orderstatus").alias("commodity"),
+        F.col("o_totalprice").alias("quantidade_estimada"),
+        F.col("o_orderdate").cast("timestamp").alias("inserido_em"))
+
+
+def q_ndjson_roundtrip(spark, d):
+    """Append as NDJSON (text dates), read back schema-enforced."""
+    path = scratch_path(spark, "lineup-ndjson")
+    files.append_ndjson(_lineup_rows(spark, d), path)
+    return _ntz(files.read_ndjson(spark, path, S.FATO_LINEUP, mode="FAILFAST"))
+
+
+EVENT_ROW = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
+    T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()),
+    T.StructField("props", T.StringType())])
+
+
+def q_insert_rejects(spark, d):
+    """JSON rows; error events above 250 arrive cut short and are rejected."""
+    e = SI.table(spark, d, "events")
+    text = F.to_json(F.struct("event_id", "user_id", "event_type", "value", "props"))
+    broken = (F.col("event_type") == "error") & (F.col("value") > 250)
+    texts = e.select(F.col("event_type").alias("batch_type"),
+                     F.when(broken, F.left(text, F.floor(F.length(text) / 2).cast("int")))
+                     .otherwise(text).alias("json"))
+    good, bad = files.split_json_rows(texts, EVENT_ROW, "json", keep=["batch_type"])
+    g = good.groupBy(F.col("batch_type").alias("event_type")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("accepted"))
+    b = bad.groupBy(F.col("batch_type").alias("event_type")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("rejected"))
+    return g.join(b, "event_type", "full").select(
+        "event_type", F.coalesce("accepted", F.lit(0).cast("bigint")).alias("accepted"),
+        F.coalesce("rejected", F.lit(0).cast("bigint")).alias("rejected"))
+
+
+def q_scan_project(spark, d):
+    """Three columns of a fact table (column pruning into the scan)."""
+    return SI.table(spark, d, "events").select("event_id", "ts", "value")
+
+
+def q_load_report(spark, d):
+    """Rows per location of a weather batch."""
+    return files.load_report(SI.weather(spark, d), "loc_id")
+
+
+# ---------------------------------------------------------------------------
+# Joins and latest state
+# ---------------------------------------------------------------------------
+
+STANDIN_POINTS = [("0", S.DEFAULT_POINTS[0][1], S.DEFAULT_POINTS[0][2], S.DEFAULT_POINTS[0][3]),
+                  ("1", S.DEFAULT_POINTS[1][1], S.DEFAULT_POINTS[1][2], S.DEFAULT_POINTS[1][3]),
+                  ("9999", S.DEFAULT_POINTS[2][1], S.DEFAULT_POINTS[2][2], S.DEFAULT_POINTS[2][3])]
+
+
+def q_points_join(spark, d):
+    """Literal monitored points (bounded, broadcast) x newest reading."""
+    dim = state.points_dim(spark, STANDIN_POINTS)
+    return state.map_rows(dim, _weather_str(spark, d), tie_break="event_id", broadcast_dim=True)
+
+
+def customer_dim(spark, d):
+    c = SI.table(spark, d, "customer")
+    wkt = F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit("LINESTRING(0 0,1 1)")).otherwise(
+        F.concat(F.lit("POINT(-46."), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"),
+                 F.lit(" -23."), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lit(")")))
+    return c.select(F.col("c_custkey").cast("string").alias("loc_id"),
+                    F.col("c_name").alias("nome_ponto"), wkt.alias("coordenadas"),
+                    F.col("c_mktsegment").alias("tipo_ponto"))
+
+
+def q_latest_per_loc_map(spark, d):
+    """Every dimension point with its newest reading (or none)."""
+    return state.map_rows(customer_dim(spark, d), _weather_str(spark, d), tie_break="event_id")
+
+
+def q_latest_per_ship(spark, d):
+    """Newest line-up row per ship with local time text."""
     return state.latest_ships(SI.lineup(spark, d))
 
 
-def q_fleet_kpis(spark: SparkSession, d: str) -> DataFrame:
+def q_latest_event(spark, d):
+    """O1: newest event."""
+    return state.latest_event(SI.table(spark, d, "events"), "ts", "event_id")
+
+
+def q_preview(spark, d):
+    """O3: five smallest keys."""
+    return state.preview(SI.table(spark, d, "events"), "event_id", 5)
+
+
+def q_flag_max(spark, d):
+    """Every row equal to the column maximum is flagged."""
+    e = SI.table(spark, d, "events").select("event_id", "value")
+    return state.flag_max(e, "value")
+
+
+def q_feature_store(spark, d):
+    """Purchases with the newest view of the same user as of their time,
+    plus the newest error value as a current scalar."""
+    e = SI.table(spark, d, "events")
+    left = e.filter(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
+    right = e.filter(F.col("event_type") == "view").select("event_id", "user_id", "ts", "value")
+    joined = asof.asof_join(left, right, ["user_id"], "ts", "ts",
+                            {"value": "view_value", "event_id": "view_event_id"}, ["event_id"])
+    errors = e.filter(F.col("event_type") == "error")
+    cur = state.current_value(errors, "value", "ts", "event_id")
+    return joined.withColumn("current_error_value", F.coalesce(cur, F.lit(0.0)))
+
+
+def q_dedup_readings(spark, d):
+    """E5: a second ingest re-sends click/view readings with corrected rain;
+    the last-ingested row per (location, reading time) is kept."""
+    w = SI.weather(spark, d)
+    e = SI.table(spark, d, "events").select("event_id", "event_type")
+    first = w.withColumn("inserido_em", F.lit(dt.datetime(2024, 2, 1)).cast("timestamp"))
+    again = (w.join(e.filter(F.col("event_type").isin("click", "view")), "event_id", "left_semi")
+             .withColumn("precipitacao_mm", F.col("precipitacao_mm") + F.lit(1.0))
+             .withColumn("inserido_em", F.lit(dt.datetime(2024, 2, 2)).cast("timestamp")))
+    both = ingest.union_batches([first, again])
+    return _ntz(ingest.dedup_readings(both, ("loc_id", "timestamp_leitura"), "inserido_em", "event_id"))
+
+
+def q_union_batches(spark, d):
+    """Per-type batches unioned by name."""
+    e = SI.table(spark, d, "events").select("event_id", "event_type", "value")
+    types = ["view", "signup", "error", "click", "purchase"]
+    return ingest.union_batches([e.filter(F.col("event_type") == t) for t in types])
+
+
+# ---------------------------------------------------------------------------
+# Line-up and pages
+# ---------------------------------------------------------------------------
+
+def lineup_raw(spark, d):
+    """Raw line-up text columns built from orders (BR numbers, day-first dates)."""
+    o = SI.table(spark, d, "orders")
+    us = F.format_number("o_totalprice", 2)
+    br = F.translate(F.translate(F.translate(us, ",", "#"), ".", ","), "#", ".")
+    when_txt = (F.when(F.col("o_orderstatus") == "P", F.lit("sem data"))
+                .when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "dd/MM/yyyy"))
+                .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm")))
+    return o.select(
+        F.concat(F.lit("SHIP-"), F.col("o_orderkey").cast("string")).alias("Navio Ship"),
+        F.col("o_custkey").cast("string").alias("IMO"),
+        when_txt.alias("Cheg/Arrival d/m/y"),
+        F.col("o_orderstatus").alias("Mercadoria Goods"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit("nan")).otherwise(br).alias("Peso Weight"),
+        F.col("o_orderpriority").alias("Terminal"))
+
+
+def q_lineup_clean(spark, d):
+    """Raw header/text columns -> fato_lineup rows."""
+    named = ingest.require_columns(ingest.rename_by_substring(lineup_raw(spark, d)),
+                                   ["data_chegada_prevista"])
+    return _ntz(ingest.normalize_lineup(named, RUN_TS, strict=False, id_keys=["nome_navio"]))
+
+
+def nation_pages(spark, d):
+    """One HTML page per region holding its nations as a two-level-header table.
+
+    ``nation`` is a fixed 25-row table at every scale, so one page per
+    region (5 rows each) is bounded by construction.
+    """
+    n = SI.table(spark, d, "nation")
+    row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"),
+                   F.lit("</td><td><b>"), F.col("n_name"), F.lit("</b></td><td>"),
+                   F.col("n_regionkey").cast("string"), F.lit("</td></tr>"))
+    body = n.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(
+        F.struct("n_nationkey", row.alias("tr"))))["tr"], "").alias("rows"))
+    head = ("<table class=\"lineup\"><thead><tr><th>Nation</th><th>Nation</th><th>Region</th></tr>"
+            "<tr><th>Key</th><th>Name</th><th>Key</th></tr></thead><tbody>")
+    return body.select(F.col("n_regionkey").cast("long").alias("page_id"),
+                       F.concat(F.lit("<html><body><!-- list --><p>Nations</p>" + head),
+                                F.col("rows"), F.lit("</tbody></table></body></html>")).alias("html"))
+
+
+def q_html_table_rows(spark, d):
+    """Parse the first table of each page back into typed rows."""
+    rows = html.html_tables(nation_pages(spark, d))
+    named = html.table_columns(rows, [("Nation Key", "k"), ("Nation Name", "name"), ("Region Key", "r")])
+    return named.select(F.col("k").cast("int").alias("n_nationkey"), F.col("name").alias("n_name"),
+                        F.col("r").cast("int").alias("n_regionkey"))
+
+
+def q_page_elements_div_ad(spark, d):
+    """Text of every ``div.ad`` element, in document order."""
+    return html.page_elements(SI.table(spark, d, "pages"), "div", "ad")
+
+
+def q_page_links_first5(spark, d):
+    """First five links of each page (the original reads five headlines)."""
+    return html.page_elements(SI.table(spark, d, "pages"), "a", None, limit=5)
+
+
+def q_page_text_hits(spark, d):
+    """Visible text length and keyword flags per page (whole pages)."""
+    p = SI.table(spark, d, "pages")
+    t = page_text(F.col("html"))
+    return p.select("page_id", t.alias("t")).select(
+        "page_id", F.length("t").cast("bigint").alias("text_chars"),
+        X.contains_any("t", ["license"]).alias("has_license"),
+        X.contains_any("t", ["token"]).alias("has_token"),
+        X.contains_any("t", ["the "]).alias("has_the"))
+
+
+def contingency_pages(spark, d):
+    """Each driver page is one monitoring batch: read as the road page and as the news page."""
+    p = SI.table(spark, d, "pages")
+    base = p.select("page_id", F.col("page_id").cast("string").alias("batch_id"), "html")
+    return base.withColumn("kind", F.lit("road")).unionByName(base.withColumn("kind", F.lit("news")))
+
+
+def q_contingency_score(spark, d):
+    """One scored contingency row per batch."""
+    return _ntz(contingency.score_contingencies(contingency_pages(spark, d), RUN_TS, STANDIN_RULES))
+
+
+def q_contingency_json(spark, d):
+    """Extracted JSON -> contingency rows (event key default N/A)."""
+    e = SI.table(spark, d, "events")
+    out = contingency.contingency_from_json(e, "props", "event_type", RUN_TS, ["event_id"])
+    return _ntz(out.withColumn("k", X.json_key(F.col("json_extraido"), "k")))
+
+
+def q_row_id(spark, d):
+    """Key hash ids with a fixed run stamp (retry-stable)."""
+    o = SI.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return ingest.with_row_id(o.withColumn("run_ts", F.lit(RUN_TS_TEXT)), "row_id",
+                              ["o_orderkey", "o_custkey", "run_ts"]).drop("run_ts")
+
+
+def q_headline_trunc(spark, d):
+    """T6 on whole documents: headline text plus whole-text length and flag."""
+    doc = SI.table(spark, d, "documents")
+    return doc.select("doc_id", X.headline("text", 40).alias("headline"),
+                      F.length("text").cast("bigint").alias("text_chars"),
+                      X.contains_any("text", ["license"]).alias("has_license"))
+
+
+def q_local_timestamp(spark, d):
+    """T4: UTC stamps as Sao Paulo wall-clock text."""
+    e = SI.table(spark, d, "events")
+    return e.select("event_id", X.format_local("ts").alias("local_text"))
+
+
+# ---------------------------------------------------------------------------
+# Reports
+# ---------------------------------------------------------------------------
+
+def _ships(spark, d):
+    return state.latest_ships(SI.lineup(spark, d))
+
+
+def q_fleet_kpis(spark, d):
     """A1 over the latest ships."""
-    k = reports.fleet_kpis(state.latest_ships(SI.lineup(spark, d)))
-    return k.select("n_ships", F.round("mean_rain_mm", 6).alias("mean_rain_mm"),
-                    F.round("mean_nlp_risk_pct", 6).alias("mean_nlp_risk_pct"), "last_update")
+    k = reports.fleet_kpis(_ships(spark, d))
+    return _ntz(k.select("n_ships", F.round("mean_rain_mm", 6).alias("mean_rain_mm"),
+                         F.round("mean_nlp_risk_pct", 6).alias("mean_nlp_risk_pct"), "last_update"))
+
+
+def news_standin(spark, d):
+    e = SI.table(spark, d, "events")
+    return e.select(F.col("event_id").cast("string").alias("cont_id"),
+                    F.col("ts").alias("timestamp_leitura"),
+                    (F.col("value") / F.lit(500.0)).alias("score_risco"),
+                    F.col("event_type").alias("texto_original"))
+
+
+def q_access_risk_kpi(spark, d):
+    """Newest news score x100 and its tier."""
+    r = reports.access_risk(news_standin(spark, d))
+    return r.select(F.round("access_risk_pct", 6).alias("access_risk_pct"), "tier", "texto_original")
+
+
+def q_volume_by_terminal(spark, d):
+    """A3: tonnage per terminal over the latest ships."""
+    v = reports.volume_by_terminal(_ships(spark, d))
+    return v.select("terminal", F.round("total_volume", 2).alias("total_volume"),
+                    F.round("mean_rain_mm", 6).alias("mean_rain_mm"), "n_ships")
+
+
+def q_top_terminals(spark, d):
+    """A4 O2: top five terminals by line-up rows."""
+    return reports.value_counts(SI.lineup(spark, d), "terminal", 5)
+
+
+def q_top_ships(spark, d):
+    """A4 O2: top five ships by line-up rows (ties by id)."""
+    return reports.value_counts(SI.lineup(spark, d), "ship_id", 5)
+
+
+def q_arrivals_by_date(spark, d):
+    """Arrivals per date."""
+    return reports.arrivals_by_date(SI.lineup(spark, d))
+
+
+def q_class_share(spark, d):
+    """Normalised value counts of a label."""
+    s = reports.class_share(SI.table(spark, d, "labels"), "quality")
+    return s.select("quality", "count", F.round("share", 9).alias("share"))
+
+
+def q_describe_weather(spark, d):
+    """describe() of the three weather measures, long form."""
+    return reports.describe_columns(SI.weather(spark, d),
+                                    ["precipitacao_mm", "velocidade_vento", "umidade"], digits=6)
+
+
+def q_rain_histogram(spark, d):
+    """20 equal-width bins over the rain range."""
+    h = reports.histogram(SI.weather(spark, d), "precipitacao_mm", bins=20)
+    return h.select("bin", F.round("bin_lo", 6).alias("bin_lo"), F.round("bin_hi", 6).alias("bin_hi"), "count")
+
+
+def q_rain_kde(spark, d):
+    """Gaussian KDE of rain on a 200-point grid (Scott bandwidth, fine bins)."""
+    k = reports.kde(SI.weather(spark, d), "precipitacao_mm", grid_size=200, fine_bins=1024)
+    return k.select("i", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
+def _label_pred(spark, d):
+    lab = SI.table(spark, d, "labels")
+    return lab.select(F.col("quality").alias("label"), (F.lit(1) - F.col("toxic")).alias("prediction"))
+
+
+def q_confusion_matrix(spark, d):
+    """A10: label x prediction counts (labels: quality vs 1 - toxic)."""
+    return reports.confusion_matrix(_label_pred(spark, d))
+
+
+def q_classification_report(spark, d):
+    """precision/recall/F1/support, accuracy, macro and weighted averages."""
+    r = reports.classification_report(_label_pred(spark, d))
+    return r.select("row_label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1_score")],
+                    "support")
+
+
+# ---------------------------------------------------------------------------
+# Model
+# ---------------------------------------------------------------------------
+
+def lineitem_features(spark, d):
+    li = SI.table(spark, d, "lineitem")
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        (F.col("l_discount") * F.lit(1000.0)).alias("rain_feature"),
+        (F.col("l_quantity") * F.lit(1.2)).alias("wind_feature"),
+        (F.col("l_tax") * F.lit(12.5)).alias("nlp_risk_score"),
+        F.col("l_extendedprice").alias("quantidade_estimada"))
+
+
+def q_rule_label(spark, d):
+    """Rule label over features derived from lineitem."""
+    return ml.label_features(lineitem_features(spark, d))
+
+
+def _synth(spark, d):
+    o = SI.table(spark, d, "orders").select("o_orderkey")
+    return ml.label_features(ml.synth_features(o, "o_orderkey"))
+
+
+def q_synth_features(spark, d):
+    """M1 M2: one synthetic model row per order key (integer LCG uniforms)."""
+    return _synth(spark, d)
+
+
+def q_split_hash(spark, d):
+    """M4: 80/20 split by key hash; rows and positives per side."""
+    s = _synth(spark, d).withColumn("side", F.when(ml.split_flag(F.col("o_orderkey")), "test")
+                                    .otherwise("train"))
+    return s.groupBy("side").agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
+                                 F.sum(S.MODEL_LABEL).cast("bigint").alias("positives"))
+
+
+_MODELS: dict[tuple[str, str], str] = {}
+
+
+def trained_model(spark, d):
+    """Fit once per session and table dir; saved to and loaded from the shared dir."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        train, _ = ml.train_test_split(_synth(spark, d), "o_orderkey")
+        model = ml.fit_risk_model(train.cache())
+        _MODELS[key] = ml.save_model(model, scratch_path(spark, "risk-model"))
+    return ml.load_model(_MODELS[key])
+
+
+def q_model_evaluation(spark, d):
+    """Confusion matrix of the forest on the held-out split."""
+    _, test = ml.train_test_split(_synth(spark, d), "o_orderkey")
+    cm, _ = ml.evaluate(ml.score(trained_model(spark, d), test))
+    return cm
+
+
+def q_importances(spark, d):
+    """M6: feature importances of the trained forest."""
+    return ml.importances(trained_model(spark, d), spark)
+
+
+def _fleet(spark, d):
+    ships = _ships(spark, d)
+    return ships.withColumn("wind_feature", (F.col("ship_id") % 60).cast("double"))
+
+
+def q_score_fleet(spark, d):
+    """Every latest ship scored and tiered."""
+    out = ml.score_fleet(trained_model(spark, d), _fleet(spark, d))
+    return _ntz(out.select("ship_id", "lineup_id", "terminal", "risk_probability", "prediction", "tier"))
+
+
+def q_sensitivity_sweep(spark, d):
+    """M8: wind 0..80 step 5 over every ship of the fleet (partial dependence)."""
+    base = _fleet(spark, d).select(*S.MODEL_FEATURES)
+    return ml.sweep(trained_model(spark, d), base, "wind_feature")
+
+
+def q_scenario_grid(spark, d):
+    """Per terminal, rain x wind surface at the current news score."""
+    cur = state.current_value(news_standin(spark, d), "score_risco", "timestamp_leitura", "cont_id")
+    g = ml.scenario_grid(trained_model(spark, d), _fleet(spark, d), cur)
+    return g.select("terminal", "rain_feature", "wind_feature", "nlp_risk_score",
+                    "risk_probability", "tier")
 
 
 QUERIES: dict[str, Query] = {
+    "weather_normalize": q_weather_normalize,
+    "weather_csv_roundtrip": q_weather_csv_roundtrip,
+    "ndjson_roundtrip": q_ndjson_roundtrip,
+    "insert_rejects": q_insert_rejects,
+    "scan_project": q_scan_project,
+    "load_report": q_load_report,
+    "points_join": q_points_join,
+    "latest_per_loc_map": q_latest_per_loc_map,
     "latest_per_ship": q_latest_per_ship,
+    "latest_event": q_latest_event,
+    "preview": q_preview,
+    "flag_max": q_flag_max,
+    "feature_store": q_feature_store,
+    "dedup_readings": q_dedup_readings,
+    "union_batches": q_union_batches,
+    "lineup_clean": q_lineup_clean,
+    "html_table_rows": q_html_table_rows,
+    "page_elements_div_ad": q_page_elements_div_ad,
+    "page_links_first5": q_page_links_first5,
+    "page_text_hits": q_page_text_hits,
+    "contingency_score": q_contingency_score,
+    "contingency_json": q_contingency_json,
+    "row_id": q_row_id,
+    "headline_trunc": q_headline_trunc,
+    "local_timestamp": q_local_timestamp,
     "fleet_kpis": q_fleet_kpis,
+    "access_risk_kpi": q_access_risk_kpi,
+    "volume_by_terminal": q_volume_by_terminal,
+    "top_terminals": q_top_terminals,
+    "top_ships": q_top_ships,
+    "arrivals_by_date": q_arrivals_by_date,
+    "class_share": q_class_share,
+    "describe_weather": q_describe_weather,
+    "rain_histogram": q_rain_histogram,
+    "rain_kde": q_rain_kde,
+    "confusion_matrix": q_confusion_matrix,
+    "classification_report": q_classification_report,
+    "rule_label": q_rule_label,
+    "synth_features": q_synth_features,
+    "split_hash": q_split_hash,
+    "model_evaluation": q_model_evaluation,
+    "importances": q_importances,
+    "score_fleet": q_score_fleet,
+    "sensitivity_sweep": q_sensitivity_sweep,
+    "scenario_grid": q_scenario_grid,
 }

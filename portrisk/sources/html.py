@@ -109,37 +109,40 @@ def html_tables(pages: DataFrame, table_index: int = 0, id_col: str = "page_id",
                       F.col("r.cells").alias("cells"))
 
 
+def _owner_test(key: str, later: list[str]):
+    """Header -> True when it contains ``key`` and none of the later keys."""
+    def owns(h):
+        cond = F.contains(h, F.lit(key))
+        for other in later:
+            cond = cond & ~F.contains(h, F.lit(other))
+        return cond
+    return owns
+
+
 def table_columns(tables: DataFrame, mapping: list[tuple[str, str]],
                   strict: bool = True, id_col: str = "page_id",
-                  keep: list[str] | None = None) -> DataFrame:
+                  keep: list[str] | None = None,
+                  required: list[str] | None = None) -> DataFrame:
     """P5 on parsed rows: pick cells by header substring into named columns.
 
     For each header, the *last* key of ``mapping`` it contains decides its
     target.  A target matched by two headers of one page fails the job with
-    a named error; with ``strict`` a target no header matches fails too,
-    otherwise the column is NULL.
+    a named error; with ``strict`` a ``required`` target (default: all) that
+    no header matches fails too, otherwise the column is NULL.
     """
     keep = keep or []
     keys = [k for k, _ in mapping]
     targets = []
     for i, (key, target) in enumerate(mapping):
-        later = keys[i + 1:]
-
-        def owns(h, key=key, later=later):
-            cond = F.contains(h, F.lit(key))
-            for other in later:
-                cond = cond & ~F.contains(h, F.lit(other))
-            return cond
-
-        flags = F.transform("header", owns)
+        flags = F.transform("header", _owner_test(key, keys[i + 1:]))
         n = F.size(F.filter(flags, lambda f: f))
-        pos = F.array_position(flags, F.lit(True))
+        pos = F.array_position(flags, True)
         dup_msg = F.concat(F.lit(f"duplicate column for '{target}' in headers: "),
                            F.array_join("header", ", "))
         miss_msg = F.concat(F.lit(f"no column for '{target}'; detected columns: "),
                             F.array_join("header", ", "))
         value = F.when(n > 1, F.raise_error(dup_msg).cast("string"))
-        if strict:
+        if strict and (required is None or target in required):
             value = value.when(n == 0, F.raise_error(miss_msg).cast("string"))
         else:
             value = value.when(n == 0, F.lit(None).cast("string"))
