@@ -507,6 +507,123 @@ def q_scenario_grid(spark, d):
                     "risk_probability", "tier")
 
 
+# ---------------------------------------------------------------------------
+# Line-up pages, streams and the cycle
+# ---------------------------------------------------------------------------
+
+LINEUP_HEADERS = ["Navio Ship", "IMO", "Cheg/Arrival d/m/y", "Mercadoria Goods", "Peso Weight", "Terminal"]
+
+
+def lineup_pages(spark, d):
+    """One landed line-up page per order: a table with the header row and one data row."""
+    raw = lineup_raw(spark, d)
+    head = "<table><tr>" + "".join(f"<th>{h}</th>" for h in LINEUP_HEADERS) + "</tr><tr>"
+    cells = [F.concat(F.lit("<td>"), F.coalesce(F.col(f"`{h}`"), F.lit("")), F.lit("</td>"))
+             for h in LINEUP_HEADERS]
+    rows = raw.withColumn("page_id", F.regexp_extract(F.col("`Navio Ship`"), r"([0-9]+)$", 1).cast("long"))
+    return rows.select("page_id", F.col("page_id").cast("string").alias("batch_id"),
+                       F.lit("lineup").alias("kind"),
+                       F.concat(F.lit("<html><body><h2>Navios esperados</h2>" + head), *cells,
+                                F.lit("</tr></table></body></html>")).alias("html"))
+
+
+def q_lineup_pages(spark, d):
+    """Landed line-up pages -> fato_lineup rows."""
+    return _ntz(ingest.lineup_from_pages(lineup_pages(spark, d), RUN_TS, strict=True))
+
+
+def _await(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
+def q_stream_weather(spark, d):
+    """Landed per-location CSV read as a stream -> P1 -> appended table."""
+    from ..streaming import streams
+    landing = _land_weather_csv(spark, d)
+    out, ckpt = scratch_path(spark, "stream-weather"), scratch_path(spark, "ckpt-weather")
+    _await(streams.weather_stream(spark, landing, out, ckpt))
+    return _ntz(spark.read.parquet(out))
+
+
+def _land_events(spark, d, repeats: bool) -> str:
+    """Land weather readings as parquet; with ``repeats`` the click/view readings
+    are landed a second time as exact copies (the 15-day re-fetch)."""
+    w = (SI.weather(spark, d).withColumn("loc_id", F.col("loc_id").cast("string"))
+         .withColumn("timestamp_leitura", F.col("timestamp_leitura").cast("timestamp")))
+    path = scratch_path(spark, "landing-events")
+    w.write.mode("append").parquet(path)
+    if repeats:
+        e = SI.table(spark, d, "events").select("event_id", "event_type")
+        w.join(e.filter(F.col("event_type").isin("click", "view")), "event_id", "left_semi") \
+            .write.mode("append").parquet(path)
+    return path
+
+
+def q_stream_latest(spark, d):
+    """Newest reading per location kept as streaming state, two micro-batches."""
+    from ..streaming import streams
+    landing = _land_events(spark, d, repeats=False)
+    schema = spark.read.parquet(landing).schema
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(landing)
+    out, ckpt = scratch_path(spark, "stream-latest"), scratch_path(spark, "ckpt-latest")
+    _await(streams.latest_stream(src, ["loc_id"], ["timestamp_leitura", "event_id"], out, ckpt))
+    latest = streams.read_latest(spark, out, ["loc_id"], ["timestamp_leitura"], ["event_id"])
+    return _ntz(latest.select("loc_id", "timestamp_leitura", "precipitacao_mm",
+                              "velocidade_vento", "alerta_critico", "event_id"))
+
+
+def q_stream_dedup(spark, d):
+    """Repeated readings dropped within a 15-day watermark."""
+    from ..streaming import streams
+    landing = _land_events(spark, d, repeats=True)
+    schema = spark.read.parquet(landing).schema
+    src = spark.readStream.schema(schema).parquet(landing)
+    out, ckpt = scratch_path(spark, "stream-dedup"), scratch_path(spark, "ckpt-dedup")
+    _await(streams.dedup_stream(src, ["loc_id", "timestamp_leitura"], "timestamp_leitura", out, ckpt))
+    return _ntz(spark.read.parquet(out))
+
+
+def _land_pages(spark, df: DataFrame, name: str) -> str:
+    path = scratch_path(spark, name)
+    df.select(F.col("page_id").cast("long"), F.col("batch_id").cast("string"), "kind", "html") \
+        .write.mode("append").parquet(path)
+    return path
+
+
+def q_stream_contingency(spark, d):
+    """Landed news/road pages scored per micro-batch (foreachBatch, replay-safe)."""
+    from ..streaming import streams
+    landing = _land_pages(spark, contingency_pages(spark, d), "landing-news")
+    out, ckpt = scratch_path(spark, "stream-news"), scratch_path(spark, "ckpt-news")
+    _await(streams.contingency_stream(spark, landing, out, ckpt, lambda epoch: RUN_TS, STANDIN_RULES))
+    return _ntz(spark.read.parquet(out).drop("epoch"))
+
+
+def q_stream_lineup(spark, d):
+    """R2: landed line-up pages read as a stream -> X2 -> appended table."""
+    from ..streaming import streams
+    landing = _land_pages(spark, lineup_pages(spark, d), "landing-lineup")
+    out, ckpt = scratch_path(spark, "stream-lineup"), scratch_path(spark, "ckpt-lineup")
+    _await(streams.lineup_stream(spark, landing, out, ckpt, RUN_TS))
+    return _ntz(spark.read.parquet(out))
+
+
+def q_run_cycle(spark, d):
+    """One hourly cycle over landed weather, line-up and news files."""
+    from .cycle import run_cycle
+    landing = scratch_path(spark, "landing-cycle")
+    raw = SI.weather_raw(spark, d).select(
+        F.col("loc_id").cast("string").alias("loc_id"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "precip", "windspeed", "humidity")
+    files.write_weather_csv(raw.repartition("loc_id"), f"{landing}/weather")
+    lineup_pages(spark, d).write.parquet(f"{landing}/lineup")
+    contingency_pages(spark, d).select("page_id", "batch_id", "kind", "html") \
+        .write.parquet(f"{landing}/news")
+    return run_cycle(spark, landing, scratch_path(spark, "warehouse"), RUN_TS, STANDIN_RULES)
+
+
 QUERIES: dict[str, Query] = {
     "weather_normalize": q_weather_normalize,
     "weather_csv_roundtrip": q_weather_csv_roundtrip,
@@ -553,4 +670,11 @@ QUERIES: dict[str, Query] = {
     "score_fleet": q_score_fleet,
     "sensitivity_sweep": q_sensitivity_sweep,
     "scenario_grid": q_scenario_grid,
+    "lineup_pages": q_lineup_pages,
+    "stream_weather": q_stream_weather,
+    "stream_latest": q_stream_latest,
+    "stream_dedup": q_stream_dedup,
+    "stream_contingency": q_stream_contingency,
+    "stream_lineup": q_stream_lineup,
+    "run_cycle": q_run_cycle,
 }

@@ -447,3 +447,41 @@ lab AS (SELECT *, {label_case()} AS target_is_delayed,
         FROM synth)
 SELECT side, CAST(count(*) AS BIGINT) AS rows, CAST(sum(target_is_delayed) AS BIGINT) AS positives
 FROM lab GROUP BY side"""
+
+# --- line-up pages, streams, cycle -------------------------------------------
+
+LINEUP_FROM_TEXT = """
+       CAST(o_custkey AS VARCHAR) AS ship_id,
+       CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS data_chegada_prevista,
+       CASE WHEN o_orderstatus = 'P' THEN NULL
+            WHEN o_orderstatus = 'F' THEN date_trunc('day', o_orderdate)
+            ELSE date_trunc('minute', o_orderdate) END AS data_atracacao_prevista,
+       'Esperado' AS status_atual, o_orderpriority AS terminal, o_orderstatus AS commodity,
+       CASE WHEN o_orderpriority = '5-LOW' THEN 0.0::DOUBLE ELSE round(o_totalprice, 2) END
+         AS quantidade_estimada,
+       """ + RUN + """ AS inserido_em
+FROM orders"""
+
+SQL["lineup_pages"] = f"""
+SELECT sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), '0', {RUN_TEXT})) AS lineup_id,""" + LINEUP_FROM_TEXT
+SQL["stream_lineup"] = SQL["lineup_pages"]
+
+SQL["stream_weather"] = SQL["weather_csv_roundtrip"]
+
+SQL["stream_latest"] = f"""WITH {WEATHER}
+SELECT CAST(loc_id AS VARCHAR) AS loc_id, timestamp_leitura, precipitacao_mm, velocidade_vento,
+       alerta_critico, event_id
+FROM weather
+QUALIFY row_number() OVER (PARTITION BY loc_id ORDER BY timestamp_leitura DESC NULLS LAST, event_id DESC) = 1"""
+
+SQL["stream_dedup"] = f"""WITH {WEATHER}
+SELECT event_id, CAST(loc_id AS VARCHAR) AS loc_id, timestamp_leitura, precipitacao_mm, velocidade_vento,
+       umidade, alerta_critico
+FROM weather"""
+
+SQL["stream_contingency"] = SQL["contingency_score"]
+
+SQL["run_cycle"] = """
+SELECT 'weather' AS step, CAST(count(*) AS BIGINT) AS rows, 'ok' AS outcome FROM events
+UNION ALL SELECT 'lineup', CAST(count(*) AS BIGINT), 'ok' FROM orders
+UNION ALL SELECT 'contingencies', CAST(count(*) AS BIGINT), 'ok' FROM pages"""
