@@ -47,11 +47,15 @@ def _decode_numeric_refs(col: Column) -> Column:
 
 
 def decode_entities(col: ColumnOrName) -> Column:
-    """Decode numeric references and the fixed list of named entities."""
-    out = _decode_numeric_refs(_c(col))
+    """Decode numeric references and the fixed list of named entities.
+
+    Text without '&' (most cells and headlines) skips the replace chain.
+    """
+    text = _c(col)
+    out = _decode_numeric_refs(text)
     for ref, char in NAMED_ENTITIES:
         out = F.replace(out, F.lit(ref), F.lit(char))
-    return out
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
 def drop_non_text(col: ColumnOrName) -> Column:
@@ -63,8 +67,13 @@ def drop_non_text(col: ColumnOrName) -> Column:
 
 
 def strip_tags(col: ColumnOrName, sep: str = "") -> Column:
-    """Remove tags (text nodes joined by ``sep``) and decode entities."""
-    return decode_entities(F.regexp_replace(_c(col), TAG_RE, sep))
+    """Remove tags (text nodes joined by ``sep``) and decode entities.
+
+    Text with neither '<' nor '&' is returned as is (no regex run).
+    """
+    text = _c(col)
+    stripped = decode_entities(F.regexp_replace(text, TAG_RE, sep))
+    return F.when(F.contains(text, F.lit("<")) | F.contains(text, F.lit("&")), stripped).otherwise(text)
 
 
 def page_text(html: ColumnOrName, sep: str = "", lower: bool = False) -> Column:

@@ -90,50 +90,60 @@ def class_share(df: DataFrame, label_col: str) -> DataFrame:
 # A7 describe
 # ---------------------------------------------------------------------------
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
+def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(measure, x) rows for the given columns; NaN and NULL dropped (pandas rule)."""
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("measure"),
+                 F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("x"))
+        for c in cols])).alias("p")
+    return df.select(pairs).select("p.*").filter(F.col("x").isNotNull())
+
+
+def exact_quantiles(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float],
                     partitions: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles, without one task seeing all values.
-
-    Distinct values with their counts are range-partitioned; each range
-    partition gets its global offset from a table of per-partition totals
-    (one row per partition), so the running count is computed per partition
-    and the ranks that bound each quantile are found without a global sort.
-    The ranged table is checkpointed so partition ids stay fixed.
-    Result: ``(prob, value)``.
+    """Exact linear-interpolated quantiles of several columns in one pass,
+    without one task seeing all values of a column.
+
+    Distinct (measure, value) pairs with their counts are range-partitioned;
+    each range partition gets its offset per measure from a table of
+    per-partition totals (partitions x measures rows), so running counts are
+    computed inside partitions and the ranks bounding each quantile are found
+    without a global sort.  The ranged table is checkpointed (shared folder)
+    so its partition ids stay fixed.  Result: ``(measure, prob, value)``.
     """
+    cols = [cols] if isinstance(cols, str) else list(cols)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    x = df.select(F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double")).alias("x")) \
-        .filter(F.col("x").isNotNull())
-    counts = x.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    counts = _long(df, cols).groupBy("measure", "x").agg(F.count(F.lit(1)).alias("c"))
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (counts.repartitionByRange(n_parts, "x")
+    ranged = (counts.repartitionByRange(n_parts, "measure", "x")
               .withColumn("pid", F.spark_partition_id())
               .checkpoint(eager=True))
-    per_part = ranged.groupBy("pid").agg(F.sum("c").alias("pc"))
-    offsets = per_part.withColumn(
-        "off", F.coalesce(F.sum("pc").over(Window.orderBy("pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)))
-    local = Window.partitionBy("pid").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (ranged.join(F.broadcast(offsets.select("pid", "off")), "pid")
+    per_part = ranged.groupBy("measure", "pid").agg(F.sum("c").alias("pc"))
+    before = Window.partitionBy("measure").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select("measure", "pid", F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("off"),
+                              F.sum("pc").over(Window.partitionBy("measure")).alias("n"))
+    local = Window.partitionBy("pid", "measure").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    # offsets hold partitions x measures rows: bounded, broadcast
+    cum = (ranged.join(F.broadcast(offsets), ["measure", "pid"])
            .withColumn("hi", F.col("off") + F.sum("c").over(local))
            .withColumn("lo", F.col("hi") - F.col("c")))          # ranks [lo, hi) hold x
-    n = ranged.select(F.sum("c")).scalar()
+    n = F.col("n")
     targets = F.array(*[
         F.struct(F.lit(float(p)).alias("prob"), ((n - 1) * F.lit(float(p))).alias("pos"),
                  F.floor((n - 1) * F.lit(float(p))).alias("r_lo"),
                  F.ceil((n - 1) * F.lit(float(p))).alias("r_hi"))
         for p in probs])
     # each distinct value emits only the target ranks that fall in its [lo, hi)
-    cum = cum.select("x", "lo", "hi", targets.alias("t"))
-    v_lo = cum.select("x", F.explode(F.filter("t", lambda t: (t["r_lo"] >= F.col("lo"))
-                                              & (t["r_lo"] < F.col("hi")))).alias("t")) \
-        .select("t.prob", "t.pos", "t.r_lo", F.col("x").alias("v_lo"))
-    v_hi = cum.select("x", F.explode(F.filter("t", lambda t: (t["r_hi"] >= F.col("lo"))
-                                              & (t["r_hi"] < F.col("hi")))).alias("t")) \
-        .select("t.prob", F.col("x").alias("v_hi"))
-    return v_lo.join(v_hi, "prob").select(
-        "prob",
+    cum = cum.select("measure", "x", "lo", "hi", targets.alias("t"))
+    v_lo = cum.select("measure", "x", F.explode(F.filter(
+        "t", lambda t: (t["r_lo"] >= F.col("lo")) & (t["r_lo"] < F.col("hi")))).alias("t")) \
+        .select("measure", "t.prob", "t.pos", "t.r_lo", F.col("x").alias("v_lo"))
+    v_hi = cum.select("measure", "x", F.explode(F.filter(
+        "t", lambda t: (t["r_hi"] >= F.col("lo")) & (t["r_hi"] < F.col("hi")))).alias("t")) \
+        .select("measure", "t.prob", F.col("x").alias("v_hi"))
+    return v_lo.join(v_hi, ["measure", "prob"]).select(
+        "measure", "prob",
         (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.col("r_lo"))).alias("value"))
 
 
@@ -141,24 +151,22 @@ def describe_columns(df: DataFrame, cols: Sequence[str], digits: int | None = No
     """Pandas ``describe()`` in long form ``(measure, stat, value)``.
 
     count, mean, std (sample), min, 25%, 50%, 75% (exact, linear), max; NaN
-    counts as missing, as in pandas.
+    counts as missing, as in pandas.  One aggregate for the moments of all
+    columns, one distributed quantile job for all columns.
     """
-    parts = []
+    aggs = []
     for c in cols:
         v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-        moments = df.agg(
-            F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
-        stats = moments.select(F.explode(F.array(*[
-            F.struct(F.lit(s).alias("stat"), F.col(s).alias("value"))
-            for s in ("count", "mean", "std", "min", "max")])).alias("s")).select("s.*")
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75]).select(
-            F.concat((F.col("prob") * 100).cast("int").cast("string"), F.lit("%")).alias("stat"),
-            "value")
-        parts.append(stats.unionByName(q).select(F.lit(c).alias("measure"), "stat", "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        aggs += [F.count(v).cast("double").alias(f"{c}__count"), F.avg(v).alias(f"{c}__mean"),
+                 F.stddev_samp(v).alias(f"{c}__std"), F.min(v).alias(f"{c}__min"),
+                 F.max(v).alias(f"{c}__max")]
+    moments = df.agg(*aggs).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("measure"), F.lit(s).alias("stat"), F.col(f"{c}__{s}").alias("value"))
+        for c in cols for s in ("count", "mean", "std", "min", "max")])).alias("s")).select("s.*")
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).select(
+        "measure", F.concat((F.col("prob") * 100).cast("int").cast("string"), F.lit("%")).alias("stat"),
+        "value")
+    out = moments.unionByName(q)
     if digits is not None:
         out = out.withColumn("value", F.round("value", digits))
     return out

@@ -44,6 +44,10 @@ def _ntz(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def _land_parts(spark) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def _weather_str(spark, d):
     return SI.weather(spark, d).withColumn("loc_id", F.col("loc_id").cast("string"))
 
@@ -63,7 +67,8 @@ def _land_weather_csv(spark, d) -> str:
         F.col("loc_id").cast("string").alias("loc_id"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "precip", "windspeed", "humidity")
     path = scratch_path(spark, "weather-csv")
-    files.write_weather_csv(raw.repartition("loc_id"), path)
+    # explicit partition count: AQE must not coalesce the landing write into one task
+    files.write_weather_csv(raw.repartition(_land_parts(spark), "loc_id"), path)
     return path
 
 
@@ -617,7 +622,7 @@ def q_run_cycle(spark, d):
     raw = SI.weather_raw(spark, d).select(
         F.col("loc_id").cast("string").alias("loc_id"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "precip", "windspeed", "humidity")
-    files.write_weather_csv(raw.repartition("loc_id"), f"{landing}/weather")
+    files.write_weather_csv(raw.repartition(_land_parts(spark), "loc_id"), f"{landing}/weather")
     lineup_pages(spark, d).write.parquet(f"{landing}/lineup")
     contingency_pages(spark, d).select("page_id", "batch_id", "kind", "html") \
         .write.parquet(f"{landing}/news")

@@ -109,14 +109,16 @@ def html_tables(pages: DataFrame, table_index: int = 0, id_col: str = "page_id",
                       F.col("r.cells").alias("cells"))
 
 
-def _owner_test(key: str, later: list[str]):
-    """Header -> True when it contains ``key`` and none of the later keys."""
-    def owns(h):
-        cond = F.contains(h, F.lit(key))
-        for other in later:
-            cond = cond & ~F.contains(h, F.lit(other))
-        return cond
-    return owns
+def header_targets(header: Column, mapping: list[tuple[str, str]]) -> Column:
+    """P5 rule per header: the target of the *last* key it contains, else NULL.
+
+    One CASE per header (keys tested last to first), evaluated once per page.
+    """
+    out = None
+    for key, target in reversed(mapping):
+        cond = F.contains(header, F.lit(key))
+        out = F.when(cond, F.lit(target)) if out is None else out.when(cond, F.lit(target))
+    return out if out is not None else F.lit(None).cast("string")
 
 
 def table_columns(tables: DataFrame, mapping: list[tuple[str, str]],
@@ -131,21 +133,25 @@ def table_columns(tables: DataFrame, mapping: list[tuple[str, str]],
     no header matches fails too, otherwise the column is NULL.
     """
     keep = keep or []
-    keys = [k for k, _ in mapping]
+    owners = F.transform("header", lambda h: header_targets(h, mapping))
+    named = F.filter(owners, lambda t: t.isNotNull())
+    dup_msg = F.concat(F.lit("duplicate column targets in headers: "), F.array_join("header", ", "))
+    staged = tables.select(id_col, *keep, "row", "header", "cells",
+                           F.when(F.size(named) != F.size(F.array_distinct(named)),
+                                  F.raise_error(dup_msg).cast("array<string>"))
+                           .otherwise(owners).alias("_owners"))
     targets = []
-    for i, (key, target) in enumerate(mapping):
-        flags = F.transform("header", _owner_test(key, keys[i + 1:]))
-        n = F.size(F.filter(flags, lambda f: f))
-        pos = F.array_position(flags, True)
-        dup_msg = F.concat(F.lit(f"duplicate column for '{target}' in headers: "),
-                           F.array_join("header", ", "))
+    seen = set()
+    for _, target in mapping:
+        if target in seen:
+            continue
+        seen.add(target)
+        pos = F.array_position("_owners", target).cast("int")
         miss_msg = F.concat(F.lit(f"no column for '{target}'; detected columns: "),
                             F.array_join("header", ", "))
-        value = F.when(n > 1, F.raise_error(dup_msg).cast("string"))
         if strict and (required is None or target in required):
-            value = value.when(n == 0, F.raise_error(miss_msg).cast("string"))
+            value = F.when(pos == 0, F.raise_error(miss_msg).cast("string"))
         else:
-            value = value.when(n == 0, F.lit(None).cast("string"))
-        value = value.otherwise(F.try_element_at("cells", pos.cast("int")))
-        targets.append(value.alias(target))
-    return tables.select(id_col, *keep, "row", *targets)
+            value = F.when(pos == 0, F.lit(None).cast("string"))
+        targets.append(value.otherwise(F.try_element_at("cells", pos)).alias(target))
+    return staged.select(id_col, *keep, "row", *targets)
