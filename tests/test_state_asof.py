@@ -1,0 +1,124 @@
+"""Latest state, map rows, scalars and the as-of join."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from portrisk.operators import asof, state
+
+from .conftest import rows
+
+T1, T2, T3 = (dt.datetime(2026, 1, d) for d in (1, 2, 3))
+
+
+def test_latest_per_key_fixture(spark):
+    df = spark.createDataFrame([(1, T1, "a"), (1, T2, "b"), (1, T2, "c"), (None, T3, "d"), (2, None, "e")],
+                               "ship_id long, inserido_em timestamp, lineup_id string")
+    out = state.latest_ships(df)
+    assert rows(out, "lineup_id") == [("c",), ("e",)]
+    assert out.columns[-1] == "data_formatada"
+
+
+def test_latest_per_key_invariant_to_partitions(spark):
+    df = spark.range(5000).select((F.col("id") % 37).alias("k"), (F.col("id") % 101).alias("t"),
+                                  F.col("id").alias("tie"))
+    base = rows(state.latest_per_key(df, "k", "t", "tie"))
+    for n in (1, 7, 16):
+        assert rows(state.latest_per_key(df.repartition(n), "k", "t", "tie")) == base
+
+
+def test_flag_max_ties(spark):
+    df = spark.createDataFrame([(1, 3.0), (2, 5.0), (3, 5.0), (4, None)], "id long, v double")
+    assert rows(state.flag_max(df, "v"), "id", "is_max") == [(1, False), (2, True), (3, True), (4, False)]
+
+
+def test_latest_event_and_empty(spark):
+    df = spark.createDataFrame([(1, T1), (2, T3), (3, T3)], "id long, ts timestamp")
+    assert [r.id for r in state.latest_event(df, "ts", "id").collect()] == [3]
+    assert state.latest_event(df.filter("id < 0"), "ts", "id").count() == 0
+
+
+def test_with_current_score(spark):
+    ships = spark.createDataFrame([(1,), (2,)], "ship_id long")
+    news = spark.createDataFrame([("a", T1, 0.2), ("b", T2, 0.7)],
+                                 "cont_id string, timestamp_leitura timestamp, score_risco double")
+    assert rows(state.with_current_score(ships, news), "nlp_risk_score") == [(0.7,), (0.7,)]
+    empty = state.with_current_score(ships, news.filter("false"))
+    assert rows(empty, "nlp_risk_score") == [(0.0,), (0.0,)]
+
+
+def test_map_rows_fixture(spark):
+    dim = spark.createDataFrame([
+        ("PORTO_SANTOS_CANAL", "Canal", "POINT(-46.3339 -23.9608)", "PORTO"),
+        ("SERRA_ANCHIETA_IMIGRANTES", "Serra", "POINT (-46.4961 -23.8919)", "RODOVIA"),
+        ("SEM_LEITURA", "no readings", "point(1e1 -2.5E0)", "TESTE"),
+        ("WKT_RUIM", "bad text", "LINESTRING(0 0,1 1)", "TESTE")],
+        "loc_id string, nome_ponto string, coordenadas string, tipo_ponto string")
+    w = spark.createDataFrame([
+        ("PORTO_SANTOS_CANAL", T1, 1.0, 3.0, False), ("PORTO_SANTOS_CANAL", T2, 9.0, 3.0, True),
+        ("SERRA_ANCHIETA_IMIGRANTES", T1, 0.0, None, False)],
+        "loc_id string, timestamp_leitura timestamp, precipitacao_mm double, velocidade_vento double, "
+        "alerta_critico boolean")
+    out = {r.loc_id: r for r in state.map_rows(dim, w, broadcast_dim=True).collect()}
+    assert len(out) == 4
+    assert (out["PORTO_SANTOS_CANAL"].precipitacao_mm, out["PORTO_SANTOS_CANAL"].color) == (9.0, "red")
+    assert out["SEM_LEITURA"].color == "blue" and out["SEM_LEITURA"].precipitacao_mm is None
+    assert (out["SEM_LEITURA"].lat, out["SEM_LEITURA"].lon) == (-2.5, 10.0)
+    assert out["WKT_RUIM"].lat is None
+    assert "Vento: n/dkm/h" in out["SERRA_ANCHIETA_IMIGRANTES"].popup
+
+
+# --- as-of ------------------------------------------------------------------
+
+def test_asof_fixture(spark):
+    left = spark.createDataFrame([(1, 5), (1, 10), (2, 1)], "k long, t long") \
+        .withColumn("ts", F.timestamp_seconds("t"))
+    right = spark.createDataFrame([(1, 5, 7.0), (1, 8, None)], "k long, t long, v double") \
+        .withColumn("ts", F.timestamp_seconds("t"))
+    out = asof.asof_join(left, right, ["k"], "ts", "ts", ["v"])
+    assert rows(out, "k", "t", "v") == [(1, 5, 7.0), (1, 10, None), (2, 1, None)]
+
+
+@pytest.mark.parametrize("bucket", [1, 7, 3600, 10**9])
+def test_asof_bucketing_matches_brute_force(spark, bucket):
+    import random
+    rnd = random.Random(7)
+    lrows = [(rnd.randrange(4), rnd.randrange(0, 20000)) for _ in range(300)] + [(None, 5), (1, None)]
+    rrows = [(rnd.randrange(4), rnd.randrange(0, 20000), i, float(i)) for i in range(400)]
+    left = spark.createDataFrame(lrows, "k long, t long").withColumn("ts", F.timestamp_seconds("t"))
+    right = spark.createDataFrame(rrows, "k long, t long, id long, v double") \
+        .withColumn("ts", F.timestamp_seconds("t"))
+    out = asof.asof_join(left, right, ["k"], "ts", "ts", {"v": "v", "id": "rid"}, ["id"],
+                         bucket_seconds=bucket)
+    expect = []
+    for k, t in lrows:
+        cands = [(rt, rid, v) for rk, rt, rid, v in rrows
+                 if k is not None and t is not None and rk == k and rt <= t]
+        best = max(cands) if cands else (None, None, None)
+        expect.append((k, t, best[2]))
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted((tuple(r) for r in out.select("k", "t", "v").collect()), key=key) == sorted(expect, key=key)
+
+
+def test_asof_without_key(spark):
+    left = spark.createDataFrame([(3,), (9,), (1,)], "t long").withColumn("ts", F.timestamp_seconds("t"))
+    right = spark.createDataFrame([(2, 1.0), (8, 2.0)], "t long, v double") \
+        .withColumn("ts", F.timestamp_seconds("t"))
+    out = asof.asof_join(left, right, [], "ts", "ts", ["v"], bucket_seconds=2)
+    assert rows(out, "t", "v") == [(1, None), (3, 1.0), (9, 2.0)]
+
+
+def test_feature_store_view(spark):
+    lineup = spark.createDataFrame([("l1", T2), ("l2", T3), ("l0", dt.datetime(2025, 1, 1))],
+                                   "lineup_id string, inserido_em timestamp")
+    weather = spark.createDataFrame([("P", T1, 4.0, 10.0), ("P", T3, 8.0, None), ("Q", T2, 99.0, 99.0)],
+                                    "loc_id string, timestamp_leitura timestamp, precipitacao_mm double, "
+                                    "velocidade_vento double")
+    news = spark.createDataFrame([("n1", T1, 0.5)], "cont_id string, timestamp_leitura timestamp, "
+                                                   "score_risco double")
+    out = asof.feature_store(lineup, weather, news, "P")
+    assert rows(out, "lineup_id", "rain_feature", "wind_feature", "nlp_risk_score") == [
+        ("l0", None, None, 0.0), ("l1", 4.0, 10.0, 0.5), ("l2", 8.0, None, 0.5)]
