@@ -28,12 +28,16 @@ MOD = 2 ** 31
 def uniform(key: Column, stream: int, seed: int = S.SEED) -> Column:
     """Deterministic uniform in [0, 1) from a non-negative integer key.
 
-    Two rounds of an integer LCG (products stay below 2^63), so the same
-    arithmetic runs in any SQL engine and gives the same numbers.
+    Two integer LCG rounds, each followed by an xorshift so that streams are
+    not affine images of each other (products stay below 2^63).  Only
+    integer +, *, mod, shift and xor are used, so any SQL engine gives the
+    same numbers.
     """
     h0 = F.pmod(key.cast("bigint"), F.lit(MOD))
     h1 = F.pmod(h0 * F.lit(1103515245) + F.lit(12345 + 7919 * stream + seed), F.lit(MOD))
+    h1 = h1.bitwiseXOR(F.shiftright(h1, 13))
     h2 = F.pmod(h1 * F.lit(1664525) + F.lit(1013904223), F.lit(MOD))
+    h2 = h2.bitwiseXOR(F.shiftright(h2, 16))
     return h2.cast("double") / F.lit(float(MOD))
 
 

@@ -58,7 +58,9 @@ def label_case(r: str = "rain_feature", w: str = "wind_feature", n: str = "nlp_r
 def uniform(key: str, stream: int, seed: int = S.SEED) -> str:
     m = 2 ** 31
     h1 = f"((({key}) % {m}) * 1103515245 + {12345 + 7919 * stream + seed}) % {m}"
+    h1 = f"xor({h1}, ({h1}) >> 13)"
     h2 = f"(({h1}) * 1664525 + 1013904223) % {m}"
+    h2 = f"xor({h2}, ({h2}) >> 16)"
     return f"(CAST({h2} AS DOUBLE) / {float(m)}::DOUBLE)"
 
 
