@@ -470,7 +470,7 @@ def trained_model(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _MODELS:
         train, _ = ml.train_test_split(_synth(spark, d), "o_orderkey")
-        model = ml.fit_risk_model(train.cache())
+        model = ml.fit_risk_model(train)  # the forest persists its own bagged input
         _MODELS[key] = ml.save_model(model, scratch_path(spark, "risk-model"))
     return ml.load_model(_MODELS[key])
 
