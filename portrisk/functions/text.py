@@ -20,13 +20,14 @@ NAMED_ENTITIES = [
     ("&amp;", "&"),
 ]
 
-# Blocks whose content is not text: comments, script, style, template, doctype.
-COMMENT_RE = r"(?s)<!--.*?-->"
-SCRIPT_RE = r"(?is)<script\b[^>]*>.*?</script\s*>"
-STYLE_RE = r"(?is)<style\b[^>]*>.*?</style\s*>"
-TEMPLATE_RE = r"(?is)<template\b[^>]*>.*?</template\s*>"
-DECL_RE = r"(?s)<![^>]*>|<\?[^>]*>"
+# Blocks whose content is not text: comments, script, style, template, doctype
+# and processing instructions, as one alternation so a page is scanned once
+# (leftmost block wins, as in a parser: a comment inside a script is script).
+NON_TEXT_RE = (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+               r"|<template\b[^>]*>.*?</template\s*>|<![^>]*>|<\?[^>]*>")
 TAG_RE = r"</?[A-Za-z][^>]*>"
+# non-text blocks and tags in one pass (for text joined without a separator)
+NON_TEXT_OR_TAG_RE = NON_TEXT_RE + "|" + TAG_RE
 NUMERIC_REF_RE = r"&#(?:[0-9]+|[xX][0-9a-fA-F]+);"
 
 
@@ -59,11 +60,8 @@ def decode_entities(col: ColumnOrName) -> Column:
 
 
 def drop_non_text(col: ColumnOrName) -> Column:
-    """Remove comments, script/style/template blocks and declarations."""
-    out = _c(col)
-    for pattern in (COMMENT_RE, SCRIPT_RE, STYLE_RE, TEMPLATE_RE, DECL_RE):
-        out = F.regexp_replace(out, pattern, "")
-    return out
+    """Remove comments, script/style/template blocks and declarations (one pass)."""
+    return F.regexp_replace(_c(col), NON_TEXT_RE, "")
 
 
 def strip_tags(col: ColumnOrName, sep: str = "") -> Column:
@@ -82,5 +80,8 @@ def page_text(html: ColumnOrName, sep: str = "", lower: bool = False) -> Column:
     The title is kept; script, style, template, comments and the doctype
     are not text.  Unclosed tags need no repair: tags are simply removed.
     """
-    out = strip_tags(drop_non_text(html), sep)
+    if sep == "":
+        out = decode_entities(F.regexp_replace(_c(html), NON_TEXT_OR_TAG_RE, ""))
+    else:
+        out = strip_tags(drop_non_text(html), sep)
     return F.lower(out) if lower else out

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.scalars import contains_any, headline, json_key, row_hash_id
 from ..functions.text import page_text
+from ..session import ensure_parallel
 from ..sources.html import page_elements
 
 
@@ -53,18 +54,19 @@ def first_tier(text: Column, tiers: Sequence[tuple[Sequence[str], float, str]])
 
 def road_alerts(road_pages: DataFrame, rules: Rules, batch_col: str = "batch_id") -> DataFrame:
     """X1 + X4 on road pages: (batch, page_id, ord, weight, message); NULL message = no alert."""
-    text = page_text(F.col("html"), lower=True)
-    hit = first_tier(text, rules.road_tiers)
-    return road_pages.select(
+    # the page text is projected once; the tier rules then read the column
+    texts = road_pages.select(batch_col, "page_id", page_text(F.col("html"), lower=True).alias("_t"))
+    hits = texts.select(batch_col, "page_id", first_tier(F.col("_t"), rules.road_tiers).alias("_hit"))
+    return hits.select(
         batch_col, F.lit(0).alias("src"), "page_id", F.lit(0).alias("ord"),
-        F.coalesce(hit["weight"], F.lit(0.0)).alias("weight"), hit["message"].alias("message"))
+        F.coalesce(F.col("_hit.weight"), F.lit(0.0)).alias("weight"), F.col("_hit.message").alias("message"))
 
 
 def news_alerts(news_pages: DataFrame, rules: Rules, batch_col: str = "batch_id") -> DataFrame:
     """X3 + E4 + X4 + T6 on news pages: each of the first N headlines with a word."""
     heads = page_elements(news_pages, rules.link_tag, rules.link_class,
                           limit=rules.headlines_per_page, keep=[batch_col])
-    hit = contains_any(F.lower(F.col("text")), rules.news_words)
+    hit = contains_any(F.col("text"), rules.news_words)
     msg = F.concat(F.lit(rules.news_prefix), headline(F.col("text"), rules.headline_chars))
     # pages without any headline still mark their batch as present
     present = news_pages.select(batch_col, F.lit(1).alias("src"), "page_id",
@@ -87,6 +89,7 @@ def score_contingencies(pages: DataFrame, run_ts, rules: Rules = Rules(),
     texts are joined by " | " in detection order (road first, then
     headlines in page order); ``json_extraido`` = ``{"alertas": n}``.
     """
+    pages = ensure_parallel(pages)
     road = road_alerts(pages.filter(F.col(kind_col) == "road"), rules, batch_col)
     news = news_alerts(pages.filter(F.col(kind_col) == "news"), rules, batch_col)
     alerts = road.unionByName(news)

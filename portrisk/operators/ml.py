@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.scalars import delay_label, probability_tier
+from ..session import ensure_parallel
 from .reports import classification_report, confusion_matrix
 
 MOD = 2 ** 31
@@ -75,6 +76,17 @@ def train_test_split(df: DataFrame, key_col: str, test_fraction: float = S.TEST_
     return df.filter(~flag), df.filter(flag)
 
 
+def _parallelism(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin a *bounded* frame (fleet, grid, per-terminal rows) over all
+    cores before CPU-heavy per-row scoring; AQE would otherwise coalesce a
+    small aggregate into one partition and score it in one task."""
+    return df.repartition(partitions or _parallelism(df))
+
+
 def fit_risk_model(train: DataFrame, trees: int = S.RF_TREES, depth: int = S.RF_DEPTH,
                    seed: int = S.SEED, max_bins: int = 32,
                    class_weight: bool = False) -> PipelineModel:
@@ -94,7 +106,7 @@ def fit_risk_model(train: DataFrame, trees: int = S.RF_TREES, depth: int = S.RF_
         w = counts.select(S.MODEL_LABEL, (total / (k * F.col("count"))).alias("_wt"))
         data = train.join(F.broadcast(w), S.MODEL_LABEL)  # one row per class
         rf.setWeightCol("_wt")
-    return Pipeline(stages=[assembler(), rf]).fit(data)
+    return Pipeline(stages=[assembler(), rf]).fit(ensure_parallel(data))
 
 
 def importances(model: PipelineModel, spark=None) -> DataFrame:
@@ -124,7 +136,7 @@ def sweep(model: PipelineModel, base: DataFrame, feature: str,
     one base row this is the original stress test; over a fleet it is the
     partial-dependence curve.
     """
-    grid = base.withColumn(feature, F.explode(F.array(*[F.lit(float(v)) for v in values])))
+    grid = spread(base).withColumn(feature, F.explode(F.array(*[F.lit(float(v)) for v in values])))
     scored = score(model, grid)
     return scored.groupBy(F.col(feature).alias("value")).agg(
         F.avg("risk_probability").alias("mean_probability"),
@@ -144,7 +156,7 @@ def scenario_grid(model: PipelineModel, ships: DataFrame, news_score: Column,
     current news score, then scored and tiered.  Rows = groups x levels.
     """
     typical = ships.groupBy(group_col).agg(F.avg("quantidade_estimada").alias("quantidade_estimada"))
-    grid = (typical
+    grid = (spread(typical)
             .withColumn("rain_feature", F.explode(F.array(*[F.lit(float(v)) for v in rain_values])))
             .withColumn("wind_feature", F.explode(F.array(*[F.lit(float(v)) for v in wind_values])))
             .withColumn("nlp_risk_score", F.coalesce(news_score.cast("double"), F.lit(0.0))))
@@ -153,13 +165,17 @@ def scenario_grid(model: PipelineModel, ships: DataFrame, news_score: Column,
 
 
 def score_fleet(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """Every ship row scored and tiered."""
-    scored = score(model, features)
+    """Every ship row scored and tiered (one row per ship: bounded, spread)."""
+    scored = score(model, spread(features))
     return scored.withColumn("tier", probability_tier("risk_probability"))
 
 
 def evaluate(pred: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Confusion matrix and classification report on scored test rows."""
+    """Confusion matrix and classification report on scored test rows.
+
+    ``pred`` comes from ``score``; pass ``ensure_parallel(test)`` to ``score``
+    for a small test split so it is not scored in one task.
+    """
     return (confusion_matrix(pred, S.MODEL_LABEL, "prediction"),
             classification_report(pred, S.MODEL_LABEL, "prediction"))
 
@@ -181,7 +197,7 @@ def _active():
 
 
 __all__ = [
-    "uniform", "synth_features", "label_features", "assembler", "split_flag", "train_test_split",
+    "uniform", "spread", "ensure_parallel", "synth_features", "label_features", "assembler", "split_flag", "train_test_split",
     "fit_risk_model", "importances", "score", "sweep", "scenario_grid", "score_fleet",
     "evaluate", "save_model", "load_model",
 ]

@@ -20,7 +20,7 @@ from .. import schemas as S
 from ..functions import scalars as X
 from ..functions.text import page_text
 from ..operators import asof, contingency, ingest, ml, reports, state
-from ..session import scratch_path
+from ..session import ensure_parallel, scratch_path
 from ..sources import files, html
 from . import standins as SI
 
@@ -284,7 +284,7 @@ def q_page_links_first5(spark, d):
 
 def q_page_text_hits(spark, d):
     """Visible text length and keyword flags per page (whole pages)."""
-    p = SI.table(spark, d, "pages")
+    p = ensure_parallel(SI.table(spark, d, "pages"))
     t = page_text(F.col("html"))
     return p.select("page_id", t.alias("t")).select(
         "page_id", F.length("t").cast("bigint").alias("text_chars"),
@@ -321,7 +321,7 @@ def q_row_id(spark, d):
 
 def q_headline_trunc(spark, d):
     """T6 on whole documents: headline text plus whole-text length and flag."""
-    doc = SI.table(spark, d, "documents")
+    doc = ensure_parallel(SI.table(spark, d, "documents"))
     return doc.select("doc_id", X.headline("text", 40).alias("headline"),
                       F.length("text").cast("bigint").alias("text_chars"),
                       X.contains_any("text", ["license"]).alias("has_license"))
@@ -462,23 +462,24 @@ def q_split_hash(spark, d):
                                  F.sum(S.MODEL_LABEL).cast("bigint").alias("positives"))
 
 
-_MODELS: dict[tuple[str, str], str] = {}
+_MODELS: dict[tuple[str, str], object] = {}
 
 
 def trained_model(spark, d):
-    """Fit once per session and table dir; saved to and loaded from the shared dir."""
+    """Fit once per session and table dir, save to the shared dir and
+    serve the reloaded model (the saved copy is what other processes read)."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _MODELS:
         train, _ = ml.train_test_split(_synth(spark, d), "o_orderkey")
         model = ml.fit_risk_model(train)  # the forest persists its own bagged input
-        _MODELS[key] = ml.save_model(model, scratch_path(spark, "risk-model"))
-    return ml.load_model(_MODELS[key])
+        _MODELS[key] = ml.load_model(ml.save_model(model, scratch_path(spark, "risk-model")))
+    return _MODELS[key]
 
 
 def q_model_evaluation(spark, d):
     """Confusion matrix of the forest on the held-out split."""
     _, test = ml.train_test_split(_synth(spark, d), "o_orderkey")
-    cm, _ = ml.evaluate(ml.score(trained_model(spark, d), test))
+    cm, _ = ml.evaluate(ml.score(trained_model(spark, d), ml.ensure_parallel(test)))
     return cm
 
 

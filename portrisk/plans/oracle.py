@@ -13,8 +13,7 @@ import math
 
 from .. import schemas as S
 from ..functions.scalars import POINT_PATTERN
-from ..functions.text import (COMMENT_RE, DECL_RE, NAMED_ENTITIES, SCRIPT_RE, STYLE_RE, TAG_RE,
-                              TEMPLATE_RE)
+from ..functions.text import NAMED_ENTITIES, NON_TEXT_OR_TAG_RE, NON_TEXT_RE, TAG_RE
 from ..sources.html import element_pattern
 
 
@@ -24,20 +23,21 @@ def q(text: str) -> str:
 
 
 def drop_non_text(x: str) -> str:
-    for pattern in (COMMENT_RE, SCRIPT_RE, STYLE_RE, TEMPLATE_RE, DECL_RE):
-        x = f"regexp_replace({x}, {q(pattern)}, '', 'g')"
-    return x
+    return f"regexp_replace({x}, {q(NON_TEXT_RE)}, '', 'g')"
 
 
-def strip_tags(x: str, sep: str = "") -> str:
-    x = f"regexp_replace({x}, {q(TAG_RE)}, {q(sep)}, 'g')"
+def decode(x: str) -> str:
     for ref, char in NAMED_ENTITIES:
         x = f"replace({x}, {q(ref)}, {q(char)})"
     return x
 
 
+def strip_tags(x: str, sep: str = "") -> str:
+    return decode(f"regexp_replace({x}, {q(TAG_RE)}, {q(sep)}, 'g')")
+
+
 def page_text(x: str) -> str:
-    return strip_tags(drop_non_text(x))
+    return decode(f"regexp_replace({x}, {q(NON_TEXT_OR_TAG_RE)}, '', 'g')")
 
 
 def contains_any(x: str, words) -> str:

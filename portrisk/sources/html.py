@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ColumnOrName, _c
 from ..functions.text import drop_non_text, strip_tags
+from ..session import ensure_parallel
 
 TABLE_RE = r"(?is)<table\b[^>]*>(.*?)</table\s*>"
 THEAD_RE = r"(?is)<thead\b[^>]*>(.*?)</thead\s*>"
@@ -48,6 +49,7 @@ def page_elements(pages: DataFrame, tag: str, cls: str | None = None,
     ``limit`` keeps the first N elements of each page, in document order.
     """
     keep = keep or []
+    pages = ensure_parallel(pages)
     arr = elements(F.col("html"), tag, cls)
     if limit is not None:
         arr = F.slice(arr, 1, limit)
@@ -71,8 +73,10 @@ def html_tables(pages: DataFrame, table_index: int = 0, id_col: str = "page_id",
     the tag-stripped, entity-decoded, trimmed content, always a string.
     """
     keep = keep or []
-    table = F.element_at(F.regexp_extract_all(F.col("html"), F.lit(TABLE_RE), F.lit(1)),
-                         table_index + 1)
+    pages = ensure_parallel(pages)
+    # try_: a page without that table yields no rows (ANSI element_at would fail the job)
+    table = F.try_element_at(F.regexp_extract_all(F.col("html"), F.lit(TABLE_RE), F.lit(1)),
+                             F.lit(table_index + 1))
     parsed = pages.select(
         id_col, *keep,
         F.regexp_extract_all(table, F.lit(ROW_RE), F.lit(1)).alias("rows"),

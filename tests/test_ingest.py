@@ -139,6 +139,13 @@ def test_lineup_from_two_level_header_page(spark):
     assert rows(out, "lineup_id") == rows(again, "lineup_id")
 
 
+def test_pages_without_table_yield_no_rows(spark):
+    pages = spark.createDataFrame([(1, "<html><body><p>no table</p></body></html>"), (2, None)],
+                                  "page_id long, html string")
+    assert html.html_tables(pages).count() == 0
+    assert html.html_tables(pages, table_index=3).count() == 0
+
+
 def test_lineup_page_missing_date_column_fails(spark):
     p = page([["Navio Ship", "IMO", "Terminal"]], [["A", "1", "TGG"]])
     pages = spark.createDataFrame([(1, p)], "page_id long, html string")
