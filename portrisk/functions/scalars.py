@@ -129,24 +129,29 @@ def clamp_score(col: ColumnOrName, cap: float = S.SCORE_CAP) -> Column:
     return F.least(_c(col), F.lit(cap))
 
 
-def weighted_risk(rain: ColumnOrName, wind: ColumnOrName, nlp: ColumnOrName) -> Column:
+def weighted_risk(rain: ColumnOrName, wind: ColumnOrName, nlp: ColumnOrName,
+                  weights: tuple[float, float, float] = (S.LABEL_W_RAIN, S.LABEL_W_WIND,
+                                                         S.LABEL_W_NLP)) -> Column:
     """``rain*0.02 + wind*0.03 + nlp*0.4`` (left to right, as written)."""
-    return (_c(rain) * F.lit(S.LABEL_W_RAIN) + _c(wind) * F.lit(S.LABEL_W_WIND)
-            + _c(nlp) * F.lit(S.LABEL_W_NLP))
+    wr, ww, wn = weights
+    return _c(rain) * F.lit(wr) + _c(wind) * F.lit(ww) + _c(nlp) * F.lit(wn)
 
 
 def delay_label(rain: ColumnOrName = "rain_feature", wind: ColumnOrName = "wind_feature",
-                nlp: ColumnOrName = "nlp_risk_score") -> Column:
+                nlp: ColumnOrName = "nlp_risk_score", wind_gt: float = S.LABEL_WIND_GT,
+                rain_gt: float = S.LABEL_RAIN_GT, nlp_gt: float = S.LABEL_NLP_GT,
+                weights: tuple[float, float, float] = (S.LABEL_W_RAIN, S.LABEL_W_WIND, S.LABEL_W_NLP),
+                cut: float = S.LABEL_CUT) -> Column:
     """1 when any hard rule or the weighted sum fires, else 0 (int).
 
     A NULL comparison is not true, so missing inputs fall through to 0,
-    as NaN comparisons do in pandas.
+    as NaN comparisons do in pandas.  Limits default to the original's.
     """
     r, w, n = _c(rain), _c(wind), _c(nlp)
-    return (F.when(w > F.lit(S.LABEL_WIND_GT), F.lit(1))
-            .when(r > F.lit(S.LABEL_RAIN_GT), F.lit(1))
-            .when(n > F.lit(S.LABEL_NLP_GT), F.lit(1))
-            .when(weighted_risk(r, w, n) > F.lit(S.LABEL_CUT), F.lit(1))
+    return (F.when(w > F.lit(wind_gt), F.lit(1))
+            .when(r > F.lit(rain_gt), F.lit(1))
+            .when(n > F.lit(nlp_gt), F.lit(1))
+            .when(weighted_risk(r, w, n, weights) > F.lit(cut), F.lit(1))
             .otherwise(F.lit(0)))
 
 

@@ -559,7 +559,7 @@ def _land_events(spark, d, repeats: bool) -> str:
     w = (SI.weather(spark, d).withColumn("loc_id", F.col("loc_id").cast("string"))
          .withColumn("timestamp_leitura", F.col("timestamp_leitura").cast("timestamp")))
     path = scratch_path(spark, "landing-events")
-    w.write.mode("append").parquet(path)
+    w.repartition(_land_parts(spark)).write.mode("append").parquet(path)
     if repeats:
         e = SI.table(spark, d, "events").select("event_id", "event_type")
         w.join(e.filter(F.col("event_type").isin("click", "view")), "event_id", "left_semi") \
@@ -593,8 +593,9 @@ def q_stream_dedup(spark, d):
 
 def _land_pages(spark, df: DataFrame, name: str) -> str:
     path = scratch_path(spark, name)
+    # landing produces many files (one per writer task), as a real landing zone does
     df.select(F.col("page_id").cast("long"), F.col("batch_id").cast("string"), "kind", "html") \
-        .write.mode("append").parquet(path)
+        .repartition(_land_parts(spark)).write.mode("append").parquet(path)
     return path
 
 
@@ -624,8 +625,8 @@ def q_run_cycle(spark, d):
         F.col("loc_id").cast("string").alias("loc_id"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "precip", "windspeed", "humidity")
     files.write_weather_csv(raw.repartition(_land_parts(spark), "loc_id"), f"{landing}/weather")
-    lineup_pages(spark, d).write.parquet(f"{landing}/lineup")
-    contingency_pages(spark, d).select("page_id", "batch_id", "kind", "html") \
+    lineup_pages(spark, d).repartition(_land_parts(spark)).write.parquet(f"{landing}/lineup")
+    contingency_pages(spark, d).select("page_id", "batch_id", "kind", "html").repartition(_land_parts(spark)) \
         .write.parquet(f"{landing}/news")
     return run_cycle(spark, landing, scratch_path(spark, "warehouse"), RUN_TS, STANDIN_RULES)
 

@@ -90,5 +90,9 @@ def ensure_parallel(df):
     """
     if df.isStreaming:
         return df
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): keep the layout
+        return df
+    return df.repartition(par) if parts < par else df
