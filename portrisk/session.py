@@ -21,6 +21,12 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the size check behind every join not hinted by construction: a side is
+    # broadcast only when its measured (runtime) size is below 10 MB
+    "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    # target reducer size; AQE coalesces small partitions and splits skewed ones
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -52,7 +58,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def apply_session_conf(spark: SparkSession) -> None:
     """Runtime SQL settings this library relies on (safe on a running session)."""
     for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled",
-                "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"):
+                "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold"):
         spark.conf.set(key, BASE_CONF[key])
 
 
