@@ -631,6 +631,16 @@ def q_run_cycle(spark, d):
     return run_cycle(spark, landing, scratch_path(spark, "warehouse"), RUN_TS, STANDIN_RULES)
 
 
+def q_dashboard_map_sql(spark, d):
+    """J1 E2 T9 through Spark SQL: stand-in tables registered as views, the map
+    query run as SQL text with the SQL-bodied point functions."""
+    from .views import DASHBOARD_SQL, register_views
+    weather = _weather_str(spark, d).withColumn("timestamp_leitura",
+                                                F.col("timestamp_leitura").cast("timestamp"))
+    register_views(spark, tables={"fato_clima": weather, "dim_geografia_rota": customer_dim(spark, d)})
+    return spark.sql(DASHBOARD_SQL["map"])
+
+
 QUERIES: dict[str, Query] = {
     "weather_normalize": q_weather_normalize,
     "weather_csv_roundtrip": q_weather_csv_roundtrip,
@@ -684,4 +694,5 @@ QUERIES: dict[str, Query] = {
     "stream_contingency": q_stream_contingency,
     "stream_lineup": q_stream_lineup,
     "run_cycle": q_run_cycle,
+    "dashboard_map_sql": q_dashboard_map_sql,
 }

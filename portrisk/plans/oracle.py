@@ -487,3 +487,14 @@ SQL["run_cycle"] = """
 SELECT 'weather' AS step, CAST(count(*) AS BIGINT) AS rows, 'ok' AS outcome FROM events
 UNION ALL SELECT 'lineup', CAST(count(*) AS BIGINT), 'ok' FROM orders
 UNION ALL SELECT 'contingencies', CAST(count(*) AS BIGINT), 'ok' FROM pages"""
+
+SQL["dashboard_map_sql"] = f"""WITH {WEATHER}, {CUSTOMER_DIM.strip()},
+latest AS (
+  SELECT CAST(loc_id AS VARCHAR) AS loc_id, precipitacao_mm, velocidade_vento, alerta_critico
+  FROM weather
+  QUALIFY row_number() OVER (PARTITION BY loc_id ORDER BY timestamp_leitura DESC NULLS LAST) = 1)
+SELECT d.loc_id, d.nome_ponto,
+       TRY_CAST(NULLIF(regexp_extract(d.coordenadas, {q(POINT_PATTERN)}, 2), '') AS DOUBLE) AS lat,
+       TRY_CAST(NULLIF(regexp_extract(d.coordenadas, {q(POINT_PATTERN)}, 1), '') AS DOUBLE) AS lon,
+       d.tipo_ponto, l.precipitacao_mm, l.velocidade_vento, l.alerta_critico
+FROM dim d LEFT JOIN latest l ON d.loc_id = l.loc_id"""
