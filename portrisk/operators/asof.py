@@ -26,6 +26,18 @@ def _bucket(ts_col: str, width_seconds: int):
     return F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / F.lit(width_seconds * 1_000_000))
 
 
+class AsOfSide:
+    """One right side of an as-of join: frame, time column, columns to carry
+    (``{source: output}``) and the tie-break for rows sharing a time."""
+
+    def __init__(self, df: DataFrame, ts: str, cols: Sequence[str] | dict[str, str],
+                 tie: Sequence[str] = ()):
+        self.df = df
+        self.ts = ts
+        self.cols = dict(cols) if isinstance(cols, dict) else {c: c for c in cols}
+        self.tie = list(tie)
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str,
               right_cols: Sequence[str] | dict[str, str], right_tie: Sequence[str] = (),
               bucket_seconds: int = 86_400) -> DataFrame:
@@ -34,53 +46,74 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
     ``right_tie`` orders right rows that share a time (the last one wins).
     Right rows with a NULL key or time can never match and are dropped.
     """
+    return asof_join_many(left, by, left_ts, [AsOfSide(right, right_ts, right_cols, right_tie)],
+                          bucket_seconds)
+
+
+def asof_join_many(left: DataFrame, by: Sequence[str], left_ts: str, sides: Sequence[AsOfSide],
+                   bucket_seconds: int = 86_400) -> DataFrame:
+    """J2 against several right sides in one pass: the (large) left side is
+    shuffled once, and each side's newest row as of the left time is carried
+    in its own struct column."""
     by = list(by)
-    rename = dict(right_cols) if isinstance(right_cols, dict) else {c: c for c in right_cols}
-    tie = list(right_tie)
     lcols = left.columns
-    payload = F.struct(*[F.col(src).alias(dst) for src, dst in rename.items()])
-
-    r = right.filter(F.col(right_ts).isNotNull())
-    for k in by:
-        r = r.filter(F.col(k).isNotNull())
-    r = r.select(*by, F.col(right_ts).cast("timestamp").alias("_t"),
-                 F.struct(*[F.col(c) for c in tie]).alias("_tie"),
-                 F.struct(payload.alias("p")).alias("_w"))
-    r = r.withColumn("_b", _bucket("_t", bucket_seconds))
+    n = len(sides)
+
+    rights = []
+    for i, sd in enumerate(sides):
+        payload = F.struct(*[F.col(src).alias(dst) for src, dst in sd.cols.items()])
+        r = sd.df.filter(F.col(sd.ts).isNotNull())
+        for k in by:
+            r = r.filter(F.col(k).isNotNull())
+        r = r.select(*by, F.col(sd.ts).cast("timestamp").alias("_t"),
+                     F.struct(*[F.col(c) for c in sd.tie]).alias(f"_tie{i}"),
+                     F.struct(payload.alias("p")).alias(f"_w{i}"))
+        rights.append(r.withColumn("_b", _bucket("_t", bucket_seconds)))
+    w_types = [r.schema[f"_w{i}"].dataType for i, r in enumerate(rights)]
+    tie_types = [r.schema[f"_tie{i}"].dataType for i, r in enumerate(rights)]
 
     l_ = left.select(*[F.col(c) for c in lcols], F.col(left_ts).cast("timestamp").alias("_t"))
     l_ = l_.withColumn("_b", _bucket("_t", bucket_seconds))
 
-    # one summary row per (key, bucket): the bucket's last right row (partial agg)
-    r_last = r.groupBy(*by, "_b").agg(
-        F.max_by(F.col("_w"), F.struct("_t", "_tie")).alias("_last"))
-    l_keys = l_.filter(F.col("_b").isNotNull()).select(*by, "_b").distinct() \
-        .withColumn("_last", F.lit(None).cast(r_last.schema["_last"].dataType))
+    # seeds: per (key, bucket), each side's last row of all earlier buckets, from
+    # one-row-per-bucket summaries (partial aggregates, at most keys x buckets rows)
+    def summary_cols(i: int | None, last):
+        return [(last if j == i else F.lit(None).cast(w_types[j])).alias(f"_last{j}") for j in range(n)]
+
+    parts = [l_.filter(F.col("_b").isNotNull()).select(*by, "_b").distinct()
+             .select(*by, "_b", *summary_cols(None, None))]
+    for i, r in enumerate(rights):
+        last = r.groupBy(*by, "_b").agg(
+            F.max_by(F.col(f"_w{i}"), F.struct("_t", f"_tie{i}")).alias("_m"))
+        parts.append(last.select(*by, "_b", *summary_cols(i, F.col("_m"))))
+    summaries = parts[0]
+    for p in parts[1:]:
+        summaries = summaries.unionByName(p)
     earlier = Window.partitionBy(*by).orderBy("_b").rangeBetween(Window.unboundedPreceding, -1)
-    seeds = (l_keys.unionByName(r_last)
-             .withColumn("_carry", F.last("_last", ignorenulls=True).over(earlier))
-             .groupBy(*by, "_b").agg(F.max("_carry").alias("_w")))
+    seeds = (summaries.select(*by, "_b", *[F.last(f"_last{j}", ignorenulls=True).over(earlier).alias(f"_c{j}")
+                                           for j in range(n)])
+             .groupBy(*by, "_b").agg(*[F.max(f"_c{j}").alias(f"_w{j}") for j in range(n)]))
 
     null_left = {c: F.lit(None).cast(left.schema[c].dataType) for c in lcols if c not in by}
-    tie_type = r.schema["_tie"].dataType
-    w_type = r.schema["_w"].dataType
 
-    def side(df, kind, t, tie_col, w):
-        cols = [F.col(k) for k in by] + [F.col("_b"),
-                                        t.alias("_t"), F.lit(kind).alias("_side"),
-                                        tie_col.alias("_tie"), w.alias("_w")]
+    def side(df, kind: int, t, ties: dict, ws: dict):
+        cols = [F.col(k) for k in by] + [F.col("_b"), t.alias("_t"), F.lit(kind).alias("_side")]
+        cols += [(ties.get(j, F.lit(None).cast(tie_types[j]))).alias(f"_tie{j}") for j in range(n)]
+        cols += [(ws.get(j, F.lit(None).cast(w_types[j]))).alias(f"_w{j}") for j in range(n)]
         cols += [(F.col(c) if kind == 1 else null_left[c]).alias(c) for c in lcols if c not in by]
         return df.select(*cols)
 
-    u = (side(seeds, -1, F.lit(None).cast("timestamp"), F.lit(None).cast(tie_type), F.col("_w"))
-         .unionByName(side(r, 0, F.col("_t"), F.col("_tie"), F.col("_w")))
-         .unionByName(side(l_, 1, F.col("_t"), F.lit(None).cast(tie_type), F.lit(None).cast(w_type))))
-    running = (Window.partitionBy(*by, "_b").orderBy(F.col("_t").asc_nulls_first(), "_side", "_tie")
+    u = side(seeds, -1, F.lit(None).cast("timestamp"), {}, {j: F.col(f"_w{j}") for j in range(n)})
+    for i, r in enumerate(rights):
+        u = u.unionByName(side(r, 0, F.col("_t"), {i: F.col(f"_tie{i}")}, {i: F.col(f"_w{i}")}))
+    u = u.unionByName(side(l_, 1, F.col("_t"), {}, {}))
+    running = (Window.partitionBy(*by, "_b")
+               .orderBy(F.col("_t").asc_nulls_first(), "_side", *[f"_tie{j}" for j in range(n)])
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = (u.withColumn("_m", F.last("_w", ignorenulls=True).over(running))
-           .filter(F.col("_side") == 1))
-    return out.select(*[F.col(c) for c in lcols],
-                      *[F.col(f"_m.p.{dst}").alias(dst) for dst in rename.values()])
+    out = u.select("*", *[F.last(f"_w{j}", ignorenulls=True).over(running).alias(f"_m{j}")
+                         for j in range(n)]).filter(F.col("_side") == 1)
+    carried = [F.col(f"_m{i}.p.{dst}").alias(dst) for i, sd in enumerate(sides) for dst in sd.cols.values()]
+    return out.select(*[F.col(c) for c in lcols], *carried)
 
 
 def feature_store(lineup: DataFrame, weather: DataFrame, news: DataFrame, port_loc: str,
@@ -93,12 +126,12 @@ def feature_store(lineup: DataFrame, weather: DataFrame, news: DataFrame, port_l
     time (``nlp_risk_score``; no news yet -> 0.0, the scorer's default).
     """
     w = weather.filter(F.col("loc_id") == F.lit(port_loc))
-    with_weather = asof_join(lineup, w, [], ts_col, "timestamp_leitura",
-                             {"precipitacao_mm": "rain_feature", "velocidade_vento": "wind_feature"},
-                             weather_tie, bucket_seconds)
-    with_news = asof_join(with_weather, news, [], ts_col, "timestamp_leitura",
-                          {"score_risco": "nlp_risk_score"}, news_tie, bucket_seconds)
-    return with_news.withColumn("nlp_risk_score", F.coalesce("nlp_risk_score", F.lit(0.0)))
+    sides = [AsOfSide(w, "timestamp_leitura",
+                      {"precipitacao_mm": "rain_feature", "velocidade_vento": "wind_feature"}, weather_tie),
+             AsOfSide(news, "timestamp_leitura", {"score_risco": "nlp_risk_score"}, news_tie)]
+    # both lookups in one pass: the line-up side is shuffled once
+    out = asof_join_many(lineup, [], ts_col, sides, bucket_seconds)
+    return out.withColumn("nlp_risk_score", F.coalesce("nlp_risk_score", F.lit(0.0)))
 
 
-__all__ = ["asof_join", "feature_store"]
+__all__ = ["AsOfSide", "asof_join", "asof_join_many", "feature_store"]

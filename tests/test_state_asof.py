@@ -122,3 +122,21 @@ def test_feature_store_view(spark):
     out = asof.feature_store(lineup, weather, news, "P")
     assert rows(out, "lineup_id", "rain_feature", "wind_feature", "nlp_risk_score") == [
         ("l0", None, None, 0.0), ("l1", 4.0, 10.0, 0.5), ("l2", 8.0, None, 0.5)]
+
+
+def test_asof_many_equals_separate_joins(spark):
+    import random
+    rnd = random.Random(11)
+    left = spark.createDataFrame([(rnd.randrange(3), rnd.randrange(0, 9000), i) for i in range(400)],
+                                 "k long, t long, id long").withColumn("ts", F.timestamp_seconds("t"))
+    r1 = spark.createDataFrame([(rnd.randrange(3), rnd.randrange(0, 9000), i, float(i)) for i in range(300)],
+                               "k long, t long, rid long, v double").withColumn("ts", F.timestamp_seconds("t"))
+    r2 = spark.createDataFrame([(rnd.randrange(3), rnd.randrange(0, 9000), i, f"s{i}") for i in range(200)],
+                               "k long, t long, sid long, s string").withColumn("ts", F.timestamp_seconds("t"))
+    many = asof.asof_join_many(left, ["k"], "ts", [asof.AsOfSide(r1, "ts", {"v": "v"}, ["rid"]),
+                                                   asof.AsOfSide(r2, "ts", {"s": "s"}, ["sid"])],
+                               bucket_seconds=600)
+    one = asof.asof_join(left, r1, ["k"], "ts", "ts", {"v": "v"}, ["rid"], bucket_seconds=600)
+    two = asof.asof_join(left, r2, ["k"], "ts", "ts", {"s": "s"}, ["sid"], bucket_seconds=3600)
+    sep = one.join(two.select("id", "s"), "id")
+    assert rows(many, "id", "v", "s") == rows(sep, "id", "v", "s")
