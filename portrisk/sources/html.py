@@ -3,8 +3,9 @@
 Pages are rows of a ``pages(page_id, html, ...)`` DataFrame; every page is
 parsed inside the executors with regex generators (``regexp_extract_all`` +
 ``posexplode``), so the work is spread by page and nothing goes through the
-driver.  Scope (stated, not hidden): no nested tables, no colspan/rowspan,
-and elements of the same tag nested in each other are not paired up.
+driver.  Scope (stated, not hidden): colspan is expanded; nested tables and
+rowspan are not supported, and elements of the same tag nested in each
+other are not paired up.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from ..session import ensure_parallel
 TABLE_RE = r"(?is)<table\b[^>]*>(.*?)</table\s*>"
 THEAD_RE = r"(?is)<thead\b[^>]*>(.*?)</thead\s*>"
 ROW_RE = r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"
-CELL_RE = r"(?is)<t([hd])\b[^>]*>(.*?)</t[hd]\s*>"
+CELL_RE = r"(?is)<t([hd])\b([^>]*)>(.*?)</t[hd]\s*>"
+COLSPAN_RE = r"(?i)\bcolspan\s*=\s*[\"']?\s*([0-9]+)"
+MAX_COLSPAN = 1000          # the HTML limit for colspan
 
 
 def element_pattern(tag: str, cls: str | None = None) -> tuple[str, int]:
@@ -62,6 +65,21 @@ def _cells(row_html: Column, part: int) -> Column:
     return F.regexp_extract_all(row_html, F.lit(CELL_RE), F.lit(part))
 
 
+def _row(r: Column) -> Column:
+    """One ``<tr>`` -> struct(kinds, cells); a cell with ``colspan=n`` fills n
+    columns with its text (as the usual HTML table readers do).  Rows without
+    any colspan take the plain path."""
+    kinds, texts = _cells(r, 1), F.transform(_cells(r, 3), lambda c: F.trim(strip_tags(c)))
+    spans = F.transform(_cells(r, 2), lambda a: F.least(F.greatest(F.coalesce(
+        F.nullif(F.regexp_extract(a, COLSPAN_RE, 1), F.lit("")).try_cast("int"), F.lit(1)), F.lit(1)),
+        F.lit(MAX_COLSPAN)))
+    spread_kinds = F.flatten(F.zip_with(kinds, spans, lambda k, n: F.array_repeat(k, n)))
+    spread_texts = F.flatten(F.zip_with(texts, spans, lambda t, n: F.array_repeat(t, n)))
+    has_span = F.contains(F.lower(r), F.lit("colspan"))
+    return F.struct(F.when(has_span, spread_kinds).otherwise(kinds).alias("kinds"),
+                    F.when(has_span, spread_texts).otherwise(texts).alias("cells"))
+
+
 def html_tables(pages: DataFrame, table_index: int = 0, id_col: str = "page_id",
                 keep: list[str] | None = None) -> DataFrame:
     """S2 + P4: rows of the ``table_index``-th ``<table>`` of each page.
@@ -83,9 +101,7 @@ def html_tables(pages: DataFrame, table_index: int = 0, id_col: str = "page_id",
         F.size(F.regexp_extract_all(
             F.coalesce(F.regexp_extract(table, THEAD_RE, 1), F.lit("")),
             F.lit(r"(?i)<tr\b"), F.lit(0))).alias("thead_rows"),
-    ).withColumn("rows", F.transform("rows", lambda r: F.struct(
-        _cells(r, 1).alias("kinds"),
-        F.transform(_cells(r, 2), lambda c: F.trim(strip_tags(c))).alias("cells"))))
+    ).withColumn("rows", F.transform("rows", _row))
     leading_th = F.aggregate(
         "rows", F.struct(F.lit(0).alias("n"), F.lit(True).alias("open")),
         lambda acc, r: F.when(

@@ -165,3 +165,13 @@ def test_with_row_id(spark):
     ids = rows(ingest.with_row_id(df, "id", ["k"]), "id")
     assert len({i for (i,) in ids}) == 2
     assert ingest.with_row_id(df, "id").select("id").distinct().count() == 2
+
+
+def test_colspan_header_expanded(spark):
+    html_ = ("<table><tr><th>Navio</th><th>IMO</th><th colspan='2'>Chegada</th></tr>"
+             "<tr><th>Ship</th><th></th><th>Arrival d/m/y</th><th>Weight</th></tr>"
+             "<tr><td>A</td><td>1</td><td colspan=2>03/01/2026</td></tr></table>")
+    pages = spark.createDataFrame([(1, html_)], "page_id long, html string")
+    r = html.html_tables(pages).first()
+    assert r.header == ["Navio Ship", "IMO", "Chegada Arrival d/m/y", "Chegada Weight"]
+    assert r.cells == ["A", "1", "03/01/2026", "03/01/2026"]
