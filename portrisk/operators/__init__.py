@@ -1 +1 @@
-"""portrisk package."""
+"""DataFrame -> DataFrame operators: ingestion, latest state, as-of join, contingency scoring, reports, model."""

@@ -317,5 +317,5 @@ def current_news(news: DataFrame, ts_col: str = "timestamp_leitura", tie_break:
 __all__ = [
     "fleet_kpis", "access_risk", "volume_by_terminal", "value_counts", "arrivals_by_date",
     "class_share", "exact_quantiles", "describe_columns", "histogram", "kde",
-    "confusion_matrix", "classification_report", "S",
+    "confusion_matrix", "classification_report", "current_news",
 ]

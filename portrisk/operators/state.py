@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.scalars import (critical_alert, format_local, point_x, point_y)
+from ..functions.scalars import format_local, point_x, point_y
 
 
 def _as_list(x) -> list:
@@ -133,5 +133,5 @@ def map_rows(dim: DataFrame, weather: DataFrame, tie_break: str | Sequence[str]
 
 __all__ = [
     "latest_per_key", "latest_ships", "flag_max", "latest_event", "preview",
-    "current_value", "with_current_score", "points_dim", "map_rows", "critical_alert",
+    "current_value", "with_current_score", "points_dim", "map_rows",
 ]

@@ -1 +1 @@
-"""portrisk package."""
+"""Structured Streaming twins of the batch operators."""
