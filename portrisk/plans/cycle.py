@@ -9,6 +9,8 @@ reported as not run).  Rows written are counted on the write itself.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,16 @@ def _schema_error(e: Exception) -> bool:
     return isinstance(e, ColumnMappingError) or "no column for" in text or "duplicate column for" in text
 
 
+def _weather_step(spark: SparkSession, land: str, wh: str) -> tuple[str, int, str]:
+    # a missing or broken source is reported, the cycle goes on
+    try:
+        readings = normalize_weather(read_weather_csv(spark, f"{land}/weather"))
+        n = append_table(readings, f"{wh}/fato_clima", S.FATO_CLIMA)
+        return ("weather", n or 0, "ok")
+    except Exception as e:  # noqa: BLE001 - reported per step
+        return ("weather", 0, _fail_text(e))
+
+
 def run_cycle(spark: SparkSession, landing: str, warehouse: str, run_ts,
               rules: Rules = Rules()) -> DataFrame:
     """B1: run the three steps on ``landing/{weather,lineup,news}``.
@@ -36,46 +48,45 @@ def run_cycle(spark: SparkSession, landing: str, warehouse: str, run_ts,
     Landing layout: ``weather/loc_id=<id>/*.csv`` (S1), ``lineup/`` and
     ``news/`` parquet pages (``page_id, batch_id, kind, html``).  Tables are
     appended under ``warehouse``.  Returns ``(step, rows, outcome)``.
+
+    The weather step does not depend on the others, so its job runs
+    concurrently with the line-up step (Spark schedules jobs from several
+    driver threads); the contingency step waits for the line-up outcome.
     """
     land = landing.rstrip("/")
     wh = warehouse.rstrip("/")
     out: list[tuple[str, int, str]] = []
     stop = False
 
-    # 1. weather: a missing or broken source is reported, the cycle goes on
-    try:
-        readings = normalize_weather(read_weather_csv(spark, f"{land}/weather"))
-        n = append_table(readings, f"{wh}/fato_clima", S.FATO_CLIMA)
-        out.append(("weather", n or 0, "ok"))
-    except Exception as e:  # noqa: BLE001 - reported per step
-        out.append(("weather", 0, _fail_text(e)))
+    with ThreadPoolExecutor(max_workers=1) as pool:
+        weather = pool.submit(_weather_step, spark, land, wh)
 
-    # 2. line-up: header problems stop the cycle (strict projection)
-    try:
-        pages = spark.read.schema(S.PAGES).parquet(f"{land}/lineup")
-        rows = lineup_from_pages(pages, run_ts, strict=True)
-        n = append_table(rows, f"{wh}/fato_lineup", S.FATO_LINEUP)
-        out.append(("lineup", n or 0, "ok"))
-    except Exception as e:  # noqa: BLE001
-        out.append(("lineup", 0, _fail_text(e)))
-        stop = _schema_error(e)
-
-    # 3. contingencies: scored rows go through the row insert with rejects
-    if stop:
-        out.append(("contingencies", 0, "not run: line-up schema error"))
-    else:
+        # line-up: header problems stop the cycle (strict projection)
         try:
-            pages = spark.read.schema(S.PAGES).parquet(f"{land}/news")
-            scored = score_contingencies(pages, run_ts, rules)
-            texts = scored.select(F.to_json(F.struct(*[c for c in scored.columns
-                                                       if c in S.FATO_CONTINGENCIAS.fieldNames()]),
-                                            {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("json"))
-            good, bad = insert_rows(texts, S.FATO_CONTINGENCIAS, f"{wh}/fato_contingencias_nlp",
-                                    f"{wh}/fato_contingencias_nlp_rejects")
-            out.append(("contingencies", good, "ok" if bad == 0 else f"{bad} rows rejected"))
+            pages = spark.read.schema(S.PAGES).parquet(f"{land}/lineup")
+            rows = lineup_from_pages(pages, run_ts, strict=True)
+            n = append_table(rows, f"{wh}/fato_lineup", S.FATO_LINEUP)
+            lineup = ("lineup", n or 0, "ok")
         except Exception as e:  # noqa: BLE001
-            out.append(("contingencies", 0, _fail_text(e)))
+            lineup = ("lineup", 0, _fail_text(e))
+            stop = _schema_error(e)
+
+        # contingencies: scored rows go through the row insert with rejects
+        if stop:
+            news = ("contingencies", 0, "not run: line-up schema error")
+        else:
+            try:
+                pages = spark.read.schema(S.PAGES).parquet(f"{land}/news")
+                scored = score_contingencies(pages, run_ts, rules)
+                texts = scored.select(F.to_json(F.struct(*[c for c in scored.columns
+                                                           if c in S.FATO_CONTINGENCIAS.fieldNames()]),
+                                                {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("json"))
+                good, bad = insert_rows(texts, S.FATO_CONTINGENCIAS, f"{wh}/fato_contingencias_nlp",
+                                        f"{wh}/fato_contingencias_nlp_rejects")
+                news = ("contingencies", good, "ok" if bad == 0 else f"{bad} rows rejected")
+            except Exception as e:  # noqa: BLE001
+                news = ("contingencies", 0, _fail_text(e))
+        out = [weather.result(), lineup, news]
 
     return spark.createDataFrame([(s, int(n), o) for s, n, o in out],
                                  "step string, rows bigint, outcome string")
-
