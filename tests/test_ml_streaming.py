@@ -167,3 +167,22 @@ def test_cycle_reports_and_stops(spark, scratch):
                           S.PAGES).write.parquet(bad + "/lineup")
     out2 = {r.step: r.outcome for r in run_cycle(spark, bad, scratch("wh"), dt.datetime(2026, 1, 1)).collect()}
     assert out2["lineup"].startswith("error") and out2["contingencies"].startswith("not run")
+
+
+def test_stream_lineup_twin_with_restart(spark, scratch):
+    pages = C.lineup_pages(spark, SF_SMALL).cache()
+    landing = scratch("lp")
+    first = pages.filter(F.col("page_id") % 2 == 0)
+    second = pages.filter(F.col("page_id") % 2 == 1)
+    first.write.parquet(landing + "/run1")
+    out, ckpt = scratch("o"), scratch("c")
+    run = dt.datetime(2026, 1, 1)
+    streams.lineup_stream(spark, landing + "/*", out, ckpt, run).awaitTermination()
+    n1 = spark.read.parquet(out).count()
+    second.write.parquet(landing + "/run2")       # the next landing; the stream resumes
+    streams.lineup_stream(spark, landing + "/*", out, ckpt, run).awaitTermination()
+    got = spark.read.parquet(out)
+    from portrisk.operators.ingest import lineup_from_pages
+    batch = lineup_from_pages(pages, run)
+    assert n1 == first.count() and got.count() == pages.count()
+    assert got.exceptAll(batch.select(*got.columns)).count() == 0

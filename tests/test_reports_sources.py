@@ -36,6 +36,17 @@ def test_describe_matches_pandas(values):
             assert out[(col, stat)] == pytest.approx(float(desc.loc[stat, col]), rel=1e-9, abs=1e-9)
 
 
+def test_describe_approx_close_to_exact(values):
+    pdf, df = values
+    out = {(r.measure, r.stat): r.value
+           for r in reports.describe_columns(df, ["a", "b"], exact=False).collect()}
+    for col in ("a", "b"):
+        for p, stat in ((0.25, "25%"), (0.5, "50%"), (0.75, "75%")):
+            lo, hi = pdf[col].quantile(max(p - 0.01, 0)), pdf[col].quantile(min(p + 0.01, 1))
+            assert lo - 1e-9 <= out[(col, stat)] <= hi + 1e-9
+        assert out[(col, "count")] == float(pdf[col].notna().sum())
+
+
 def test_exact_quantiles_many_partitions(spark, values):
     pdf, df = values
     for parts in (1, 3, 16):
