@@ -18,12 +18,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bucket(ts_col: str, width_seconds: int):
-    return F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / F.lit(width_seconds * 1_000_000))
+def _bucket(ts_col: str, width):
+    """Bucket number of a time; ``width`` is seconds (int) or a Column of micros."""
+    micros = width if isinstance(width, Column) else F.lit(width * 1_000_000)
+    return F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / micros)
+
+
+def auto_width(frames: Sequence[DataFrame], target_rows: int) -> Column:
+    """Bucket width (micros) sized so that an average bucket of the whole time
+    span holds about ``target_rows`` rows; one scalar aggregate over the time
+    columns.  A key with a third of all rows spread over time then gets
+    groups of about ``target_rows / 3`` rows per bucket."""
+    times = frames[0]
+    for f in frames[1:]:
+        times = times.unionByName(f)
+    stats = times.agg(F.min(F.unix_micros("_t")).alias("lo"), F.max(F.unix_micros("_t")).alias("hi"),
+                      F.count("_t").alias("n"))
+    width = stats.select(F.greatest(
+        F.lit(1_000_000),
+        F.ceil((F.col("hi") - F.col("lo") + 1) * F.lit(float(target_rows)) / F.greatest(F.col("n"), F.lit(1)))
+    ).cast("bigint")).scalar()
+    return width
 
 
 class AsOfSide:
@@ -40,18 +59,19 @@ class AsOfSide:
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str,
               right_cols: Sequence[str] | dict[str, str], right_tie: Sequence[str] = (),
-              bucket_seconds: int = 86_400) -> DataFrame:
+              bucket_seconds: int | str = 86_400) -> DataFrame:
     """Left rows + the as-of right columns (renamed by ``right_cols`` if a dict).
 
     ``right_tie`` orders right rows that share a time (the last one wins).
     Right rows with a NULL key or time can never match and are dropped.
+    ``bucket_seconds="auto"`` sizes the time buckets from the data volume.
     """
     return asof_join_many(left, by, left_ts, [AsOfSide(right, right_ts, right_cols, right_tie)],
                           bucket_seconds)
 
 
 def asof_join_many(left: DataFrame, by: Sequence[str], left_ts: str, sides: Sequence[AsOfSide],
-                   bucket_seconds: int = 86_400) -> DataFrame:
+                   bucket_seconds: int | str = 86_400, target_rows: int = 1_000_000) -> DataFrame:
     """J2 against several right sides in one pass: the (large) left side is
     shuffled once, and each side's newest row as of the left time is carried
     in its own struct column."""
@@ -65,16 +85,17 @@ def asof_join_many(left: DataFrame, by: Sequence[str], left_ts: str, sides: Sequ
         r = sd.df.filter(F.col(sd.ts).isNotNull())
         for k in by:
             r = r.filter(F.col(k).isNotNull())
-        r = r.select(*by, F.col(sd.ts).cast("timestamp").alias("_t"),
-                     F.struct(*[F.col(c) for c in sd.tie]).alias(f"_tie{i}"),
-                     F.struct(payload.alias("p")).alias(f"_w{i}"))
-        rights.append(r.withColumn("_b", _bucket("_t", bucket_seconds)))
+        rights.append(r.select(*by, F.col(sd.ts).cast("timestamp").alias("_t"),
+                               F.struct(*[F.col(c) for c in sd.tie]).alias(f"_tie{i}"),
+                               F.struct(payload.alias("p")).alias(f"_w{i}")))
+    l_ = left.select(*[F.col(c) for c in lcols], F.col(left_ts).cast("timestamp").alias("_t"))
+    width = (auto_width([l_.select("_t")] + [r.select("_t") for r in rights], target_rows)
+             if bucket_seconds == "auto" else bucket_seconds)
+    rights = [r.withColumn("_b", _bucket("_t", width)) for r in rights]
+    l_ = l_.withColumn("_b", _bucket("_t", width))
     w_types = [r.schema[f"_w{i}"].dataType for i, r in enumerate(rights)]
     tie_types = [r.schema[f"_tie{i}"].dataType for i, r in enumerate(rights)]
 
-    l_ = left.select(*[F.col(c) for c in lcols], F.col(left_ts).cast("timestamp").alias("_t"))
-    l_ = l_.withColumn("_b", _bucket("_t", bucket_seconds))
-
     # seeds: per (key, bucket), each side's last row of all earlier buckets, from
     # one-row-per-bucket summaries (partial aggregates, at most keys x buckets rows)
     def summary_cols(i: int | None, last):

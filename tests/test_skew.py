@@ -54,3 +54,17 @@ def test_parallel_helpers(spark):
     many = spark.range(100).repartition(par * 2)
     assert ensure_parallel(many).rdd.getNumPartitions() == par * 2
     assert ml.spread(one).rdd.getNumPartitions() == par
+
+
+def test_asof_auto_buckets_with_hot_key(spark):
+    left = hot_frame(8000, 5).drop(columns=["v"])
+    right = hot_frame(8000, 6).rename(columns={"id": "rid"})
+    l_df = spark.createDataFrame(left).withColumn("ts", F.timestamp_seconds("t"))
+    r_df = spark.createDataFrame(right).withColumn("ts", F.timestamp_seconds("t"))
+    out = asof.asof_join_many(l_df, ["k"], "ts", [asof.AsOfSide(r_df, "ts", {"rid": "rid"}, ["rid"])],
+                              bucket_seconds="auto", target_rows=50)   # ~320 buckets over 90 days
+    got = out.select("id", "rid").toPandas().sort_values("id").reset_index(drop=True)
+    want = pd.merge_asof(left.sort_values("t"), right.sort_values(["t", "rid"])[["k", "t", "rid"]],
+                         on="t", by="k", direction="backward").sort_values("id").reset_index(drop=True)
+    assert (got["rid"].fillna(-1).astype("int64").to_numpy()
+            == want["rid"].fillna(-1).astype("int64").to_numpy()).all()

@@ -82,7 +82,7 @@ def test_asof_fixture(spark):
     assert rows(out, "k", "t", "v") == [(1, 5, 7.0), (1, 10, None), (2, 1, None)]
 
 
-@pytest.mark.parametrize("bucket", [1, 7, 3600, 10**9])
+@pytest.mark.parametrize("bucket", [1, 7, 3600, 10**9, "auto"])
 def test_asof_bucketing_matches_brute_force(spark, bucket):
     import random
     rnd = random.Random(7)
