@@ -186,3 +186,22 @@ def test_stream_lineup_twin_with_restart(spark, scratch):
     batch = lineup_from_pages(pages, run)
     assert n1 == first.count() and got.count() == pages.count()
     assert got.exceptAll(batch.select(*got.columns)).count() == 0
+
+
+def test_stream_dedup_late_files(spark, scratch):
+    t0 = dt.datetime(2026, 1, 1)
+    day = dt.timedelta(days=1)
+    schema = "loc_id string, timestamp_leitura timestamp, v double"
+    run1 = spark.createDataFrame([("L1", t0, 1.0), ("L1", t0 + 29 * day, 2.0)], schema)
+    # next run: a repeat of day 1 (older than the 15-day watermark: late, dropped),
+    # a repeat of day 30 (duplicate, dropped) and a new day 20 reading (kept)
+    run2 = spark.createDataFrame([("L1", t0, 1.0), ("L1", t0 + 29 * day, 2.0),
+                                  ("L1", t0 + 19 * day, 3.0)], schema)
+    landing = scratch("l")
+    run1.write.parquet(landing + "/run1")
+    run2.write.parquet(landing + "/run2")
+    src = spark.readStream.schema(run1.schema).option("maxFilesPerTrigger", 1).parquet(landing + "/*")
+    out, ckpt = scratch("o"), scratch("c")
+    streams.dedup_stream(src, ["loc_id", "timestamp_leitura"], "timestamp_leitura", out, ckpt) \
+        .awaitTermination()
+    assert rows(spark.read.parquet(out), "v") == [(1.0,), (2.0,), (3.0,)]
