@@ -72,5 +72,6 @@ def drop_rows(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     The dropped keys are written first, so that Spark knows their size: it broadcasts them
     below its threshold and shuffles both sides beyond it.
     """
-    gone = stored(dropped.select(F.col(key).alias("gone_key")), "dropped")
-    return docs.join(gone, docs[key] == F.col("gone_key"), "left_anti")
+    name = free_name(docs, "gone_key")
+    gone = stored(dropped.select(F.col(key).alias(name)), "dropped")
+    return docs.join(gone, F.col(key) == F.col(name), "left_anti")

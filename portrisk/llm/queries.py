@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portrisk.llm import simhash
+from portrisk.llm import cuckoo, mixing, simhash
 from portrisk.llm.common import prepare
 
 
@@ -23,8 +23,27 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicate groups of all documents by a cuckoo-filter index of their digests."""
+    found = cuckoo.exact_groups(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",
+                        F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document when sources are mixed 5 : 2 : 1, 3 copies at most."""
+    plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target",
+                       (F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op7_cuckoo": op7_cuckoo,
+    "op9_mixing": op9_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_cuckoo": cuckoo.SQL,
+    "op9_mixing": mixing.SQL,
+}

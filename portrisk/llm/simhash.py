@@ -26,6 +26,8 @@ from portrisk.llm.components import connected_components
 BITS = 64
 #: Most fingerprints in a tile (2 MB of them).
 TILE = 1 << 18
+#: Most tasks for the comparison of tile pairs.
+MAX_TASKS = 2000
 _ROWS, _COLS = 256, 1024
 _LANES = np.uint64(0x0101010101010101)
 _SHIFT = [np.uint64(k) for k in range(8)]
@@ -160,6 +162,9 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
         u, v = link_tiles(fp[own_ == a], None if a == b else fp[own_ == b], radius)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
+    # tasks by number of tile pairs, not by their bytes: the work is in comparing
+    pairs = sum(hi - lo + 1 for n, lo, hi in zip(chunks, first, last) for _ in range(n))
+    dealt = dealt.repartition(max(1, min(pairs, MAX_TASKS)), "a", "b")
     return dealt.groupBy("a", "b").applyInPandas(compare, "u long, v long")
 
 

@@ -1,0 +1,65 @@
+import collections
+import re
+
+import pandas as pd
+
+from portrisk.llm import mixing
+from portrisk.llm.queries import QUERIES
+from portrisk.llm.running import running
+from pyspark.sql import functions as F
+
+
+def brute_targets(sizes, weights=(5, 2, 1), cap=3):
+    """Targets by resharing the excess again and again."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    held, total = {}, sum(sizes.values())
+    while True:
+        free = [s for s in names if s not in held]
+        left = total - sum(held.values())
+        t = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        over = [s for s in free if t[s] > cap * sizes[s]]
+        if not over:
+            return t | held
+        held |= {s: cap * sizes[s] for s in over}
+
+
+def test_targets_and_taken(spark):
+    got = QUERIES["op9_mixing"](spark, "/root/testdata/sf0.01").toPandas()
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").set_index("doc_id")
+    got["source"] = docs.source.reindex(got.doc_id).values
+    assert (got["size"] == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in docs.text.reindex(got.doc_id)]).all()
+    want = brute_targets(got.groupby("source")["size"].sum().to_dict())
+    for s, g in got.groupby("source"):
+        assert abs(g.target.iloc[0] - want[s]) < 1e-6
+        assert abs(g.taken.sum() - want[s]) <= g["size"].max() * 1.5
+        assert (g.taken <= 3 * g["size"]).all()
+
+
+def test_capped_sources_nulls_and_repeats(spark):
+    rows = [(i, "w " * (5 + i % 9), s, 7) for i in range(60) for s in ["a"] if i < 2]
+    rows += [(100 + i, "one two three " * (i % 7), "b", 1) for i in range(300)]
+    rows += [(None, None, None, 1), (None, "x y z", None, 1), (500, "x y z", None, 1), (500, "x y z", None, 1),
+             (600, "", "empty", 1), (601, None, "empty", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_id int").repartition(5)
+    plan = mixing.mix_plan(docs).toPandas()
+    assert len(plan) == len(rows)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[2]] += len((r[1] or "").split())
+    want = brute_targets(dict(sizes))
+    plan["source"] = plan["source"].where(plan["source"].notna(), "none")
+    for s, g in plan.groupby("source"):
+        assert abs(g.target.iloc[0] - want[None if s == "none" else s]) < 1e-9
+    assert want["a"] == 3 * sizes["a"] and (plan[plan.source == "a"].copies == 3).all()
+    again = mixing.mix_plan(docs.repartition(2)).toPandas()
+    assert sorted(plan["copies"] * plan["size"]) == sorted(again["copies"] * again["size"])
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and out.count() == plan.copies.sum()
+    assert mixing.mix_plan(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_running_sums(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(6)
+    got = running(df, [F.col("k")], {"place": F.lit(1), "total": F.col("k")}).collect()
+    assert all(r["place"] == r["k"] and r["total"] == r["k"] * (r["k"] - 1) // 2 for r in got) and len(got) == 1000
