@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portrisk.llm import cuckoo, mixing, simhash
+from portrisk.llm import cuckoo, mixing, packing, simhash
 from portrisk.llm.common import prepare
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,10 +43,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces packed into sequences of 1024 tokens at most."""
+    found = packing.packed(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                           vocabulary("byte_bpe_50k.tiktoken"))
+    return found.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"),
+                        "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op7_cuckoo": op7_cuckoo,
     "op9_mixing": op9_mixing,
+    "op10_packing": op10_packing,
 }
 
 SQL: dict[str, str] = {
