@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portrisk.llm import cuckoo, mixing, packing, simhash
+from portrisk.llm import cuckoo, mixing, packing, prefix_tokens, simhash
 from portrisk.llm.common import prepare
 
 
@@ -29,6 +29,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents from prefix counts, and whether they exceed 4096."""
+    found = prefix_tokens.token_counts(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens",
+                        (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 def op7_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicate groups of all documents by a cuckoo-filter index of their digests."""
     found = cuckoo.exact_groups(_table(spark, sf_dir, "documents"))
@@ -53,6 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op5_prefix_tokens": op5_prefix_tokens,
     "op7_cuckoo": op7_cuckoo,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
