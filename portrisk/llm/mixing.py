@@ -50,20 +50,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
     weight = F.element_at(F.array(*[F.lit(int(w)).cast("long") for w in weights]),
                           (F.col("place") % len(weights) + 1).cast("int"))
     named = stored(named.withColumn("weight", weight).withColumn("most", F.lit(cap) * F.col("source_size")), "weights")
-    all_ = named.agg(F.sum("source_size").alias("sum_size"), F.sum("weight").alias("sum_weight"))
+    all_ = named.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
     filled = running(named, [F.col("most") / F.col("weight"), F.col("source").asc_nulls_last()],
                      {"weight_before": F.col("weight"), "most_before": F.col("most")}, "filled")
-    filled = filled.join(F.broadcast(all_))  # one row
-    full = (F.col("most").cast("double") * (F.col("sum_weight") - F.col("weight_before")).cast("double")
-            < F.col("weight").cast("double") * (F.col("sum_size") - F.col("most_before")).cast("double"))
+    full = (F.col("most").cast("double") * (F.lit(all_["weight"]) - F.col("weight_before")).cast("double")
+            < F.col("weight").cast("double") * (F.lit(all_["size"]) - F.col("most_before")).cast("double"))
     filled = stored(filled.withColumn("full", full), "targets")
-    held = filled.filter("full").agg(F.coalesce(F.sum("most"), F.lit(0)).alias("held_most"),
-                                     F.coalesce(F.sum("weight"), F.lit(0)).alias("held_weight"))
-    share = ((F.col("weight") * (F.col("sum_size") - F.col("held_most"))).cast("double")
-             / (F.col("sum_weight") - F.col("held_weight")).cast("double"))
-    return filled.join(F.broadcast(held)).select(  # one row
-        "source", "n_docs", "source_size", "first_doc",
-        F.when(F.col("full"), F.col("most").cast("double")).otherwise(share).alias("target"))
+    held = filled.filter("full").agg(F.coalesce(F.sum("most"), F.lit(0)).alias("most"),
+                                     F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    share = ((F.col("weight") * (F.lit(all_["size"]) - F.lit(held["most"]))).cast("double")
+             / (F.lit(all_["weight"]) - F.lit(held["weight"])).cast("double"))
+    return filled.select("source", "n_docs", "source_size", "first_doc",
+                         F.when(F.col("full"), F.col("most").cast("double")).otherwise(share).alias("target"))
 
 
 def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = SEED,
