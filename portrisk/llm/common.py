@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portrisk.session import apply_session_conf, ensure_checkpoint_dir, scratch_path
@@ -75,3 +75,25 @@ def drop_rows(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     name = free_name(docs, "gone_key")
     gone = stored(dropped.select(F.col(key).alias(name)), "dropped")
     return docs.join(gone, F.col(key) == F.col(name), "left_anti")
+
+
+def held_out(id_col: str = "doc_id") -> Column:
+    """Rows whose labels are never learnt from: CRC-32 of the id as text leaves 1 by 3."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def in_training(id_col: str = "doc_id") -> Column:
+    return F.col(id_col).isNotNull() & ~held_out(id_col)
+
+
+def sample_ids(rows: DataFrame, most: int, id_col: str = "doc_id", seed: int = 11) -> list[int]:
+    """At most ``most`` distinct ids of ``rows``, those with the smallest hashes, in that order."""
+    ids = rows.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct()
+    return [r["id"] for r in ids.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most).collect()]
+
+
+def texts_of(docs: DataFrame, ids: set[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text) of the rows with these few ids (a broadcast of a bounded list; no shuffle)."""
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "wanted long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.join(F.broadcast(wanted), F.col("id") == F.col("wanted"), "left_semi")

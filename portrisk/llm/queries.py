@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portrisk.llm import cuckoo, mixing, packing, prefix_tokens, simhash
-from portrisk.llm.common import prepare
+from portrisk.llm import cuckoo, mixing, packing, prefix_tokens, simhash, toxicity
+from portrisk.llm.common import held_out, prepare
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +29,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by non-negative positive-unlabelled learning; threshold 0.7."""
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", "predicted")
+
+
 def op5_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents from prefix counts, and whether they exceed 4096."""
     found = prefix_tokens.token_counts(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
@@ -60,6 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_toxicity": op3_toxicity,
     "op5_prefix_tokens": op5_prefix_tokens,
     "op7_cuckoo": op7_cuckoo,
     "op9_mixing": op9_mixing,
