@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portrisk.llm import cuckoo, mixing, packing, prefix_tokens, simhash, toxicity
+from portrisk.llm import cuckoo, mixing, packing, prefix_tokens, quality, simhash, toxicity
 from portrisk.llm.common import held_out, prepare
 
 
@@ -43,6 +43,13 @@ def op5_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by a byte-level convolutional network; threshold 0.5."""
+    docs = _table(spark, sf_dir, "documents")
+    found = quality.scored(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", "predicted")
+
+
 def op7_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicate groups of all documents by a cuckoo-filter index of their digests."""
     found = cuckoo.exact_groups(_table(spark, sf_dir, "documents"))
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_toxicity": op3_toxicity,
     "op5_prefix_tokens": op5_prefix_tokens,
+    "op6_quality": op6_quality,
     "op7_cuckoo": op7_cuckoo,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
