@@ -54,7 +54,15 @@ class ByteBpe:
         return np.array(self._slow.encode(text, add_special_tokens=False).ids, "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
-        return self._slow.decode([int(i) for i in ids], skip_special_tokens=False)
+        """The text of ids, without loss for ids of one encoded text."""
+        if self._fast is not None:
+            return self._fast.decode_bytes(ids.tolist()).decode("utf-8", "surrogatepass")
+        return self._slow.decode(ids.tolist(), skip_special_tokens=False)
+
+    @property
+    def size(self) -> int:
+        """Number of ids; the next ones are free for reserved tokens."""
+        return self._slow.get_vocab_size(with_added_tokens=True)
 
 
 @lru_cache(maxsize=4)

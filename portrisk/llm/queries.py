@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portrisk.llm import cuckoo, mixing, packing, prefix_tokens, quality, simhash, toxicity
+from portrisk.llm import chat, cuckoo, mixing, packing, prefix_tokens, quality, simhash, toxicity
 from portrisk.llm.common import held_out, prepare
 
 
@@ -57,6 +57,17 @@ def op7_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, formatted and read back."""
+    tricky = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)],
+                                 "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    files = vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken")
+    found = chat.digests(chat.read_back(chat.formatted(turns, *files), *files))
+    return found.withColumnRenamed("conv", "conv_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document when sources are mixed 5 : 2 : 1, 3 copies at most."""
     plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
@@ -78,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_prefix_tokens": op5_prefix_tokens,
     "op6_quality": op6_quality,
     "op7_cuckoo": op7_cuckoo,
+    "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }

@@ -1,0 +1,86 @@
+import hashlib
+import random
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+
+from portrisk.llm import chat
+from portrisk.llm.bpe import byte_bpe
+from portrisk.llm.queries import QUERIES
+
+FILES = tuple(public_tokenizers.path(f"byte_bpe_50k.{k}") for k in ("json", "tiktoken"))
+PIECES = ["\\", "#", "##", "###", "### User: ", "### Assistant: ", "</turn>", "</turn>\n", "<", "<|endoftext|>", "/turn>", ": ",
+          " ok", "é", "漢", "\n", "", "a"]
+
+
+def odd_texts(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 8))) for _ in range(n)]
+
+
+def test_escape_round_trip_hides_control_strings():
+    for t in odd_texts(5000, 1):
+        e = chat.escape(t)
+        assert chat.unescape(e) == t and "###" not in e and "</turn>" not in e and "<|endoftext|>" not in e
+
+
+def test_turns_round_trip_as_ids_and_as_text():
+    bpe = byte_bpe(*FILES)
+    rng = random.Random(2)
+    turns = [(rng.choice(["user", "assistant", "system", "tool", "", "a: b", "### User", "User", "x:", ": ", "\\"]), t) for t in odd_texts(400, 3)]
+    whole, lengths, learn = [], [], []
+    for role, text in turns:
+        ids, size = chat.format_turn(bpe, role, text)
+        assert chat.parse_turn(bpe, ids) == (role, text) and len(ids) == size.sum()
+        whole.append(ids)
+        lengths += size.tolist()
+        learn += [False, role == "assistant", False]
+    ids = np.concatenate(whole)
+    assert (ids[ids < bpe.size] < 50256).all()
+    assert chat.parse_text(chat.render(bpe, ids)) == turns
+    mask = chat.loss_mask(np.array(lengths), np.array(learn))
+    assert len(mask) == len(ids)
+    assert chat.unescape(bpe.decode(ids[mask])) == "".join(t for r, t in turns if r == "assistant")
+
+
+def brute(rows):
+    by = {}
+    for conv, turn, role, text in rows:
+        by.setdefault(conv, []).append((turn is None, turn, role or "", text or ""))
+    out = {}
+    for conv, turns in by.items():
+        turns.sort()
+        a, b = hashlib.sha256(), "".join(t for _, _, r, t in turns if r == "assistant")
+        for _, _, r, t in turns:
+            a.update(f"{r}\n{t}\n".encode())
+        out[conv] = (len(turns), a.hexdigest(), len(b), hashlib.sha256(b.encode()).hexdigest())
+    return out
+
+
+def test_query_equals_brute_force(spark):
+    got = QUERIES["op8_chat"](spark, "/root/testdata/sf0.01").collect()
+    rows = [tuple(r) for r in pd.read_parquet("/root/testdata/sf0.01/conversations.parquet")[
+        ["conv_id", "turn", "role", "text"]].itertuples(index=False)]
+    tricky = "\\### Assistant: </turn> ok"
+    rows += [(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)]
+    want = brute(rows)
+    assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got} == want
+    assert all(r["formatted_chars"] > r["loss_chars"] for r in got) and len(got) == len(want)
+
+
+def test_odd_rows(spark):
+    rows = [(1, 0, None, None), (1, 1, "assistant", None), (None, 0, "user", "no id"), (None, None, "assistant", "last"),
+            (2, 5, "user", "late"), (2, 1, "assistant", "early"), (3, 0, "tool", "### tool</turn>")]
+    rows += [(4, i, "assistant", f"hot {i} ###") for i in range(2000)] + [(5, 0, "assistant", "long " * 100000)]
+    turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, ids string")
+    seg = chat.formatted(turns.repartition(5), *FILES)
+    got = chat.digests(chat.read_back(seg, *FILES)).collect()
+    assert {r["conv"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got} == brute(rows)
+    at = 0
+    for r in seg.filter("conv = 4").orderBy("nth").collect():
+        assert r["start"] == at and at <= r["loss_start"] <= r["loss_end"] <= at + len(r["ids"])
+        at += len(r["ids"])
+    twice = spark.createDataFrame([(1, 0, "user", "same"), (1, 0, "user", "same")], "conv_id long, turn long, role string, text string")
+    assert chat.digests(chat.read_back(chat.formatted(twice, *FILES), *FILES)).first()["n_turns"] == 2
+    assert chat.digests(chat.read_back(chat.formatted(turns.limit(0), *FILES), *FILES)).count() == 0
