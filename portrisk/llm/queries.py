@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portrisk.llm import chat, cuckoo, mixing, packing, prefix_tokens, quality, simhash, toxicity
+from portrisk.llm import chat, cuckoo, mixing, packing, prefix_tokens, quality, simhash, templates, toxicity
 from portrisk.llm.common import held_out, prepare
 
 
@@ -36,6 +36,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", "predicted")
 
 
+def op4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages after deleting their sites' templates."""
+    found = templates.main_texts(_table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents from prefix counts, and whether they exceed 4096."""
     found = prefix_tokens.token_counts(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
@@ -86,6 +92,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_toxicity": op3_toxicity,
+    "op4_templates": op4_templates,
     "op5_prefix_tokens": op5_prefix_tokens,
     "op6_quality": op6_quality,
     "op7_cuckoo": op7_cuckoo,
