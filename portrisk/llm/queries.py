@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portrisk.llm import chat, cuckoo, mixing, packing, prefix_tokens, quality, simhash, templates, toxicity
+from portrisk.llm import chat, cuckoo, lsh, mixing, packing, prefix_tokens, quality, simhash, templates, toxicity
 from portrisk.llm.common import held_out, prepare
 
 
@@ -29,6 +29,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest vectors found for every 20th vector by cross-polytope hashing."""
+    found = lsh.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents by non-negative positive-unlabelled learning; threshold 0.7."""
     docs = _table(spark, sf_dir, "documents")
@@ -91,6 +97,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_cross_polytope": op2_cross_polytope,
     "op3_toxicity": op3_toxicity,
     "op4_templates": op4_templates,
     "op5_prefix_tokens": op5_prefix_tokens,
