@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portrisk.llm.common import per_batch, prepare, stored
+from portrisk.llm.common import drop_rows, keyed, per_batch, prepare, stored
 from portrisk.llm.components import connected_components
 
 BITS = 64
@@ -186,3 +186,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: in
     ids = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     names = stored(linked.join(ids, "root").select(F.col("fp").alias("of"), "component_id"), "names")
     return each.join(names, F.col("fp") == F.col("of")).select("id", "fp", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42,
+                            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of ``near_duplicates``: that with the smallest id
+    (of rows that share it, and of rows without one, the first)."""
+    prepare(docs.sparkSession)
+    rows, key = keyed(docs, id_col)
+    found = stored(near_duplicates(rows, shingle, radius, seed, key, text_col), "components")
+    if key == id_col:
+        gone = found.filter("id <> component_id").select(F.col("id").alias(key))
+    else:  # ids are null or repeat: the smallest id, then the row number, null ids last
+        rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("own"), F.col(key).alias("row"))
+        ranked = rows.select(F.col(key).alias("of"), rank.alias("rank")).join(found, F.col("of") == F.col("id"))
+        best = ranked.groupBy("component_id").agg(F.min("rank").alias("best"))
+        gone = (found.select(F.col("id").alias(key))
+                .join(best.select(F.col("best.row").alias("kept")), F.col(key) == F.col("kept"), "left_anti"))
+    return drop_rows(rows, key, gone).select(*docs.columns)
