@@ -95,7 +95,8 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, see
     of, times, nth = (free_name(rows, c) for c in ("mix_of", "mix_times", "mix_nth"))
     plan = stored(mix_plan(rows, weights, cap, seed, key, text_col, source_col).filter("copies > 0")
                   .select(F.col("id").alias(of), F.col("copies").alias(times)), "mix")
-    return (rows.join(plan, F.col(key) == F.col(of))
+    # the plan is as long as the documents, so both sides are shuffled, whatever their size now
+    return (rows.join(plan.hint("shuffle_hash"), F.col(key) == F.col(of))
             .withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns))
 
 
