@@ -41,16 +41,30 @@ def critical_alert(rain: ColumnOrName, wind: ColumnOrName,
     return r | w
 
 
+NUMBER_PATTERN = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
+
+
 def parse_br_number(col: ColumnOrName) -> Column:
-    """Brazilian number text -> double; drop '.', ',' -> '.', bad/NaN -> 0."""
+    """Brazilian number text -> double; drop '.', ',' -> '.', anything but a number -> 0.
+
+    The text must look like a number before the cast, which would also take '10D' or '5f'.
+    """
     text = F.trim(_c(col).cast("string"))
     cleaned = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    return F.coalesce(nan_to_null(cleaned.try_cast("double")), F.lit(0.0))
+    number = F.when(cleaned.rlike(NUMBER_PATTERN), cleaned.try_cast("double"))
+    return F.coalesce(number, F.lit(0.0))
 
 
 def parse_dayfirst(col: ColumnOrName, formats: Sequence[str] = tuple(S.DAYFIRST_FORMATS)) -> Column:
-    """Day-first date/time text -> timestamp; text no format accepts -> NULL."""
-    text = F.trim(_c(col).cast("string"))
+    """Day-first date/time text -> timestamp; text no format accepts -> NULL.
+
+    Day, month and year may be divided by '/', '-' or '.'; a two-digit year from 69 on is
+    of the last century, as POSIX has it.
+    """
+    text = F.regexp_replace(F.trim(_c(col).cast("string")),
+                            r"^(\d{1,2})[-./](\d{1,2})[-./](\d{4}|\d{2})(?!\d)", "$1/$2/$3")
+    text = F.regexp_replace(text, r"^(?<d>\d+/\d+/)(?<y>[0-5]\d|6[0-8])(?!\d)", "${d}20${y}")
+    text = F.regexp_replace(text, r"^(?<d>\d+/\d+/)(?<y>69|[7-9]\d)(?!\d)", "${d}19${y}")
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats])
 
 
@@ -107,8 +121,8 @@ def point_y(col: ColumnOrName) -> Column:
 
 
 def tier(col: ColumnOrName, thresholds: Sequence[tuple[float, str]], default: str) -> Column:
-    """First ``(limit, label)`` with ``value > limit``; NULL -> ``default``."""
-    value = _c(col)
+    """First ``(limit, label)`` with ``value > limit``; NULL or NaN -> ``default``."""
+    value = nan_to_null(col)
     out = None
     for limit, label in thresholds:
         cond = value > F.lit(limit)
@@ -124,11 +138,6 @@ def probability_tier(col: ColumnOrName) -> Column:
     return tier(col, S.PROBABILITY_TIERS, S.PROBABILITY_TIER_DEFAULT)
 
 
-def clamp_score(col: ColumnOrName, cap: float = S.SCORE_CAP) -> Column:
-    """``min(score, cap)``."""
-    return F.least(_c(col), F.lit(cap))
-
-
 def weighted_risk(rain: ColumnOrName, wind: ColumnOrName, nlp: ColumnOrName,
                   weights: tuple[float, float, float] = (S.LABEL_W_RAIN, S.LABEL_W_WIND,
                                                          S.LABEL_W_NLP)) -> Column:
@@ -144,10 +153,10 @@ def delay_label(rain: ColumnOrName = "rain_feature", wind: ColumnOrName = "wind_
                 cut: float = S.LABEL_CUT) -> Column:
     """1 when any hard rule or the weighted sum fires, else 0 (int).
 
-    A NULL comparison is not true, so missing inputs fall through to 0,
-    as NaN comparisons do in pandas.  Limits default to the original's.
+    A comparison with NULL or NaN is not true, so missing inputs fall through
+    to 0, as in pandas.  Limits default to the original's.
     """
-    r, w, n = _c(rain), _c(wind), _c(nlp)
+    r, w, n = nan_to_null(rain), nan_to_null(wind), nan_to_null(nlp)
     return (F.when(w > F.lit(wind_gt), F.lit(1))
             .when(r > F.lit(rain_gt), F.lit(1))
             .when(n > F.lit(nlp_gt), F.lit(1))
@@ -170,5 +179,12 @@ def fmt(col: ColumnOrName, pattern: str) -> Column:
 
 
 def row_hash_id(*cols: ColumnOrName) -> Column:
-    """P8 with keys: SHA-256 over the '|'-joined key text, stable across retries."""
-    return F.sha2(F.concat_ws("|", *[_c(c).cast("string") for c in cols]), 256)
+    """P8 with keys: SHA-256 over the keys, stable across retries.
+
+    Each key is written with its length ('N' for NULL), so different keys never give
+    the same text, whatever they hold.
+    """
+    def part(c: ColumnOrName) -> Column:
+        text = _c(c).cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("N"))
+    return F.sha2(F.concat(*[part(c) for c in cols]), 256)

@@ -1,48 +1,21 @@
-"""Backward as-of join (J2) and the feature-store view built on it.
-
-For each left row, the right row with the greatest time <= the left time
-within the same key ("ASOF LEFT JOIN").  Written as a union of both sides
-and ``last(..., ignorenulls)`` over time order, with the right columns
-carried as **one struct**: a matched row whose value is NULL stays NULL
-instead of falling through to an older row.
-
-Skew: a plain ``partitionBy(key)`` window puts a hot key (or the single key
-of a one-location feed) into one task.  Rows are therefore windowed per
-(key, time bucket).  Each bucket gets a *seed* row holding the last right
-row of all earlier buckets, computed from one-row-per-bucket summaries
-(at most keys x buckets rows, map-side combined), so the bucketed result
-equals the unbucketed one.
+"""As-of join (J2): each left row with the newest right row at or before its time.
+
+Left times are first reduced to the distinct ones of each key, so a whole batch with one
+insert stamp is one row.  These and the right rows are laid out in ranges of (key, time) and
+written with their range's number.  Inside a range a window carries the last right row
+forward; what a key had before its range comes from one summary row per range and key.  A
+key that holds a third of all rows, or the only key of a one-port feed, is thus spread over
+ranges, whatever its times look like.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _bucket(ts_col: str, width):
-    """Bucket number of a time; ``width`` is seconds (int) or a Column of micros."""
-    micros = width if isinstance(width, Column) else F.lit(width * 1_000_000)
-    return F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / micros)
-
-
-def auto_width(frames: Sequence[DataFrame], target_rows: int) -> Column:
-    """Bucket width (micros) sized so that an average bucket of the whole time
-    span holds about ``target_rows`` rows; one scalar aggregate over the time
-    columns.  A key with a third of all rows spread over time then gets
-    groups of about ``target_rows / 3`` rows per bucket."""
-    times = frames[0]
-    for f in frames[1:]:
-        times = times.unionByName(f)
-    stats = times.agg(F.min(F.unix_micros("_t")).alias("lo"), F.max(F.unix_micros("_t")).alias("hi"),
-                      F.count("_t").alias("n"))
-    width = stats.select(F.greatest(
-        F.lit(1_000_000),
-        F.ceil((F.col("hi") - F.col("lo") + 1) * F.lit(float(target_rows)) / F.greatest(F.col("n"), F.lit(1)))
-    ).cast("bigint")).scalar()
-    return width
+from ..session import scratch_path
 
 
 class AsOfSide:
@@ -58,88 +31,64 @@ class AsOfSide:
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str,
-              right_cols: Sequence[str] | dict[str, str], right_tie: Sequence[str] = (),
-              bucket_seconds: int | str = 86_400) -> DataFrame:
+              right_cols: Sequence[str] | dict[str, str], right_tie: Sequence[str] = ()) -> DataFrame:
     """Left rows + the as-of right columns (renamed by ``right_cols`` if a dict).
 
     ``right_tie`` orders right rows that share a time (the last one wins).
     Right rows with a NULL key or time can never match and are dropped.
-    ``bucket_seconds="auto"`` sizes the time buckets from the data volume.
     """
-    return asof_join_many(left, by, left_ts, [AsOfSide(right, right_ts, right_cols, right_tie)],
-                          bucket_seconds)
-
+    return asof_join_many(left, by, left_ts, [AsOfSide(right, right_ts, right_cols, right_tie)])
 
-def asof_join_many(left: DataFrame, by: Sequence[str], left_ts: str, sides: Sequence[AsOfSide],
-                   bucket_seconds: int | str = 86_400, target_rows: int = 1_000_000) -> DataFrame:
-    """J2 against several right sides in one pass: the (large) left side is
-    shuffled once, and each side's newest row as of the left time is carried
-    in its own struct column."""
-    by = list(by)
-    lcols = left.columns
-    n = len(sides)
 
+def asof_join_many(left: DataFrame, by: Sequence[str], left_ts: str, sides: Sequence[AsOfSide]) -> DataFrame:
+    """J2 against several right sides in one pass: each side's newest row as of the left
+    time is carried in its own struct column."""
+    by, n = list(by), len(sides)
+    keys = [f"_k{i}" for i in range(len(by))]
     rights = []
     for i, sd in enumerate(sides):
-        payload = F.struct(*[F.col(src).alias(dst) for src, dst in sd.cols.items()])
         r = sd.df.filter(F.col(sd.ts).isNotNull())
         for k in by:
             r = r.filter(F.col(k).isNotNull())
-        rights.append(r.select(*by, F.col(sd.ts).cast("timestamp").alias("_t"),
-                               F.struct(*[F.col(c) for c in sd.tie]).alias(f"_tie{i}"),
-                               F.struct(payload.alias("p")).alias(f"_w{i}")))
-    l_ = left.select(*[F.col(c) for c in lcols], F.col(left_ts).cast("timestamp").alias("_t"))
-    width = (auto_width([l_.select("_t")] + [r.select("_t") for r in rights], target_rows)
-             if bucket_seconds == "auto" else bucket_seconds)
-    rights = [r.withColumn("_b", _bucket("_t", width)) for r in rights]
-    l_ = l_.withColumn("_b", _bucket("_t", width))
-    w_types = [r.schema[f"_w{i}"].dataType for i, r in enumerate(rights)]
-    tie_types = [r.schema[f"_tie{i}"].dataType for i, r in enumerate(rights)]
-
-    # seeds: per (key, bucket), each side's last row of all earlier buckets, from
-    # one-row-per-bucket summaries (partial aggregates, at most keys x buckets rows)
-    def summary_cols(i: int | None, last):
-        return [(last if j == i else F.lit(None).cast(w_types[j])).alias(f"_last{j}") for j in range(n)]
-
-    parts = [l_.filter(F.col("_b").isNotNull()).select(*by, "_b").distinct()
-             .select(*by, "_b", *summary_cols(None, None))]
-    for i, r in enumerate(rights):
-        last = r.groupBy(*by, "_b").agg(
-            F.max_by(F.col(f"_w{i}"), F.struct("_t", f"_tie{i}")).alias("_m"))
-        parts.append(last.select(*by, "_b", *summary_cols(i, F.col("_m"))))
-    summaries = parts[0]
-    for p in parts[1:]:
-        summaries = summaries.unionByName(p)
-    earlier = Window.partitionBy(*by).orderBy("_b").rangeBetween(Window.unboundedPreceding, -1)
-    seeds = (summaries.select(*by, "_b", *[F.last(f"_last{j}", ignorenulls=True).over(earlier).alias(f"_c{j}")
-                                           for j in range(n)])
-             .groupBy(*by, "_b").agg(*[F.max(f"_c{j}").alias(f"_w{j}") for j in range(n)]))
-
-    null_left = {c: F.lit(None).cast(left.schema[c].dataType) for c in lcols if c not in by}
-
-    def side(df, kind: int, t, ties: dict, ws: dict):
-        cols = [F.col(k) for k in by] + [F.col("_b"), t.alias("_t"), F.lit(kind).alias("_side")]
-        cols += [(ties.get(j, F.lit(None).cast(tie_types[j]))).alias(f"_tie{j}") for j in range(n)]
-        cols += [(ws.get(j, F.lit(None).cast(w_types[j]))).alias(f"_w{j}") for j in range(n)]
-        cols += [(F.col(c) if kind == 1 else null_left[c]).alias(c) for c in lcols if c not in by]
-        return df.select(*cols)
-
-    u = side(seeds, -1, F.lit(None).cast("timestamp"), {}, {j: F.col(f"_w{j}") for j in range(n)})
-    for i, r in enumerate(rights):
-        u = u.unionByName(side(r, 0, F.col("_t"), {i: F.col(f"_tie{i}")}, {i: F.col(f"_w{i}")}))
-    u = u.unionByName(side(l_, 1, F.col("_t"), {}, {}))
-    running = (Window.partitionBy(*by, "_b")
-               .orderBy(F.col("_t").asc_nulls_first(), "_side", *[f"_tie{j}" for j in range(n)])
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = u.select("*", *[F.last(f"_w{j}", ignorenulls=True).over(running).alias(f"_m{j}")
-                         for j in range(n)]).filter(F.col("_side") == 1)
-    carried = [F.col(f"_m{i}.p.{dst}").alias(dst) for i, sd in enumerate(sides) for dst in sd.cols.values()]
-    return out.select(*[F.col(c) for c in lcols], *carried)
+        rights.append(r.select(*[F.col(k).alias(a) for k, a in zip(by, keys)],
+                               F.col(sd.ts).cast("timestamp").alias("_t"), F.lit(0).alias("_side"),
+                               F.struct(*[F.col(c) for c in sd.tie] or [F.lit(0).alias("_")]).alias(f"_tie{i}"),
+                               F.struct(F.struct(*[F.col(c).alias(o) for c, o in sd.cols.items()]).alias("p")).alias(f"_w{i}")))
+    kinds = {c: r.schema[c].dataType for i, r in enumerate(rights) for c in (f"_tie{i}", f"_w{i}")}
+    asked = left.select(*[F.col(k).alias(a) for k, a in zip(by, keys)], F.col(left_ts).cast("timestamp").alias("_t"))
+    asked = asked.na.drop().distinct().withColumn("_side", F.lit(1))
+    whole = None
+    for part in [*rights, asked]:
+        part = part.select(*keys, "_t", "_side", *[
+            F.col(c) if c in part.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()])
+        whole = part if whole is None else whole.unionByName(part)
+    order = ["_t", "_side", *[f"_tie{i}" for i in range(n)]]
+    path = scratch_path(left.sparkSession, "asof")
+    whole.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    laid = left.sparkSession.read.parquet(path)
+
+    # what each range leaves behind for a key, and what it finds from the ranges before it
+    ends = laid.groupBy("_range", *keys).agg(*[
+        F.max_by(f"_w{i}", F.when(F.col(f"_w{i}").isNotNull(), F.struct("_t", f"_tie{i}"))).alias(f"_end{i}") for i in range(n)])
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"{k}_") for k in keys],
+                          *[F.last(f"_end{i}", ignorenulls=True).over(earlier).alias(f"_from{i}") for i in range(n)])
+    so_far = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = (laid.select("_range", *keys, "_t", "_side",
+                        *[F.last(f"_w{i}", ignorenulls=True).over(so_far).alias(f"_m{i}") for i in range(n)])
+            .filter("_side = 1"))
+    on = [F.col("_range") == F.col("_r"), *[F.col(k) == F.col(f"{k}_") for k in keys]]
+    answers = seen.join(carried, on).select(
+        *[F.col(k).alias(f"{k}_of") for k in keys], F.col("_t").alias("_t_of"),
+        *[F.coalesce(f"_m{i}", f"_from{i}").alias(f"_a{i}") for i in range(n)])
+    same = [F.col(left_ts).cast("timestamp") == F.col("_t_of"), *[F.col(k) == F.col(f"{a}_of") for k, a in zip(by, keys)]]
+    return left.join(answers, same, "left").select(*left.columns, *[
+        F.col(f"_a{i}.p.{out}").alias(out) for i, sd in enumerate(sides) for out in sd.cols.values()])
 
 
 def feature_store(lineup: DataFrame, weather: DataFrame, news: DataFrame, port_loc: str,
-                  ts_col: str = "inserido_em", weather_tie: Sequence[str] = (),
-                  news_tie: Sequence[str] = ("cont_id",), bucket_seconds: int = 86_400) -> DataFrame:
+                  ts_col: str = "inserido_em", weather_tie: Sequence[str] = ("inserido_em",),
+                  news_tie: Sequence[str] = ("cont_id",)) -> DataFrame:
     """J2 definition of the feature-store view (the original's view is not shipped).
 
     Line-up rows + the weather at ``port_loc`` as of the insert time
@@ -147,11 +96,11 @@ def feature_store(lineup: DataFrame, weather: DataFrame, news: DataFrame, port_l
     time (``nlp_risk_score``; no news yet -> 0.0, the scorer's default).
     """
     w = weather.filter(F.col("loc_id") == F.lit(port_loc))
+    tie = [c for c in weather_tie if c in w.columns]
     sides = [AsOfSide(w, "timestamp_leitura",
-                      {"precipitacao_mm": "rain_feature", "velocidade_vento": "wind_feature"}, weather_tie),
+                      {"precipitacao_mm": "rain_feature", "velocidade_vento": "wind_feature"}, tie),
              AsOfSide(news, "timestamp_leitura", {"score_risco": "nlp_risk_score"}, news_tie)]
-    # both lookups in one pass: the line-up side is shuffled once
-    out = asof_join_many(lineup, [], ts_col, sides, bucket_seconds)
+    out = asof_join_many(lineup, [], ts_col, sides)
     return out.withColumn("nlp_risk_score", F.coalesce("nlp_risk_score", F.lit(0.0)))
 
 

@@ -11,7 +11,7 @@ row with score 0 and the default sentence.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.scalars import contains_any, headline, json_key, row_hash_id
 from ..functions.text import page_text
-from ..session import ensure_parallel
 from ..sources.html import page_elements
 
 
@@ -39,7 +38,6 @@ class Rules:
     link_class: str | None = S.NEWS_LINK_CLASS
     default_text: str = S.NO_ALERT_TEXT
     cap: float = S.SCORE_CAP
-    extra: dict = field(default_factory=dict)
 
 
 def first_tier(text: Column, tiers: Sequence[tuple[Sequence[str], float, str]]) -> Column:
@@ -78,21 +76,17 @@ def news_alerts(news_pages: DataFrame, rules: Rules, batch_col: str = "batch_id"
     return present.unionByName(found)
 
 
-def score_contingencies(pages: DataFrame, run_ts, rules: Rules = Rules(),
-                        region: str = S.CONTINGENCY_LOC, entity: str = S.CONTINGENCY_ENTITY,
-                        batch_col: str = "batch_id", kind_col: str = "kind") -> DataFrame:
-    """One ``fato_contingencias_nlp`` row per batch.
-
-    ``pages`` has (batch_id, page_id, kind in {'road','news'}, html).  A
-    missing source contributes nothing; the row is still written.
-    Score = min(sum of weights, cap) rounded to 9 digits (sums of tenths);
-    texts are joined by " | " in detection order (road first, then
-    headlines in page order); ``json_extraido`` = ``{"alertas": n}``.
-    """
-    pages = ensure_parallel(pages)
+def page_alerts(pages: DataFrame, rules: Rules = Rules(), batch_col: str = "batch_id",
+                kind_col: str = "kind") -> DataFrame:
+    """X4 on all pages: (batch, src, page_id, ord, weight, message), a row per hit and per page."""
     road = road_alerts(pages.filter(F.col(kind_col) == "road"), rules, batch_col)
     news = news_alerts(pages.filter(F.col(kind_col) == "news"), rules, batch_col)
-    alerts = road.unionByName(news)
+    return road.unionByName(news)
+
+
+def score_alerts(alerts: DataFrame, run_ts, rules: Rules = Rules(), region: str = S.CONTINGENCY_LOC,
+                 entity: str = S.CONTINGENCY_ENTITY, batch_col: str = "batch_id") -> DataFrame:
+    """X5 from ``page_alerts``: one ``fato_contingencias_nlp`` row per batch."""
     msg = F.col("message")
     per_batch = alerts.groupBy(batch_col).agg(
         F.sum("weight").alias("total"),
@@ -112,6 +106,20 @@ def score_contingencies(pages: DataFrame, run_ts, rules: Rules = Rules(),
     )
 
 
+def score_contingencies(pages: DataFrame, run_ts, rules: Rules = Rules(),
+                        region: str = S.CONTINGENCY_LOC, entity: str = S.CONTINGENCY_ENTITY,
+                        batch_col: str = "batch_id", kind_col: str = "kind") -> DataFrame:
+    """One ``fato_contingencias_nlp`` row per batch.
+
+    ``pages`` has (batch_id, page_id, kind in {'road','news'}, html).  A
+    missing source contributes nothing; the row is still written.
+    Score = min(sum of weights, cap) rounded to 9 digits (sums of tenths);
+    texts are joined by " | " in detection order (road first, then
+    headlines in page order); ``json_extraido`` = ``{"alertas": n}``.
+    """
+    return score_alerts(page_alerts(pages, rules, batch_col, kind_col), run_ts, rules, region, entity, batch_col)
+
+
 def contingency_from_json(df: DataFrame, json_col: str, text_col: str, run_ts,
                           id_keys: Sequence[str], score: float = S.JSON_DEFAULT_SCORE,
                           region: str = S.JSON_CONTINGENCY_LOC,
@@ -129,5 +137,5 @@ def contingency_from_json(df: DataFrame, json_col: str, text_col: str, run_ts,
     )
 
 
-__all__ = ["Rules", "first_tier", "road_alerts", "news_alerts", "score_contingencies",
+__all__ = ["Rules", "first_tier", "road_alerts", "news_alerts", "page_alerts", "score_alerts", "score_contingencies",
            "contingency_from_json"]

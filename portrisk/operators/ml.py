@@ -15,12 +15,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.scalars import delay_label, probability_tier
-from ..session import ensure_parallel
+from ..session import scratch_path
 from .reports import classification_report, confusion_matrix
 
 MOD = 2 ** 31
@@ -70,21 +70,31 @@ def split_flag(key: Column, test_fraction: float = S.TEST_FRACTION, seed: int =
 
 
 def train_test_split(df: DataFrame, key_col: str, test_fraction: float = S.TEST_FRACTION,
-                     seed: int = S.SEED) -> tuple[DataFrame, DataFrame]:
-    """M4: (train, test) by key hash."""
+                     seed: int = S.SEED, stratify: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """M4: (train, test) by key hash.  With ``stratify`` each of that column's values gives the
+    same share: its cut is the quantile of its own hashes (one aggregate, a row per value)."""
+    u = uniform(F.col(key_col), 97, seed)
     flag = split_flag(F.col(key_col), test_fraction, seed)
+    if stratify is not None:
+        cuts = df.groupBy(F.col(stratify).alias("_of")).agg(
+            F.percentile_approx(u, float(test_fraction), 1_000_000).alias("_cut"))
+        df = df.join(cuts, F.col(stratify).eqNullSafe(F.col("_of")))
+        flag = u <= F.col("_cut")
+        return df.filter(~flag).drop("_of", "_cut"), df.filter(flag).drop("_of", "_cut")
     return df.filter(~flag), df.filter(flag)
 
 
-def _parallelism(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
+#: Rows one task scores: a forest is CPU work, so tasks follow rows and not bytes.
+ROWS_PER_TASK = 5000
 
 
-def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Round-robin a *bounded* frame (fleet, grid, per-terminal rows) over all
-    cores before CPU-heavy per-row scoring; AQE would otherwise coalesce a
-    small aggregate into one partition and score it in one task."""
-    return df.repartition(partitions or _parallelism(df))
+def sized(df: DataFrame, rows_each: int = 1, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``df`` written and dealt into as many tasks as its scored rows ask for (each row
+    becomes ``rows_each``), so that tasks keep their size as the data grows."""
+    path = scratch_path(df.sparkSession, "to-score")
+    df.write.parquet(path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path)
+    return rows.repartition(max(1, -(-rows.count() * rows_each // rows_per_task)))
 
 
 def fit_risk_model(train: DataFrame, trees: int = S.RF_TREES, depth: int = S.RF_DEPTH,
@@ -106,17 +116,38 @@ def fit_risk_model(train: DataFrame, trees: int = S.RF_TREES, depth: int = S.RF_
         w = counts.select(S.MODEL_LABEL, (total / (k * F.col("count"))).alias("_wt"))
         data = train.join(F.broadcast(w), S.MODEL_LABEL)  # one row per class
         rf.setWeightCol("_wt")
-    return Pipeline(stages=[assembler(), rf]).fit(ensure_parallel(data))
+    model = Pipeline(stages=[assembler(), rf]).fit(data)
+    # the saved copy: a fitted one drags its training summary, and the session, into every task
+    return load_model(save_model(model, scratch_path(train.sparkSession, "forest")))
 
 
-def importances(model: PipelineModel, spark=None) -> DataFrame:
-    """M6: feature importances as shares, largest first, with rank."""
-    rf = model.stages[-1]
-    vals = rf.featureImportances.toArray().tolist()
-    rows = sorted(zip(S.MODEL_FEATURES, vals), key=lambda t: -t[1])
-    spark = spark or _active()
-    return spark.createDataFrame([(n, float(v), i + 1) for i, (n, v) in enumerate(rows)],
-                                 "feature string, importance double, rank int")
+def forest_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The nodes of a saved model's trees as rows: (tree, node, feature, gain, rows, prediction,
+    left, right, threshold)."""
+    nodes = spark.read.parquet(f"{path}/stages/*/data")
+    n = F.col("nodeData")
+    return nodes.select(
+        F.col("treeID").alias("tree"), n["id"].alias("node"), n["split"]["featureIndex"].alias("feature"),
+        n["gain"].alias("gain"), n["rawCount"].cast("double").alias("rows"), n["prediction"].alias("prediction"),
+        n["leftChild"].alias("left"), n["rightChild"].alias("right"),
+        F.try_element_at(n["split"]["leftCategoriesOrThreshold"], F.lit(1)).alias("threshold"))
+
+
+def importances(nodes: DataFrame) -> DataFrame:
+    """M6: feature importances as shares, largest first, with rank, from ``forest_nodes``.
+
+    A tree's importance of a feature is its gain times rows over that feature's splits, as a
+    share of the tree's total; the forest's is the mean over trees.
+    """
+    splits = nodes.filter("feature >= 0 and gain > 0")
+    per = splits.groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("rows")).alias("w"))
+    of = per.groupBy("tree").agg(F.sum("w").alias("all"))
+    mean = per.join(of, "tree").groupBy("feature").agg(F.sum(F.col("w") / F.col("all")).alias("w"))
+    total = mean.select(F.sum("w")).scalar()
+    names = nodes.sparkSession.createDataFrame(list(enumerate(S.MODEL_FEATURES)), "of int, name string")
+    return (names.join(mean, F.col("of") == F.col("feature"), "left")
+            .select(F.col("name").alias("feature"), F.coalesce(F.col("w") / total, F.lit(0.0)).alias("importance"))
+            .withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")).cast("int")))
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -136,7 +167,7 @@ def sweep(model: PipelineModel, base: DataFrame, feature: str,
     one base row this is the original stress test; over a fleet it is the
     partial-dependence curve.
     """
-    grid = spread(base).withColumn(feature, F.explode(F.array(*[F.lit(float(v)) for v in values])))
+    grid = sized(base, len(values)).withColumn(feature, F.explode(F.array(*[F.lit(float(v)) for v in values])))
     scored = score(model, grid)
     return scored.groupBy(F.col(feature).alias("value")).agg(
         F.avg("risk_probability").alias("mean_probability"),
@@ -148,33 +179,34 @@ def sweep(model: PipelineModel, base: DataFrame, feature: str,
 def scenario_grid(model: PipelineModel, ships: DataFrame, news_score: Column,
                   rain_values: Sequence[float] = tuple(S.SCENARIO_RAIN_VALUES),
                   wind_values: Sequence[float] = tuple(S.SCENARIO_WIND_VALUES),
+                  tonnage_values: Sequence[float] = tuple(S.SCENARIO_TONNAGE_VALUES),
                   group_col: str = "terminal") -> DataFrame:
-    """M9: risk surface per group (default terminal) over rain x wind.
+    """M9: risk surface per group (default terminal) over tonnage x rain x wind.
 
-    The typical vessel of each group (mean tonnage, an aggregate over the
-    fleet) is combined with every rain/wind level by array generators and the
-    current news score, then scored and tiered.  Rows = groups x levels.
+    Every group gets every level of the simulator's three sliders by array generators, at
+    the current news score, scored and tiered.  Rows = groups x levels.
     """
-    typical = ships.groupBy(group_col).agg(F.avg("quantidade_estimada").alias("quantidade_estimada"))
-    grid = (spread(typical)
-            .withColumn("rain_feature", F.explode(F.array(*[F.lit(float(v)) for v in rain_values])))
-            .withColumn("wind_feature", F.explode(F.array(*[F.lit(float(v)) for v in wind_values])))
+    levels = lambda values: F.explode(F.array(*[F.lit(float(v)) for v in values]))
+    groups = ships.select(group_col).distinct()
+    grid = (sized(groups, len(rain_values) * len(wind_values) * len(tonnage_values))
+            .withColumn("quantidade_estimada", levels(tonnage_values))
+            .withColumn("rain_feature", levels(rain_values))
+            .withColumn("wind_feature", levels(wind_values))
             .withColumn("nlp_risk_score", F.coalesce(news_score.cast("double"), F.lit(0.0))))
     scored = score(model, grid)
     return scored.withColumn("tier", probability_tier("risk_probability"))
 
 
 def score_fleet(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """Every ship row scored and tiered (one row per ship: bounded, spread)."""
-    scored = score(model, spread(features))
+    """Every ship row scored and tiered."""
+    scored = score(model, sized(features))
     return scored.withColumn("tier", probability_tier("risk_probability"))
 
 
 def evaluate(pred: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Confusion matrix and classification report on scored test rows.
 
-    ``pred`` comes from ``score``; pass ``ensure_parallel(test)`` to ``score``
-    for a small test split so it is not scored in one task.
+    ``pred`` comes from ``score``.
     """
     return (confusion_matrix(pred, S.MODEL_LABEL, "prediction"),
             classification_report(pred, S.MODEL_LABEL, "prediction"))
@@ -191,13 +223,8 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def _active():
-    from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession()
-
-
 __all__ = [
-    "uniform", "spread", "ensure_parallel", "synth_features", "label_features", "assembler", "split_flag", "train_test_split",
-    "fit_risk_model", "importances", "score", "sweep", "scenario_grid", "score_fleet",
+    "uniform", "sized", "synth_features", "label_features", "assembler", "split_flag", "train_test_split",
+    "fit_risk_model", "forest_nodes", "importances", "score", "sweep", "scenario_grid", "score_fleet",
     "evaluate", "save_model", "load_model",
 ]

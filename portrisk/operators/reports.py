@@ -10,13 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.scalars import news_tier
-from ..session import ensure_checkpoint_dir
-from .state import current_value
+from ..functions.scalars import nan_to_null, news_tier
+from ..session import scratch_path
 
 
 def fleet_kpis(ships: DataFrame, rain_col: str = "rain_feature",
@@ -28,8 +27,8 @@ def fleet_kpis(ships: DataFrame, rain_col: str = "rain_feature",
     """
     return ships.agg(
         F.count(F.lit(1)).cast("bigint").alias("n_ships"),
-        F.avg(rain_col).alias("mean_rain_mm"),
-        (F.avg(nlp_col) * F.lit(100.0)).alias("mean_nlp_risk_pct"),
+        F.avg(nan_to_null(rain_col)).alias("mean_rain_mm"),
+        (F.avg(nan_to_null(nlp_col)) * F.lit(100.0)).alias("mean_nlp_risk_pct"),
         F.max(ts_col).alias("last_update"),
     )
 
@@ -53,11 +52,18 @@ def volume_by_terminal(ships: DataFrame, terminal_col: str = "terminal",
                        qty_col: str = "quantidade_estimada", rain_col: str = "rain_feature") -> DataFrame:
     """A3: tonnage per terminal (bar length), mean rain (colour), ship count."""
     return ships.groupBy(terminal_col).agg(
-        F.sum(qty_col).alias("total_volume"),
-        F.avg(rain_col).alias("mean_rain_mm"),
+        F.sum(nan_to_null(qty_col)).alias("total_volume"),
+        F.avg(nan_to_null(rain_col)).alias("mean_rain_mm"),
         F.count(F.lit(1)).cast("bigint").alias("n_ships"))
 
 
+def rain_segments(ships: DataFrame, terminal_col: str = "terminal",
+                  qty_col: str = "quantidade_estimada", rain_col: str = "rain_feature") -> DataFrame:
+    """A3: the stacked bar itself, tonnage of each (terminal, rain) segment."""
+    return ships.groupBy(terminal_col, nan_to_null(rain_col).alias(rain_col)).agg(
+        F.sum(nan_to_null(qty_col)).alias("volume"), F.count(F.lit(1)).cast("bigint").alias("n_ships"))
+
+
 def value_counts(df: DataFrame, col: str, k: int | None = None) -> DataFrame:
     """A4/O2: counts of non-null values, most frequent first (ties by value), top ``k``."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(
@@ -99,88 +105,76 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(pairs).select("p.*").filter(F.col("x").isNotNull())
 
 
-def exact_quantiles(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float],
-                    partitions: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles of several columns in one pass,
-    without one task seeing all values of a column.
+def _ranked_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(measure, x, c, lo, hi, n): distinct values with their counts and the ranks [lo, hi)
+    they hold among the n values of their measure.
 
-    Distinct (measure, value) pairs with their counts are range-partitioned;
-    each range partition gets its offset per measure from a table of
-    per-partition totals (partitions x measures rows), so running counts are
-    computed inside partitions and the ranks bounding each quantile are found
-    without a global sort.  The ranged table is checkpointed (shared folder)
-    so its partition ids stay fixed.  Result: ``(measure, prob, value)``.
+    Distinct values are range-partitioned and written with their range's number; a range gets
+    its offset from the totals of the ranges before it (ranges x measures rows), so no task
+    sees all values and there is no global sort.
     """
-    cols = [cols] if isinstance(cols, str) else list(cols)
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    counts = _long(df, cols).groupBy("measure", "x").agg(F.count(F.lit(1)).alias("c"))
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (counts.repartitionByRange(n_parts, "measure", "x")
-              .withColumn("pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    path = scratch_path(spark, "quantiles")
+    (_long(df, cols).groupBy("measure", "x").agg(F.count(F.lit(1)).alias("c"))
+     .repartitionByRange("measure", "x").withColumn("pid", F.spark_partition_id()).write.parquet(path))
+    ranged = spark.read.parquet(path)
     per_part = ranged.groupBy("measure", "pid").agg(F.sum("c").alias("pc"))
-    before = Window.partitionBy("measure").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    of = Window.partitionBy("measure")
+    before = of.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("measure", "pid", F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("off"),
-                              F.sum("pc").over(Window.partitionBy("measure")).alias("n"))
+                              F.sum("pc").over(of).alias("n"))
     local = Window.partitionBy("pid", "measure").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    # offsets hold partitions x measures rows: bounded, broadcast
-    cum = (ranged.join(F.broadcast(offsets), ["measure", "pid"])
-           .withColumn("hi", F.col("off") + F.sum("c").over(local))
-           .withColumn("lo", F.col("hi") - F.col("c")))          # ranks [lo, hi) hold x
-    n = F.col("n")
-    targets = F.array(*[
-        F.struct(F.lit(float(p)).alias("prob"), ((n - 1) * F.lit(float(p))).alias("pos"),
-                 F.floor((n - 1) * F.lit(float(p))).alias("r_lo"),
-                 F.ceil((n - 1) * F.lit(float(p))).alias("r_hi"))
-        for p in probs])
-    # each distinct value emits only the target ranks that fall in its [lo, hi)
-    cum = cum.select("measure", "x", "lo", "hi", targets.alias("t"))
-    v_lo = cum.select("measure", "x", F.explode(F.filter(
-        "t", lambda t: (t["r_lo"] >= F.col("lo")) & (t["r_lo"] < F.col("hi")))).alias("t")) \
-        .select("measure", "t.prob", "t.pos", "t.r_lo", F.col("x").alias("v_lo"))
-    v_hi = cum.select("measure", "x", F.explode(F.filter(
-        "t", lambda t: (t["r_hi"] >= F.col("lo")) & (t["r_hi"] < F.col("hi")))).alias("t")) \
-        .select("measure", "t.prob", F.col("x").alias("v_hi"))
-    return v_lo.join(v_hi, ["measure", "prob"]).select(
-        "measure", "prob",
-        (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.col("r_lo"))).alias("value"))
-
-
-def describe_columns(df: DataFrame, cols: Sequence[str], digits: int | None = None,
-                     exact: bool = True, accuracy: int = 10_000) -> DataFrame:
+    return (ranged.withColumn("upto", F.sum("c").over(local)).join(offsets, ["measure", "pid"])
+            .withColumn("hi", F.col("off") + F.col("upto")).withColumn("lo", F.col("hi") - F.col("c")))
+
+
+def _quantile_cells(cum: DataFrame, probs: Sequence[float]) -> list[Column]:
+    """One aggregate per probability: linear interpolation between the two ranks around it."""
+    out = []
+    for p in probs:
+        pos = (F.col("n") - 1) * F.lit(float(p))
+        at = lambda r: F.max(F.when((r >= F.col("lo")) & (r < F.col("hi")), F.col("x")))
+        low, high = at(F.floor(pos)), at(F.ceil(pos))
+        share = F.max(pos - F.floor(pos))
+        out.append(low + (high - low) * share)
+    return out
+
+
+def exact_quantiles(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles of several columns: ``(measure, prob, value)``.
+
+    One job lays out the distinct values, one aggregate reads all quantiles from their ranks.
+    """
+    cum = _ranked_values(df, [cols] if isinstance(cols, str) else list(cols))
+    cells = cum.groupBy("measure").agg(*[c.alias(f"q{i}") for i, c in enumerate(_quantile_cells(cum, probs))])
+    return cells.select("measure", F.explode(F.array(*[
+        F.struct(F.lit(float(p)).alias("prob"), F.col(f"q{i}").alias("value")) for i, p in enumerate(probs)])).alias("q")
+    ).select("measure", "q.prob", "q.value")
+
+
+def describe_columns(df: DataFrame, cols: Sequence[str], digits: int | None = None) -> DataFrame:
     """Pandas ``describe()`` in long form ``(measure, stat, value)``.
 
-    count, mean, std (sample), min, 25%, 50%, 75% (exact, linear), max; NaN
-    counts as missing, as in pandas.  One aggregate for the moments of all
-    columns, one distributed quantile job for all columns.  ``exact=False``
-    takes the quartiles from ``percentile_approx`` in the same single
-    aggregate (rank error <= n / ``accuracy``), for tables where an extra
-    pass is not worth exactness.
+    count, mean, std (sample), min, 25%, 50%, 75% (exact, linear), max; NaN counts as
+    missing, as in pandas.  All from one table of distinct values with counts and ranks: one
+    job that lays it out and one aggregate over it.
     """
-    aggs = []
-    for c in cols:
-        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-        aggs += [F.count(v).cast("double").alias(f"{c}__count"), F.avg(v).alias(f"{c}__mean"),
-                 F.stddev_samp(v).alias(f"{c}__std"), F.min(v).alias(f"{c}__min"),
-                 F.max(v).alias(f"{c}__max")]
-    moments = df.agg(*aggs).select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("measure"), F.lit(s).alias("stat"), F.col(f"{c}__{s}").alias("value"))
-        for c in cols for s in ("count", "mean", "std", "min", "max")])).alias("s")).select("s.*")
-    if exact:
-        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).select(
-            "measure", F.concat((F.col("prob") * 100).cast("int").cast("string"), F.lit("%")).alias("stat"),
-            "value")
-    else:
-        approx = df.agg(*[F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")),
-                                              [0.25, 0.5, 0.75], accuracy).alias(c) for c in cols])
-        q = approx.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("measure"), F.lit(f"{p}%").alias("stat"), F.col(c)[i].alias("value"))
-            for c in cols for i, p in enumerate((25, 50, 75))])).alias("s")).select("s.*")
-    out = moments.unionByName(q)
-    if digits is not None:
-        out = out.withColumn("value", F.round("value", digits))
-    return out
+    cum = _ranked_values(df, cols)
+    x, c = F.col("x"), F.col("c").cast("double")
+    mean = F.sum(x * c) / F.sum(c)
+    first = cum.groupBy("measure").agg(
+        F.sum(c).alias("count"), mean.alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"),
+        *[q.alias(s) for q, s in zip(_quantile_cells(cum, [0.25, 0.5, 0.75]), ("25%", "50%", "75%"))])
+    centred = (cum.join(first.select("measure", F.col("mean").alias("centre")), "measure")  # a row per column
+               .groupBy("measure").agg(F.sqrt(F.sum((x - F.col("centre")) ** 2 * c) / F.nullif(F.sum(c) - 1, F.lit(0.0))).alias("std")))
+    wide = first.join(centred, "measure", "right")
+    stats = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
+    every = df.sparkSession.createDataFrame([(m,) for m in cols], "measure string")
+    out = every.join(wide, "measure", "left").select("measure", F.explode(F.array(*[
+        F.struct(F.lit(s).alias("stat"),
+                 (F.coalesce(F.col("count"), F.lit(0.0)) if s == "count" else F.col(f"`{s}`")).alias("value"))
+        for s in stats])).alias("s")).select("measure", "s.*")
+    return out.withColumn("value", F.round("value", digits)) if digits is not None else out
 
 
 # ---------------------------------------------------------------------------
@@ -194,12 +188,26 @@ def _bounds(df: DataFrame, col: str, lo: float | None, hi: float | None):
     return v, lo_c, hi_c
 
 
-def histogram(df: DataFrame, col: str, bins: int = 20, lo: float | None = None,
+def auto_bins(df: DataFrame, col: str) -> int:
+    """The plotting library's automatic number of bins for whole data: the finer of the
+    Freedman-Diaconis and the Sturges width over the range; at least 1."""
+    v = nan_to_null(col)
+    s = df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    if not s["n"] or s["hi"] == s["lo"]:
+        return 1
+    q = {r["prob"]: r["value"] for r in exact_quantiles(df, col, [0.25, 0.75]).collect()}  # two rows
+    width = (s["hi"] - s["lo"]) / (math.log2(s["n"]) + 1)
+    fine = 2 * (q[0.75] - q[0.25]) / s["n"] ** (1 / 3)
+    return math.ceil((s["hi"] - s["lo"]) / (min(width, fine) if fine > 0 else width))
+
+
+def histogram(df: DataFrame, col: str, bins: int | None = None, lo: float | None = None,
               hi: float | None = None) -> DataFrame:
     """Equal-width bins over [lo, hi] (data min/max by default); the last
     bin is closed on the right.  Every bin is returned, empty ones with 0.
-    Output ``(bin, bin_lo, bin_hi, count)``.
+    Without ``bins`` their number is ``auto_bins``.  Output ``(bin, bin_lo, bin_hi, count)``.
     """
+    bins = auto_bins(df, col) if bins is None else bins
     v, lo_c, hi_c = _bounds(df, col, lo, hi)
     width = (hi_c - lo_c) / F.lit(float(bins))
     b = F.least(F.floor((F.col("v") - lo_c) / width), F.lit(bins - 1)).cast("int")
@@ -207,49 +215,46 @@ def histogram(df: DataFrame, col: str, bins: int = 20, lo: float | None = None,
                                               & (F.col("v") >= lo_c) & (F.col("v") <= hi_c))
               .select(F.when(width > 0, b).otherwise(F.lit(0)).alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).cast("bigint").alias("count")))
-    # bins (a bounded range) is the preserved side; it is tiny by construction.
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (grid.join(F.broadcast(counts), "bin", "left")
+    return (grid.join(counts, "bin", "left")
             .select("bin", (lo_c + F.col("bin") * width).alias("bin_lo"),
                     (lo_c + (F.col("bin") + 1) * width).alias("bin_hi"),
                     F.coalesce("count", F.lit(0).cast("bigint")).alias("count")))
 
 
-def kde(df: DataFrame, col: str, grid_size: int = 200, fine_bins: int = 1024,
-        bandwidth: float | None = None, cut: float = 3.0) -> DataFrame:
-    """Gaussian kernel density on a grid, from a fine pre-binned histogram.
+#: A kernel further away than this many bandwidths adds less than rounding does.
+KDE_REACH = 9.0
+
 
-    Bandwidth defaults to Scott's rule (n^-1/5 x sample std), the grid spans
-    [min - cut*h, max + cut*h] as in the plotting library's default.  Cost is
-    O(bins x grid) after one aggregate pass, not O(rows x grid): each bin row
-    emits its contribution to every grid point, then grid points are summed.
-    Output ``(i, x, density)``.
+def kde(df: DataFrame, col: str, grid_size: int = 200, bandwidth: float | None = None,
+        cut: float = 0.0) -> DataFrame:
+    """Exact Gaussian kernel density on a grid: ``(i, x, density)``.
+
+    Bandwidth defaults to Scott's rule (n^-1/5 x sample std); the grid spans
+    [min - cut*h, max + cut*h], by default the data's range, as a histogram's curve is drawn.
+    Equal readings are counted first; every different one adds to the grid points within
+    ``KDE_REACH`` bandwidths, summed before the shuffle.
     """
-    v, lo_c, hi_c = _bounds(df, col, None, None)
-    stats = df.select(v.alias("v")).agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"))
-    n = stats.select("n").scalar()
-    sd = stats.select("sd").scalar()
-    h = F.lit(float(bandwidth)) if bandwidth is not None else sd * F.pow(n.cast("double"), F.lit(-0.2))
-    width = (hi_c - lo_c) / F.lit(float(fine_bins))
-    b = F.least(F.floor((F.col("v") - lo_c) / width), F.lit(fine_bins - 1)).cast("int")
-    binned = (df.select(v.alias("v")).filter(F.col("v").isNotNull())
-              .select(F.when(width > 0, b).otherwise(F.lit(0)).alias("bin"))
-              .groupBy("bin").agg(F.count(F.lit(1)).alias("c")))
-    g_lo = lo_c - F.lit(cut) * h
-    g_step = ((hi_c + F.lit(cut) * h) - g_lo) / F.lit(float(grid_size - 1))
-    center = lo_c + (F.col("bin") + F.lit(0.5)) * width
-    # scalars are projected first: subqueries may not appear inside the lambda
-    per_bin = binned.select("c", center.alias("_ctr"), g_lo.alias("_glo"),
-                            g_step.alias("_gst"), h.alias("_h"))
-    contrib = per_bin.select(F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(grid_size - 1)),
-        lambda i: F.col("c") * F.exp(F.lit(-0.5) * F.pow(
-            ((F.col("_glo") + i * F.col("_gst")) - F.col("_ctr")) / F.col("_h"), 2))
-    )).alias("i", "w"))
-    norm = n * h * F.lit(math.sqrt(2.0 * math.pi))
-    return (contrib.groupBy("i").agg(F.sum("w").alias("w"))
-            .select(F.col("i").cast("int").alias("i"), (g_lo + F.col("i") * g_step).alias("x"),
-                    (F.col("w") / norm).alias("density")))
+    v = nan_to_null(col)
+    counts = df.select(v.alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    s = df.agg(F.count(v).alias("n"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    n = s["n"]
+    h = float(bandwidth) if bandwidth is not None else (s["sd"] or 0.0) * n ** -0.2 if n else 0.0
+    grid = df.sparkSession.range(grid_size).select(F.col("id").cast("int").alias("i"))
+    if not n or not h > 0:
+        return grid.filter("false").select("i", F.lit(0.0).alias("x"), F.lit(0.0).alias("density"))
+    start, end = s["lo"] - cut * h, s["hi"] + cut * h
+    step = (end - start) / (grid_size - 1)
+    at = lambda side: F.floor((F.col("v") + F.lit(side * KDE_REACH * h) - F.lit(start)) / F.lit(step))
+    first = F.greatest(at(-1.0), F.lit(0)).cast("int")
+    last = F.least(at(1.0) + 1, F.lit(grid_size - 1)).cast("int")
+    reach = F.when(first <= last, F.sequence(first, last))
+    near = counts.select("v", "c", F.explode(reach).alias("i"))
+    weight = F.col("c") * F.exp(F.lit(-0.5) * F.pow((F.lit(start) + F.col("i") * F.lit(step) - F.col("v")) / F.lit(h), 2))
+    sums = near.groupBy("i").agg(F.sum(weight).alias("w"))
+    return (grid.join(sums, "i", "left")
+            .select("i", (F.lit(start) + F.col("i") * F.lit(step)).alias("x"),
+                    (F.coalesce("w", F.lit(0.0)) / F.lit(n * h * math.sqrt(2.0 * math.pi))).alias("density")))
 
 
 # ---------------------------------------------------------------------------
@@ -320,13 +325,8 @@ def classification_report(pred: DataFrame, label_col: str = "label", pred_col: s
     return cells.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def current_news(news: DataFrame, ts_col: str = "timestamp_leitura", tie_break: str = "cont_id"):
-    """Newest news score as a scalar Column (for J3/M9)."""
-    return current_value(news, "score_risco", ts_col, tie_break)
-
-
 __all__ = [
     "fleet_kpis", "access_risk", "volume_by_terminal", "value_counts", "arrivals_by_date",
     "class_share", "exact_quantiles", "describe_columns", "histogram", "kde",
-    "confusion_matrix", "classification_report", "current_news",
+    "confusion_matrix", "classification_report", "rain_segments",
 ]

@@ -14,9 +14,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..functions.scalars import format_local, point_x, point_y
+from ..functions.scalars import format_local, nan_to_null, point_x, point_y
 
 
 def _as_list(x) -> list:
@@ -53,10 +54,12 @@ def flag_max(df: DataFrame, col: str, flag: str = "is_max") -> DataFrame:
     """Flag every row equal to the column maximum (ties included).
 
     The maximum is a scalar subquery (partial + final aggregate, one value),
-    not a keyless window, so no single task sees all rows.
+    not a keyless window, so no single task sees all rows.  NaN counts as
+    missing: it is no maximum and is not flagged.
     """
-    top = df.select(F.max(F.col(col))).scalar()
-    return df.withColumn(flag, F.coalesce(F.col(col) == top, F.lit(False)))
+    value = nan_to_null(col) if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)) else F.col(col)
+    top = df.select(F.max(value)).scalar()
+    return df.withColumn(flag, F.coalesce(value == top, F.lit(False)))
 
 
 def latest_event(df: DataFrame, ts_col: str, tie_break: str | Sequence[str]) -> DataFrame:
@@ -95,31 +98,28 @@ def points_dim(spark, rows=None) -> DataFrame:
     return spark.createDataFrame(data, S.DIM_GEOGRAFIA)
 
 
-def map_rows(dim: DataFrame, weather: DataFrame, tie_break: str | Sequence[str] | None = None,
-             broadcast_dim: bool = False, loc_col: str = "loc_id",
-             ts_col: str = "timestamp_leitura") -> DataFrame:
+def map_rows(dim: DataFrame, weather: DataFrame, tie_break: str | Sequence[str],
+             loc_col: str = "loc_id", ts_col: str = "timestamp_leitura") -> DataFrame:
     """J1 + E2 + T9 + P13 + T11: one map row per dimension point.
 
     The weather fact is first reduced to its newest reading per location,
     then the dimension is left-joined to it: same result as joining first and
     ranking after (the key is unique in the dimension) with far less data in
     the join.  A point without readings keeps NULL measures and is drawn
-    blue.  ``broadcast_dim`` is for dimensions bounded by construction (the
-    literal points); otherwise the join strategy is left to AQE's size check.
+    blue.  The join strategy is left to Spark's size check.  ``tie_break``
+    orders readings of one location and time (as the ingest stamp does).
     """
-    tie = _as_list(tie_break) if tie_break is not None else []
+    tie = _as_list(tie_break)
     cols = [loc_col, ts_col, "precipitacao_mm", "velocidade_vento", "alerta_critico"] + \
-        [c for c in tie if c not in (loc_col, ts_col)]
-    latest = latest_per_key(weather.select(*cols), loc_col, ts_col, tie or [ts_col])
-    d = F.broadcast(dim) if broadcast_dim else dim
-    joined = d.join(latest, on=loc_col, how="left")
+        [c for c in tie if c not in (loc_col, ts_col, "precipitacao_mm", "velocidade_vento", "alerta_critico")]
+    latest = latest_per_key(weather.select(*cols), loc_col, ts_col, tie)
+    joined = dim.join(latest, on=loc_col, how="left")
     alert = F.coalesce(F.col("alerta_critico"), F.lit(False))
-    na = F.lit("n/d")
-    popup = F.concat(
-        F.lit("<b>"), F.coalesce(F.col("nome_ponto"), na), F.lit("</b><br>Tipo: "),
-        F.coalesce(F.col("tipo_ponto"), na), F.lit("<br>Chuva: "),
-        F.coalesce(F.col("precipitacao_mm").cast("string"), na), F.lit("mm<br>Vento: "),
-        F.coalesce(F.col("velocidade_vento").cast("string"), na), F.lit("km/h"))
+    na = F.lit(S.MAP_MISSING)
+    start, kind, rain, wind, end = (F.lit(x) for x in S.MAP_POPUP)
+    popup = F.concat(start, F.coalesce(F.col("nome_ponto"), na), kind, F.coalesce(F.col("tipo_ponto"), na),
+                     rain, F.coalesce(F.col("precipitacao_mm").cast("string"), na),
+                     wind, F.coalesce(F.col("velocidade_vento").cast("string"), na), end)
     return joined.select(
         loc_col, "nome_ponto",
         point_y(F.col("coordenadas")).alias("lat"),

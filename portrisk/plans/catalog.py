@@ -10,6 +10,7 @@ below the shared checkpoint folder.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from .. import schemas as S
 from ..functions import scalars as X
 from ..functions.text import page_text
 from ..operators import asof, contingency, ingest, ml, reports, state
-from ..session import ensure_parallel, scratch_path
+from ..session import scratch_path
 from ..sources import files, html
 from . import standins as SI
 
@@ -62,20 +63,62 @@ def q_weather_normalize(spark, d):
     return _ntz(ingest.normalize_weather(raw, time_col="ts", keep=["event_id"]))
 
 
-def _land_weather_csv(spark, d) -> str:
+def _land_weather_csv(spark, d) -> list[str]:
+    """Wide exports of differing headers in two landing folders; the locations whose id
+    leaves 13 by 97 send files without the rain column."""
     raw = SI.weather_raw(spark, d).select(
-        F.col("loc_id").cast("string").alias("loc_id"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "precip", "windspeed", "humidity")
-    path = scratch_path(spark, "weather-csv")
-    # explicit partition count: AQE must not coalesce the landing write into one task
-    files.write_weather_csv(raw.repartition(_land_parts(spark), "loc_id"), path)
-    return path
+        F.col("loc_id").alias("of"), F.col("loc_id").cast("string").alias("loc_id"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "precip", "windspeed", "humidity",
+        F.concat(F.lit("loc, "), F.col("loc_id").cast("string")).alias("name"),
+        F.lit('partly "cloudy", rain').alias("conditions"), (F.col("event_id") % 40).alias("tempmax"))
+    broken = F.col("of") % 97 == 13
+    paths = [scratch_path(spark, "weather-csv") for _ in range(2)]
+    for path, rows, cols in (
+            (paths[0], raw.filter(~broken & (F.col("of") % 2 == 0)),
+             ["name", "datetime", "tempmax", "humidity", "precip", "windspeed"]),
+            (paths[1], raw.filter(~broken & (F.col("of") % 2 == 1)),
+             ["windspeed", "conditions", "precip", "datetime", "humidity"]),
+            (paths[1], raw.filter(broken), ["datetime", "windspeed", "humidity"])):
+        files.write_weather_csv(rows.select("loc_id", *cols).repartition(_land_parts(spark), F.xxhash64("loc_id", "datetime")), path)
+    return paths
 
 
 def q_weather_csv_roundtrip(spark, d):
     """Land per-location CSV folders, read all in one scan, normalise."""
-    path = _land_weather_csv(spark, d)
-    return _ntz(ingest.normalize_weather(files.read_weather_csv(spark, path)))
+    readings = files.read_weather_csv(spark, _land_weather_csv(spark, d))
+    return _ntz(ingest.normalize_weather(readings, run_ts=RUN_TS))
+
+
+def q_weather_rejects(spark, d):
+    """Locations whose files lack a column are reported, the others load."""
+    landed = files.weather_files(spark.read, _land_weather_csv(spark, d))
+    return files.weather_rejects(landed).select("loc_id", "reason").distinct()
+
+
+def q_append_table(spark, d):
+    """S3: two typed batches appended to a table partitioned by day, read back."""
+    path = scratch_path(spark, "append")
+    w = _weather_str(spark, d).withColumn("dia", F.to_date("timestamp_leitura"))
+    for odd in (0, 1):
+        files.append_table(w.filter(F.col("event_id") % 2 == odd), path, partition_by=["dia"])
+    return _ntz(files.read_table(spark, path).select("event_id", "loc_id", "timestamp_leitura", "precipitacao_mm",
+                                                     "velocidade_vento", "umidade", "alerta_critico"))
+
+
+def q_table_lifecycle(spark, d):
+    """Create the tables, load the weather fact from events, count, drop twice."""
+    db = f"lifecycle_{uuid.uuid4().hex[:12]}"
+    base = scratch_path(spark, "tables")
+    made = files.create_tables(spark, db, base, partition_by={"fato_lineup": ["status_atual"]})
+    w = ingest.normalize_weather(SI.weather_raw(spark, d), time_col="ts", run_ts=RUN_TS)
+    files.conform(w, S.FATO_CLIMA).write.mode("append").insertInto(f"{db}.fato_clima")
+    n = spark.table(f"{db}.fato_clima").count()
+    gone = files.drop_tables(spark, list(S.TABLE_SCHEMAS), db)
+    again = files.drop_tables(spark, list(S.TABLE_SCHEMAS), db).withColumnRenamed("outcome", "again")
+    spark.sql(f"DROP DATABASE {db}")
+    rows = F.when(F.col("name") == "fato_clima", F.lit(n)).otherwise(F.lit(0)).cast("bigint")
+    return (made.withColumnRenamed("outcome", "created").join(gone.withColumnRenamed("outcome", "dropped"), "name")
+            .join(again, "name").withColumn("rows", rows))
 
 
 def _lineup_rows(spark, d):
@@ -113,14 +156,10 @@ def q_insert_rejects(spark, d):
     texts = e.select(F.col("event_type").alias("batch_type"),
                      F.when(broken, F.left(text, F.floor(F.length(text) / 2).cast("int")))
                      .otherwise(text).alias("json"))
-    good, bad = files.split_json_rows(texts, EVENT_ROW, "json", keep=["batch_type"])
-    g = good.groupBy(F.col("batch_type").alias("event_type")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("accepted"))
-    b = bad.groupBy(F.col("batch_type").alias("event_type")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("rejected"))
-    return g.join(b, "event_type", "full").select(
-        "event_type", F.coalesce("accepted", F.lit(0).cast("bigint")).alias("accepted"),
-        F.coalesce("rejected", F.lit(0).cast("bigint")).alias("rejected"))
+    parsed = files.parse_json_rows(texts, EVENT_ROW, "json", keep=["batch_type"])
+    return parsed.groupBy(F.col("batch_type").alias("event_type")).agg(
+        F.count_if("accepted").cast("bigint").alias("accepted"),
+        F.count_if(~F.col("accepted")).cast("bigint").alias("rejected"))
 
 
 def q_scan_project(spark, d):
@@ -143,9 +182,9 @@ STANDIN_POINTS = [("0", S.DEFAULT_POINTS[0][1], S.DEFAULT_POINTS[0][2], S.DEFAUL
 
 
 def q_points_join(spark, d):
-    """Literal monitored points (bounded, broadcast) x newest reading."""
+    """Literal monitored points x newest reading."""
     dim = state.points_dim(spark, STANDIN_POINTS)
-    return state.map_rows(dim, _weather_str(spark, d), tie_break="event_id", broadcast_dim=True)
+    return state.map_rows(dim, _weather_str(spark, d), tie_break="event_id")
 
 
 def customer_dim(spark, d):
@@ -179,9 +218,11 @@ def q_preview(spark, d):
 
 
 def q_flag_max(spark, d):
-    """Every row equal to the column maximum is flagged."""
-    e = SI.table(spark, d, "events").select("event_id", "value")
-    return state.flag_max(e, "value")
+    """Every row equal to the column maximum is flagged; some readings are NaN."""
+    e = SI.table(spark, d, "events")
+    value = F.when(F.col("event_id") % 97 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    out = state.flag_max(e.select("event_id", value.alias("value")), "value")
+    return out.select("event_id", X.nan_to_null("value").alias("value"), "is_max")
 
 
 def q_feature_store(spark, d):
@@ -197,24 +238,37 @@ def q_feature_store(spark, d):
     return joined.withColumn("current_error_value", F.coalesce(cur, F.lit(0.0)))
 
 
+def q_feature_store_view(spark, d):
+    """The feature-store view over line-up batches (all rows of a batch share one insert
+    stamp), the weather of one location and the news."""
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))
+                             + F.floor(F.col("lineup_id") / 500) % 29 * 86400 + 3600)
+    lineup = SI.lineup(spark, d).select("lineup_id", "ship_id", "terminal", at.alias("inserido_em"))
+    w = _weather_str(spark, d)
+    w = w.withColumn("loc_id", F.when(F.col("event_id") % 3 == 0, F.lit("PORT")).otherwise(F.col("loc_id")))
+    news = news_standin(spark, d).filter(F.col("texto_original") == "error")
+    return _ntz(asof.feature_store(lineup, w, news, "PORT", weather_tie=["event_id"]))
+
+
 def q_dedup_readings(spark, d):
-    """E5: a second ingest re-sends click/view readings with corrected rain;
-    the last-ingested row per (location, reading time) is kept."""
-    w = SI.weather(spark, d)
+    """E5 on the fact's own columns: a second ingest re-sends click/view readings with
+    corrected rain; the last-ingested row per (location, reading time) is kept."""
+    raw = SI.weather_raw(spark, d)
     e = SI.table(spark, d, "events").select("event_id", "event_type")
-    first = w.withColumn("inserido_em", F.lit(dt.datetime(2024, 2, 1)).cast("timestamp"))
-    again = (w.join(e.filter(F.col("event_type").isin("click", "view")), "event_id", "left_semi")
-             .withColumn("precipitacao_mm", F.col("precipitacao_mm") + F.lit(1.0))
-             .withColumn("inserido_em", F.lit(dt.datetime(2024, 2, 2)).cast("timestamp")))
-    both = ingest.union_batches([first, again])
-    return _ntz(ingest.dedup_readings(both, ("loc_id", "timestamp_leitura"), "inserido_em", "event_id"))
+    resent = raw.join(e.filter(F.col("event_type").isin("click", "view")), "event_id", "left_semi")
+    first = ingest.normalize_weather(raw, time_col="ts", run_ts=dt.datetime(2024, 2, 1))
+    again = ingest.normalize_weather(resent.withColumn("precip", F.coalesce("precip", F.lit(0.0)) + 1.0),
+                                     time_col="ts", run_ts=dt.datetime(2024, 2, 2))
+    return _ntz(ingest.dedup_readings(ingest.union_batches([first, again])))
 
 
 def q_union_batches(spark, d):
-    """Per-type batches unioned by name."""
+    """Batches of two sources with their columns in different orders, unioned by name."""
     e = SI.table(spark, d, "events").select("event_id", "event_type", "value")
-    types = ["view", "signup", "error", "click", "purchase"]
-    return ingest.union_batches([e.filter(F.col("event_type") == t) for t in types])
+    o = SI.table(spark, d, "orders").select(F.col("o_totalprice").alias("value"),
+                                            F.col("o_orderkey").alias("event_id"),
+                                            F.col("o_orderpriority").alias("event_type"))
+    return ingest.union_batches([e, o])
 
 
 # ---------------------------------------------------------------------------
@@ -227,22 +281,25 @@ def lineup_raw(spark, d):
     us = F.format_number("o_totalprice", 2)
     br = F.translate(F.translate(F.translate(us, ",", "#"), ".", ","), "#", ".")
     when_txt = (F.when(F.col("o_orderstatus") == "P", F.lit("sem data"))
-                .when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "dd/MM/yyyy"))
-                .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm")))
+                .when(F.col("o_orderstatus") == "F", F.when(F.col("o_orderkey") % 2 == 0, F.date_format(
+                    "o_orderdate", "dd-MM-yyyy")).otherwise(F.date_format("o_orderdate", "dd/MM/yy")))
+                .otherwise(F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "dd.MM.yyyy HH:mm"))
+                           .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm"))))
     return o.select(
         F.concat(F.lit("SHIP-"), F.col("o_orderkey").cast("string")).alias("Navio Ship"),
-        F.col("o_custkey").cast("string").alias("IMO"),
+        F.when(F.col("o_custkey") % 10 != 3, F.col("o_custkey").cast("string")).alias("IMO"),
         when_txt.alias("Cheg/Arrival d/m/y"),
         F.col("o_orderstatus").alias("Mercadoria Goods"),
-        F.when(F.col("o_orderpriority") == "5-LOW", F.lit("nan")).otherwise(br).alias("Peso Weight"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit("10D")).otherwise(br).alias("Peso Weight"),
         F.col("o_orderpriority").alias("Terminal"))
 
 
 def q_lineup_clean(spark, d):
-    """Raw header/text columns -> fato_lineup rows."""
+    """Raw header/text columns -> fato_lineup rows, those
+    without a ship dropped."""
     named = ingest.require_columns(ingest.rename_by_substring(lineup_raw(spark, d)),
                                    ["data_chegada_prevista"])
-    return _ntz(ingest.normalize_lineup(named, RUN_TS, strict=False, id_keys=["nome_navio"]))
+    return _ntz(ingest.normalize_lineup(named, RUN_TS, strict=False, drop_null=True, id_keys=named.columns))
 
 
 def nation_pages(spark, d):
@@ -252,16 +309,18 @@ def nation_pages(spark, d):
     region (5 rows each) is bounded by construction.
     """
     n = SI.table(spark, d, "nation")
-    row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"),
-                   F.lit("</td><td><b>"), F.col("n_name"), F.lit("</b></td><td>"),
-                   F.col("n_regionkey").cast("string"), F.lit("</td></tr>"))
-    body = n.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(
-        F.struct("n_nationkey", row.alias("tr"))))["tr"], "").alias("rows"))
-    head = ("<table class=\"lineup\"><thead><tr><th>Nation</th><th>Nation</th><th>Region</th></tr>"
-            "<tr><th>Key</th><th>Name</th><th>Key</th></tr></thead><tbody>")
+    # end tags left out, the region's key spans all of its rows, a table in a comment before
+    cells = F.concat(F.col("n_nationkey").cast("string"), F.lit("<td><b>"), F.col("n_name"), F.lit("</b>"))
+    rows = F.array_sort(F.collect_list(F.struct("n_nationkey", cells.alias("c"))))["c"]
+    body = n.groupBy("n_regionkey").agg(rows.alias("rows"))
+    key = F.concat(F.lit("<td rowspan="), F.size("rows").cast("string"), F.lit(">"), F.col("n_regionkey").cast("string"))
+    trs = F.array_join(F.transform("rows", lambda c, i: F.concat(
+        F.lit("<tr><td>"), c, F.when(i == 0, key).otherwise(F.lit("")))), "")
+    head = ("<table class=\"lineup\"><thead><tr><th colspan=2>Nation</th><th rowspan=2>Region Key</th></tr>"
+            "<tr><th>Key</th><th>Name</th></tr></thead><tbody>")
     return body.select(F.col("n_regionkey").cast("long").alias("page_id"),
-                       F.concat(F.lit("<html><body><!-- list --><p>Nations</p>" + head),
-                                F.col("rows"), F.lit("</tbody></table></body></html>")).alias("html"))
+                       F.concat(F.lit("<html><body><!-- <table><tr><td>old</table> --><p>Nations</p>" + head), trs,
+                                F.lit("</tbody></table></body></html>")).alias("html"))
 
 
 def q_html_table_rows(spark, d):
@@ -284,7 +343,7 @@ def q_page_links_first5(spark, d):
 
 def q_page_text_hits(spark, d):
     """Visible text length and keyword flags per page (whole pages)."""
-    p = ensure_parallel(SI.table(spark, d, "pages"))
+    p = SI.table(spark, d, "pages")
     t = page_text(F.col("html"))
     return p.select("page_id", t.alias("t")).select(
         "page_id", F.length("t").cast("bigint").alias("text_chars"),
@@ -312,16 +371,39 @@ def q_contingency_json(spark, d):
     return _ntz(out.withColumn("k", X.json_key(F.col("json_extraido"), "k")))
 
 
+def contingency_pages_pt(spark, d):
+    """Portuguese road and news pages of each order, written with entities and nested tags."""
+    o = SI.table(spark, d, "orders")
+    road = (F.when(F.col("o_orderstatus") == "F", F.lit("Interdi&ccedil;&atilde;o <b>total</b>"))
+            .when(F.col("o_orderstatus") == "O", F.lit("Tr&#225;fego <i>intenso</i>")).otherwise(F.lit("Livre &#x110000;")))
+    head = (F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("Paralisa&ccedil;&atilde;o dos <b>portu&aacute;rios</b> "))
+            .when(F.col("o_orderpriority") == "2-HIGH", F.lit("GREVE &amp; protesto no cais, dia ")).otherwise(F.lit("Festa dia ")))
+    link = F.concat(F.lit("<a class='x feed-post-link' href=#>"), head, F.col("o_orderkey").cast("string"), F.lit("</a>"))
+    base = o.select(F.col("o_orderkey").alias("page_id"), F.col("o_orderkey").cast("string").alias("batch_id"),
+                    F.concat(F.lit("<div><script>if (a<b) greve</script><p>"), road, F.lit("</div>")).alias("road"),
+                    F.concat(F.lit("<div data-class='feed-post-link'>greve</div>"), link,
+                             F.lit("<a class=other>greve</a>")).alias("news"))
+    return base.select("page_id", "batch_id", F.lit("road").alias("kind"), F.col("road").alias("html")).unionByName(
+        base.select("page_id", "batch_id", F.lit("news").alias("kind"), F.col("news").alias("html")))
+
+
+def q_contingency_portuguese(spark, d):
+    """X1 X3 X5 with the default rules on Portuguese pages."""
+    return _ntz(contingency.score_contingencies(contingency_pages_pt(spark, d), RUN_TS))
+
+
 def q_row_id(spark, d):
-    """Key hash ids with a fixed run stamp (retry-stable)."""
-    o = SI.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    """Key hash ids with a fixed run stamp (retry-stable); keys hold NULL and '|'."""
+    o = SI.table(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("o_custkey"),
+        F.concat(F.col("o_orderstatus"), F.lit("|"), F.col("o_orderpriority")).alias("tag"))
     return ingest.with_row_id(o.withColumn("run_ts", F.lit(RUN_TS_TEXT)), "row_id",
-                              ["o_orderkey", "o_custkey", "run_ts"]).drop("run_ts")
+                              ["o_custkey", "tag", "o_orderkey", "run_ts"]).drop("run_ts", "tag")
 
 
 def q_headline_trunc(spark, d):
     """T6 on whole documents: headline text plus whole-text length and flag."""
-    doc = ensure_parallel(SI.table(spark, d, "documents"))
+    doc = SI.table(spark, d, "documents")
     return doc.select("doc_id", X.headline("text", 40).alias("headline"),
                       F.length("text").cast("bigint").alias("text_chars"),
                       X.contains_any("text", ["license"]).alias("has_license"))
@@ -369,6 +451,19 @@ def q_volume_by_terminal(spark, d):
                     F.round("mean_rain_mm", 6).alias("mean_rain_mm"), "n_ships")
 
 
+def q_rain_segments(spark, d):
+    """A3: the stacked bars, tonnage of each (terminal, rain) segment."""
+    v = reports.rain_segments(_ships(spark, d).withColumn("rain_feature", F.floor("rain_feature").cast("double")))
+    return v.select("terminal", "rain_feature", F.round("volume", 2).alias("volume"), "n_ships")
+
+
+def q_formatted_kpis(spark, d):
+    """Presentation texts of each terminal's figures."""
+    v = reports.volume_by_terminal(_ships(spark, d))
+    return v.select("terminal", X.fmt("total_volume", ".2f").alias("volume"), X.fmt("mean_rain_mm", ".1f mm").alias("rain"),
+                    X.fmt(F.col("n_ships") / 1000.0, ".1%").alias("share"))
+
+
 def q_top_terminals(spark, d):
     """A4 O2: top five terminals by line-up rows."""
     return reports.value_counts(SI.lineup(spark, d), "terminal", 5)
@@ -397,14 +492,14 @@ def q_describe_weather(spark, d):
 
 
 def q_rain_histogram(spark, d):
-    """20 equal-width bins over the rain range."""
-    h = reports.histogram(SI.weather(spark, d), "precipitacao_mm", bins=20)
+    """Equal-width bins over the rain range, their number chosen from the data."""
+    h = reports.histogram(SI.weather(spark, d), "precipitacao_mm")
     return h.select("bin", F.round("bin_lo", 6).alias("bin_lo"), F.round("bin_hi", 6).alias("bin_hi"), "count")
 
 
 def q_rain_kde(spark, d):
-    """Gaussian KDE of rain on a 200-point grid (Scott bandwidth, fine bins)."""
-    k = reports.kde(SI.weather(spark, d), "precipitacao_mm", grid_size=200, fine_bins=1024)
+    """Exact Gaussian KDE of rain on a 200-point grid (Scott bandwidth)."""
+    k = reports.kde(SI.weather(spark, d), "precipitacao_mm", grid_size=200)
     return k.select("i", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
 
 
@@ -440,8 +535,12 @@ def lineitem_features(spark, d):
 
 
 def q_rule_label(spark, d):
-    """Rule label over features derived from lineitem."""
-    return ml.label_features(lineitem_features(spark, d))
+    """Rule label over features derived from lineitem, some of them NaN."""
+    nan = F.lit(float("nan"))
+    f = lineitem_features(spark, d).withColumn(
+        "wind_feature", F.when(F.col("l_linenumber") == 6, nan).otherwise(F.col("wind_feature")))
+    out = ml.label_features(f)
+    return out.withColumn("wind_feature", X.nan_to_null("wind_feature"))
 
 
 def _synth(spark, d):
@@ -472,20 +571,41 @@ def trained_model(spark, d):
     if key not in _MODELS:
         train, _ = ml.train_test_split(_synth(spark, d), "o_orderkey")
         model = ml.fit_risk_model(train)  # the forest persists its own bagged input
-        _MODELS[key] = ml.load_model(ml.save_model(model, scratch_path(spark, "risk-model")))
-    return _MODELS[key]
+        path = ml.save_model(model, scratch_path(spark, "risk-model"))
+        _MODELS[key] = ml.load_model(path), path
+    return _MODELS[key][0]
+
+
+def model_path(spark, d) -> str:
+    trained_model(spark, d)
+    return _MODELS[spark.sparkContext.applicationId, d][1]
+
+
+def q_model_fit(spark, d):
+    """Fit the forest anew, save it and read its trees back: nodes and leaves per tree."""
+    train, _ = ml.train_test_split(_synth(spark, d), "o_orderkey", stratify=S.MODEL_LABEL)
+    path = ml.save_model(ml.fit_risk_model(train), scratch_path(spark, "risk-fit"))
+    return ml.forest_nodes(spark, path).groupBy("tree").agg(
+        F.count(F.lit(1)).cast("bigint").alias("nodes"), F.count_if(F.col("left") < 0).cast("bigint").alias("leaves"))
+
+
+def q_split_stratified(spark, d):
+    """M4: 80/20 split that keeps the classes' shares; rows per side and class."""
+    train, test = ml.train_test_split(_synth(spark, d), "o_orderkey", stratify=S.MODEL_LABEL)
+    sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    return sides.groupBy("side", S.MODEL_LABEL).agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
 
 
 def q_model_evaluation(spark, d):
     """Confusion matrix of the forest on the held-out split."""
     _, test = ml.train_test_split(_synth(spark, d), "o_orderkey")
-    cm, _ = ml.evaluate(ml.score(trained_model(spark, d), ml.ensure_parallel(test)))
+    cm, _ = ml.evaluate(ml.score(trained_model(spark, d), ml.sized(test)))
     return cm
 
 
 def q_importances(spark, d):
-    """M6: feature importances of the trained forest."""
-    return ml.importances(trained_model(spark, d), spark)
+    """M6: feature importances from the saved trees' nodes."""
+    return ml.importances(ml.forest_nodes(spark, model_path(spark, d)))
 
 
 def _fleet(spark, d):
@@ -505,11 +625,19 @@ def q_sensitivity_sweep(spark, d):
     return ml.sweep(trained_model(spark, d), base, "wind_feature")
 
 
+def q_stress_test(spark, d):
+    """M8 as the original has it: the base row (current news score) over 17 wind values."""
+    cur = state.current_value(news_standin(spark, d), "score_risco", "timestamp_leitura", "cont_id")
+    base = spark.createDataFrame([tuple(S.SWEEP_BASE.values())], ", ".join(f"{k} double" for k in S.SWEEP_BASE))
+    base = base.withColumn("nlp_risk_score", F.coalesce(cur, F.lit(0.0)))
+    return ml.sweep(trained_model(spark, d), base, "wind_feature")
+
+
 def q_scenario_grid(spark, d):
-    """Per terminal, rain x wind surface at the current news score."""
+    """Per terminal, tonnage x rain x wind surface at the current news score."""
     cur = state.current_value(news_standin(spark, d), "score_risco", "timestamp_leitura", "cont_id")
     g = ml.scenario_grid(trained_model(spark, d), _fleet(spark, d), cur)
-    return g.select("terminal", "rain_feature", "wind_feature", "nlp_risk_score",
+    return g.select("terminal", "quantidade_estimada", "rain_feature", "wind_feature", "nlp_risk_score",
                     "risk_probability", "tier")
 
 
@@ -521,16 +649,17 @@ LINEUP_HEADERS = ["Navio Ship", "IMO", "Cheg/Arrival d/m/y", "Mercadoria Goods",
 
 
 def lineup_pages(spark, d):
-    """One landed line-up page per order: a table with the header row and one data row."""
+    """One landed line-up page per customer: a table with the header row and a row per order."""
     raw = lineup_raw(spark, d)
-    head = "<table><tr>" + "".join(f"<th>{h}</th>" for h in LINEUP_HEADERS) + "</tr><tr>"
-    cells = [F.concat(F.lit("<td>"), F.coalesce(F.col(f"`{h}`"), F.lit("")), F.lit("</td>"))
-             for h in LINEUP_HEADERS]
-    rows = raw.withColumn("page_id", F.regexp_extract(F.col("`Navio Ship`"), r"([0-9]+)$", 1).cast("long"))
-    return rows.select("page_id", F.col("page_id").cast("string").alias("batch_id"),
-                       F.lit("lineup").alias("kind"),
-                       F.concat(F.lit("<html><body><h2>Navios esperados</h2>" + head), *cells,
-                                F.lit("</tr></table></body></html>")).alias("html"))
+    head = "<table><tr>" + "".join(f"<th>{h}</th>" for h in LINEUP_HEADERS) + "</tr>"
+    cells = [F.concat(F.lit("<td>"), F.coalesce(F.col(f"`{h}`"), F.lit(""))) for h in LINEUP_HEADERS]
+    rows = raw.withColumn("o_orderkey", F.regexp_extract(F.col("`Navio Ship`"), r"([0-9]+)$", 1).cast("long")).join(
+        SI.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("page_id")), "o_orderkey")
+    pages = rows.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct(
+        "o_orderkey", F.concat(F.lit("<tr>"), *cells).alias("tr"))))["tr"], "").alias("trs"))
+    return pages.select("page_id", F.col("page_id").cast("string").alias("batch_id"), F.lit("lineup").alias("kind"),
+                        F.concat(F.lit("<html><body><h2>Navios esperados</h2>" + head), "trs",
+                                 F.lit("</table></body></html>")).alias("html"))
 
 
 def q_lineup_pages(spark, d):
@@ -545,11 +674,16 @@ def _await(query) -> None:
 
 
 def q_stream_weather(spark, d):
-    """Landed per-location CSV read as a stream -> P1 -> appended table."""
+    """Landed per-location CSV read as a stream -> P1 -> appended table, restarted once."""
     from ..streaming import streams
-    landing = _land_weather_csv(spark, d)
     out, ckpt = scratch_path(spark, "stream-weather"), scratch_path(spark, "ckpt-weather")
-    _await(streams.weather_stream(spark, landing, out, ckpt))
+    landing = f"{scratch_path(spark, 'landing-weather')}/"
+    for path in _land_weather_csv(spark, d):  # the second folder lands after the first run
+        (spark.read.text(path, wholetext=True).select(
+            F.regexp_extract("_metadata.file_path", r"/loc_id=([^/]+)/", 1).alias("loc_id"), F.rtrim("value").alias("value"))
+         .repartition(_land_parts(spark), "loc_id", F.xxhash64("value")).write.mode("append").partitionBy("loc_id")
+         .option("maxRecordsPerFile", 1).text(landing))
+        _await(streams.weather_stream(spark, landing, out, ckpt, run_ts=RUN_TS, max_files=100))
     return _ntz(spark.read.parquet(out))
 
 
@@ -568,31 +702,30 @@ def _land_events(spark, d, repeats: bool) -> str:
 
 
 def q_stream_latest(spark, d):
-    """Newest reading per location kept as streaming state, two micro-batches."""
+    """Newest reading per location merged into one table over several micro-batches."""
     from ..streaming import streams
     landing = _land_events(spark, d, repeats=False)
     schema = spark.read.parquet(landing).schema
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(landing)
     out, ckpt = scratch_path(spark, "stream-latest"), scratch_path(spark, "ckpt-latest")
-    _await(streams.latest_stream(src, ["loc_id"], ["timestamp_leitura", "event_id"], out, ckpt))
-    latest = streams.read_latest(spark, out, ["loc_id"], ["timestamp_leitura"], ["event_id"])
-    return _ntz(latest.select("loc_id", "timestamp_leitura", "precipitacao_mm",
-                              "velocidade_vento", "alerta_critico", "event_id"))
+    for _ in range(2):  # the second start finds nothing new
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(landing)
+        _await(streams.latest_stream(src, ["loc_id"], ["timestamp_leitura", "event_id"], out, ckpt))
+    return _ntz(streams.read_latest(spark, out).select("loc_id", "timestamp_leitura", "precipitacao_mm",
+                                                       "velocidade_vento", "alerta_critico", "event_id"))
 
 
 def q_stream_dedup(spark, d):
-    """Repeated readings dropped within a 15-day watermark."""
+    """Repeated readings dropped over several micro-batches, late first ones kept."""
     from ..streaming import streams
     landing = _land_events(spark, d, repeats=True)
     schema = spark.read.parquet(landing).schema
-    src = spark.readStream.schema(schema).parquet(landing)
     out, ckpt = scratch_path(spark, "stream-dedup"), scratch_path(spark, "ckpt-dedup")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 5).parquet(landing)
     _await(streams.dedup_stream(src, ["loc_id", "timestamp_leitura"], "timestamp_leitura", out, ckpt))
-    return _ntz(spark.read.parquet(out))
+    return _ntz(streams.read_deduplicated(spark, out))
 
 
-def _land_pages(spark, df: DataFrame, name: str) -> str:
-    path = scratch_path(spark, name)
+def _land_pages(spark, df: DataFrame, path: str) -> str:
     # landing produces many files (one per writer task), as a real landing zone does
     df.select(F.col("page_id").cast("long"), F.col("batch_id").cast("string"), "kind", "html") \
         .repartition(_land_parts(spark)).write.mode("append").parquet(path)
@@ -600,50 +733,99 @@ def _land_pages(spark, df: DataFrame, name: str) -> str:
 
 
 def q_stream_contingency(spark, d):
-    """Landed news/road pages scored per micro-batch (foreachBatch, replay-safe)."""
+    """Road pages land and are scored, the batches' news pages later; a row per batch."""
     from ..streaming import streams
-    landing = _land_pages(spark, contingency_pages(spark, d), "landing-news")
+    pages = contingency_pages(spark, d)
     out, ckpt = scratch_path(spark, "stream-news"), scratch_path(spark, "ckpt-news")
-    _await(streams.contingency_stream(spark, landing, out, ckpt, lambda epoch: RUN_TS, STANDIN_RULES))
-    return _ntz(spark.read.parquet(out).drop("epoch"))
+    landing = scratch_path(spark, "landing-news")
+    for kind in ("road", "news"):
+        _land_pages(spark, pages.filter(F.col("kind") == kind), landing)
+        _await(streams.contingency_stream(spark, landing, out, ckpt, lambda epoch: RUN_TS, STANDIN_RULES, max_files=4))
+    return _ntz(streams.read_contingencies(spark, out))
 
 
 def q_stream_lineup(spark, d):
     """R2: landed line-up pages read as a stream -> X2 -> appended table."""
     from ..streaming import streams
-    landing = _land_pages(spark, lineup_pages(spark, d), "landing-lineup")
+    landing = _land_pages(spark, lineup_pages(spark, d), scratch_path(spark, "landing-lineup"))
     out, ckpt = scratch_path(spark, "stream-lineup"), scratch_path(spark, "ckpt-lineup")
-    _await(streams.lineup_stream(spark, landing, out, ckpt, RUN_TS))
+    _await(streams.lineup_stream(spark, landing, out, ckpt, RUN_TS, max_files=3))
     return _ntz(spark.read.parquet(out))
 
 
 def q_run_cycle(spark, d):
-    """One hourly cycle over landed weather, line-up and news files."""
+    """One hourly cycle over landed weather, line-up and news files; the rows of the
+    three tables it wrote."""
     from .cycle import run_cycle
     landing = scratch_path(spark, "landing-cycle")
     raw = SI.weather_raw(spark, d).select(
-        F.col("loc_id").cast("string").alias("loc_id"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "precip", "windspeed", "humidity")
+        F.col("loc_id").cast("string").alias("loc_id"), "humidity", "precip", "windspeed",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"))
     files.write_weather_csv(raw.repartition(_land_parts(spark), "loc_id"), f"{landing}/weather")
     lineup_pages(spark, d).repartition(_land_parts(spark)).write.parquet(f"{landing}/lineup")
     contingency_pages(spark, d).select("page_id", "batch_id", "kind", "html").repartition(_land_parts(spark)) \
         .write.parquet(f"{landing}/news")
-    return run_cycle(spark, landing, scratch_path(spark, "warehouse"), RUN_TS, STANDIN_RULES)
+    wh = scratch_path(spark, "warehouse")
+    steps = run_cycle(spark, landing, wh, RUN_TS, STANDIN_RULES).filter("outcome <> 'ok'").collect()  # three rows
+    if steps:
+        raise RuntimeError(str(steps))
+    shape = lambda name, key, at, amount, text: files.read_table(spark, f"{wh}/{name}").select(
+        F.lit(name).alias("table_name"), F.col(key).alias("key"), F.col(at).cast("timestamp").alias("at_time"),
+        F.col(amount).alias("amount"), F.col(text).cast("string").alias("text"))
+    rows = [shape("fato_clima", "loc_id", "timestamp_leitura", "precipitacao_mm", "alerta_critico"),
+            shape("fato_lineup", "lineup_id", "data_atracacao_prevista", "quantidade_estimada", "terminal"),
+            shape("fato_contingencias_nlp", "cont_id", "timestamp_leitura", "score_risco", "texto_original")]
+    return _ntz(ingest.union_batches(rows))
 
 
 def q_dashboard_map_sql(spark, d):
     """J1 E2 T9 through Spark SQL: stand-in tables registered as views, the map
     query run as SQL text with the SQL-bodied point functions."""
     from .views import DASHBOARD_SQL, register_views
-    weather = _weather_str(spark, d).withColumn("timestamp_leitura",
-                                                F.col("timestamp_leitura").cast("timestamp"))
-    register_views(spark, tables={"fato_clima": weather, "dim_geografia_rota": customer_dim(spark, d)})
+    register_views(spark, tables={"fato_clima": _repeated_weather(spark, d),
+                                  "dim_geografia_rota": customer_dim(spark, d)})
     return spark.sql(DASHBOARD_SQL["map"])
 
 
+def _repeated_weather(spark, d):
+    """The weather fact with every reading fetched twice, the second time with more rain."""
+    w = _weather_str(spark, d).withColumn("timestamp_leitura", F.col("timestamp_leitura").cast("timestamp"))
+    stamp = lambda day: F.lit(dt.datetime(2024, 2, day)).cast("timestamp")
+    return w.withColumn("inserido_em", stamp(1)).unionByName(
+        w.withColumn("inserido_em", stamp(2)).withColumn("precipitacao_mm", F.col("precipitacao_mm") + 1.0))
+
+
+def _dashboard_tables(spark, d) -> dict:
+    at = lambda n: F.timestamp_seconds(F.lit(1704067200) + F.col(n) % 29 * 86400)
+    lineup = SI.lineup(spark, d).select(F.col("lineup_id").cast("string").alias("lineup_id"),
+                                        F.col("ship_id").cast("string").alias("ship_id"), "terminal",
+                                        at("lineup_id").alias("inserido_em"))
+    news = news_standin(spark, d).withColumn("timestamp_leitura", F.col("timestamp_leitura").cast("timestamp"))
+    w = _repeated_weather(spark, d)
+    w = w.withColumn("loc_id", F.when(F.col("event_id") % 3 == 0, F.lit("PORT")).otherwise(F.col("loc_id")))
+    return {"fato_lineup": lineup, "fato_clima": w, "fato_contingencias_nlp": news}
+
+
+def q_dashboard_ships_sql(spark, d):
+    """E1 J2 T4 through Spark SQL: the dashboard's ship query over the feature-store view."""
+    from .views import DASHBOARD_SQL, register_views
+    register_views(spark, tables=_dashboard_tables(spark, d), port_loc="PORT")
+    return _ntz(spark.sql(DASHBOARD_SQL["ships"]))
+
+
+def q_dashboard_nlp_sql(spark, d):
+    """O1 through Spark SQL: the dashboard's news query."""
+    from .views import DASHBOARD_SQL, register_views
+    register_views(spark, tables={"fato_contingencias_nlp": _dashboard_tables(spark, d)["fato_contingencias_nlp"]})
+    return _ntz(spark.sql(DASHBOARD_SQL["nlp"]))
+
+
 QUERIES: dict[str, Query] = {
     "weather_normalize": q_weather_normalize,
     "weather_csv_roundtrip": q_weather_csv_roundtrip,
+    "weather_rejects": q_weather_rejects,
+    "append_table": q_append_table,
+    "table_lifecycle": q_table_lifecycle,
     "ndjson_roundtrip": q_ndjson_roundtrip,
     "insert_rejects": q_insert_rejects,
     "scan_project": q_scan_project,
@@ -655,6 +837,7 @@ QUERIES: dict[str, Query] = {
     "preview": q_preview,
     "flag_max": q_flag_max,
     "feature_store": q_feature_store,
+    "feature_store_view": q_feature_store_view,
     "dedup_readings": q_dedup_readings,
     "union_batches": q_union_batches,
     "lineup_clean": q_lineup_clean,
@@ -664,12 +847,15 @@ QUERIES: dict[str, Query] = {
     "page_text_hits": q_page_text_hits,
     "contingency_score": q_contingency_score,
     "contingency_json": q_contingency_json,
+    "contingency_portuguese": q_contingency_portuguese,
     "row_id": q_row_id,
     "headline_trunc": q_headline_trunc,
     "local_timestamp": q_local_timestamp,
     "fleet_kpis": q_fleet_kpis,
     "access_risk_kpi": q_access_risk_kpi,
     "volume_by_terminal": q_volume_by_terminal,
+    "rain_segments": q_rain_segments,
+    "formatted_kpis": q_formatted_kpis,
     "top_terminals": q_top_terminals,
     "top_ships": q_top_ships,
     "arrivals_by_date": q_arrivals_by_date,
@@ -682,10 +868,13 @@ QUERIES: dict[str, Query] = {
     "rule_label": q_rule_label,
     "synth_features": q_synth_features,
     "split_hash": q_split_hash,
+    "split_stratified": q_split_stratified,
+    "model_fit": q_model_fit,
     "model_evaluation": q_model_evaluation,
     "importances": q_importances,
     "score_fleet": q_score_fleet,
     "sensitivity_sweep": q_sensitivity_sweep,
+    "stress_test": q_stress_test,
     "scenario_grid": q_scenario_grid,
     "lineup_pages": q_lineup_pages,
     "stream_weather": q_stream_weather,
@@ -695,4 +884,6 @@ QUERIES: dict[str, Query] = {
     "stream_lineup": q_stream_lineup,
     "run_cycle": q_run_cycle,
     "dashboard_map_sql": q_dashboard_map_sql,
+    "dashboard_ships_sql": q_dashboard_ships_sql,
+    "dashboard_nlp_sql": q_dashboard_nlp_sql,
 }

@@ -17,25 +17,32 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..operators.contingency import Rules, score_contingencies
 from ..operators.ingest import ColumnMappingError, lineup_from_pages, normalize_weather
-from ..sources.files import append_table, insert_rows, read_weather_csv
+from ..sources.files import append_table, conform, insert_rows, read_weather_csv
+from ..sources.html import HEADER_ERROR
 
 STEPS = ("weather", "lineup", "contingencies")
 
 
 def _fail_text(e: Exception) -> str:
-    return f"error: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"[:300]
+    return f"error: {type(e).__name__}: {e}"
 
 
 def _schema_error(e: Exception) -> bool:
-    text = str(e)
-    return isinstance(e, ColumnMappingError) or "no column for" in text or "duplicate column for" in text
+    """Was it a line-up's headers?  Raised while planning, or by a page in a task."""
+    return isinstance(e, ColumnMappingError) or HEADER_ERROR in str(e)
 
 
-def _weather_step(spark: SparkSession, land: str, wh: str) -> tuple[str, int, str]:
+def _by_day(df: DataFrame, time_col: str) -> DataFrame:
+    """With the partition column of a fact table: the day of ``time_col``."""
+    return df.withColumn("dia", F.to_date(time_col)).repartition("dia", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
+
+
+def _weather_step(spark: SparkSession, land: str, wh: str, run_ts) -> tuple[str, int, str]:
     # a missing or broken source is reported, the cycle goes on
     try:
-        readings = normalize_weather(read_weather_csv(spark, f"{land}/weather"))
-        n = append_table(readings, f"{wh}/fato_clima", S.FATO_CLIMA)
+        readings = normalize_weather(read_weather_csv(spark, f"{land}/weather"), run_ts=run_ts)
+        n = append_table(_by_day(conform(readings, S.FATO_CLIMA), "timestamp_leitura"), f"{wh}/fato_clima",
+                         partition_by=["dia"])
         return ("weather", n or 0, "ok")
     except Exception as e:  # noqa: BLE001 - reported per step
         return ("weather", 0, _fail_text(e))
@@ -47,7 +54,8 @@ def run_cycle(spark: SparkSession, landing: str, warehouse: str, run_ts,
 
     Landing layout: ``weather/loc_id=<id>/*.csv`` (S1), ``lineup/`` and
     ``news/`` parquet pages (``page_id, batch_id, kind, html``).  Tables are
-    appended under ``warehouse``.  Returns ``(step, rows, outcome)``.
+    appended under ``warehouse``, the weather and line-up facts by day (``dia``).
+    Returns ``(step, rows, outcome)``.
 
     The weather step does not depend on the others, so its job runs
     concurrently with the line-up step (Spark schedules jobs from several
@@ -59,13 +67,14 @@ def run_cycle(spark: SparkSession, landing: str, warehouse: str, run_ts,
     stop = False
 
     with ThreadPoolExecutor(max_workers=1) as pool:
-        weather = pool.submit(_weather_step, spark, land, wh)
+        weather = pool.submit(_weather_step, spark, land, wh, run_ts)
 
         # line-up: header problems stop the cycle (strict projection)
         try:
             pages = spark.read.schema(S.PAGES).parquet(f"{land}/lineup")
             rows = lineup_from_pages(pages, run_ts, strict=True)
-            n = append_table(rows, f"{wh}/fato_lineup", S.FATO_LINEUP)
+            n = append_table(_by_day(conform(rows, S.FATO_LINEUP), "inserido_em"), f"{wh}/fato_lineup",
+                             partition_by=["dia"])
             lineup = ("lineup", n or 0, "ok")
         except Exception as e:  # noqa: BLE001
             lineup = ("lineup", 0, _fail_text(e))

@@ -3,8 +3,8 @@
 The driver registers every parquet table as a view; the stand-in mappings
 of ``plans/standins.py`` are repeated here as CTEs.  Literal numbers used in
 double arithmetic are cast to DOUBLE (DuckDB reads ``0.5`` as DECIMAL).
-Regex patterns are shared with the Spark side as text; only constructs both
-Java regex and RE2 accept are used.
+Nothing of the Spark side's parsing is imported: the patterns below are written
+for the driver's pages alone, which hold four entities and no nested elements.
 """
 
 from __future__ import annotations
@@ -12,10 +12,8 @@ from __future__ import annotations
 import math
 
 from .. import schemas as S
-from ..functions.scalars import POINT_PATTERN
-from ..functions.text import NAMED_ENTITIES, NON_TEXT_OR_TAG_RE, NON_TEXT_RE, TAG_RE
-from ..sources.html import element_pattern
 
+POINT = r"^POINT\(([-0-9.]+) ([-0-9.]+)\)$"
 
 def q(text: str) -> str:
     """SQL string literal."""
@@ -23,21 +21,30 @@ def q(text: str) -> str:
 
 
 def drop_non_text(x: str) -> str:
-    return f"regexp_replace({x}, {q(NON_TEXT_RE)}, '', 'g')"
+    return f"regexp_replace({x}, '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>|<!DOCTYPE[^>]*>', '', 'g')"
 
 
 def decode(x: str) -> str:
-    for ref, char in NAMED_ENTITIES:
+    for ref, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):
         x = f"replace({x}, {q(ref)}, {q(char)})"
-    return x
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
 
 
-def strip_tags(x: str, sep: str = "") -> str:
-    return decode(f"regexp_replace({x}, {q(TAG_RE)}, {q(sep)}, 'g')")
+def strip_tags(x: str) -> str:
+    return decode(f"regexp_replace({x}, '</?[A-Za-z][^>]*>', '', 'g')")
 
 
 def page_text(x: str) -> str:
-    return decode(f"regexp_replace({x}, {q(NON_TEXT_OR_TAG_RE)}, '', 'g')")
+    return strip_tags(drop_non_text(x))
+
+
+def element_pattern(tag: str, cls: str | None) -> tuple[str, int]:
+    return (f"(?s)<{tag}[^>]* class=\"{cls}\"[^>]*>(.*?)</{tag}>" if cls else f"(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>"), 1
+
+
+def key_hash(*parts: str) -> str:
+    texts = [f"CAST({p} AS VARCHAR)" for p in parts]
+    return "sha256(" + " || ".join(f"COALESCE(CAST(length({t}) AS VARCHAR) || ':' || {t}, 'N')" for t in texts) + ")"
 
 
 def contains_any(x: str, words) -> str:
@@ -103,8 +110,8 @@ latest AS (
 
 
 def map_sql(dim_cte: str) -> str:
-    lat = f"TRY_CAST(NULLIF(regexp_extract(d.coordenadas, {q(POINT_PATTERN)}, 2), '') AS DOUBLE)"
-    lon = f"TRY_CAST(NULLIF(regexp_extract(d.coordenadas, {q(POINT_PATTERN)}, 1), '') AS DOUBLE)"
+    lat = f"TRY_CAST(NULLIF(regexp_extract(d.coordenadas, {q(POINT)}, 2), '') AS DOUBLE)"
+    lon = f"TRY_CAST(NULLIF(regexp_extract(d.coordenadas, {q(POINT)}, 1), '') AS DOUBLE)"
     alert = "COALESCE(l.alerta_critico, false)"
     popup = ("'<b>' || COALESCE(d.nome_ponto, 'n/d') || '</b><br>Tipo: ' || COALESCE(d.tipo_ponto, 'n/d')"
              " || '<br>Chuva: ' || COALESCE(CAST(l.precipitacao_mm AS VARCHAR), 'n/d')"
@@ -157,9 +164,26 @@ SQL["weather_normalize"] = f"""WITH {WEATHER_RAW}
 SELECT event_id, CAST(loc_id AS VARCHAR) AS loc_id, ts AS timestamp_leitura, {NORMALIZE}
 FROM weather_raw"""
 
-SQL["weather_csv_roundtrip"] = f"""WITH {WEATHER_RAW}
-SELECT CAST(loc_id AS VARCHAR) AS loc_id, date_trunc('second', ts) AS timestamp_leitura, {NORMALIZE}
-FROM weather_raw"""
+LANDED = WEATHER_RAW + """,
+landed AS (SELECT * FROM weather_raw WHERE loc_id % 97 <> 13)"""
+
+SQL["weather_csv_roundtrip"] = f"""WITH {LANDED}
+SELECT CAST(loc_id AS VARCHAR) AS loc_id, date_trunc('second', ts) AS timestamp_leitura, {NORMALIZE},
+       {RUN} AS inserido_em
+FROM landed"""
+
+SQL["weather_rejects"] = """
+SELECT DISTINCT CAST(user_id AS VARCHAR) AS loc_id, 'missing columns: precip' AS reason
+FROM events WHERE user_id % 97 = 13"""
+
+SQL["append_table"] = f"""WITH {WEATHER}
+SELECT event_id, CAST(loc_id AS VARCHAR) AS loc_id, timestamp_leitura, precipitacao_mm, velocidade_vento, umidade,
+       alerta_critico FROM weather"""
+
+SQL["table_lifecycle"] = """
+SELECT name, 'created' AS created, 'dropped' AS dropped, 'absent' AS again,
+       CASE WHEN name = 'fato_clima' THEN (SELECT CAST(count(*) AS BIGINT) FROM events) ELSE 0 END AS rows
+FROM (VALUES ('fato_clima'), ('fato_lineup'), ('fato_contingencias_nlp'), ('dim_geografia_rota')) t(name)"""
 
 SQL["ndjson_roundtrip"] = """
 SELECT CAST(o_orderkey AS VARCHAR) AS lineup_id, CAST(o_custkey AS VARCHAR) AS ship_id,
@@ -190,8 +214,20 @@ SQL["latest_event"] = "SELECT * FROM events ORDER BY ts DESC NULLS LAST, event_i
 
 SQL["preview"] = "SELECT * FROM events ORDER BY event_id LIMIT 5"
 
-SQL["flag_max"] = """SELECT event_id, value,
-       COALESCE(value = (SELECT max(value) FROM events), false) AS is_max FROM events"""
+SQL["flag_max"] = """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 97 <> 0 THEN value END AS value FROM events)
+SELECT event_id, value, COALESCE(value = (SELECT max(value) FROM e), false) AS is_max FROM e"""
+
+SQL["feature_store_view"] = f"""WITH {WEATHER},
+l AS (SELECT o_orderkey AS lineup_id, o_custkey AS ship_id, o_orderpriority AS terminal,
+             TIMESTAMP '2024-01-01 01:00:00' + to_days(CAST((o_orderkey // 500) % 29 AS INTEGER)) AS inserido_em FROM orders),
+w AS (SELECT timestamp_leitura AS wts, precipitacao_mm AS rain_feature, velocidade_vento AS wind_feature
+      FROM weather WHERE event_id % 3 = 0),
+n AS (SELECT ts AS nts, value / 500.0::DOUBLE AS score FROM events WHERE event_type = 'error'),
+lw AS (SELECT l.*, rain_feature, wind_feature FROM l ASOF LEFT JOIN w ON l.inserido_em >= w.wts)
+SELECT lw.lineup_id, ship_id, terminal, inserido_em, rain_feature, wind_feature,
+       COALESCE(score, 0.0::DOUBLE) AS nlp_risk_score
+FROM lw ASOF LEFT JOIN n ON lw.inserido_em >= n.nts"""
 
 SQL["feature_store"] = """
 WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
@@ -202,24 +238,36 @@ SELECT p.event_id, p.user_id, p.ts, v.view_value, v.view_event_id,
                  ORDER BY ts DESC, event_id DESC LIMIT 1), 0.0::DOUBLE) AS current_error_value
 FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.vts"""
 
-SQL["dedup_readings"] = f"""WITH {WEATHER},
-first_batch AS (SELECT *, TIMESTAMP '2024-02-01 00:00:00' AS inserido_em FROM weather),
-again AS (SELECT w.* REPLACE (w.precipitacao_mm + 1.0::DOUBLE AS precipitacao_mm),
-                 TIMESTAMP '2024-02-02 00:00:00' AS inserido_em
-          FROM weather w
-          WHERE w.event_id IN (SELECT event_id FROM events WHERE event_type IN ('click', 'view'))),
-both_batches AS (SELECT * FROM first_batch UNION ALL SELECT * FROM again)
-SELECT * FROM both_batches
-QUALIFY row_number() OVER (PARTITION BY loc_id, timestamp_leitura
-                           ORDER BY inserido_em DESC NULLS LAST, event_id DESC) = 1"""
-
-SQL["union_batches"] = "SELECT event_id, event_type, value FROM events"
+SQL["dedup_readings"] = f"""WITH {WEATHER_RAW},
+f AS (SELECT CAST(loc_id AS VARCHAR) AS loc_id, ts AS timestamp_leitura, {NORMALIZE},
+             TIMESTAMP '2024-02-01 00:00:00' AS inserido_em FROM weather_raw),
+more AS (SELECT * REPLACE (COALESCE(precip, 0.0::DOUBLE) + 1.0::DOUBLE AS precip) FROM weather_raw
+         WHERE event_id IN (SELECT event_id FROM events WHERE event_type IN ('click', 'view'))),
+a AS (SELECT CAST(loc_id AS VARCHAR) AS loc_id, ts AS timestamp_leitura, {NORMALIZE},
+             TIMESTAMP '2024-02-02 00:00:00' AS inserido_em FROM more),
+u AS (SELECT * FROM f UNION ALL SELECT * FROM a)
+SELECT * FROM u
+QUALIFY row_number() OVER (PARTITION BY loc_id, timestamp_leitura ORDER BY inserido_em DESC,
+    precipitacao_mm DESC NULLS LAST, velocidade_vento DESC NULLS LAST, umidade DESC NULLS LAST) = 1"""
+
+SQL["union_batches"] = """SELECT event_id, event_type, value FROM events
+UNION ALL SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders"""
 
 # --- line-up and pages -------------------------------------------------------
 
-SQL["lineup_clean"] = f"""
-SELECT sha256(concat_ws('|', 'SHIP-' || CAST(o_orderkey AS VARCHAR), {RUN_TEXT})) AS lineup_id,
-       CAST(o_custkey AS VARCHAR) AS ship_id,
+RAW_TEXT = """raw AS (
+  SELECT *, 'SHIP-' || CAST(o_orderkey AS VARCHAR) AS ship,
+         CASE WHEN o_custkey % 10 <> 3 THEN CAST(o_custkey AS VARCHAR) END AS imo,
+         CASE WHEN o_orderstatus = 'P' THEN 'sem data'
+              WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d-%m-%Y')
+              WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%d/%m/%y')
+              WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d.%m.%Y %H:%M')
+              ELSE strftime(o_orderdate, '%d/%m/%Y %H:%M') END AS when_text,
+         CASE WHEN o_orderpriority = '5-LOW' THEN '10D'
+              ELSE translate(format('{:,.2f}', o_totalprice), ',.', '.,') END AS weight
+  FROM orders)"""
+
+LINEUP_FIELDS = f"""imo AS ship_id,
        CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS data_chegada_prevista,
        CASE WHEN o_orderstatus = 'P' THEN NULL
             WHEN o_orderstatus = 'F' THEN date_trunc('day', o_orderdate)
@@ -227,8 +275,12 @@ SELECT sha256(concat_ws('|', 'SHIP-' || CAST(o_orderkey AS VARCHAR), {RUN_TEXT})
        'Esperado' AS status_atual, o_orderpriority AS terminal, o_orderstatus AS commodity,
        CASE WHEN o_orderpriority = '5-LOW' THEN 0.0::DOUBLE ELSE round(o_totalprice, 2) END
          AS quantidade_estimada,
-       {RUN} AS inserido_em
-FROM orders"""
+       {RUN} AS inserido_em"""
+
+SQL["lineup_clean"] = f"""WITH {RAW_TEXT}
+SELECT {key_hash('ship', 'imo', 'when_text', 'o_orderstatus', 'weight', 'o_orderpriority', RUN_TEXT)} AS lineup_id,
+       {LINEUP_FIELDS}
+FROM raw WHERE imo IS NOT NULL"""
 
 SQL["html_table_rows"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 
@@ -272,7 +324,7 @@ alerts AS (SELECT * FROM road_hit UNION ALL SELECT * FROM news_hit),
 per AS (SELECT batch_id, sum(weight) AS total, count(message) AS n_alerts,
                string_agg(message, {q(S.TEXT_JOIN)} ORDER BY src, page_id, ord) AS joined
         FROM alerts GROUP BY batch_id)
-SELECT sha256(concat_ws('|', {q(S.CONTINGENCY_LOC)}, batch_id, {RUN_TEXT})) AS cont_id,
+SELECT {key_hash(q(S.CONTINGENCY_LOC), 'batch_id', RUN_TEXT)} AS cont_id,
        {q(S.CONTINGENCY_LOC)} AS loc_id, {RUN} AS timestamp_leitura,
        CASE WHEN n_alerts > 0 THEN joined ELSE {q(R.default_text)} END AS texto_original,
        {q(S.CONTINGENCY_ENTITY)} AS entidade_evento,
@@ -286,7 +338,7 @@ SQL["contingency_score"] = _contingency_sql()
 
 SQL["contingency_json"] = f"""
 SELECT event_id,
-       sha256(concat_ws('|', CAST(event_id AS VARCHAR), {RUN_TEXT})) AS cont_id,
+       {key_hash('event_id', RUN_TEXT)} AS cont_id,
        'SANTOS_GERAL' AS loc_id, {RUN} AS timestamp_leitura, event_type AS texto_original,
        COALESCE(json_extract_string(props, '$.evento'), 'N/A') AS entidade_evento,
        0.8::DOUBLE AS score_risco, props AS json_extraido,
@@ -294,9 +346,24 @@ SELECT event_id,
 FROM events"""
 
 SQL["row_id"] = f"""
-SELECT o_orderkey, o_custkey,
-       sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), {RUN_TEXT})) AS row_id
-FROM orders"""
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS o_custkey,
+                  o_orderstatus || '|' || o_orderpriority AS tag FROM orders)
+SELECT o_orderkey, o_custkey, {key_hash('o_custkey', 'tag', 'o_orderkey', RUN_TEXT)} AS row_id FROM o"""
+
+SQL["contingency_portuguese"] = f"""
+WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders),
+m AS (SELECT k, CASE s WHEN 'F' THEN 'Ecovias: Bloqueio detectado no SAI.' WHEN 'O' THEN 'Ecovias: Tráfego lento.' END AS road,
+             CASE s WHEN 'F' THEN 0.5::DOUBLE WHEN 'O' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END
+               + CASE WHEN p IN ('1-URGENT', '2-HIGH') THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score,
+             CASE p WHEN '1-URGENT' THEN 'G1: ' || left('Paralisação dos portuários ' || k, 40) || '...'
+                    WHEN '2-HIGH' THEN 'G1: ' || left('GREVE & protesto no cais, dia ' || k, 40) || '...' END AS news FROM o)
+SELECT {key_hash("'SANTOS_LOGISTICA_GERAL'", 'k', RUN_TEXT)} AS cont_id, 'SANTOS_LOGISTICA_GERAL' AS loc_id,
+       {RUN} AS timestamp_leitura,
+       COALESCE(NULLIF(concat_ws(' | ', road, news), ''), 'Condições normais de acesso.') AS texto_original,
+       'Sistema Anchieta-Imigrantes / Porto' AS entidade_evento, round(least(score, 1.0::DOUBLE), 9) AS score_risco,
+       '{{"alertas":' || CAST((road IS NOT NULL)::INT + (news IS NOT NULL)::INT AS VARCHAR) || '}}' AS json_extraido,
+       k AS batch_id
+FROM m"""
 
 SQL["headline_trunc"] = f"""
 SELECT doc_id, left(text, 40) || '...' AS headline, CAST(length(text) AS BIGINT) AS text_chars,
@@ -330,6 +397,17 @@ SELECT terminal, round(sum(quantidade_estimada), 2) AS total_volume,
 FROM latest GROUP BY terminal"""
 
 
+SQL["rain_segments"] = "WITH " + LATEST_SHIPS + """
+SELECT terminal, floor(rain_feature) AS rain_feature, round(sum(quantidade_estimada), 2) AS volume,
+       CAST(count(*) AS BIGINT) AS n_ships
+FROM latest GROUP BY terminal, floor(rain_feature)"""
+
+SQL["formatted_kpis"] = "WITH " + LATEST_SHIPS + """
+SELECT terminal, printf('%.2f', sum(quantidade_estimada)) AS volume, printf('%.1f mm', avg(rain_feature)) AS rain,
+       printf('%.1f%%', CAST(count(*) AS DOUBLE) / 1000.0::DOUBLE * 100.0::DOUBLE) AS share
+FROM latest GROUP BY terminal"""
+
+
 def _top(col: str) -> str:
     return "WITH " + LINEUP + f"""
 SELECT {col}, CAST(count(*) AS BIGINT) AS count,
@@ -362,33 +440,26 @@ agg AS (SELECT measure,
 SELECT measure, stat, round(value, 6) AS value FROM agg"""
 
 SQL["rain_histogram"] = f"""WITH {WEATHER},
-b AS (SELECT min(precipitacao_mm) AS lo, max(precipitacao_mm) AS hi FROM weather),
-w AS (SELECT lo, hi, (hi - lo) / 20.0::DOUBLE AS width FROM b),
-c AS (SELECT CAST(CASE WHEN w.width > 0 THEN least(floor((x.precipitacao_mm - w.lo) / w.width), 19)
-                       ELSE 0 END AS INTEGER) AS bin, count(*) AS n
-      FROM weather x, w
-      WHERE x.precipitacao_mm IS NOT NULL AND x.precipitacao_mm >= w.lo AND x.precipitacao_mm <= w.hi
-      GROUP BY 1),
-g AS (SELECT CAST(range AS INTEGER) AS bin FROM range(20))
+b AS (SELECT min(precipitacao_mm) AS lo, max(precipitacao_mm) AS hi, count(precipitacao_mm) AS n,
+             quantile_cont(precipitacao_mm, 0.75) - quantile_cont(precipitacao_mm, 0.25) AS iqr FROM weather),
+k AS (SELECT lo, hi, CAST(ceil((hi - lo) / least((hi - lo) / (log2(n) + 1),
+             COALESCE(NULLIF(2 * iqr / pow(n, 1.0::DOUBLE / 3), 0), hi - lo))) AS INTEGER) AS bins FROM b),
+w AS (SELECT lo, hi, bins, (hi - lo) / bins::DOUBLE AS width FROM k),
+c AS (SELECT CAST(least(floor((x.precipitacao_mm - w.lo) / w.width), w.bins - 1) AS INTEGER) AS bin, count(*) AS n
+      FROM weather x, w WHERE x.precipitacao_mm IS NOT NULL GROUP BY 1),
+g AS (SELECT CAST(unnest(range(bins)) AS INTEGER) AS bin FROM w)
 SELECT g.bin, round(w.lo + g.bin * w.width, 6) AS bin_lo, round(w.lo + (g.bin + 1) * w.width, 6) AS bin_hi,
        CAST(COALESCE(c.n, 0) AS BIGINT) AS count
 FROM g CROSS JOIN w LEFT JOIN c ON g.bin = c.bin"""
 
 SQL["rain_kde"] = f"""WITH {WEATHER},
 v AS (SELECT precipitacao_mm AS v FROM weather WHERE precipitacao_mm IS NOT NULL),
-s AS (SELECT min(v) AS lo, max(v) AS hi, count(v) AS n, stddev_samp(v) AS sd FROM v),
-p AS (SELECT lo, hi, n, sd * pow(CAST(n AS DOUBLE), -0.2::DOUBLE) AS h, (hi - lo) / 1024.0::DOUBLE AS width FROM s),
-g AS (SELECT *, lo - 3.0::DOUBLE * h AS g_lo,
-             ((hi + 3.0::DOUBLE * h) - (lo - 3.0::DOUBLE * h)) / 199.0::DOUBLE AS g_step FROM p),
-binned AS (SELECT CAST(CASE WHEN p.width > 0 THEN least(floor((v.v - p.lo) / p.width), 1023) ELSE 0 END
-                       AS INTEGER) AS bin, count(*) AS c
-           FROM v, p GROUP BY 1),
-contrib AS (SELECT r.i, binned.c * exp(-0.5::DOUBLE * pow(((g.g_lo + r.i * g.g_step)
-                      - (g.lo + (binned.bin + 0.5::DOUBLE) * g.width)) / g.h, 2)) AS w
-            FROM binned, g, (SELECT CAST(range AS INTEGER) AS i FROM range(200)) r)
-SELECT CAST(contrib.i AS INTEGER) AS i, round(g.g_lo + contrib.i * g.g_step, 6) AS x,
-       round(sum(contrib.w) / (g.n * g.h * {math.sqrt(2.0 * math.pi)!r}::DOUBLE), 9) AS density
-FROM contrib, g GROUP BY contrib.i, g.g_lo, g.g_step, g.n, g.h"""
+s AS (SELECT min(v) AS lo, max(v) AS hi, count(v) AS n, stddev_samp(v) * pow(CAST(count(v) AS DOUBLE), -0.2::DOUBLE) AS h
+      FROM v),
+g AS (SELECT CAST(range AS INTEGER) AS i, lo + range * ((hi - lo) / 199.0::DOUBLE) AS x, n, h FROM range(200), s)
+SELECT i, round(x, 6) AS x,
+       round(sum(exp(-0.5::DOUBLE * pow((x - v.v) / h, 2))) / (n * h * {math.sqrt(2.0 * math.pi)!r}::DOUBLE), 9) AS density
+FROM g, v GROUP BY i, x, n, h"""
 
 LABEL_PRED = "lp AS (SELECT quality AS label, 1 - toxic AS prediction FROM labels)"
 
@@ -428,7 +499,7 @@ UNION ALL SELECT 'weighted avg',
 
 SQL["rule_label"] = f"""
 WITH f AS (SELECT l_orderkey, l_linenumber, l_discount * 1000.0::DOUBLE AS rain_feature,
-                  l_quantity * 1.2::DOUBLE AS wind_feature, l_tax * 12.5::DOUBLE AS nlp_risk_score,
+                  CASE WHEN l_linenumber <> 6 THEN l_quantity * 1.2::DOUBLE END AS wind_feature, l_tax * 12.5::DOUBLE AS nlp_risk_score,
                   l_extendedprice AS quantidade_estimada FROM lineitem)
 SELECT *, {label_case()} AS target_is_delayed FROM f"""
 
@@ -443,6 +514,13 @@ def _synth_cte() -> str:
 
 SQL["synth_features"] = f"WITH {_synth_cte()} SELECT *, {label_case()} AS target_is_delayed FROM synth"
 
+SQL["split_stratified"] = f"""WITH {_synth_cte()},
+lab AS (SELECT {label_case()} AS target_is_delayed, {uniform('o_orderkey', 97)} AS u FROM synth),
+r AS (SELECT *, row_number() OVER (PARTITION BY target_is_delayed ORDER BY u) AS k,
+             count(*) OVER (PARTITION BY target_is_delayed) AS n FROM lab)
+SELECT CASE WHEN k <= ceil(n * {S.TEST_FRACTION}::DOUBLE) THEN 'test' ELSE 'train' END AS side, target_is_delayed,
+       CAST(count(*) AS BIGINT) AS rows FROM r GROUP BY 1, 2"""
+
 SQL["split_hash"] = f"""WITH {_synth_cte()},
 lab AS (SELECT *, {label_case()} AS target_is_delayed,
                CASE WHEN {uniform('o_orderkey', 97)} < {S.TEST_FRACTION}::DOUBLE THEN 'test' ELSE 'train' END AS side
@@ -452,20 +530,11 @@ FROM lab GROUP BY side"""
 
 # --- line-up pages, streams, cycle -------------------------------------------
 
-LINEUP_FROM_TEXT = """
-       CAST(o_custkey AS VARCHAR) AS ship_id,
-       CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS data_chegada_prevista,
-       CASE WHEN o_orderstatus = 'P' THEN NULL
-            WHEN o_orderstatus = 'F' THEN date_trunc('day', o_orderdate)
-            ELSE date_trunc('minute', o_orderdate) END AS data_atracacao_prevista,
-       'Esperado' AS status_atual, o_orderpriority AS terminal, o_orderstatus AS commodity,
-       CASE WHEN o_orderpriority = '5-LOW' THEN 0.0::DOUBLE ELSE round(o_totalprice, 2) END
-         AS quantidade_estimada,
-       """ + RUN + """ AS inserido_em
-FROM orders"""
-
-SQL["lineup_pages"] = f"""
-SELECT sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), '0', {RUN_TEXT})) AS lineup_id,""" + LINEUP_FROM_TEXT
+SQL["lineup_pages"] = f"""WITH {RAW_TEXT},
+n AS (SELECT *, COALESCE(imo, '') AS cell, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM raw)
+SELECT {key_hash('o_custkey', 'k', RUN_TEXT)} AS lineup_id, * FROM (
+  SELECT o_custkey, k, {LINEUP_FIELDS} FROM (SELECT * REPLACE (cell AS imo) FROM n))"""
+SQL["lineup_pages"] = f"SELECT * EXCLUDE (o_custkey, k) FROM ({SQL['lineup_pages']})"
 SQL["stream_lineup"] = SQL["lineup_pages"]
 
 SQL["stream_weather"] = SQL["weather_csv_roundtrip"]
@@ -483,18 +552,43 @@ FROM weather"""
 
 SQL["stream_contingency"] = SQL["contingency_score"]
 
-SQL["run_cycle"] = """
-SELECT 'weather' AS step, CAST(count(*) AS BIGINT) AS rows, 'ok' AS outcome FROM events
-UNION ALL SELECT 'lineup', CAST(count(*) AS BIGINT), 'ok' FROM orders
-UNION ALL SELECT 'contingencies', CAST(count(*) AS BIGINT), 'ok' FROM pages"""
-
-SQL["dashboard_map_sql"] = f"""WITH {WEATHER}, {CUSTOMER_DIM.strip()},
+SQL["run_cycle"] = f"""WITH {WEATHER_RAW}
+SELECT 'fato_clima' AS table_name, loc_id AS key, at_time, amount, text FROM (
+  SELECT CAST(loc_id AS VARCHAR) AS loc_id, date_trunc('second', ts) AS at_time, {NORMALIZE}, precipitacao_mm AS amount,
+         CAST(alerta_critico AS VARCHAR) AS text FROM weather_raw)
+UNION ALL SELECT 'fato_lineup', lineup_id, data_atracacao_prevista, quantidade_estimada, terminal
+FROM ({SQL['lineup_pages']})
+UNION ALL SELECT 'fato_contingencias_nlp', cont_id, timestamp_leitura, score_risco, texto_original
+FROM ({SQL['contingency_score']})"""
+
+REPEATED = WEATHER + """,
+twice AS (SELECT *, TIMESTAMP '2024-02-01 00:00:00' AS inserido_em FROM weather
+          UNION ALL SELECT * REPLACE (precipitacao_mm + 1.0::DOUBLE AS precipitacao_mm), TIMESTAMP '2024-02-02 00:00:00'
+          FROM weather)"""
+
+SQL["dashboard_ships_sql"] = f"""WITH {REPEATED},
+l AS (SELECT CAST(o_orderkey AS VARCHAR) AS lineup_id, CAST(o_custkey AS VARCHAR) AS ship_id, o_orderpriority AS terminal,
+             TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(o_orderkey % 29 AS INTEGER)) AS inserido_em FROM orders),
+w AS (SELECT timestamp_leitura AS wts, precipitacao_mm AS rain_feature, velocidade_vento AS wind_feature FROM twice
+      WHERE event_id % 3 = 0 AND inserido_em = TIMESTAMP '2024-02-02 00:00:00'),
+n AS (SELECT ts AS nts, value / 500.0::DOUBLE AS score FROM events),
+top AS (SELECT * FROM l WHERE ship_id IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY ship_id ORDER BY inserido_em DESC, lineup_id DESC) = 1),
+lw AS (SELECT top.*, rain_feature, wind_feature FROM top ASOF LEFT JOIN w ON top.inserido_em >= w.wts)
+SELECT lw.*, COALESCE(score, 0.0::DOUBLE) AS nlp_risk_score, {local_text('lw.inserido_em')} AS data_formatada
+FROM lw ASOF LEFT JOIN n ON lw.inserido_em >= n.nts"""
+
+SQL["dashboard_nlp_sql"] = """
+SELECT event_type AS texto_original, value / 500.0::DOUBLE AS score_risco, ts AS timestamp_leitura
+FROM events ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC LIMIT 1"""
+
+SQL["dashboard_map_sql"] = f"""WITH {REPEATED}, {CUSTOMER_DIM.strip()},
 latest AS (
   SELECT CAST(loc_id AS VARCHAR) AS loc_id, precipitacao_mm, velocidade_vento, alerta_critico
-  FROM weather
-  QUALIFY row_number() OVER (PARTITION BY loc_id ORDER BY timestamp_leitura DESC NULLS LAST) = 1)
+  FROM twice
+  QUALIFY row_number() OVER (PARTITION BY loc_id ORDER BY timestamp_leitura DESC NULLS LAST, inserido_em DESC) = 1)
 SELECT d.loc_id, d.nome_ponto,
-       TRY_CAST(NULLIF(regexp_extract(d.coordenadas, {q(POINT_PATTERN)}, 2), '') AS DOUBLE) AS lat,
-       TRY_CAST(NULLIF(regexp_extract(d.coordenadas, {q(POINT_PATTERN)}, 1), '') AS DOUBLE) AS lon,
+       TRY_CAST(NULLIF(regexp_extract(d.coordenadas, {q(POINT)}, 2), '') AS DOUBLE) AS lat,
+       TRY_CAST(NULLIF(regexp_extract(d.coordenadas, {q(POINT)}, 1), '') AS DOUBLE) AS lon,
        d.tipo_ponto, l.precipitacao_mm, l.velocidade_vento, l.alerta_critico
 FROM dim d LEFT JOIN latest l ON d.loc_id = l.loc_id"""

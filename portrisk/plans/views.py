@@ -11,10 +11,11 @@ which Spark plans as a partial ``WindowGroupLimit`` before the shuffle.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas as S
-from ..functions.scalars import POINT_PATTERN
+from ..functions.scalars import NUMBER_PATTERN, POINT_PATTERN
 from ..operators.asof import feature_store
 from ..sources.files import read_table
 
@@ -35,8 +36,8 @@ SQL_FUNCTIONS = [
         RETURN date_format(from_utc_timestamp(ts, {_lit(S.LOCAL_TZ)}), {_lit(S.LOCAL_FORMAT)})""",
     # Brazilian number text -> double, bad text -> 0
     """CREATE OR REPLACE TEMPORARY FUNCTION br_number(txt STRING) RETURNS DOUBLE
-        RETURN coalesce(nanvl(try_cast(replace(replace(trim(txt), '.', ''), ',', '.') AS DOUBLE),
-                              CAST(NULL AS DOUBLE)), 0D)""",
+        RETURN coalesce(CASE WHEN replace(replace(trim(txt), '.', ''), ',', '.') RLIKE """ + _lit(NUMBER_PATTERN) + """
+                        THEN try_cast(replace(replace(trim(txt), '.', ''), ',', '.') AS DOUBLE) END, 0D)""",
 ]
 
 DASHBOARD_SQL = {
@@ -57,7 +58,7 @@ DASHBOARD_SQL = {
         WITH latest AS (
           SELECT loc_id, precipitacao_mm, velocidade_vento, alerta_critico FROM (
             SELECT *, row_number() OVER (PARTITION BY loc_id
-                                         ORDER BY timestamp_leitura DESC) AS _rn
+                                         ORDER BY timestamp_leitura DESC, inserido_em DESC) AS _rn
             FROM fato_clima)
           WHERE _rn = 1)
         SELECT g.loc_id, g.nome_ponto, point_y(g.coordenadas) AS lat, point_x(g.coordenadas) AS lon,
@@ -85,10 +86,14 @@ def register_views(spark: SparkSession, warehouse: str | None = None,
     if warehouse:
         for name, schema in S.TABLE_SCHEMAS.items():
             if name not in frames:
+                path = f"{warehouse.rstrip('/')}/{name}"
                 try:
-                    frames[name] = read_table(spark, f"{warehouse.rstrip('/')}/{name}", schema)
-                except Exception:  # noqa: BLE001 - a table not written yet is not registered
+                    spark.read.parquet(path).schema
+                except AnalysisException as e:  # a table not written yet is not registered
+                    if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                        raise
                     continue
+                frames[name] = read_table(spark, path, schema)
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
     names = list(frames)

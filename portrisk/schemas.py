@@ -21,6 +21,7 @@ FATO_CLIMA = T.StructType([
     T.StructField("velocidade_vento", T.DoubleType()),
     T.StructField("umidade", T.DoubleType()),
     T.StructField("alerta_critico", T.BooleanType(), nullable=False),
+    T.StructField("inserido_em", T.TimestampType()),  # ingest stamp: orders re-fetched readings
 ])
 
 FATO_LINEUP = T.StructType([
@@ -140,6 +141,9 @@ PROBABILITY_TIERS = [(0.7, "high"), (0.4, "moderate")]
 PROBABILITY_TIER_DEFAULT = "safe"
 LOCAL_TZ = "America/Sao_Paulo"
 LOCAL_FORMAT = "dd/MM/yyyy HH:mm"
+# Popup of a map point: the text before each of name, kind, rain and wind, and the end.
+MAP_POPUP = ("<b>", "</b><br>Tipo: ", "<br>Chuva: ", "mm<br>Vento: ", "km/h")
+MAP_MISSING = "n/d"
 MAP_ALERT_STYLE = ("red", "cloud-showers-heavy")
 MAP_NORMAL_STYLE = ("blue", "ship")
 
@@ -170,3 +174,4 @@ SWEEP_BASE = {"rain_feature": 0.0, "wind_feature": 0.0,
 SWEEP_WIND_VALUES = list(range(0, 81, 5))
 SCENARIO_RAIN_VALUES = list(range(0, 101, 10))
 SCENARIO_WIND_VALUES = list(range(0, 51, 5))
+SCENARIO_TONNAGE_VALUES = list(range(5000, 150001, 29000))

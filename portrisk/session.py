@@ -10,6 +10,7 @@ intermediate tables and stream checkpoints go below it.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,12 +41,6 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = os.environ.get("PORTRISK_DRIVER_MEMORY", "16g")
-    if master.startswith("local"):
-        # one JVM lists a local disk faster itself than through a listing job
-        conf["spark.sql.sources.parallelPartitionDiscovery.threshold"] = "100000"
-        # local disk only: no .crc side file per written file (halves file creations)
-        conf["spark.hadoop.fs.file.impl"] = "org.apache.hadoop.fs.RawLocalFileSystem"
-        conf["spark.hadoop.fs.file.impl.disable.cache"] = "true"
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -66,8 +61,9 @@ def apply_session_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only when unset.
 
-    A cluster names it in ``spark.checkpoint.dir``; that value is always used.
-    Only a bare local session (tests, bench) gets a fresh temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``; that value is always used.  Only a
+    local session (tests, bench) gets a fresh temporary folder; a cluster without the
+    setting is an error, as every executor would write to a disk of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -77,6 +73,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="portrisk-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
@@ -87,19 +85,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/portrisk-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
-
-def ensure_parallel(df):
-    """Spread a frame over all cores when its scan yields fewer partitions than
-    cores, before CPU-heavy per-row work (page parsing, model scoring).
-
-    Large inputs already have many partitions and pass through without a
-    shuffle; streaming frames are left alone (their layout is the source's).
-    """
-    if df.isStreaming:
-        return df
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): keep the layout
-        return df
-    return df.repartition(par) if parts < par else df

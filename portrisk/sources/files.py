@@ -9,48 +9,101 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions.scalars import date_text, timestamp_text
+from ..session import scratch_path
 
 CORRUPT = "_corrupt_record"
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select and cast to ``schema`` (missing column -> AnalysisException)."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    """Select and cast to ``schema``.
+
+    A missing column is an AnalysisException; NULL in a column that is not nullable fails the
+    job with that column's name (file tables keep no NOT NULL of their own).
+    """
+    def column(f: T.StructField) -> Column:
+        value = F.col(f.name).cast(f.dataType)
+        if not f.nullable:
+            value = F.coalesce(value, F.raise_error(f"NULL in required column {f.name}").cast(f.dataType))
+        return value.alias(f.name)
+    return df.select(*[column(f) for f in schema.fields])
 
 
 # ---------------------------------------------------------------------------
 # S1 weather CSV
 # ---------------------------------------------------------------------------
 
+_FIELD = r'("(?:[^"]|"")*"|[^,"]*),'
+
+
+def _fields(line: Column) -> Column:
+    """Fields of one CSV line, unquoted."""
+    raw = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(_FIELD), F.lit(1))
+    return F.transform(raw, lambda x: F.when(
+        x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(F.trim(x)))
+
+
+def weather_files(reader, path: str | Sequence[str], schema: T.StructType = S.WEATHER_CSV,
+                  loc_col: str = "loc_id") -> DataFrame:
+    """Landed weather exports, one row per file: (loc_col, file, header, lines, missing).
+
+    ``reader`` is ``spark.read`` or ``spark.readStream``.  An export is the days of one
+    location, so a file is a small unit of work; its own header line says where its columns
+    are.  ``missing`` names the columns of ``schema`` that the header lacks.  The location is
+    the ``loc_col=<id>`` folder, whether one path or a list of paths is given.  (Its name is
+    decoded twice: as a path's text and as a partition folder's.)
+    """
+    texts = reader.option("recursiveFileLookup", True).text(path if isinstance(path, str) else list(path), wholetext=True)
+    at = F.col("_metadata.file_path")
+    lines = F.filter(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
+    header = F.transform(_fields(F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit(""))), F.lower)
+    wanted = F.array(*[F.lit(f.name.lower()) for f in schema.fields])
+    return (texts.select(F.try_url_decode(F.try_url_decode(F.regexp_extract(at, rf"/{loc_col}=([^/]+)/", 1))).alias(loc_col),
+                         at.alias("file"), lines.alias("lines"))
+            .withColumn("header", header).withColumn("missing", F.array_except(wanted, "header")))
+
+
+def weather_rows(landed: DataFrame, schema: T.StructType = S.WEATHER_CSV, loc_col: str = "loc_id",
+                 quarantine: bool = False) -> DataFrame:
+    """Readings of the files that have every column, picked by header name.
+
+    A field that does not fit its type is NULL.  ``quarantine=True`` adds the raw text of
+    lines with too few or too many fields in ``_corrupt_record`` (NULL for good lines).
+    """
+    rows = (landed.filter(F.size("missing") == 0)
+            .select(loc_col, "header", F.explode(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))).alias("line"))
+            .withColumn("fields", _fields(F.col("line"))))
+    cols = [F.nullif(F.try_element_at("fields", F.array_position("header", f.name.lower()).cast("int")), F.lit(""))
+            .try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    bad = [F.when(F.size("fields") != F.size("header"), F.col("line")).alias(CORRUPT)] if quarantine else []
+    return rows.select(*cols, *bad, loc_col)
+
+
+def weather_rejects(landed: DataFrame, loc_col: str = "loc_id") -> DataFrame:
+    """The files that were left out: (loc_col, file, reason).  The others load."""
+    return landed.filter(F.size("missing") > 0).select(
+        loc_col, "file", F.concat(F.lit("missing columns: "), F.array_join("missing", ", ")).alias("reason"))
+
+
 def read_weather_csv(spark: SparkSession, path: str | Sequence[str],
                      schema: T.StructType = S.WEATHER_CSV, loc_col: str = "loc_id",
                      quarantine: bool = False) -> DataFrame:
-    """Header CSV files below ``path/loc_id=<id>/``, all locations in one scan.
+    """Header CSV files below ``<path>/loc_id=<id>/``, all locations in one scan.
 
-    The location comes from the folder name (partition discovery), so a
-    location with no files simply contributes no rows and the others load.
-    ``quarantine=True`` adds the raw text of malformed lines in
-    ``_corrupt_record`` (NULL for good lines).
+    A location with no files, or only files that lack a column (``weather_rejects``),
+    contributes no rows, and the others load.
     """
-    fields = list(schema.fields) + [T.StructField(loc_col, T.StringType())]
-    if quarantine:
-        fields.insert(len(schema.fields), T.StructField(CORRUPT, T.StringType()))
-    reader = (spark.read.schema(T.StructType(fields)).option("header", True)
-              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
-    if isinstance(path, str):
-        return reader.option("basePath", path).csv(path)
-    return reader.csv(list(path))
+    return weather_rows(weather_files(spark.read, path, schema, loc_col), schema, loc_col, quarantine)
 
 
 def write_weather_csv(df: DataFrame, path: str, loc_col: str = "loc_id") -> None:
     """Land readings as header CSV per location (test fixture writer for S1/R1)."""
-    (df.write.mode("append").partitionBy(loc_col).option("header", True).csv(path))
+    (df.write.mode("append").partitionBy(loc_col).option("header", True).option("escape", '"').csv(path))
 
 
 # ---------------------------------------------------------------------------
@@ -127,17 +180,24 @@ def split_json_rows(texts: DataFrame, schema: T.StructType, text_col: str = "jso
     A row is rejected when its text is not a JSON object or a field does not
     fit its type; the rejected frame keeps the raw text and a reason.
     """
+    parsed = parse_json_rows(texts, schema, text_col, keep)
+    accepted = parsed.filter("accepted").select(*keep, *[f.name for f in schema.fields])
+    rejected = parsed.filter("not accepted").select(*keep, "raw", F.lit(
+        "row does not match table schema").alias("reason"))
+    return accepted, rejected
+
+
+def parse_json_rows(texts: DataFrame, schema: T.StructType, text_col: str = "json",
+                    keep: Sequence[str] = ()) -> DataFrame:
+    """Every JSON text row with its fields, its raw text and whether it is accepted."""
     with_corrupt = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
     parsed = texts.select(*keep, F.col(text_col).alias("_raw"), F.from_json(
         F.col(text_col), with_corrupt,
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
          "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"}).alias("_r"))
     bad = F.col("_raw").isNull() | F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull()
-    accepted = parsed.filter(~bad).select(*keep, *[F.col(f"_r.{f.name}").alias(f.name)
-                                                   for f in schema.fields])
-    rejected = parsed.filter(bad).select(*keep, F.col("_raw").alias("raw"),
-                                         F.lit("row does not match table schema").alias("reason"))
-    return accepted, rejected
+    return parsed.select(*keep, F.col("_raw").alias("raw"), (~bad).alias("accepted"),
+                         *[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields])
 
 
 def insert_rows(texts: DataFrame, schema: T.StructType, table_path: str, rejects_path: str,
@@ -146,9 +206,12 @@ def insert_rows(texts: DataFrame, schema: T.StructType, table_path: str, rejects
 
     Returns (accepted, rejected) counts; ``rejected == 0`` is success.
     """
-    good, bad = split_json_rows(texts, schema, text_col)
-    n_good = append_table(good, table_path, schema)
-    n_bad = append_table(bad, rejects_path)
+    staged_path = scratch_path(texts.sparkSession, "insert")  # parsed once, appended from there
+    parse_json_rows(texts, schema, text_col).write.parquet(staged_path)
+    staged = texts.sparkSession.read.parquet(staged_path)
+    n_good = append_table(staged.filter("accepted"), table_path, schema)
+    n_bad = append_table(staged.filter("not accepted").select("raw", F.lit(
+        "row does not match table schema").alias("reason")), rejects_path)
     return n_good or 0, n_bad or 0
 
 
@@ -157,24 +220,31 @@ def insert_rows(texts: DataFrame, schema: T.StructType, table_path: str, rejects
 # ---------------------------------------------------------------------------
 
 def _ddl(schema: T.StructType) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in schema.fields)
 
 
-def create_tables(spark: SparkSession, db: str = "logisticsdata", location: str | None = None,
-                  tables: dict[str, T.StructType] | None = None) -> DataFrame:
-    """``CREATE TABLE IF NOT EXISTS`` for the fact and dimension tables."""
+def create_tables(spark: SparkSession, db: str, location: str | None = None,
+                  tables: dict[str, T.StructType] | None = None,
+                  partition_by: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """``CREATE TABLE IF NOT EXISTS`` for the fact and dimension tables.
+
+    Columns that are not nullable are NOT NULL in the DDL and checked by ``conform``;
+    ``partition_by`` names a table's partition columns.
+    """
     tables = tables or S.TABLE_SCHEMAS
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
     out = []
     for name, schema in tables.items():
         loc = f" LOCATION '{location.rstrip('/')}/{name}'" if location else ""
         existed = spark.catalog.tableExists(f"{db}.{name}")
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {db}.{name} ({_ddl(schema)}) USING parquet{loc}")
+        parts = (partition_by or {}).get(name, ())
+        by = f" PARTITIONED BY ({', '.join(parts)})" if parts else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {db}.{name} ({_ddl(schema)}) USING parquet{by}{loc}")
         out.append((name, "exists" if existed else "created"))
     return spark.createDataFrame(out, "name string, outcome string")
 
 
-def drop_tables(spark: SparkSession, names: Sequence[str], db: str = "logisticsdata") -> DataFrame:
+def drop_tables(spark: SparkSession, names: Sequence[str], db: str) -> DataFrame:
     """Drop each table if present; a missing table is not an error.
 
     Returns one outcome row per table: dropped, absent, or the error text.
@@ -187,7 +257,7 @@ def drop_tables(spark: SparkSession, names: Sequence[str], db: str = "logisticsd
             spark.sql(f"DROP TABLE IF EXISTS {full}")
             out.append((name, "dropped" if existed else "absent"))
         except Exception as e:  # noqa: BLE001 - reported per table, as the original does
-            out.append((name, f"error: {e}"[:500]))
+            out.append((name, f"error: {e}"))
     return spark.createDataFrame(out, "name string, outcome string")
 
 

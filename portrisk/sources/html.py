@@ -1,46 +1,16 @@
 """HTML page sources: tables (S2, P4) and elements by tag/class.
 
-Pages are rows of a ``pages(page_id, html, ...)`` DataFrame; every page is
-parsed inside the executors with regex generators (``regexp_extract_all`` +
-``posexplode``), so the work is spread by page and nothing goes through the
-driver.  Scope (stated, not hidden): colspan is expanded; nested tables and
-rowspan are not supported, and elements of the same tag nested in each
-other are not paired up.
+Pages are rows of a ``pages(page_id, html, ...)`` DataFrame; every page is parsed in the
+executors (``functions/text.py``), so the work is spread by page and nothing goes through
+the driver.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ColumnOrName, _c
-from ..functions.text import drop_non_text, strip_tags
-from ..session import ensure_parallel
-
-TABLE_RE = r"(?is)<table\b[^>]*>(.*?)</table\s*>"
-THEAD_RE = r"(?is)<thead\b[^>]*>(.*?)</thead\s*>"
-ROW_RE = r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"
-CELL_RE = r"(?is)<t([hd])\b([^>]*)>(.*?)</t[hd]\s*>"
-COLSPAN_RE = r"(?i)\bcolspan\s*=\s*[\"']?\s*([0-9]+)"
-MAX_COLSPAN = 1000          # the HTML limit for colspan
-
-
-def element_pattern(tag: str, cls: str | None = None) -> tuple[str, int]:
-    """Regex for ``<tag class="... cls ...">inner</tag>`` and the inner group."""
-    t = re.escape(tag)
-    if cls is None:
-        return rf"(?is)<{t}\b[^>]*>(.*?)</{t}\s*>", 1
-    c = re.escape(cls)
-    attr = rf"""\bclass\s*=\s*["'](?:[^"']*\s)?{c}(?:\s[^"']*)?["']"""
-    return rf"(?is)<{t}\b[^>]*?{attr}[^>]*>(.*?)</{t}\s*>", 1
-
-
-def elements(html: ColumnOrName, tag: str, cls: str | None = None) -> Column:
-    """Inner HTML of the matching elements, in document order (array)."""
-    pattern, group = element_pattern(tag, cls)
-    return F.regexp_extract_all(drop_non_text(html), F.lit(pattern), F.lit(group))
+from ..functions.text import elements, table
 
 
 def page_elements(pages: DataFrame, tag: str, cls: str | None = None,
@@ -52,93 +22,42 @@ def page_elements(pages: DataFrame, tag: str, cls: str | None = None,
     ``limit`` keeps the first N elements of each page, in document order.
     """
     keep = keep or []
-    pages = ensure_parallel(pages)
-    arr = elements(F.col("html"), tag, cls)
+    found = elements("html", tag, cls)
     if limit is not None:
-        arr = F.slice(arr, 1, limit)
-    out = pages.select(id_col, *keep, F.posexplode(arr).alias("ord", "inner"))
-    return out.select(id_col, *keep, F.col("ord").cast("int").alias("ord"),
-                      strip_tags(F.col("inner")).alias("text"))
-
-
-def _cells(row_html: Column, part: int) -> Column:
-    return F.regexp_extract_all(row_html, F.lit(CELL_RE), F.lit(part))
-
-
-def _row(r: Column) -> Column:
-    """One ``<tr>`` -> struct(kinds, cells); a cell with ``colspan=n`` fills n
-    columns with its text (as the usual HTML table readers do).  Rows without
-    any colspan take the plain path."""
-    kinds, texts = _cells(r, 1), F.transform(_cells(r, 3), lambda c: F.trim(strip_tags(c)))
-    spans = F.transform(_cells(r, 2), lambda a: F.least(F.greatest(F.coalesce(
-        F.nullif(F.regexp_extract(a, COLSPAN_RE, 1), F.lit("")).try_cast("int"), F.lit(1)), F.lit(1)),
-        F.lit(MAX_COLSPAN)))
-    spread_kinds = F.flatten(F.zip_with(kinds, spans, lambda k, n: F.array_repeat(k, n)))
-    spread_texts = F.flatten(F.zip_with(texts, spans, lambda t, n: F.array_repeat(t, n)))
-    has_span = F.contains(F.lower(r), F.lit("colspan"))
-    return F.struct(F.when(has_span, spread_kinds).otherwise(kinds).alias("kinds"),
-                    F.when(has_span, spread_texts).otherwise(texts).alias("cells"))
+        found = F.slice(found, 1, limit)
+    return pages.select(id_col, *keep, F.posexplode(found).alias("ord", "text"))
 
 
 def html_tables(pages: DataFrame, table_index: int = 0, id_col: str = "page_id",
                 keep: list[str] | None = None) -> DataFrame:
     """S2 + P4: rows of the ``table_index``-th ``<table>`` of each page.
 
-    Output ``(page_id, row, header array<string>, cells array<string>)``.
-    Header rows are the ``<thead>`` rows, or else the leading rows made only of
-    ``<th>`` cells; several header rows are flattened per column by joining
-    their texts with a space and stripping (two-level headers).  Cell text is
-    the tag-stripped, entity-decoded, trimmed content, always a string.
+    Output ``(page_id, row, header array<string>, cells array<string>)``.  Spans are written
+    out, end tags may be missing, a nested table is text of its cell; cell text is decoded and
+    trimmed, always a string.  A page without that table yields no rows.
     """
     keep = keep or []
-    pages = ensure_parallel(pages)
-    # try_: a page without that table yields no rows (ANSI element_at would fail the job)
-    table = F.try_element_at(F.regexp_extract_all(F.col("html"), F.lit(TABLE_RE), F.lit(1)),
-                             F.lit(table_index + 1))
-    parsed = pages.select(
-        id_col, *keep,
-        F.regexp_extract_all(table, F.lit(ROW_RE), F.lit(1)).alias("rows"),
-        F.size(F.regexp_extract_all(
-            F.coalesce(F.regexp_extract(table, THEAD_RE, 1), F.lit("")),
-            F.lit(r"(?i)<tr\b"), F.lit(0))).alias("thead_rows"),
-    ).withColumn("rows", F.transform("rows", _row))
-    leading_th = F.aggregate(
-        "rows", F.struct(F.lit(0).alias("n"), F.lit(True).alias("open")),
-        lambda acc, r: F.when(
-            acc["open"] & (F.size(r["kinds"]) > 0)
-            & F.forall(r["kinds"], lambda k: F.lower(k) == "h"),
-            F.struct((acc["n"] + 1).alias("n"), F.lit(True).alias("open")),
-        ).otherwise(F.struct(acc["n"].alias("n"), F.lit(False).alias("open"))),
-        lambda acc: acc["n"])
-    n_header = F.when(F.col("thead_rows") > 0, F.col("thead_rows")).otherwise(leading_th)
-    parsed = parsed.withColumn("n_header", n_header)
-    header_rows = F.slice("rows", 1, F.greatest(F.col("n_header"), F.lit(1)))
-    width = F.aggregate(F.transform("rows", lambda r: F.size(r["cells"])), F.lit(0),
-                        lambda a, b: F.greatest(a, b))
-    header = F.transform(
-        F.sequence(F.lit(1), F.greatest(width, F.lit(1))),
-        lambda j: F.trim(F.array_join(
-            F.transform(header_rows, lambda r: F.coalesce(F.try_element_at(r["cells"], j), F.lit(""))),
-            " ")))
-    header = F.when(F.col("n_header") > 0, header).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(width, F.lit(1)) - 1), lambda j: j.cast("string")))
-    data_rows = F.slice("rows", F.col("n_header") + 1, F.greatest(F.size("rows"), F.lit(1)))
-    out = parsed.select(id_col, *keep, header.alias("header"),
-                        F.posexplode(data_rows).alias("row", "r"))
-    return out.select(id_col, *keep, F.col("row").cast("int").alias("row"), "header",
-                      F.col("r.cells").alias("cells"))
+    parsed = pages.select(id_col, *keep, table("html", table_index).alias("t"))
+    return (parsed.select(id_col, *keep, F.col("t.header").alias("header"),
+                          F.posexplode("t.rows").alias("row", "cells"))
+            .select(id_col, *keep, "row", "header", "cells"))
 
 
-def header_targets(header: Column, mapping: list[tuple[str, str]]) -> Column:
-    """P5 rule per header: the target of the *last* key it contains, else NULL.
+#: Begins every error about a page's headers, by which the cycle knows one.
+HEADER_ERROR = "line-up header: "
 
-    One CASE per header (keys tested last to first), evaluated once per page.
-    """
-    out = None
-    for key, target in reversed(mapping):
-        cond = F.contains(header, F.lit(key))
-        out = F.when(cond, F.lit(target)) if out is None else out.when(cond, F.lit(target))
-    return out if out is not None else F.lit(None).cast("string")
+
+def header_target(header: str, mapping: list[tuple[str, str]]) -> str | None:
+    """P5 rule: the target of the last key that ``header`` contains, or None."""
+    return next((target for key, target in reversed(mapping) if key in header), None)
+
+
+def header_targets(header: Column, mapping: list[tuple[str, str]]) -> Column:
+    """``header_target`` as one CASE over a header column, keys tested last to first."""
+    cases = F.lit(None).cast("string")
+    for key, target in mapping:
+        cases = F.when(F.contains(header, F.lit(key)), F.lit(target)).otherwise(cases)
+    return cases
 
 
 def table_columns(tables: DataFrame, mapping: list[tuple[str, str]],
@@ -155,7 +74,7 @@ def table_columns(tables: DataFrame, mapping: list[tuple[str, str]],
     keep = keep or []
     owners = F.transform("header", lambda h: header_targets(h, mapping))
     named = F.filter(owners, lambda t: t.isNotNull())
-    dup_msg = F.concat(F.lit("duplicate column targets in headers: "), F.array_join("header", ", "))
+    dup_msg = F.concat(F.lit(HEADER_ERROR + "duplicate column targets in headers: "), F.array_join("header", ", "))
     staged = tables.select(id_col, *keep, "row", "header", "cells",
                            F.when(F.size(named) != F.size(F.array_distinct(named)),
                                   F.raise_error(dup_msg).cast("array<string>"))
@@ -167,7 +86,7 @@ def table_columns(tables: DataFrame, mapping: list[tuple[str, str]],
             continue
         seen.add(target)
         pos = F.array_position("_owners", target).cast("int")
-        miss_msg = F.concat(F.lit(f"no column for '{target}'; detected columns: "),
+        miss_msg = F.concat(F.lit(f"{HEADER_ERROR}no column for '{target}'; detected columns: "),
                             F.array_join("header", ", "))
         if strict and (required is None or target in required):
             value = F.when(pos == 0, F.raise_error(miss_msg).cast("string"))

@@ -21,9 +21,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
-from ..operators.contingency import Rules, score_contingencies
+from ..operators.contingency import Rules, page_alerts, score_alerts
 from ..operators.ingest import lineup_from_pages, normalize_weather
 from ..operators.state import latest_per_key
+from ..sources.files import weather_files, weather_rows
 
 
 def _start(df: DataFrame, out_path: str, checkpoint: str, available_now: bool = True,
@@ -43,18 +44,18 @@ def _start(df: DataFrame, out_path: str, checkpoint: str, available_now: bool =
 
 def weather_source(spark: SparkSession, landing: str, schema: T.StructType = S.WEATHER_CSV,
                    loc_col: str = "loc_id", max_files: int | None = None) -> DataFrame:
-    """Streaming read of ``landing/loc_id=<id>/*.csv`` (header CSV)."""
-    full = T.StructType(list(schema.fields) + [T.StructField(loc_col, T.StringType())])
-    r = spark.readStream.schema(full).option("header", True).option("mode", "PERMISSIVE")
+    """Streaming read of ``landing/loc_id=<id>/*.csv``, columns by each file's own header."""
+    reader = spark.readStream
     if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    return r.csv(landing)
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return weather_rows(weather_files(reader, landing, schema, loc_col), schema, loc_col)
 
 
 def weather_stream(spark: SparkSession, landing: str, out_path: str, checkpoint: str,
-                   available_now: bool = True) -> StreamingQuery:
+                   available_now: bool = True, max_files: int | None = None, run_ts=None) -> StreamingQuery:
     """Landed weather CSV -> P1 -> append to ``fato_clima``."""
-    return _start(normalize_weather(weather_source(spark, landing)), out_path, checkpoint, available_now)
+    rows = normalize_weather(weather_source(spark, landing, max_files=max_files), run_ts=run_ts)
+    return _start(rows, out_path, checkpoint, available_now)
 
 
 # ---------------------------------------------------------------------------
@@ -62,81 +63,132 @@ def weather_stream(spark: SparkSession, landing: str, out_path: str, checkpoint:
 # ---------------------------------------------------------------------------
 
 def pages_source(spark: SparkSession, landing: str, schema: T.StructType = S.PAGES,
-                 fmt: str = "parquet") -> DataFrame:
-    return spark.readStream.schema(schema).format(fmt).load(landing)
+                 fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema).format(fmt)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.load(landing)
 
 
 def lineup_stream(spark: SparkSession, landing: str, out_path: str, checkpoint: str,
-                  run_ts, available_now: bool = True) -> StreamingQuery:
+                  run_ts, available_now: bool = True, max_files: int | None = None) -> StreamingQuery:
     """R2: landed line-up pages -> X2 -> append to ``fato_lineup``."""
-    pages = pages_source(spark, landing)
+    pages = pages_source(spark, landing, max_files=max_files)
     return _start(lineup_from_pages(pages, run_ts), out_path, checkpoint, available_now)
 
 
+def _each(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str,
+          available_now: bool, every: str) -> StreamingQuery:
+    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=every)
+    return w.start()
+
+
 def contingency_stream(spark: SparkSession, landing: str, out_path: str, checkpoint: str,
                        run_ts_of: Callable[[int], object], rules: Rules = Rules(),
-                       available_now: bool = True) -> StreamingQuery:
-    """Each micro-batch of landed pages -> X5 -> one row per batch id.
+                       available_now: bool = True, max_files: int | None = None) -> StreamingQuery:
+    """Landed pages -> X5, one row per batch id, also when its pages arrive apart.
 
-    ``run_ts_of(epoch)`` gives the run stamp of an epoch (fixed per epoch, so
-    a replay writes the same rows).  Output goes to ``out_path/epoch=<n>``
-    with overwrite: replay-safe.
+    Each micro-batch writes the alerts of its pages, then scores every batch it touches from
+    all alerts so far.  ``run_ts_of(epoch)`` gives the run stamp of an epoch (fixed per epoch,
+    so a replay writes the same rows).  Alerts go to ``alerts/epoch=<n>`` and scores to
+    ``scores/epoch=<n>`` below ``out_path`` with overwrite: replay-safe.
     """
+    base = out_path.rstrip("/")
+
     def run(batch: DataFrame, epoch: int) -> None:
-        rows = score_contingencies(batch, run_ts_of(epoch), rules)
-        rows.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/epoch={epoch}")
+        s = batch.sparkSession
+        page_alerts(batch, rules).write.mode("overwrite").parquet(f"{base}/alerts/epoch={epoch}")
+        touched = s.read.parquet(f"{base}/alerts/epoch={epoch}").select("batch_id").distinct()
+        alerts = s.read.parquet(f"{base}/alerts").filter(F.col("epoch") <= epoch).drop("epoch")
+        rows = score_alerts(alerts.join(touched, "batch_id", "left_semi"), run_ts_of(epoch), rules)
+        rows.write.mode("overwrite").parquet(f"{base}/scores/epoch={epoch}")
+    return _each(pages_source(spark, landing, max_files=max_files), run, checkpoint, available_now, "1 hour")
 
-    pages = pages_source(spark, landing)
-    w = pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 hour")
-    return w.start()
+
+def read_contingencies(spark: SparkSession, out_path: str) -> DataFrame:
+    """Current row of every batch id: that of the last epoch that touched it."""
+    scores = spark.read.parquet(f"{out_path.rstrip('/')}/scores")
+    return latest_per_key(scores, "batch_id", "epoch", "cont_id").drop("epoch")
 
 
 # ---------------------------------------------------------------------------
 # R4 live latest state, R5 late and repeated readings
 # ---------------------------------------------------------------------------
 
+#: Folders the live state is dealt into by key; a micro-batch rewrites those it touches.
+STATE_BUCKETS = 64
+
+
 def latest_stream(stream: DataFrame, keys: Sequence[str], order_by: Sequence[str],
-                  out_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Newest row per key, kept as streaming aggregation state.
+                  out_path: str, checkpoint: str, available_now: bool = True,
+                  buckets: int = STATE_BUCKETS) -> StreamingQuery:
+    """Newest row per key, merged into one table with a row per key.
 
-    Update mode emits only the keys a micro-batch changed; each epoch's
-    changes land in ``out_path/epoch=<n>`` (overwrite, replay-safe) and
-    ``read_latest`` reduces them to the current state.  The state store
-    holds one row per key, not the history.
+    A micro-batch is reduced to its newest row per key and merged with the buckets of the
+    table it touches, which are overwritten.  Merging a row again changes nothing, so a
+    replayed epoch, or a lost checkpoint, gives the same table.
     """
-    cols = stream.columns
-    best = F.max_by(F.struct(*[F.col(c) for c in cols]),
-                    F.struct(*[F.col(c) for c in order_by])).alias("_row")
-    agg = stream.groupBy(*keys).agg(best).select("_row.*")
+    base = out_path.rstrip("/")
+    state = f"{base}/state"
+    _make(stream, state)
 
     def run(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/epoch={epoch}")
+        s = batch.sparkSession
+        new = latest_per_key(batch, list(keys), list(order_by[:1]), list(order_by[1:]) or list(order_by)).withColumn(
+            "bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        staged = f"{base}/changes"
+        new.write.mode("overwrite").parquet(staged)
+        new = s.read.schema(new.schema).parquet(staged)
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # a bounded number
+        if not touched:
+            return
+        old = s.read.schema(new.schema).parquet(state).filter(F.col("bucket").isin(touched))
+        new = latest_per_key(new.unionByName(old), list(keys), list(order_by[:1]), list(order_by[1:]) or list(order_by))
+        (new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket").parquet(state))
+    return _each(stream, run, checkpoint, available_now, "1 minute")
 
-    w = agg.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
 
+def _make(stream: DataFrame, path: str) -> None:
+    """Make the folder of a table that a first micro-batch already reads."""
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("append").parquet(path)
 
-def read_latest(spark: SparkSession, out_path: str, keys: Sequence[str],
-                order_by: Sequence[str], tie_break: Sequence[str]) -> DataFrame:
-    """Current state from the per-epoch change files of ``latest_stream``."""
-    changes = spark.read.parquet(out_path).drop("epoch")
-    return latest_per_key(changes, list(keys), list(order_by), list(tie_break))
+
+def read_latest(spark: SparkSession, out_path: str) -> DataFrame:
+    """Current state of ``latest_stream``: one row per key."""
+    return spark.read.parquet(f"{out_path.rstrip('/')}/state").drop("bucket")
 
 
 def dedup_stream(stream: DataFrame, keys: Sequence[str], event_time: str, out_path: str,
-                 checkpoint: str, delay: str = "15 days", available_now: bool = True) -> StreamingQuery:
-    """Drop repeated readings of (location, time) while they can still arrive.
+                 checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Each reading of (location, time) once, however late it comes.
 
-    The watermark equals the re-fetch window (15 days): a repeat older than
-    that cannot arrive, so its state is dropped.  Keeps the *first* copy;
-    exact repeats (the re-fetch case) give the same rows as E5.
+    New readings are those whose keys are not in the table yet; only the table's days that
+    the micro-batch holds are read.  Nothing is dropped for being old: a new location's
+    history is appended like any other.  An epoch writes its own folder with overwrite.
     """
-    deduped = (stream.withWatermark(event_time, delay)
-               .dropDuplicatesWithinWatermark(list(keys)))
-    return _start(deduped, out_path, checkpoint, available_now)
+    base = out_path.rstrip("/")
+    _make(stream, base)
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        s = batch.sparkSession
+        new = latest_per_key(batch, list(keys), event_time, [c for c in batch.columns if c not in keys])
+        new = new.withColumn("day", F.to_date(event_time))
+        laid = T.StructType([*new.schema.fields, T.StructField("epoch", T.LongType())])
+        old = s.read.schema(laid).parquet(base).filter(F.col("epoch") < epoch)
+        days = new.select(F.col("day").alias("day_of")).distinct()
+        old = old.join(days, F.col("day") == F.col("day_of"), "left_semi")
+        new = new.join(old.select(*keys), list(keys), "left_anti")
+        new.write.mode("overwrite").partitionBy("day").parquet(f"{base}/epoch={epoch}")
+    return _each(stream, run, checkpoint, available_now, "1 hour")
+
+
+def read_deduplicated(spark: SparkSession, out_path: str) -> DataFrame:
+    """The readings of ``dedup_stream``."""
+    return spark.read.parquet(out_path).drop("epoch", "day")
 
 
 __all__ = ["weather_source", "weather_stream", "pages_source", "lineup_stream",
-           "contingency_stream", "latest_stream", "read_latest", "dedup_stream"]
+           "contingency_stream", "read_contingencies", "latest_stream", "read_latest", "dedup_stream",
+           "read_deduplicated"]

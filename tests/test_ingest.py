@@ -59,11 +59,6 @@ def test_union_batches_empty():
     assert ingest.union_batches([]) is None
 
 
-def test_flatten_columns():
-    assert ingest.flatten_columns([("Navio", "Ship"), ("IMO", ""), "Terminal "]) == \
-        ["Navio Ship", "IMO", "Terminal"]
-
-
 def test_rename_last_key_wins_and_errors(spark):
     df = spark.createDataFrame([("a", "b")], "`Terminal IMO` string, `Navio Ship` string")
     assert ingest.rename_by_substring(df).columns == ["ship_id", "nome_navio"]
@@ -175,3 +170,27 @@ def test_colspan_header_expanded(spark):
     r = html.html_tables(pages).first()
     assert r.header == ["Navio Ship", "IMO", "Chegada Arrival d/m/y", "Chegada Weight"]
     assert r.cells == ["A", "1", "03/01/2026", "03/01/2026"]
+
+
+@pytest.mark.parametrize("source, header, cells", [
+    ("<!-- <table><tr><td>old</table> --><table><tr><th>a<th>b<tr><td>1<td>2</table>", ["a", "b"], [["1", "2"]]),
+    ("<table><tr><td rowspan=2>x<td>1<tr><td>2<tr><td>y<td>3</table>", ["0", "1"], [["x", "1"], ["x", "2"], ["y", "3"]]),
+    ("<table><tr><th colspan=2>N</th><th rowspan=2>R</th></tr><tr><th>k<th>n</tr><tr><td>1<td>2<td>3</table>",
+     ["N k", "N n", "R R"], [["1", "2", "3"]]),
+    ("<table><tr><td>a<table><tr><td>in<td>ner</table>b<td>c</table>", ["0", "1"], [["ainnerb", "c"]]),
+    ("<table><tr><td>&ccedil;&#x110000;&#38;lt;<td> a \n b </table>", ["0", "1"], [["ç\ufffd&lt;", "a b"]]),
+])
+def test_tables_as_a_parser_reads_them(spark, source, header, cells):
+    got = html.html_tables(spark.createDataFrame([(1, source)], "page_id long, html string")).orderBy("row").collect()
+    assert [r.header for r in got] == [header] * len(cells) and [r.cells for r in got] == cells
+
+
+def test_a_wide_colspan_is_not_cut(spark):
+    pages = spark.createDataFrame([(1, "<table><tr><td colspan=1500>x</table>")], "page_id long, html string")
+    assert html.html_tables(pages).first().cells == ["x"] * 1500
+
+
+def test_elements_nest_and_class_is_an_attribute(spark):
+    page_ = "<div class='ad'>a<div class=ad>b</div>c</div><div data-class='ad'>no</div><div class='x ad'>d"
+    pages = spark.createDataFrame([(1, page_)], "page_id long, html string")
+    assert [r.text for r in html.page_elements(pages, "div", "ad").orderBy("ord").collect()] == ["abc", "b", "d"]

@@ -68,8 +68,10 @@ def test_sweep_and_save_load(spark, model_data, scratch):
     a = rows(ml.score(model, test.limit(50)), "k", "risk_probability")
     b = rows(ml.score(again, test.limit(50)), "k", "risk_probability")
     assert a == b
-    imp = ml.importances(model, spark).collect()
+    imp = ml.importances(ml.forest_nodes(spark, path)).orderBy("rank").collect()
+    want = dict(zip(S.MODEL_FEATURES, model.stages[-1].featureImportances.toArray().tolist()))
     assert [r["rank"] for r in imp] == [1, 2, 3, 4] and abs(sum(r.importance for r in imp) - 1) < 1e-9
+    assert {r.feature: r.importance for r in imp} == pytest.approx(want, abs=1e-9)
 
 
 def test_scenario_grid_and_fleet(spark, model_data):
@@ -77,7 +79,8 @@ def test_scenario_grid_and_fleet(spark, model_data):
     ships = spark.createDataFrame([("T1", 50000.0), ("T1", 70000.0), ("T2", 20000.0)],
                                   "terminal string, quantidade_estimada double")
     g = ml.scenario_grid(model, ships, F.lit(0.3))
-    assert g.count() == 2 * len(S.SCENARIO_RAIN_VALUES) * len(S.SCENARIO_WIND_VALUES)
+    assert g.count() == 2 * len(S.SCENARIO_RAIN_VALUES) * len(S.SCENARIO_WIND_VALUES) * len(S.SCENARIO_TONNAGE_VALUES)
+    assert g.select("quantidade_estimada").distinct().count() == 6
     assert g.filter(F.col("tier").isNull()).count() == 0
     fleet = ships.withColumn("rain_feature", F.lit(40.0)).withColumn("wind_feature", F.lit(5.0)) \
         .withColumn("nlp_risk_score", F.lit(0.1))
@@ -118,7 +121,7 @@ def test_stream_latest_with_corrections(spark, scratch):
     src = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(landing + "/*")
     out, ckpt = scratch("o"), scratch("c")
     streams.latest_stream(src, ["loc_id"], ["ts", "id"], out, ckpt).awaitTermination()
-    got = streams.read_latest(spark, out, ["loc_id"], ["ts"], ["id"])
+    got = streams.read_latest(spark, out)
     assert rows(got, "loc_id", "v") == [("L1", 5.0), ("L2", 2.0)]
     assert rows(got, "loc_id", "v") == rows(state.latest_per_key(a.unionByName(b), "loc_id", "ts", "id"), "loc_id", "v")
 
@@ -135,16 +138,16 @@ def test_stream_dedup_exact_repeats(spark, scratch):
     out, ckpt = scratch("o"), scratch("c")
     streams.dedup_stream(src, ["loc_id", "timestamp_leitura"], "timestamp_leitura", out, ckpt) \
         .awaitTermination()
-    assert rows(spark.read.parquet(out)) == sorted(rows_)
+    assert rows(streams.read_deduplicated(spark, out)) == sorted(rows_)
 
 
 def test_stream_contingency_twin(spark, scratch):
     pages = C.contingency_pages(spark, SF_SMALL)
-    landing = C._land_pages(spark, pages, "news")
+    landing = C._land_pages(spark, pages, scratch("news"))
     out, ckpt = scratch("o"), scratch("c")
     run = dt.datetime(2026, 1, 1)
     streams.contingency_stream(spark, landing, out, ckpt, lambda e: run, C.STANDIN_RULES).awaitTermination()
-    got = spark.read.parquet(out).drop("epoch")
+    got = streams.read_contingencies(spark, out)
     batch = score_contingencies(spark.read.parquet(landing), run, C.STANDIN_RULES)
     assert got.count() == batch.count()
     assert got.exceptAll(batch.select(*got.columns)).count() == 0
@@ -160,7 +163,7 @@ def test_cycle_reports_and_stops(spark, scratch):
     out = {r.step: (r.rows, r.outcome) for r in
            run_cycle(spark, landing, scratch("wh"), dt.datetime(2026, 1, 1), C.STANDIN_RULES).collect()}
     assert out["weather"][1].startswith("error")          # no weather landed: reported, cycle goes on
-    assert out["lineup"] == (C.SI.table(spark, SF_SMALL, "orders").count(), "ok")
+    assert out["lineup"] == (C.SI.table(spark, SF_SMALL, "orders").count(), "ok"), out
     assert out["contingencies"][1] == "ok"
     bad = scratch("bad")
     spark.createDataFrame([(1, "1", "lineup", "<table><tr><th>Navio Ship</th></tr><tr><td>A</td></tr></table>")],
@@ -184,19 +187,44 @@ def test_stream_lineup_twin_with_restart(spark, scratch):
     got = spark.read.parquet(out)
     from portrisk.operators.ingest import lineup_from_pages
     batch = lineup_from_pages(pages, run)
-    assert n1 == first.count() and got.count() == pages.count()
+    assert n1 == lineup_from_pages(first, run).count() and got.count() == batch.count()
     assert got.exceptAll(batch.select(*got.columns)).count() == 0
 
 
+def test_stream_contingency_pages_that_arrive_apart(spark, scratch):
+    run, landing, out, ckpt = dt.datetime(2026, 1, 1), scratch("l"), scratch("o"), scratch("c")
+    for page in ((1, "b", "road", "<p>interdi&ccedil;&atilde;o total"),
+                 (2, "b", "news", "<a class='feed-post-link'>paralisa&ccedil;&atilde;o</a>"), (3, "c", "road", "ok")):
+        spark.createDataFrame([page], S.PAGES).write.mode("append").parquet(landing)
+        streams.contingency_stream(spark, landing, out, ckpt, lambda e: run).awaitTermination()
+    assert rows(streams.read_contingencies(spark, out), "batch_id", "score_risco") == [("b", 1.0), ("c", 0.0)]
+
+
+def test_duplicate_line_up_header_stops_the_cycle(spark, scratch):
+    bad = scratch("bad")
+    page = "<table><tr><th>Terminal A<th>Terminal B<th>Cheg/Arrival d/m/y<tr><td>x<td>y<td>01/01/2026</table>"
+    spark.createDataFrame([(1, "1", "lineup", page)], S.PAGES).write.parquet(bad + "/lineup")
+    out = {r.step: r.outcome for r in run_cycle(spark, bad, scratch("wh"), dt.datetime(2026, 1, 1)).collect()}
+    assert "duplicate column targets" in out["lineup"] and out["contingencies"].startswith("not run")
+
+
+def test_stratified_split(spark, model_data):
+    data = model_data[0]
+    train, test = ml.train_test_split(data, "k", stratify=S.MODEL_LABEL)
+    n = {r[S.MODEL_LABEL]: r["count"] for r in data.groupBy(S.MODEL_LABEL).count().collect()}
+    t = {r[S.MODEL_LABEL]: r["count"] for r in test.groupBy(S.MODEL_LABEL).count().collect()}
+    assert all(abs(t[c] - 0.2 * n[c]) <= 1 for c in n) and train.count() + test.count() == data.count()
+
+
 def test_stream_dedup_late_files(spark, scratch):
     t0 = dt.datetime(2026, 1, 1)
     day = dt.timedelta(days=1)
     schema = "loc_id string, timestamp_leitura timestamp, v double"
     run1 = spark.createDataFrame([("L1", t0, 1.0), ("L1", t0 + 29 * day, 2.0)], schema)
-    # next run: a repeat of day 1 (older than the 15-day watermark: late, dropped),
-    # a repeat of day 30 (duplicate, dropped) and a new day 20 reading (kept)
+    # next run: repeats of days 1 and 30 (dropped), a new reading of day 20 and the first one
+    # of a new location, over a year old (both kept)
     run2 = spark.createDataFrame([("L1", t0, 1.0), ("L1", t0 + 29 * day, 2.0),
-                                  ("L1", t0 + 19 * day, 3.0)], schema)
+                                  ("L1", t0 + 19 * day, 3.0), ("L9", t0 - 400 * day, 0.5)], schema)
     landing = scratch("l")
     run1.write.parquet(landing + "/run1")
     run2.write.parquet(landing + "/run2")
@@ -204,4 +232,4 @@ def test_stream_dedup_late_files(spark, scratch):
     out, ckpt = scratch("o"), scratch("c")
     streams.dedup_stream(src, ["loc_id", "timestamp_leitura"], "timestamp_leitura", out, ckpt) \
         .awaitTermination()
-    assert rows(spark.read.parquet(out), "v") == [(1.0,), (2.0,), (3.0,)]
+    assert rows(streams.read_deduplicated(spark, out), "v") == [(0.5,), (1.0,), (2.0,), (3.0,)]

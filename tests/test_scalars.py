@@ -128,12 +128,30 @@ def test_weighted_risk_order(spark):
     assert math.isclose(out[0], (10.0 * 0.02) + (15.0 * 0.03) + (0.5 * 0.4))
 
 
-def test_clamp(spark):
-    assert one(spark, X.clamp_score("s"), [(0.7,), (1.5,)], "s double") == [0.7, 1.0]
-
-
 def test_no_python_udf_in_scalars(spark):
     df = spark.createDataFrame([("1.000,5", "03/01/2026")], "n string, d string")
     plan = df.select(X.parse_br_number("n"), X.parse_dayfirst("d"), X.delay_label(
         F.lit(1.0), F.lit(2.0), F.lit(0.1)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_numbers_and_dates_the_cast_would_misread(spark):
+    nums = [("10D",), ("5f",), ("1e3",), ("-1.250,5",), ("inf",), ("NaN",), ("",), (None,)]
+    assert one(spark, X.parse_br_number("n"), nums, "n string") == [0.0, 0.0, 1000.0, -1250.5, 0.0, 0.0, 0.0, 0.0]
+    texts = ["03/01/26", "03-01-2026", "3.1.2026 10:30", "31/12/99", "2026-01-03", "01/02/68 05:06:07", "13/13/26", "1/2/123"]
+    got = one(spark, X.parse_dayfirst("d"), [(t,) for t in texts], "d string")
+    d = dt.datetime
+    assert got == [d(2026, 1, 3), d(2026, 1, 3), d(2026, 1, 3, 10, 30), d(1999, 12, 31), d(2026, 1, 3),
+                   d(2068, 2, 1, 5, 6, 7), None, None]
+
+
+def test_nan_is_missing(spark):
+    nan = float("nan")
+    assert one(spark, X.delay_label("r", "w", "n"), [(nan, 0.0, 0.0), (0.0, nan, nan)],
+               "r double, w double, n double") == [0, 0]
+    assert one(spark, X.news_tier("v"), [(nan,), (0.5,)], "v double") == ["normal", "alert"]
+
+
+def test_row_hash_id_tells_keys_apart(spark):
+    keys = [("a", None, "b"), ("a", "b", None), ("a|b", None, None), ("a", "", "b"), ("a1:b", None, None)]
+    assert len(set(one(spark, X.row_hash_id("x", "y", "z"), keys, "x string, y string, z string"))) == len(keys)

@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from portrisk.operators import asof, ml, state
-from portrisk.session import ensure_parallel
 
 
 def hot_frame(n: int, seed: int):
@@ -40,31 +39,33 @@ def test_asof_with_hot_key_matches_merge_asof(spark):
             == want["rid"].fillna(-1).astype("int64").to_numpy()).all()
 
 
-def test_hot_key_is_split_by_time_bucket(spark):
-    pdf = hot_frame(6000, 4)
-    df = spark.createDataFrame(pdf).withColumn("ts", F.timestamp_seconds("t"))
-    buckets = df.filter("k = 0").select(F.floor(F.unix_seconds("ts") / 86400).alias("b")).distinct().count()
-    assert buckets > 30        # the hot key's rows are windowed in many (key, day) groups
+def test_batch_with_one_stamp_is_one_question(spark):
+    right = spark.createDataFrame(hot_frame(3000, 6)).withColumn("ts", F.timestamp_seconds("t"))
+    stamp = F.timestamp_seconds(F.lit(40 * 86400))
+    left = spark.range(50_000).withColumn("ts", F.when(F.col("id") % 10 != 0, stamp))
+    out = asof.asof_join(left, right, [], "ts", "ts", {"id": "rid"}, ["id"])
+    want = right.filter(F.col("ts") <= stamp).orderBy(F.col("ts").desc(), F.col("id").desc()).first()["id"]
+    assert {(r["rid"], r["count"]) for r in out.groupBy("rid").count().collect()} == {(want, 45_000), (None, 5_000)}
 
 
-def test_parallel_helpers(spark):
-    par = spark.sparkContext.defaultParallelism
-    one = spark.range(100).coalesce(1)
-    assert ensure_parallel(one).rdd.getNumPartitions() == par
-    many = spark.range(100).repartition(par * 2)
-    assert ensure_parallel(many).rdd.getNumPartitions() == par * 2
-    assert ml.spread(one).rdd.getNumPartitions() == par
-
-
-def test_asof_auto_buckets_with_hot_key(spark):
+def test_asof_with_odd_times(spark):
+    """One wrong year must not put all other rows into one range."""
     left = hot_frame(8000, 5).drop(columns=["v"])
     right = hot_frame(8000, 6).rename(columns={"id": "rid"})
+    right.loc[0, "t"], left.loc[0, "t"] = 0, 250_000_000_000
     l_df = spark.createDataFrame(left).withColumn("ts", F.timestamp_seconds("t"))
     r_df = spark.createDataFrame(right).withColumn("ts", F.timestamp_seconds("t"))
-    out = asof.asof_join_many(l_df, ["k"], "ts", [asof.AsOfSide(r_df, "ts", {"rid": "rid"}, ["rid"])],
-                              bucket_seconds="auto", target_rows=50)   # ~320 buckets over 90 days
-    got = out.select("id", "rid").toPandas().sort_values("id").reset_index(drop=True)
-    want = pd.merge_asof(left.sort_values("t"), right.sort_values(["t", "rid"])[["k", "t", "rid"]],
-                         on="t", by="k", direction="backward").sort_values("id").reset_index(drop=True)
-    assert (got["rid"].fillna(-1).astype("int64").to_numpy()
-            == want["rid"].fillna(-1).astype("int64").to_numpy()).all()
+    for parts in (1, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        out = asof.asof_join(l_df, r_df, ["k"], "ts", "ts", {"rid": "rid"}, ["rid"])
+        got = out.select("id", "rid").toPandas().sort_values("id").reset_index(drop=True)
+        want = pd.merge_asof(left.sort_values("t"), right.sort_values(["t", "rid"])[["k", "t", "rid"]],
+                             on="t", by="k", direction="backward").sort_values("id").reset_index(drop=True)
+        assert (got["rid"].fillna(-1).astype("int64").to_numpy()
+                == want["rid"].fillna(-1).astype("int64").to_numpy()).all()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_scoring_tasks_follow_the_rows(spark):
+    assert ml.sized(spark.range(10_001)).rdd.getNumPartitions() == 3
+    assert ml.sized(spark.range(1000), rows_each=17).rdd.getNumPartitions() == 4

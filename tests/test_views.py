@@ -20,9 +20,10 @@ def test_dashboard_sql_matches_operators(spark):
         ("c", "2", None, None, "Esperado", "TEG", "MILHO", 50.0, T[2]),
         ("d", None, None, None, "Esperado", "TES", "SOJA", 10.0, T[4])], S.FATO_LINEUP)
     weather = spark.createDataFrame([
-        ("PORTO_SANTOS_CANAL", T[0], 1.0, 3.0, 70.0, False),
-        ("PORTO_SANTOS_CANAL", T[2], 7.0, 20.0, 71.0, True),
-        ("SERRA_ANCHIETA_IMIGRANTES", T[1], 0.0, None, None, False)], S.FATO_CLIMA)
+        ("PORTO_SANTOS_CANAL", T[0], 1.0, 3.0, 70.0, False, T[3]),
+        ("PORTO_SANTOS_CANAL", T[2], 6.0, 20.0, 71.0, True, T[2]),
+        ("PORTO_SANTOS_CANAL", T[2], 7.0, 20.0, 71.0, True, T[3]),
+        ("SERRA_ANCHIETA_IMIGRANTES", T[1], 0.0, None, None, False, T[3])], S.FATO_CLIMA)
     news = spark.createDataFrame([
         ("n1", "SANTOS", T[0], "x", "e", 0.2, "{}"),
         ("n2", "SANTOS", T[2], "y", "e", 0.7, "{}")], S.FATO_CONTINGENCIAS)
@@ -40,7 +41,7 @@ def test_dashboard_sql_matches_operators(spark):
     assert [(r.texto_original, r.score_risco) for r in nlp] == [("y", 0.7)]
 
     m = {r.loc_id: r for r in spark.sql(DASHBOARD_SQL["map"]).collect()}
-    ref = {r.loc_id: r for r in state.map_rows(dim, weather, broadcast_dim=True).collect()}
+    ref = {r.loc_id: r for r in state.map_rows(dim, weather, "inserido_em").collect()}
     assert set(m) == set(ref) and len(m) == 3
     for k in m:
         assert (m[k].lat, m[k].lon, m[k].precipitacao_mm) == (ref[k].lat, ref[k].lon, ref[k].precipitacao_mm)
@@ -50,7 +51,7 @@ def test_dashboard_sql_matches_operators(spark):
 def test_sql_functions(spark):
     register_views(spark, tables={})
     r = spark.sql("SELECT point_x('POINT(1.5 -2)') AS x, point_y('bad') AS y, "
-                  "br_number('1.250,5') AS n, br_number('abc') AS z").first()
+                  "br_number('1.250,5') AS n, br_number('10D') AS z").first()
     assert (r.x, r.y, r.n, r.z) == (1.5, None, 1250.5, 0.0)
     plan = spark.sql("SELECT point_x(coordenadas) FROM VALUES ('POINT(1 2)') t(coordenadas)") \
         ._jdf.queryExecution().executedPlan().toString()
