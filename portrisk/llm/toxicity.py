@@ -87,9 +87,10 @@ class Model:
 
 def train(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]],
           prior: float, epochs: int = 80, batch: int = 256, rate: float = 0.05, decay: float = 1e-5,
-          seed: int = 3) -> Model:
+          drop: float = 0.3, seed: int = 3) -> Model:
     """Non-negative PU learning with the sigmoid loss and Adam; texts as ``features`` gives them.
 
+    Each step hides a share ``drop`` of the words, so that no word learns only beside others.
     Without positive or unlabelled texts, or with a prior of 0, every text scores the prior.
     """
     prior = float(np.clip(prior, 0.0, 0.999))
@@ -114,9 +115,11 @@ def train(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[
     def margin(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores of texts, and the features (with their texts) of the words that decide them."""
         ids, sizes = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-        n_words = np.array([len(r[1]) for r in rows])
+        shown = rng.random(len(sizes)) >= drop
+        ids = ids[np.repeat(shown, sizes)]
+        text = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])[shown]
+        sizes = sizes[shown]
         word = np.repeat(np.arange(len(sizes)), sizes)
-        text = np.repeat(np.arange(len(rows)), n_words)
         value = np.bincount(word, w[ids], len(sizes))
         order = np.lexsort((value, text))
         last = np.nonzero(np.append(np.diff(text) > 0, True))[0] if len(text) else np.zeros(0, np.int64)
