@@ -184,8 +184,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: in
     linked = fps.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root"))
     ids = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    names = stored(linked.join(ids, "root").select(F.col("fp").alias("of"), "component_id"), "names")
-    return each.join(names, F.col("fp") == F.col("of")).select("id", "fp", "component_id")
+    # both tables are as long as the fingerprints: joined by shuffle whatever their size now
+    names = stored(linked.join(ids.hint("shuffle_hash"), "root").select(F.col("fp").alias("of"), "component_id"), "names")
+    return each.join(names.hint("shuffle_hash"), F.col("fp") == F.col("of")).select("id", "fp", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42,
