@@ -172,14 +172,46 @@ def live_index(rows: DataFrame, digest_bytes: int = 32, bucket_rows: int = BUCKE
         index = CuckooIndex(len(g))
         for d, i, r, n in zip(g["key"], g["id"], g["row"], g["n"]):
             index.fold(bytes(d), (i, r), n)
-        live = list(index.stored.items())
-        return pd.DataFrame({"key": [d for d, _ in live], "keep_id": [v[0][0] for _, v in live],
-                             "keep_row": [v[0][1] for _, v in live], "group_size": [v[1] for _, v in live]})
+        return _entries(index)
 
     parts = _folded(rows, digest_bytes).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     return parts.groupBy("bucket").applyInPandas(bucket, "key binary, keep_id long, keep_row long, group_size long")
 
 
+def updated_index(live: DataFrame, added: DataFrame, removed: DataFrame, digest_bytes: int = 32,
+                  bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The entries of ``live`` (rows of ``live_index``) after a batch: first the digests of
+    ``removed`` (digest) are deleted, then the rows ``added`` (id, digest, row) are inserted.
+
+    Each bucket's filter is rebuilt from its stored keys.  Digests that are not live are
+    removed without effect; tables may be empty; a null id is least.
+    """
+    folded = _folded(added, digest_bytes)
+    gone = removed.select(F.substring("digest", 1, digest_bytes).alias("key")).distinct()
+    parts = (live.select("key", F.col("keep_id").alias("id"), F.col("keep_row").alias("row"),
+                         F.col("group_size").alias("n"), F.lit(0).alias("step"))
+             .unionByName(gone.select("key", *[F.lit(0).cast("long").alias(c) for c in ("id", "row", "n")], F.lit(1).alias("step")))
+             .unionByName(folded.withColumn("step", F.lit(2))))
+    buckets = max(1, -(-(live.count() + added.count()) // bucket_rows))
+
+    def bucket(g: pd.DataFrame) -> pd.DataFrame:
+        index = CuckooIndex(len(g))
+        for step, d, i, r, n in g.sort_values("step", kind="stable")[["step", "key", "id", "row", "n"]].itertuples(index=False):
+            if step == 1:
+                index.delete(bytes(d))
+            else:
+                index.fold(bytes(d), (i, r), n)
+        return _entries(index)
+    return (parts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+            .groupBy("bucket").applyInPandas(bucket, "key binary, keep_id long, keep_row long, group_size long"))
+
+
+def _entries(index: CuckooIndex) -> pd.DataFrame:
+    live = list(index.stored.items())
+    return pd.DataFrame({"key": [d for d, _ in live], "keep_id": [v[0][0] for _, v in live],
+                         "keep_row": [v[0][1] for _, v in live], "group_size": [v[1] for _, v in live]})
+
+
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     """(digest, body): the normalised texts, each once a map task as far as it can tell.
 

@@ -65,3 +65,19 @@ def test_filter_keeps_one_row_of_each_text(spark):
         assert out.columns == docs.columns and len(got) == len(want)
         assert {(r["text"] or "").translate(UPPER): -1 if r["doc_id"] is None else r["doc_id"] for r in got} == want
     assert cuckoo.exact_groups(docs.limit(0)).count() == 0
+
+
+def test_index_takes_batches_and_deletions(spark):
+    digest = lambda k: hashlib.sha256(str(k).encode()).digest()
+    table = lambda rows: spark.createDataFrame([(i, bytearray(digest(k)), i) for i, k in rows], "id long, digest binary, row long")
+    first, later = [(i, i % 50) for i in range(300)], [(1000 + i, i % 70) for i in range(140)]
+    live = cuckoo.live_index(table(first), bucket_rows=10)
+    removed = spark.createDataFrame([(bytearray(digest(k)),) for k in [0, 1, 2, 999]], "digest binary")
+    got = cuckoo.updated_index(live, table(later), removed, bucket_rows=10).collect()
+    want = {}
+    for i, k in [x for x in first if x[1] > 2] + later:
+        keep, n = want.get(k, (-1, 0))
+        want[k] = (max(keep, i), n + 1)
+    assert {bytes(r["key"]): (r["keep_id"], r["group_size"]) for r in got} == {digest(k): v for k, v in want.items()}
+    same = cuckoo.updated_index(live, table(later).limit(0), removed.limit(0)).collect()
+    assert sorted(map(str, same)) == sorted(map(str, live.collect()))
