@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portrisk.llm.bpe import ByteBpe, byte_bpe
-from portrisk.llm.common import prepare
+from portrisk.llm.common import prepare, stored
 from portrisk.llm.running import running
 
 #: Reserved tokens in order of their ids, which follow the vocabulary's, and their strings.
@@ -56,6 +56,19 @@ def format_turn(bpe: ByteBpe, role: str, text: str) -> tuple[np.ndarray, np.ndar
     return np.concatenate([head, body, [base + CLOSE]]).astype("<u4"), np.array([len(head), len(body), 1])
 
 
+def _width(bpe: ByteBpe) -> str:
+    return "<u2" if bpe.size + len(RESERVED) <= 1 << 16 else "<u4"
+
+
+def packed_ids(bpe: ByteBpe, ids: np.ndarray) -> bytes:
+    """Ids as little-endian unsigned integers of 16 bits, of 32 for larger vocabularies."""
+    return ids.astype(_width(bpe)).tobytes()
+
+
+def unpacked_ids(bpe: ByteBpe, packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, _width(bpe)).astype("<u4")
+
+
 def loss_mask(lengths: np.ndarray, learn: np.ndarray) -> np.ndarray:
     """Per token: is it in a segment to learn?  By prefix sums of the segments' lengths."""
     ends = np.cumsum(lengths)
@@ -99,8 +112,9 @@ def parse_text(formatted: str) -> list[tuple[str, str]]:
 
 def formatted(turns: DataFrame, bpe_path: str, ranks_path: str | None = None, id_col: str = "conv_id",
               turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per row of ``turns``: (conv, turn, nth, ids, start, loss_start, loss_end).
+    """One row per row of ``turns``: (conv, turn, nth, ids binary, start, loss_start, loss_end).
 
+    ``ids`` are packed as ``packed_ids`` does; ``unpacked_ids`` gives them back.
     ``nth`` counts a conversation's turns from 0 in order of turn (null last), role, hash of the text;
     ``start`` is the place of the turn's ids in the conversation, [loss_start, loss_end) the
     part of the conversation to learn from (empty but for assistants).  Null role and text
@@ -114,24 +128,27 @@ def formatted(turns: DataFrame, bpe_path: str, ranks_path: str | None = None, id
         for b in batches:
             got = [format_turn(bpe, r, t) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             size = [g[1] for g in got]
-            yield pa.record_batch([*b.columns, pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())),
+            yield pa.record_batch([*b.columns[:3], b.column(4), pa.array([packed_ids(bpe, g[0]) for g in got], pa.binary()),
                                    pa.array([int(s.sum()) for s in size], pa.int64()),
                                    pa.array([int(s[0]) for s in size], pa.int64())],
-                                  names=["conv", "turn", "role", "text", "ids", "n", "head"])
+                                  names=["conv", "turn", "role", "mark", "ids", "n", "head"])
     rows = turns.select(F.col(id_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"),
                         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
-                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(
-        run, "conv long, turn long, role string, text string, ids array<int>, n long, head long")
-    order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role"), F.xxhash64("text")]
-    placed = running(rows.select("conv", "turn", "role", "ids", "n", "head", F.xxhash64("text").alias("text")),
-                     [*order[:3], F.col("text")], {"place": F.lit(1), "at": F.col("n")}, "turns")
+                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = stored(rows.withColumn("mark", F.xxhash64("text")).mapInArrow(
+        run, "conv long, turn long, role string, mark long, ids binary, n long, head long")
+        .withColumn("row", F.monotonically_increasing_id()), "turns")
+    order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role"), F.col("mark"), F.col("row")]
+    placed = running(rows.drop("ids"), order, {"place": F.lit(1), "at": F.col("n")}, "places")  # without the ids
     first = placed.groupBy("conv").agg(F.min("place").alias("first_place"), F.min("at").alias("first_at"))
     start = F.col("at") - F.col("first_at")
     learn = F.col("role") == LOSS_ROLE
-    return (placed.join(first.withColumnRenamed("conv", "of"), F.col("conv").eqNullSafe(F.col("of")))
-            .select("conv", "turn", (F.col("place") - F.col("first_place")).alias("nth"), "ids", start.alias("start"),
-                    F.when(learn, start + F.col("head")).otherwise(start).alias("loss_start"),
-                    F.when(learn, start + F.col("n") - 1).otherwise(start).alias("loss_end")))
+    spans = (placed.join(first.withColumnRenamed("conv", "of"), F.col("conv").eqNullSafe(F.col("of")))
+             .select("row", "conv", "turn", (F.col("place") - F.col("first_place")).alias("nth"), start.alias("start"),
+                     F.when(learn, start + F.col("head")).otherwise(start).alias("loss_start"),
+                     F.when(learn, start + F.col("n") - 1).otherwise(start).alias("loss_end")))
+    return (rows.select("row", "ids").join(spans.hint("shuffle_hash"), "row")
+            .select("conv", "turn", "nth", "ids", "start", "loss_start", "loss_end"))
 
 
 def read_back(rows: DataFrame, bpe_path: str, ranks_path: str | None = None) -> DataFrame:
@@ -144,7 +161,7 @@ def read_back(rows: DataFrame, bpe_path: str, ranks_path: str | None = None) ->
         for b in batches:
             role, text, loss, chars = [], [], [], []
             for ids, start, lo, hi in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
-                ids = np.array(ids, "<u4")
+                ids = unpacked_ids(bpe, ids)
                 lengths = np.array([lo - start, hi - lo, len(ids) - (hi - start)])
                 learnt = ids[loss_mask(lengths, np.array([False, True, False]))]
                 r, t = parse_turn(bpe, ids)
@@ -177,7 +194,8 @@ def digests(turns: DataFrame) -> DataFrame:
                                     pa.array([loss_.hexdigest()]), pa.array([chars], pa.int64())], names=names)
         for b in batches:
             done = []
-            for conv, role, text, loss, chars in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4, 5))):
+            for conv, role, text, other, chars in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4, 5))):
+                loss = text if other is None else other
                 if state is None or state[0] != conv:
                     if state is not None:
                         done.append(close())
@@ -190,5 +208,7 @@ def digests(turns: DataFrame) -> DataFrame:
             yield from done
         if state is not None:
             yield close()
-    return (turns.repartition("conv").sortWithinPartitions("conv", "nth").mapInArrow(
+    once = turns.select("conv", "nth", "role", "text", F.when(F.col("loss") != F.col("text"), F.col("loss")).alias("other"),
+                        "chars")  # a learnt text travels once
+    return (once.repartition("conv").sortWithinPartitions("conv", "nth").mapInArrow(
         run, "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"))
