@@ -4,8 +4,8 @@ Unit vectors are turned by fast pseudo-random rotations (three rounds of random
 Hadamard transform) and assigned to the nearest signed axis.  Each table has its own
 rotation; a query looks into the buckets of its ``probes`` nearest axes in every table.
 What it finds there is reranked by exact inner products in double precision.  Equal vectors
-are indexed once with their smallest ids, and large buckets are split, so a hot vector or
-cluster is spread over tasks.
+are indexed once with their smallest ids, and what is too large for a task is split, so a hot
+vector or cluster is spread over tasks.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from portrisk.llm.common import prepare, stored
 TABLES = 8
 PROBES = 16
 SEED = 2
-#: Most index rows and most queries of a bucket in one group, about.
-CHUNK = 8192
+#: Neighbouring axes whose buckets share a task: a query goes there once for all it probes.
+AXES = 32
+#: Most index rows and most queries in one task, about.
+CHUNK = 16384
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -56,8 +58,13 @@ def usable(vector: Column) -> Column:
 
 
 def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v array<double>): one usable vector for each id, the least one if an id has several."""
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    """(id, v): one usable vector for each id, the least one if an id has several.
+
+    Vectors of floats stay floats while they travel; products are in double precision.
+    """
+    kind = table.schema[vector_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
     return rows.filter(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
 
 
@@ -72,36 +79,53 @@ def classes(rows: DataFrame, most: int) -> DataFrame:
             .groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
 
 
-def _stack(column: pa.Array) -> np.ndarray:
-    """A list column as a matrix; all lists have one length."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def _axes(batches: Iterator[pa.RecordBatch], tables: int, seed: int) -> Iterator[tuple]:
+    """(rows, width, table, closeness to every axis) for the vectors ``v`` of each batch."""
+    for b in batches:
+        v = b.column(b.schema.get_field_index("v"))
+        sizes = np.array([len(x) for x in v])
+        for d in np.unique(sizes):
+            part = b.take(pa.array(np.nonzero(sizes == d)[0]))
+            x = part.column(b.schema.get_field_index("v")).flatten().to_numpy(zero_copy_only=False)
+            for t in range(tables):
+                yield part, int(d), t, signed_axes(x.reshape(len(part), d).astype(np.float64), t, seed)
+
+
+def _keys(n: int, d: int, t: int, group: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(group.astype(np.int32))]
+
+
+KEY = ["width", "tab", "axes"]  # axes: number of the group of neighbouring axes
 
 
-def _dealt(rows: DataFrame, names: list[str], types: str, per_row: int, tables: int, seed: int) -> DataFrame:
-    """Every row of (v, other columns) once for each table and each of its ``per_row`` nearest axes."""
+def placed(index: DataFrame, tables: int, seed: int) -> DataFrame:
+    """Every class of ``index`` once for each table, with the axis nearest to it."""
+    kind = index.schema["v"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, d, t, near in _axes(batches, tables, seed):
+            axis = near.argmax(axis=1).astype(np.int32)
+            yield pa.record_batch([*part.columns, *_keys(len(part), d, t, axis // AXES), pa.array(axis)],
+                                  names=["v", "ids", *KEY, "axis"])
+    return index.select("v", "ids").mapInArrow(
+        run, f"v {kind}, ids array<long>, width int, tab int, axes int, axis int")
+
+
+def probing(queries: DataFrame, probes: int, tables: int, seed: int) -> DataFrame:
+    """Every query once for each table and group of axes it probes, with those axes."""
+    kind = queries.schema["v"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = _column(b, "v")
-            sizes = np.array([len(x) for x in v.to_pylist()])
-            for d in np.unique(sizes):
-                at = np.nonzero(sizes == d)[0]
-                part = b.take(pa.array(at))
-                x = _stack(_column(part, "v"))
-                for t in range(tables):
-                    near = signed_axes(x, t, seed)
-                    take = min(per_row, near.shape[1])
-                    axes = np.argsort(-near, axis=1, kind="stable")[:, :take]
-                    again = part.take(pa.array(np.repeat(np.arange(len(x)), take)))
-                    yield pa.record_batch([*(_column(again, n) for n in names),
-                                           pa.array(np.full(len(x) * take, d, np.int32)),
-                                           pa.array(np.full(len(x) * take, t, np.int32)),
-                                           pa.array(axes.ravel().astype(np.int32))],
-                                          names=[*names, "width", "tab", "axis"])
-    return rows.select(*names).mapInArrow(run, f"{types}, width int, tab int, axis int")
-
-
-def _column(b: pa.RecordBatch, name: str) -> pa.Array:
-    return b.column(b.schema.get_field_index(name))
+        for part, d, t, near in _axes(batches, tables, seed):
+            best = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
+            for g in range(-(-near.shape[1] // AXES)):
+                inside = best // AXES == g
+                at = np.nonzero(inside.any(axis=1))[0]
+                axes = pa.array([best[i][inside[i]] for i in at], pa.list_(pa.int32()))
+                yield pa.record_batch([*part.take(pa.array(at)).columns, *_keys(len(at), d, t, np.full(len(at), g)), axes],
+                                      names=["id", "v", *KEY, "probed"])
+    return queries.select("id", "v").mapInArrow(
+        run, f"id long, v {kind}, width int, tab int, axes int, probed array<int>")
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -143,16 +167,16 @@ def search(table: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES
     rows = stored(vectors(table, id_col, vector_col), "vectors")
     index = stored(classes(rows, k + 1), "classes")
     queries = rows.filter(is_query)
-    placed = _dealt(index, ["v", "ids"], "v array<double>, ids array<long>", 1, tables, seed)
-    probing = _dealt(queries, ["id", "v"], "id long, v array<double>", probes, tables, seed)
-    found = _compared(placed, probing, ["width", "tab", "axis"], k)
+    found = _compared(placed(index, tables, seed), probing(queries, probes, tables, seed), KEY, k)
     found = stored(_ranked(found, k), "found")
     # exact way for queries that found fewer than k
     got = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     short = stored(queries.join(got.withColumnRenamed("query_id", "of"), F.col("id") == F.col("of"), "left")
                    .filter(F.coalesce("n", F.lit(0)) < k).select("id", "v"), "short")
     if not short.isEmpty():
-        whole = _compared(index.withColumn("width", F.size("v")), short.withColumn("width", F.size("v")), ["width"], k)
+        none, every = F.lit(0), F.array(F.lit(0))  # one axis for all
+        whole = _compared(index.withColumn("width", F.size("v")).withColumn("axis", none),
+                          short.withColumn("width", F.size("v")).withColumn("probed", every), ["width"], k)
         found = (found.join(short.select(F.col("id").alias("of")), F.col("query_id") == F.col("of"), "left_anti")
                  .unionByName(_ranked(whole, k)))
     return found
@@ -161,30 +185,39 @@ def search(table: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES
 def _compared(index: DataFrame, queries: DataFrame, key: list[str], k: int) -> DataFrame:
     """(query_id, id, score): for every query its k nearest of each part of its buckets.
 
-    A bucket's index rows and its queries are dealt into parts of about ``CHUNK``; every part
-    of the one meets every part of the other.
+    The index rows (axis) and the queries (probed: axes) of one key are dealt into parts of
+    about ``CHUNK``; every part of the one meets every part of the other.
     """
     def parts(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias(name))
     sizes = stored(parts(index, "x_parts").join(parts(queries, "q_parts"), key)
-                   .withColumnsRenamed({c: f"{c}_of" for c in key}), "buckets")  # a row per bucket: tables x axes at most
+                   .withColumnsRenamed({c: f"{c}_of" for c in key}), "buckets")  # a row per key: tables x groups of axes
     same = [F.col(c) == F.col(f"{c}_of") for c in key]
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = (index.join(F.broadcast(sizes), same)
             .select(*key, F.pmod(F.xxhash64("v"), F.col("x_parts")).cast("int").alias("x_part"),
-                    all_of("q_parts").alias("q_part"), "v", "ids"))
+                    all_of("q_parts").alias("q_part"), "v", "ids", "axis"))
     right = (queries.join(F.broadcast(sizes), same)
              .select(*key, all_of("x_parts").alias("x_part"),
-                     F.pmod(F.xxhash64("id"), F.col("q_parts")).cast("int").alias("q_part"), "id", "v"))
+                     F.pmod(F.xxhash64("id"), F.col("q_parts")).cast("int").alias("q_part"), "id", "v", "probed"))
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(a) == 0 or len(b) == 0:
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         copies = [len(i) for i in a["ids"]]
-        x = np.repeat(np.stack(a["v"].to_numpy()), copies, axis=0)
-        ids = np.concatenate(a["ids"].to_list())
-        got = nearest(np.stack(b["v"].to_numpy()), b["id"].to_numpy(), x, ids, k)
-        return pd.DataFrame(dict(zip(("query_id", "id", "score"), got)))
+        x = np.repeat(np.stack(a["v"].to_numpy()).astype(np.float64), copies, axis=0)
+        ids, axis = np.concatenate(a["ids"].to_list()), np.repeat(a["axis"].to_numpy(), copies)
+        q, qid = np.stack(b["v"].to_numpy()).astype(np.float64), b["id"].to_numpy()
+        asked, who = np.concatenate(b["probed"].to_list()), np.repeat(np.arange(len(b)), [len(p) for p in b["probed"]])
+        got = [nearest(q[w], qid[w], x[axis == one], ids[axis == one], k)
+               for one in np.unique(axis) if len(w := who[asked == one])]
+        if not got:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        of, found, score = (np.concatenate(c) for c in zip(*got))
+        order = np.lexsort((found, -score, of))
+        of, found, score = of[order], found[order], score[order]
+        best = np.arange(len(of)) - np.searchsorted(of, of) < k
+        return pd.DataFrame({"query_id": of[best], "id": found[best], "score": score[best]})
     on = [*key, "x_part", "q_part"]
     return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(compare, "query_id long, id long, score double")
 
