@@ -63,23 +63,28 @@ def q_weather_normalize(spark, d):
     return _ntz(ingest.normalize_weather(raw, time_col="ts", keep=["event_id"]))
 
 
-def _land_weather_csv(spark, d) -> list[str]:
-    """Wide exports of differing headers in two landing folders; the locations whose id
+def _weather_exports(spark, d) -> list[DataFrame]:
+    """Wide exports of differing headers, the second kind partly broken: locations whose id
     leaves 13 by 97 send files without the rain column."""
     raw = SI.weather_raw(spark, d).select(
         F.col("loc_id").alias("of"), F.col("loc_id").cast("string").alias("loc_id"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "precip", "windspeed", "humidity",
         F.concat(F.lit("loc, "), F.col("loc_id").cast("string")).alias("name"),
         F.lit('partly "cloudy", rain').alias("conditions"), (F.col("event_id") % 40).alias("tempmax"))
+    # a file holds a fortnight of a location, so a hot location has several writers
+    raw = raw.repartition(_land_parts(spark), "loc_id", F.floor(F.dayofmonth(F.to_timestamp("datetime")) / 16))
     broken = F.col("of") % 97 == 13
+    return [rows.select("loc_id", *cols) for rows, cols in (
+        (raw.filter(~broken & (F.col("of") % 2 == 0)), ["name", "datetime", "tempmax", "humidity", "precip", "windspeed"]),
+        (raw.filter(~broken & (F.col("of") % 2 == 1)), ["windspeed", "conditions", "precip", "datetime", "humidity"]),
+        (raw.filter(broken), ["datetime", "windspeed", "humidity"]))]
+
+
+def _land_weather_csv(spark, d) -> list[str]:
+    """The exports in two landing folders."""
     paths = [scratch_path(spark, "weather-csv") for _ in range(2)]
-    for path, rows, cols in (
-            (paths[0], raw.filter(~broken & (F.col("of") % 2 == 0)),
-             ["name", "datetime", "tempmax", "humidity", "precip", "windspeed"]),
-            (paths[1], raw.filter(~broken & (F.col("of") % 2 == 1)),
-             ["windspeed", "conditions", "precip", "datetime", "humidity"]),
-            (paths[1], raw.filter(broken), ["datetime", "windspeed", "humidity"])):
-        files.write_weather_csv(rows.select("loc_id", *cols).repartition(_land_parts(spark), F.xxhash64("loc_id", "datetime")), path)
+    for path, rows in zip((paths[0], paths[1], paths[1]), _weather_exports(spark, d)):
+        files.write_weather_csv(rows, path)
     return paths
 
 
@@ -677,13 +682,10 @@ def q_stream_weather(spark, d):
     """Landed per-location CSV read as a stream -> P1 -> appended table, restarted once."""
     from ..streaming import streams
     out, ckpt = scratch_path(spark, "stream-weather"), scratch_path(spark, "ckpt-weather")
-    landing = f"{scratch_path(spark, 'landing-weather')}/"
-    for path in _land_weather_csv(spark, d):  # the second folder lands after the first run
-        (spark.read.text(path, wholetext=True).select(
-            F.regexp_extract("_metadata.file_path", r"/loc_id=([^/]+)/", 1).alias("loc_id"), F.rtrim("value").alias("value"))
-         .repartition(_land_parts(spark), "loc_id", F.xxhash64("value")).write.mode("append").partitionBy("loc_id")
-         .option("maxRecordsPerFile", 1).text(landing))
-        _await(streams.weather_stream(spark, landing, out, ckpt, run_ts=RUN_TS, max_files=100))
+    landing = scratch_path(spark, "landing-weather")
+    for rows in _weather_exports(spark, d):  # the next ones land after the stream has stopped
+        files.write_weather_csv(rows, landing)
+        _await(streams.weather_stream(spark, landing, out, ckpt, run_ts=RUN_TS, max_files=500))
     return _ntz(spark.read.parquet(out))
 
 
