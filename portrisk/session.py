@@ -46,12 +46,23 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    apply_session_conf(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def apply_session_conf(spark: SparkSession) -> None:
-    """Runtime SQL settings this library relies on (safe on a running session)."""
+    """Runtime settings this library relies on (safe on a running session).
+
+    Python workers look for this package where the driver found it, wherever the driver was
+    started; on a cluster the package is installed or sent with ``--py-files`` as usual.
+    """
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled",
                 "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
                 "spark.sql.adaptive.autoBroadcastJoinThreshold"):
