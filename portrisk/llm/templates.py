@@ -1,10 +1,11 @@
 """Main text of web pages by removing site templates.
 
 Each page is parsed into elements.  The subtrees of its block elements are hashed, Spark
-counts per host on how many different contents each hash occurs, and subtrees that recur on
-many of them are deleted.  What is a menu, header, footer, sidebar, notice, advert, form or
-comment list by its own tag, role or class is deleted on any host, also on one with a single
-page.  The text of what is left of the article (or main, or body) is the result.
+counts per host on how many different contents each hash occurs and at which places among its
+siblings, and subtrees that recur on many of them at the same place are deleted.  What is a
+menu, header, footer, sidebar, notice, advert, form or comment list by its own tag, role or
+class is deleted on any host, also on one with a single page.  The text of what is left of the
+article (or main, or body) is the result.
 """
 
 from __future__ import annotations
@@ -21,9 +22,16 @@ from pyspark.sql import functions as F
 
 from portrisk.llm.common import per_batch, prepare, stored
 
-#: A subtree is template text when it is on this many contents of a host, and on this share.
+#: A subtree is template text when it is on this many contents of a host and on this share of
+#: them.
 MIN_PAGES = 4
 SHARE = 0.1
+#: Prose inside an article needs this share, and this share of its contents must have it at one place among its siblings.
+MAJORITY = 0.5
+#: It needs this many contents, too.
+MIN_PROSE = 32
+#: Kinds of subtrees, the last two bits of their hashes: prose inside an article, and all others.
+PLAIN, QUOTED = 0, 2
 
 _TOKEN = re.compile(r"""<!--(?P<note>.*?)(?:-->|\Z)
   |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']+|"[^"]*"|'[^']*')*+)>
@@ -40,8 +48,9 @@ BLOCKS = HEADINGS | _set("""address article aside blockquote body center dd deta
     tbody td tfoot th thead tr ul br""")
 #: Elements that are never part of an article.
 NEVER = RAW | _set("head nav footer aside form menu dialog button")
-#: Prose: inside an article these stay even if they recur (a passage many articles quote).
-PROSE = HEADINGS | _set("p blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th figure figcaption br hr")
+#: Prose: what articles quote from each other.
+PROSE = HEADINGS | _set("p blockquote pre ul ol dl table figure")
+PARTS = _set("li dt dd thead tbody tfoot tr td th figcaption caption summary")
 #: Words of a class, id or role that mark what is not the article.
 WORDS = _set("""ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments
     complementary consent contentinfo cookie cookies disqus footer gdpr header login masthead menu modal nav navbar
@@ -60,8 +69,10 @@ class _Open:
     tag: str
     attrs: str
     at: int  # where its text begins in the output
+    found: int  # and its subtrees in the list of those found
     never: bool
     marks: list[str] = field(default_factory=list)  # of its children, in order
+    blocks: list[int | None] = field(default_factory=list)  # its block elements, counted ones by hash
 
 
 def _marked(attrs: str) -> bool:
@@ -77,37 +88,26 @@ class Page:
 
     def __init__(self, source: str | None, template: frozenset[int] = frozenset()) -> None:
         self.template = template
-        self.hashes: set[int] = set()
+        self.found: list[tuple[int, int]] = []  # (hash, place) of each counted subtree, two places each
         self._out: list[str | None] = []  # text, None between blocks
         self._roots: dict[str, list[tuple[int, int, int]]] = {"article": [], "main": []}
-        self._stack = [_Open("", "", 0, False)]
+        self._stack = [_Open("", "", 0, 0, False)]
         self._count: dict[str, int] = {}
         self._parse(source or "")
 
     def text(self) -> str:
         """Blocks of the article (else main, else the whole page), joined by one space."""
-        spans = self._outer("article") or self._outer("main") or [(0, len(self._out))]
-        blocks, now = [], []
-        for a, b in spans:
-            for part in [*self._out[a:b], None]:
-                if part is not None:
-                    now.append(part)
-                elif now:
-                    blocks.append(" ".join("".join(now).split()))
-                    now = []
-        return " ".join(b for b in blocks if b)
+        spans = _outer(self._roots["article"]) or _outer(self._roots["main"]) or [(0, len(self._out))]
+        return _text([part for a, b in spans for part in [*self._out[a:b], None]])
+
+    def places(self) -> list[tuple[int, int]]:
+        """(hash, 0) and (hash, place) of every counted subtree, once each."""
+        return sorted({(h, 0) for h, _ in self.found}.union(self.found))
 
     def content(self) -> int:
         """Hash of the article's subtrees (of all block subtrees without one)."""
         marks = [m for _, _, m in self._roots["article"] or self._roots["main"]]
-        return _hash(" ".join(map(str, marks or sorted(self.hashes))))
-
-    def _outer(self, tag: str) -> list[tuple[int, int]]:
-        spans: list[tuple[int, int]] = []
-        for a, b, _ in sorted(self._roots[tag], key=lambda r: (r[0], -r[1])):
-            if not spans or a >= spans[-1][1]:
-                spans.append((a, b))
-        return spans
+        return _hash(" ".join(map(str, marks or sorted({h for h, _ in self.found}))))
 
     def _parse(self, source: str) -> None:
         at = 0
@@ -130,6 +130,7 @@ class Page:
             self._add(source[at:])
         while len(self._stack) > 1:
             self._close()
+        self._place(self._stack[0])
 
     def _add(self, text: str) -> None:
         if "&" in text:
@@ -159,7 +160,7 @@ class Page:
         never = tag in NEVER or tag not in ("html", "body", "main") and bool(attrs) and _marked(attrs)
         if tag == "header":
             never = never or not (self._count.get("article") or self._count.get("main"))
-        self._stack.append(_Open(tag, attrs, len(self._out), never))
+        self._stack.append(_Open(tag, attrs, len(self._out), len(self.found), never))
 
     def _end(self, tag: str) -> None:
         if self._count.get(tag):
@@ -172,21 +173,58 @@ class Page:
         self._count[e.tag] -= 1
         mark = _hash(f"<{e.tag} {e.attrs.strip()}>" + "\x00".join(e.marks))
         self._stack[-1].marks.append(str(mark))
+        self._place(e)
         if e.tag not in BLOCKS and not e.never:
             return e.tag
         holds = any(r[0] >= e.at for spans in self._roots.values() for r in spans)
-        inside = bool(self._count.get("article") or self._count.get("main"))
-        kept = holds or inside and e.tag in PROSE or e.tag in ("html", "body", "article", "main")
-        if not kept and any(e.marks):
-            self.hashes.add(mark)
-        if e.never and not holds or not kept and mark in self.template:
-            del self._out[e.at:]
-        elif e.tag in self._roots:
-            self._roots[e.tag].append((e.at, len(self._out), mark))
+        if e.never and not holds:
+            self._drop(e)
+        else:
+            kept = holds or e.tag in ("html", "body", "article", "main") or not any(e.marks)
+            inside = bool(self._count.get("article") or self._count.get("main"))
+            if inside and e.tag in PARTS and e.tag != "li":  # a label stays with what it labels
+                kept = True
+            kind = QUOTED if inside and (e.tag in PROSE or e.tag in PARTS) else PLAIN
+            self._stack[-1].blocks.append(None if kept else mark & ~3 | kind)
+            if not kept and mark & ~3 | kind in self.template:
+                self._drop(e)
+            elif e.tag in self._roots:
+                self._roots[e.tag].append((e.at, len(self._out), mark))
         if e.tag in BLOCKS:
             self._out.append(None)
         return e.tag
 
+    def _drop(self, e: _Open) -> None:
+        """Delete what came since ``e`` began."""
+        del self._out[e.at:]
+        del self.found[e.found:]
+
+    def _place(self, e: _Open) -> None:
+        """Places of the counted children of ``e``: in it, from its beginning and from its end."""
+        of = xxhash.xxh32_intdigest(e.tag) << 24
+        for i, h in enumerate(e.blocks):
+            if h is not None:
+                self.found += [(h, of + 2 * i + 2), (h, of + 2 * (len(e.blocks) - i) + 1)]
+
+
+def _outer(roots: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    spans: list[tuple[int, int]] = []
+    for a, b, _ in sorted(roots, key=lambda r: (r[0], -r[1])):
+        if not spans or a >= spans[-1][1]:
+            spans.append((a, b))
+    return spans
+
+
+def _text(parts: list[str | None]) -> str:
+    blocks, now = [], []
+    for part in [*parts, None]:
+        if part is not None:
+            now.append(part)
+        elif now:
+            blocks.append(" ".join("".join(now).split()))
+            now = []
+    return " ".join(b for b in blocks if b)
+
 
 def _hash(text: str) -> int:
     """64-bit signed hash."""
@@ -199,30 +237,52 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+#: Pages of a host with the same HTML have the same key, and the same templates.
+KEY = ["host", "key", "key2"]
+
+
+def _key(url: Column, html_col: Column) -> list[Column]:
+    text = html_col.cast("string")
+    return [host_of(url.cast("string")).alias("host"), F.xxhash64(text).alias("key"),
+            F.xxhash64(F.lit(1), text).alias("key2")]
+
+
 def subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, content, hashes): of every page, what is counted: the hashes of its block subtrees."""
+    """(host, key, key2, content, found): of every page, what is counted: the hashes of its block
+    subtrees with place 0, and with the places at which they are."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = [Page(t) for t in b.column(1).to_pylist()]
-        return pa.record_batch([b.column(0), pa.array([p.content() for p in got], pa.int64()),
-                                pa.array([sorted(p.hashes) for p in got], pa.list_(pa.int64()))],
-                               names=["host", "content", "hashes"])
-    return per_batch(pages.select(host_of(F.col(url_col).cast("string")).alias("host"),
-                                  F.col(html_col).cast("string").alias("html")),
-                     run, "host string, content long, hashes array<long>")
+        contents, ends, hashes, places = [], [0], [], []
+        for source in b.column(3).to_pylist():
+            page = Page(source)
+            contents.append(page.content())
+            for h, place in page.places():
+                hashes.append(h)
+                places.append(place)
+            ends.append(len(hashes))
+        pairs = pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(places, pa.int64())], ["hash", "place"])
+        return pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(contents, pa.int64()),
+                                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                               names=[*KEY, "content", "found"])
+    return per_batch(pages.select(*_key(F.col(url_col), F.col(html_col)), F.col(html_col).cast("string").alias("html")),
+                     run, "host string, key long, key2 long, content long, found array<struct<hash: long, place: long>>")
 
 
 def site_templates(found: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, template array<long>): the recurring subtrees of every host that has some.
+    """(host, hash): the recurring subtrees of every host.
 
-    Pages with the same content count once, so copies of an article make no template.  A host
-    has at most 1 / ``share`` times as many of them as a page has subtrees.
+    Pages with the same content count once, so copies of an article make no template.
     """
-    found = stored(found.groupBy("host", "content").agg(F.min("hashes").alias("hashes")), "subtrees")
+    found = stored(found.groupBy("host", "content").agg(F.min("found").alias("found")), "contents")
     size = found.groupBy("host").agg(F.count(F.lit(1)).alias("contents"))
-    each = (found.select("host", F.explode("hashes").alias("hash"))
-            .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages))
-    return (each.join(size, "host").filter(F.col("n") >= share * F.col("contents"))
-            .groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template")))
+    each = (found.select("host", F.inline("found")).groupBy("host", "hash", "place")
+            .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+            .groupBy("host", "hash").agg(F.max(F.expr("if(place = 0, n, 0)")).alias("n"),
+                                         F.max(F.expr("if(place = 0, 0, n)")).alias("placed")))
+    kind, n, placed, all_ = F.col("hash").bitwiseAND(3), F.col("n"), F.col("placed"), F.col("contents")
+    enough = (F.when(kind == PLAIN, n >= share * all_)
+              .otherwise(placed >= F.greatest(MAJORITY * all_, F.lit(float(MIN_PROSE)))))
+    same_place = (kind == PLAIN) | (placed >= MAJORITY * n)
+    return each.join(size, "host").filter(enough & same_place).select("host", "hash")
 
 
 def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, id_col: str = "page_id",
@@ -234,12 +294,15 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHAR
     an empty table.
     """
     prepare(pages.sparkSession)
-    template = stored(site_templates(subtrees(pages, url_col, html_col), min_pages, share)
-                      .withColumnRenamed("host", "of"), "templates")
+    found = stored(subtrees(pages, url_col, html_col), "subtrees")
+    recurring = stored(site_templates(found, min_pages, share), "templates")
+    each = found.select(*KEY, F.inline("found")).filter("place = 0").drop("place")
+    lists = (each.join(recurring, ["host", "hash"]).groupBy(*KEY).agg(F.collect_set("hash").alias("template")))
+    lists = stored(lists.select(*[F.col(k).alias(f"of_{k}") for k in KEY], "template"), "page-templates")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
-                        F.col(html_col).cast("string").alias("html"))
-    joined = (rows.join(template, host_of(F.col("url")) == F.col("of"), "left")
-              .select("id", "url", "html", "template"))
+                        F.col(html_col).cast("string").alias("html"), *_key(F.col(url_col), F.col(html_col)))
+    same = [F.col(k) == F.col(f"of_{k}") for k in KEY]
+    joined = rows.join(lists, same, "left").select("id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

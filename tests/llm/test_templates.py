@@ -69,3 +69,22 @@ def test_odd_rows(spark):
     got = sorted((str(r["id"]), r["text"][:8]) for r in templates.main_texts(pages).collect())
     assert got == [("1", ""), ("2", "y"), ("2", "y"), ("3", "long lon"), ("4", "deep"), ("None", "x")]
     assert templates.main_texts(pages.limit(0)).count() == 0
+
+
+def texts(spark, bodies, host="h.example"):
+    rows = [(i, f"https://{host}/p{i}", b) for i, b in enumerate(bodies)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    return {r["id"]: r["text"] for r in templates.main_texts(pages).collect()}
+
+
+def test_templates_inside_articles_are_deleted(spark):
+    passage = "long passage that some articles quote " * 10
+    quoted = lambda i: f"<p>{passage}</p>" if i % 5 == 0 else ""
+    more = lambda i: "".join(f"<p>more {i} {k}</p>" for k in range(i % 3))
+    got = texts(spark, [f"<article><h1>Title {i % 7}</h1><p>own {i}</p>{more(i)}{quoted(i)}<p>end {i}</p>"
+                        f"<p>Sign up for our letter</p></article>" for i in range(60)])
+    assert not any("Sign up" in t for t in got.values()) and all(f"Title {i % 7} own {i}" in got[i] for i in got)
+    assert all((passage.strip() in got[i]) == (i % 5 == 0) for i in got)
+    got = texts(spark, [f"<main><ul><li>Home<li>News</ul><p>own {i}</p><table><tr><td>Size<td>{i}</table></main>"
+                        for i in range(40)])
+    assert all(got[i] == f"own {i} Size {i}" for i in got)
