@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from portrisk.llm.common import per_batch, prepare, stored
 
 #: A subtree is template text when it is on this many contents of a host and on this share of
-#: them.
+#: them; on MANY contents it is on any host, however large.
 MIN_PAGES = 4
 SHARE = 0.1
+MANY = 20
 #: Prose inside an article needs this share, and this share of its contents must have it at one place among its siblings.
 MAJORITY = 0.5
 #: It needs this many contents, too.
@@ -267,7 +268,7 @@ def subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
                      run, "host string, key long, key2 long, content long, found array<struct<hash: long, place: long>>")
 
 
-def site_templates(found: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def site_templates(found: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
     """(host, hash): the recurring subtrees of every host.
 
     Pages with the same content count once, so copies of an article make no template.
@@ -279,14 +280,14 @@ def site_templates(found: DataFrame, min_pages: int = MIN_PAGES, share: float =
             .groupBy("host", "hash").agg(F.max(F.expr("if(place = 0, n, 0)")).alias("n"),
                                          F.max(F.expr("if(place = 0, 0, n)")).alias("placed")))
     kind, n, placed, all_ = F.col("hash").bitwiseAND(3), F.col("n"), F.col("placed"), F.col("contents")
-    enough = (F.when(kind == PLAIN, n >= share * all_)
+    enough = (F.when(kind == PLAIN, n >= F.least(share * all_, F.lit(float(many))))
               .otherwise(placed >= F.greatest(MAJORITY * all_, F.lit(float(MIN_PROSE)))))
     same_place = (kind == PLAIN) | (placed >= MAJORITY * n)
     return each.join(size, "host").filter(enough & same_place).select("host", "hash")
 
 
 def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, id_col: str = "page_id",
-               url_col: str = "url", html_col: str = "html") -> DataFrame:
+               url_col: str = "url", html_col: str = "html", many: int = MANY) -> DataFrame:
     """(id, url, text) of every row of ``pages``: its main text, empty if there is none.
 
     Null html counts as empty, null urls as one host; ids pass through, null or repeated; a
@@ -295,7 +296,7 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHAR
     """
     prepare(pages.sparkSession)
     found = stored(subtrees(pages, url_col, html_col), "subtrees")
-    recurring = stored(site_templates(found, min_pages, share), "templates")
+    recurring = stored(site_templates(found, min_pages, share, many), "templates")
     each = found.select(*KEY, F.inline("found")).filter("place = 0").drop("place")
     lists = (each.join(recurring, ["host", "hash"]).groupBy(*KEY).agg(F.collect_set("hash").alias("template")))
     lists = stored(lists.select(*[F.col(k).alias(f"of_{k}") for k in KEY], "template"), "page-templates")

@@ -88,3 +88,11 @@ def test_templates_inside_articles_are_deleted(spark):
     got = texts(spark, [f"<main><ul><li>Home<li>News</ul><p>own {i}</p><table><tr><td>Size<td>{i}</table></main>"
                         for i in range(40)])
     assert all(got[i] == f"own {i} Size {i}" for i in got)
+
+
+def test_templates_of_a_large_host(spark):
+    advert = lambda i: "<div>Buy our things</div>" if i % 12 == 0 else ""
+    got = texts(spark, [f"<div>{advert(i)}<p>own {i}</p></div>" for i in range(300)])
+    assert all(got[i] == f"own {i}" for i in got)  # on 25 of 300 pages
+    got = texts(spark, [f"<article>{advert(i)}<p>own {i}</p></article>" for i in range(300)])
+    assert all(got[i] == f"own {i}" for i in got)
