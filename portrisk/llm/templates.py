@@ -27,12 +27,13 @@ from portrisk.llm.common import per_batch, prepare, stored
 MIN_PAGES = 4
 SHARE = 0.1
 MANY = 20
-#: Prose inside an article needs this share, and this share of its contents must have it at one place among its siblings.
+#: Prose needs this share, and this share of its contents must have it at one place among its siblings.
 MAJORITY = 0.5
-#: It needs this many contents, too.
+#: Prose inside an article needs the majority, and this many contents.
 MIN_PROSE = 32
-#: Kinds of subtrees, the last two bits of their hashes: prose inside an article, and all others.
-PLAIN, QUOTED = 0, 2
+#: Kinds of subtrees, the last two bits of their hashes: blocks; headings and parts of lists and
+#: tables (always at the same place, so that MANY is not enough); prose inside an article; other prose.
+PLAIN, FIXED, QUOTED, LOOSE = 0, 1, 2, 3
 
 _TOKEN = re.compile(r"""<!--(?P<note>.*?)(?:-->|\Z)
   |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']+|"[^"]*"|'[^']*')*+)>
@@ -185,7 +186,8 @@ class Page:
             inside = bool(self._count.get("article") or self._count.get("main"))
             if inside and e.tag in PARTS and e.tag != "li":  # a label stays with what it labels
                 kept = True
-            kind = QUOTED if inside and (e.tag in PROSE or e.tag in PARTS) else PLAIN
+            kind = (PLAIN if e.tag not in PROSE and e.tag not in PARTS else QUOTED if inside
+                    else FIXED if e.tag in HEADINGS or e.tag in PARTS else LOOSE)
             self._stack[-1].blocks.append(None if kept else mark & ~3 | kind)
             if not kept and mark & ~3 | kind in self.template:
                 self._drop(e)
@@ -281,7 +283,9 @@ def site_templates(found: DataFrame, min_pages: int = MIN_PAGES, share: float =
                                          F.max(F.expr("if(place = 0, 0, n)")).alias("placed")))
     kind, n, placed, all_ = F.col("hash").bitwiseAND(3), F.col("n"), F.col("placed"), F.col("contents")
     enough = (F.when(kind == PLAIN, n >= F.least(share * all_, F.lit(float(many))))
-              .otherwise(placed >= F.greatest(MAJORITY * all_, F.lit(float(MIN_PROSE)))))
+              .when(kind == FIXED, placed >= MAJORITY * all_)
+              .when(kind == QUOTED, placed >= F.greatest(MAJORITY * all_, F.lit(float(MIN_PROSE))))
+              .otherwise(placed >= F.least(MAJORITY * all_, F.lit(float(many)))))
     same_place = (kind == PLAIN) | (placed >= MAJORITY * n)
     return each.join(size, "host").filter(enough & same_place).select("host", "hash")
 

@@ -96,3 +96,13 @@ def test_templates_of_a_large_host(spark):
     assert all(got[i] == f"own {i}" for i in got)  # on 25 of 300 pages
     got = texts(spark, [f"<article>{advert(i)}<p>own {i}</p></article>" for i in range(300)])
     assert all(got[i] == f"own {i}" for i in got)
+
+
+def test_quoted_passage_without_article_survives(spark):
+    passage = "words of a long passage " * 15
+    quoted = lambda i: f"<h2>Sources</h2><p>{passage}</p>" if i % 10 == 0 else ""
+    table = lambda i: f"<h1>Title</h1><table><tr><td>Size<td>{i // 4}</table>" if i % 3 == 0 else ""
+    got = texts(spark, [f"<div>Portal</div><div><p>own {i}</p>{table(i)}{quoted(i)}</div>" for i in range(41)])
+    assert all("Portal" not in t and f"own {i}" in t for i, t in got.items())
+    assert all((f"Sources {passage.strip()}" in got[i]) == (i % 10 == 0) for i in got)  # on 5 of 41 pages
+    assert all((f"Title Size {i // 4}" in got[i]) == (i % 3 == 0) for i in got)
