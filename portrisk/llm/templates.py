@@ -43,21 +43,29 @@ _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|
 
 _set = lambda words: frozenset(words.split())
 VOID = _set("area base br col embed hr img input link meta param source track wbr")
-RAW = _set("script style title textarea noscript iframe xmp template svg math object select")
+RAW = _set("script style title textarea noscript iframe xmp template object select")
 HEADINGS = _set("h1 h2 h3 h4 h5 h6")
 BLOCKS = HEADINGS | _set("""address article aside blockquote body center dd details dialog div dl dt fieldset
     figcaption figure footer form head header hgroup hr html li main menu nav ol option p pre section summary table
     tbody td tfoot th thead tr ul br""")
 #: Elements that are never part of an article.
-NEVER = RAW | _set("head nav footer aside form menu dialog button")
+NEVER = RAW | _set("head nav footer aside form menu dialog button annotation annotation-xml metadata desc")
 #: Prose: what articles quote from each other.
 PROSE = HEADINGS | _set("p blockquote pre ul ol dl table figure")
 PARTS = _set("li dt dd thead tbody tfoot tr td th figcaption caption summary")
-#: Words of a class, id or role that mark what is not the article.
+#: Words of a class or role that mark what is not the article.
 WORDS = _set("""ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments
     complementary consent contentinfo cookie cookies disqus footer gdpr header login masthead menu modal nav navbar
     navigation newsletter notice notices pagination popup promo related reply respond search share sharing sidebar
     social sponsor sponsored subscribe toolbar widget""")
+#: Words that may stand beside them in a class ("share-bar"); any other word makes it a class of its own.
+BESIDE = _set("""area bar bars block bottom box btn button buttons container content fixed form global group icon icons
+    inner item items left link links list main mobile outer page primary right secondary section site sticky thread top
+    wrap wrapper""")
+#: Ids are often made from headings: only these whole ids count, the first ones inside an article too.
+COMMENT_IDS = _set("comments respond disqus_thread")
+IDS = COMMENT_IDS | _set("header footer nav navbar navigation menu masthead sidebar breadcrumb breadcrumbs cookie-banner")
+_COMMENTS = _set("comment comments disqus respond reply")
 #: An opening tag ends open elements of these kinds, up to an element of those.
 ENDS = {"li": (_set("li"), _set("ul ol menu")), "dt": (_set("dt dd"), _set("dl")), "dd": (_set("dt dd"), _set("dl")),
         "tr": (_set("tr td th"), _set("table")), "td": (_set("td th"), _set("tr table")),
@@ -73,16 +81,24 @@ class _Open:
     at: int  # where its text begins in the output
     found: int  # and its subtrees in the list of those found
     never: bool
+    spare: bool = False  # an article inside it is returned if the page has no other text
     marks: list[str] = field(default_factory=list)  # of its children, in order
     blocks: list[int | None] = field(default_factory=list)  # its block elements, counted ones by hash
 
 
-def _marked(attrs: str) -> bool:
+def _marked(attrs: str, inside: bool) -> frozenset[str]:
+    """Words by which an element, ``inside`` an article or not, says it is none."""
     for m in _ATTR.finditer(attrs):
         value = m[2] or m[3] or m[4] or ""
-        if not WORDS.isdisjoint(_WORD.split(_FOLD.sub(" ", value).lower())):
-            return True
-    return False
+        if m[1].lower() == "id":
+            if value.strip().lower() in (COMMENT_IDS if inside else IDS):
+                return frozenset((value.strip().lower().split("_")[0],))
+            continue
+        for token in value.split():
+            words = frozenset(w for w in _WORD.split(_FOLD.sub(" ", token).lower()) if w)
+            if words & WORDS and words <= WORDS | BESIDE:
+                return words & WORDS
+    return frozenset()
 
 
 class Page:
@@ -92,6 +108,7 @@ class Page:
         self.template = template
         self.found: list[tuple[int, int]] = []  # (hash, place) of each counted subtree, two places each
         self._out: list[str | None] = []  # text, None between blocks
+        self._spare: list[str | None] = []
         self._roots: dict[str, list[tuple[int, int, int]]] = {"article": [], "main": []}
         self._stack = [_Open("", "", 0, 0, False)]
         self._count: dict[str, int] = {}
@@ -100,7 +117,7 @@ class Page:
     def text(self) -> str:
         """Blocks of the article (else main, else the whole page), joined by one space."""
         spans = _outer(self._roots["article"]) or _outer(self._roots["main"]) or [(0, len(self._out))]
-        return _text([part for a, b in spans for part in [*self._out[a:b], None]])
+        return _text([part for a, b in spans for part in [*self._out[a:b], None]]) or _text(self._spare)
 
     def places(self) -> list[tuple[int, int]]:
         """(hash, 0) and (hash, place) of every counted subtree, once each."""
@@ -155,14 +172,19 @@ class Page:
                         if tag != "tr":
                             break
             self._out.append(None)
-        if tag in VOID:
+        drawn = tag in ("svg", "math") or self._count.get("svg") or self._count.get("math")
+        if tag in VOID or drawn and attrs.endswith("/"):
             self._stack[-1].marks.append(f"<{tag}>")
             return
+        inside = bool(self._count.get("article") or self._count.get("main"))
         self._count[tag] = self._count.get(tag, 0) + 1
-        never = tag in NEVER or tag not in ("html", "body", "main") and bool(attrs) and _marked(attrs)
-        if tag == "header":
-            never = never or not (self._count.get("article") or self._count.get("main"))
-        self._stack.append(_Open(tag, attrs, len(self._out), len(self.found), never))
+        never, words = tag in NEVER, frozenset()
+        if tag == "header" and not inside:
+            never = True
+        elif attrs and tag not in ("html", "body", "main", "header") and tag not in HEADINGS:
+            words = _marked(attrs, inside)
+        self._stack.append(_Open(tag, attrs, len(self._out), len(self.found), never or bool(words),
+                                 _COMMENTS.isdisjoint(words)))
 
     def _end(self, tag: str) -> None:
         if self._count.get(tag):
@@ -179,8 +201,8 @@ class Page:
         if e.tag not in BLOCKS and not e.never:
             return e.tag
         holds = any(r[0] >= e.at for spans in self._roots.values() for r in spans)
-        if e.never and not holds:
-            self._drop(e)
+        if e.never and not (holds and e.tag == "form"):
+            self._drop(e, holds and e.spare)
         else:
             kept = holds or e.tag in ("html", "body", "article", "main") or not any(e.marks)
             inside = bool(self._count.get("article") or self._count.get("main"))
@@ -190,15 +212,20 @@ class Page:
                     else FIXED if e.tag in HEADINGS or e.tag in PARTS else LOOSE)
             self._stack[-1].blocks.append(None if kept else mark & ~3 | kind)
             if not kept and mark & ~3 | kind in self.template:
-                self._drop(e)
+                self._drop(e, False)
             elif e.tag in self._roots:
                 self._roots[e.tag].append((e.at, len(self._out), mark))
         if e.tag in BLOCKS:
             self._out.append(None)
         return e.tag
 
-    def _drop(self, e: _Open) -> None:
-        """Delete what came since ``e`` began."""
+    def _drop(self, e: _Open, spare: bool) -> None:
+        """Delete what came since ``e`` began, also the articles in it."""
+        inner = {tag: [r for r in spans if r[0] >= e.at] for tag, spans in self._roots.items()}
+        self._roots = {tag: [r for r in spans if r[0] < e.at] for tag, spans in self._roots.items()}
+        if spare:
+            for a, b in _outer(inner["article"]) or _outer(inner["main"]):
+                self._spare += [*self._out[a:b], None]
         del self._out[e.at:]
         del self.found[e.found:]
 

@@ -106,3 +106,19 @@ def test_quoted_passage_without_article_survives(spark):
     assert all("Portal" not in t and f"own {i}" in t for i, t in got.items())
     assert all((f"Sources {passage.strip()}" in got[i]) == (i % 10 == 0) for i in got)  # on 5 of 41 pages
     assert all((f"Title Size {i // 4}" in got[i]) == (i % 3 == 0) for i in got)
+
+
+@pytest.mark.parametrize("source, want", [
+    ('<article><header class="entry-header"><h1>Title</h1></header><p>x</p></article>', "Title x"),
+    ('<article><section id="social-history"><h2 id="search-trees">Trees</h2><p>x</p></section></article>', "Trees x"),
+    ('<article><h2 id="comments">On comments</h2><div class="notice-of-meeting">On Monday</div></article>', "On comments On Monday"),
+    ("<article><p>let <math><mi>a</mi><annotation>\\a</annotation></math> be</p><svg><path d='m'/><text>axis</text></svg></article>",
+     "let a be axis"),
+    ("<article><p>x</p></article><section id=comments><article><p>reader comment</p></article></section>", "x"),
+    ("<div><p>story</p></div><section class=comments><article><p>reader comment</p></article></section>", "story"),
+    ("<div>story</div><aside><article>teaser</article></aside>", "story"),
+    ("<form><article>in a page-wide form</article></form>", "in a page-wide form"),
+    ("<div class='main-menu'>menu</div><div class='siteHeader'>top</div><div id=sidebar>side</div><div>x</div>", "x"),
+])
+def test_marks(source, want):
+    assert Page(source).text() == want
