@@ -183,7 +183,7 @@ def scenario_grid(model: PipelineModel, ships: DataFrame, news_score: Column,
                   group_col: str = "terminal") -> DataFrame:
     """M9: risk surface per group (default terminal) over tonnage x rain x wind.
 
-    Every group gets every level of the simulator's three sliders by array generators, at
+    Every group gets the given levels of the simulator's three sliders by array generators, at
     the current news score, scored and tiered.  Rows = groups x levels.
     """
     levels = lambda values: F.explode(F.array(*[F.lit(float(v)) for v in values]))

@@ -641,7 +641,7 @@ def q_stress_test(spark, d):
 def q_scenario_grid(spark, d):
     """Per terminal, tonnage x rain x wind surface at the current news score."""
     cur = state.current_value(news_standin(spark, d), "score_risco", "timestamp_leitura", "cont_id")
-    g = ml.scenario_grid(trained_model(spark, d), _fleet(spark, d), cur)
+    g = ml.scenario_grid(trained_model(spark, d), _fleet(spark, d), cur, tonnage_values=S.SCENARIO_TONNAGE_LEVELS)
     return g.select("terminal", "quantidade_estimada", "rain_feature", "wind_feature", "nlp_risk_score",
                     "risk_probability", "tier")
 

@@ -88,6 +88,14 @@ def test_scenario_grid_and_fleet(spark, model_data):
     assert all(r.tier == "high" for r in out)
 
 
+def test_scenario_query_holds_the_start_values(spark):
+    g = C.QUERIES["scenario_grid"](spark, SF_SMALL)
+    tonnages = sorted(r[0] for r in g.select("quantidade_estimada").distinct().collect())
+    assert tonnages == [float(t) for t in range(5000, 150001, 5000)]
+    start = g.filter("quantidade_estimada = 50000 and rain_feature = 10 and wind_feature = 15")
+    assert start.count() == g.select("terminal").distinct().count() > 0
+
+
 # --- streams: each must equal its batch twin ---------------------------------
 
 def test_stream_weather_twin_with_restart(spark, scratch):
