@@ -85,23 +85,71 @@ class Model:
         return score
 
 
-def train(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]],
-          prior: float, epochs: int = 80, batch: int = 256, rate: float = 0.05, decay: float = 1e-5,
-          drop: float = 0.3, seed: int = 3) -> Model:
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def margin(w: np.ndarray, rows: list[Row], shown: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of texts under the weights ``w`` (bias last) by those of their words that are
+    ``shown``, and the features (with their texts) of the words that decide them."""
+    ids, sizes = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    ids = ids[np.repeat(shown, sizes)]
+    text = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])[shown]
+    sizes = sizes[shown]
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    value = np.bincount(word, w[ids], len(sizes)).astype(float)
+    order = np.lexsort((value, text))
+    last = np.nonzero(np.append(np.diff(text) > 0, True))[0] if len(text) else np.zeros(0, np.int64)
+    best = order[last]
+    best = best[value[best] > -1.0]  # a word below zero still learns while it is near
+    z = np.zeros(len(rows))
+    z[text[best]] = np.maximum(value[best], 0.0)
+    decides = np.isin(word, best)
+    return z + w[-1], ids[decides], text[word[decides]]
+
+
+def gradient(w: np.ndarray, positive: list[Row], unlabelled: list[Row], prior: float,
+             shown: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray]:
+    """Non-negative risk of the sigmoid loss, and its slope by weight (bias last).
+
+    The risk is that of missed toxic texts plus that of clean ones, which is the unlabelled
+    texts' less its toxic part; where that is below zero it counts as zero and does not pull.
+    """
+    p, u = margin(w, positive, shown[0]), margin(w, unlabelled, shown[1])
+    sp, su = 1 / (1 + np.exp(-p[0])), 1 / (1 + np.exp(-u[0]))
+
+    def slope(at: tuple[np.ndarray, np.ndarray, np.ndarray], d: np.ndarray) -> np.ndarray:
+        # counts of no ids come as integers, whatever their weights
+        g = np.bincount(at[1], d[at[2]], len(w)).astype(float)
+        g[-1] = d.sum()
+        return g
+    clean_risk = su.mean() - prior * sp.mean()
+    toward_toxic = slope(p, prior * sp * (1 - sp) / len(sp))
+    g = -toward_toxic
+    if clean_risk > 0:
+        g = g + slope(u, su * (1 - su) / len(su)) - toward_toxic
+    return prior * (1 - sp).mean() + max(clean_risk, 0.0), g
+
+
+def train(positive: list[Row], unlabelled: list[Row], prior: float, epochs: int = 80, batch: int = 256,
+          rate: float = 0.05, decay: float = 1e-5, drop: float = 0.3, seed: int = 3) -> Model:
     """Non-negative PU learning with the sigmoid loss and Adam; texts as ``features`` gives them.
 
     Each step hides a share ``drop`` of the words, so that no word learns only beside others.
-    Without positive or unlabelled texts, or with a prior of 0, every text scores the prior.
+    Without positive or unlabelled texts, with a prior of 0, or when no feature tells them
+    apart (few or empty toxic texts, toxic texts with the words of all others), every text
+    scores the prior.
     """
     prior = float(np.clip(prior, 0.0, 0.999))
     start = float(np.log(max(prior, 1e-6) / (1 - prior)))
     if not positive or not unlabelled or prior <= 0:
         return Model({}, start)
     use = telling([r[0] for r in positive], [r[0] for r in unlabelled])
+    if not len(use):
+        return Model({}, start)
     place = np.full(DIMS, -1, np.int64)
     place[use] = np.arange(len(use))
 
-    def kept(row: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def kept(row: Row) -> Row:
         x = place[row[0]]
         word = np.repeat(np.arange(len(row[1])), row[1])[x >= 0]
         return x[x >= 0], np.unique(word, return_counts=True)[1]
@@ -112,41 +160,16 @@ def train(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[
     w[n] = start
     rng, step = np.random.default_rng(seed), 0
 
-    def margin(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores of texts, and the features (with their texts) of the words that decide them."""
-        ids, sizes = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-        shown = rng.random(len(sizes)) >= drop
-        ids = ids[np.repeat(shown, sizes)]
-        text = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])[shown]
-        sizes = sizes[shown]
-        word = np.repeat(np.arange(len(sizes)), sizes)
-        value = np.bincount(word, w[ids], len(sizes))
-        order = np.lexsort((value, text))
-        last = np.nonzero(np.append(np.diff(text) > 0, True))[0] if len(text) else np.zeros(0, np.int64)
-        best = order[last]
-        best = best[value[best] > -1.0]  # a word below zero still learns while it is near
-        z = np.zeros(len(rows))
-        z[text[best]] = np.maximum(value[best], 0.0)
-        decides = np.isin(word, best)
-        return z + w[n], ids[decides], text[word[decides]]
-
-    def slope(at: tuple[np.ndarray, np.ndarray, np.ndarray], d: np.ndarray) -> np.ndarray:
-        g = np.bincount(at[1], d[at[2]], n + 1)
-        g[n] = d.sum()
-        return g
+    def shown(rows: list[Row]) -> np.ndarray:
+        return rng.random(sum(len(r[1]) for r in rows)) >= drop
 
     for _ in range(epochs):
         order = rng.permutation(len(unlabelled))
         for at in range(0, len(order), batch):
-            u = margin([unlabelled[i] for i in order[at:at + batch]])
-            p = margin([positive[i] for i in rng.integers(0, len(positive), min(batch, len(positive)))])
-            sp, su = 1 / (1 + np.exp(-p[0])), 1 / (1 + np.exp(-u[0]))
-            clean_risk = su.mean() - prior * sp.mean()
-            dp, du = prior * sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
-            toward_toxic = slope(p, dp)
-            g = -toward_toxic
-            if clean_risk > 0:  # held at zero below
-                g = g + slope(u, du) - toward_toxic
+            u = [unlabelled[i] for i in order[at:at + batch]]
+            hidden_u = shown(u)
+            p = [positive[i] for i in rng.integers(0, len(positive), min(batch, len(positive)))]
+            _, g = gradient(w, p, u, prior, (shown(p), hidden_u))
             g[:n] += decay * w[:n]
             step += 1
             m += 0.1 * (g - m)
@@ -160,8 +183,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from the confirmed toxic rows of ``labels`` and unlabelled ``docs``, training folds only.
 
     Both are samples by a hash of the id, at most ``max_positive`` and ``max_unlabelled`` texts;
-    the class prior is the toxic share of all training labels.
+    the class prior is the toxic share of all training labels.  Features are taken where the
+    texts lie; one task trains on the sample's features and returns the weights alone.  Rows
+    without id and labels that are null teach nothing, null texts count as empty, of rows with
+    one id the text with the smallest SHA-256 is learnt from, an id labelled twice counts
+    toxic if one of its labels does; without labels or documents every text scores the prior.
     """
+    prepare(docs.sparkSession)
     known = labels.filter(in_training(id_col) & F.col(label_col).isNotNull())
     prior = known.agg(F.avg((F.col(label_col) == 1).cast("double")).alias("p")).first()["p"] or 0.0
     toxic = sample_ids(known.filter(F.col(label_col) == 1), max_positive, id_col)
@@ -169,15 +197,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         got = [features(t) for t in b.column(1).to_pylist()]
-        return pa.record_batch([b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())),
-                                pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["id", "ids", "sizes"])
-    found = per_batch(texts_of(docs, {*toxic, *other}, id_col, text_col), run,
-                      "id long, ids array<int>, sizes array<int>").toArrow().sort_by("id")
-    rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for b in found.to_batches():
-        for k, i in enumerate(b.column(0).to_pylist()):
-            rows[i] = (b.column(1)[k].values.to_numpy(), b.column(2)[k].values.to_numpy())
-    return train([rows[i] for i in toxic if i in rows], [rows[i] for i in other if i in rows], prior)
+        return pa.record_batch([b.column(0), b.column(2), pa.array([g[0] for g in got], pa.list_(pa.int32())),
+                                pa.array([g[1] for g in got], pa.list_(pa.int32()))],
+                               names=["id", "mark", "ids", "sizes"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, Row] = {}
+        for b in batches:
+            for k, i in enumerate(b.column(0).to_pylist()):
+                if i not in rows:
+                    rows[i] = (b.column(1)[k].values.to_numpy().copy(), b.column(2)[k].values.to_numpy().copy())
+        model = train([rows[i] for i in toxic if i in rows], [rows[i] for i in other if i in rows], prior)
+        yield pa.record_batch([pa.array([-1, *model.weights], pa.int32()),
+                               pa.array([model.bias, *model.weights.values()], pa.float64())], names=["f", "w"])
+    texts = texts_of(docs, {*toxic, *other}, id_col, text_col).withColumn("mark", F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = per_batch(texts, run, "id long, mark string, ids array<int>, sizes array<int>")
+    trained = (found.repartition(1).sortWithinPartitions("id", "mark").select("id", "ids", "sizes")
+               .mapInArrow(learn, "f int, w double"))
+    weights = {r["f"]: r["w"] for r in trained.collect()}
+    if not weights:  # no documents, so no task
+        return train([], [], prior)
+    return Model({f: w for f, w in weights.items() if f >= 0}, weights[-1])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
