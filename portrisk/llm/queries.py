@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portrisk.llm import chat, cuckoo, lsh, mixing, packing, prefix_tokens, quality, simhash, templates, toxicity
+from portrisk.llm import (chat, cuckoo, importance, lsh, mixing, packing, prefix_tokens, quality, simhash, templates,
+                          toxicity)
 from portrisk.llm.common import held_out, prepare
 
 
@@ -95,6 +96,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "sequence_id", "offset")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents toward ``benchmark``, and the 5 in 100 drawn by them."""
+    found = importance.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_cross_polytope": op2_cross_polytope,
@@ -106,9 +113,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_importance": op11_importance,
 }
 
 SQL: dict[str, str] = {
     "op7_cuckoo": cuckoo.SQL,
     "op9_mixing": mixing.SQL,
+    "op11_importance": importance.SQL,
 }
