@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portrisk.llm import (chat, cuckoo, importance, lsh, mixing, packing, prefix_tokens, quality, simhash, templates,
-                          toxicity)
+from portrisk.llm import (chat, cuckoo, importance, lsh, mixing, packing, prefix_tokens, quality, repair, simhash,
+                          templates, toxicity)
 from portrisk.llm.common import held_out, prepare
 
 
@@ -102,6 +102,12 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+def op13_audit_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest audits that repair all conversations after their rows were damaged."""
+    turns = _table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(turns), turns).withColumnRenamed("id", "conv_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_cross_polytope": op2_cross_polytope,
@@ -114,10 +120,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
     "op11_importance": op11_importance,
+    "op13_audit_dp": op13_audit_dp,
 }
 
 SQL: dict[str, str] = {
     "op7_cuckoo": cuckoo.SQL,
     "op9_mixing": mixing.SQL,
     "op11_importance": importance.SQL,
+    "op13_audit_dp": repair.SQL,
 }
