@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portrisk.llm import (chat, cuckoo, importance, lsh, mixing, packing, prefix_tokens, quality, repair, simhash,
-                          templates, toxicity)
+from portrisk.llm import (chat, cuckoo, importance, lsh, mixing, packing, prefix_tokens, quality, repair,
+                          secret_scan, simhash, templates, toxicity)
 from portrisk.llm.common import held_out, prepare
 
 
@@ -102,6 +102,15 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, in their texts and in encoded layers of them."""
+    found = secret_scan.secrets(_table(spark, sf_dir, "documents"))
+    told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(F.col("id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in secret_scan.KINDS],
+                        F.sha2(told("base"), 256).alias("base_sha256"), told("found").alias("spans"))
+
+
 def op13_audit_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest audits that repair all conversations after their rows were damaged."""
     turns = _table(spark, sf_dir, "conversations")
@@ -120,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
     "op11_importance": op11_importance,
+    "op12_secret_scan": op12_secret_scan,
     "op13_audit_dp": op13_audit_dp,
 }
 
