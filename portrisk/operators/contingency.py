@@ -3,9 +3,9 @@
 A *batch* is one monitoring run: one or more road-status pages and news
 pages.  Road pages score by tiers (first tier that matches wins); the first
 N headlines of each news page score one weight each; the batch score is the
-capped sum.  Every page is parsed in the executors, alerts are grouped per
-batch (a handful of rows each), and a batch without any alert still yields a
-row with score 0 and the default sentence.
+capped sum.  Every page is parsed in the executors, alerts are joined in ranges of their
+order (so that one batch may hold any share of them), and a batch without any
+alert still yields a row with score 0 and the default sentence.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.scalars import contains_any, headline, json_key, row_hash_id
 from ..functions.text import page_text
+from ..session import scratch_path
 from ..sources.html import page_elements
 
 
@@ -86,19 +87,28 @@ def page_alerts(pages: DataFrame, rules: Rules = Rules(), batch_col: str = "batc
 
 def score_alerts(alerts: DataFrame, run_ts, rules: Rules = Rules(), region: str = S.CONTINGENCY_LOC,
                  entity: str = S.CONTINGENCY_ENTITY, batch_col: str = "batch_id") -> DataFrame:
-    """X5 from ``page_alerts``: one ``fato_contingencias_nlp`` row per batch."""
+    """X5 from ``page_alerts``: one ``fato_contingencias_nlp`` row per batch, a null batch too.
+
+    ``alerts`` is read twice, by the sample that finds its ranges and by the shuffle into
+    them, so it should be a written table.
+    """
     msg = F.col("message")
-    per_batch = alerts.groupBy(batch_col).agg(
-        F.sum("weight").alias("total"),
-        F.count(msg).cast("int").alias("n_alerts"),
-        F.array_sort(F.collect_list(F.when(msg.isNotNull(), F.struct("src", "page_id", "ord", "message"))))
-        .alias("hits"))
-    joined = F.array_join(F.transform("hits", lambda h: h["message"]), S.TEXT_JOIN)
+    order = [F.col(c) for c in (batch_col, "src", "page_id", "ord", "message")]
+    # ranges of the alerts' order: a batch of any size is joined range by range, then the ranges' texts
+    ranged = alerts.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    hits = F.array_sort(F.collect_list(F.when(msg.isNotNull(), F.struct("src", "page_id", "ord", "message"))))
+    pieces = ranged.groupBy(batch_col, "_range").agg(
+        F.sum("weight").alias("total"), F.count(msg).alias("n"),
+        F.array_join(F.transform(hits, lambda h: h["message"]), S.TEXT_JOIN).alias("text"))
+    texts = F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("_range", "text"))))
+    per_batch = pieces.groupBy(batch_col).agg(
+        F.sum("total").alias("total"), F.sum("n").cast("int").alias("n_alerts"),
+        F.array_join(F.transform(texts, lambda t: t["text"]), S.TEXT_JOIN).alias("joined"))
     return per_batch.select(
         row_hash_id(F.lit(region), F.col(batch_col), F.lit(str(run_ts))).alias("cont_id"),
         F.lit(region).alias("loc_id"),
         F.lit(run_ts).cast("timestamp").alias("timestamp_leitura"),
-        F.when(F.col("n_alerts") > 0, joined).otherwise(F.lit(rules.default_text)).alias("texto_original"),
+        F.when(F.col("n_alerts") > 0, F.col("joined")).otherwise(F.lit(rules.default_text)).alias("texto_original"),
         F.lit(entity).alias("entidade_evento"),
         F.round(F.least(F.col("total"), F.lit(rules.cap)), 9).alias("score_risco"),
         F.to_json(F.struct(F.col("n_alerts").alias("alertas"))).alias("json_extraido"),
@@ -117,7 +127,11 @@ def score_contingencies(pages: DataFrame, run_ts, rules: Rules = Rules(),
     texts are joined by " | " in detection order (road first, then
     headlines in page order); ``json_extraido`` = ``{"alertas": n}``.
     """
-    return score_alerts(page_alerts(pages, rules, batch_col, kind_col), run_ts, rules, region, entity, batch_col)
+    alerts = page_alerts(pages, rules, batch_col, kind_col)
+    path = scratch_path(pages.sparkSession, "alerts")  # every page is parsed once
+    alerts.write.parquet(path)
+    alerts = pages.sparkSession.read.schema(alerts.schema).parquet(path)
+    return score_alerts(alerts, run_ts, rules, region, entity, batch_col)
 
 
 def contingency_from_json(df: DataFrame, json_col: str, text_col: str, run_ts,

@@ -63,6 +63,19 @@ def q_weather_normalize(spark, d):
     return _ntz(ingest.normalize_weather(raw, time_col="ts", keep=["event_id"]))
 
 
+#: Rows of a landed weather file, and of a landed page, at most (about).
+FILE_ROWS, PAGE_ROWS = 50_000, 500
+
+
+def _dealt(rows, key: str, most: int):
+    """``rows`` dealt to writers by ``key``, a key of more than ``most`` rows to several, each row
+    with its ``part`` of the key.  A row per key is counted first."""
+    n = rows.groupBy(F.col(key).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    part = F.pmod(F.xxhash64(*rows.columns), F.ceil(F.col("_n") / F.lit(most)))
+    dealt = rows.join(n, F.col(key).eqNullSafe(F.col("_of"))).select(*rows.columns, part.cast("int").alias("part"))
+    return dealt.repartition(_land_parts(rows.sparkSession), key, "part")
+
+
 def _weather_exports(spark, d) -> list[DataFrame]:
     """Wide exports of differing headers, the second kind partly broken: locations whose id
     leaves 13 by 97 send files without the rain column."""
@@ -71,8 +84,7 @@ def _weather_exports(spark, d) -> list[DataFrame]:
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "precip", "windspeed", "humidity",
         F.concat(F.lit("loc, "), F.col("loc_id").cast("string")).alias("name"),
         F.lit('partly "cloudy", rain').alias("conditions"), (F.col("event_id") % 40).alias("tempmax"))
-    # a file holds a fortnight of a location, so a hot location has several writers
-    raw = raw.repartition(_land_parts(spark), "loc_id", F.floor(F.dayofmonth(F.to_timestamp("datetime")) / 16))
+    raw = _dealt(raw, "loc_id", FILE_ROWS)
     broken = F.col("of") % 97 == 13
     return [rows.select("loc_id", *cols) for rows, cols in (
         (raw.filter(~broken & (F.col("of") % 2 == 0)), ["name", "datetime", "tempmax", "humidity", "precip", "windspeed"]),
@@ -307,33 +319,29 @@ def q_lineup_clean(spark, d):
     return _ntz(ingest.normalize_lineup(named, RUN_TS, strict=False, drop_null=True, id_keys=named.columns))
 
 
-def nation_pages(spark, d):
-    """One HTML page per region holding its nations as a two-level-header table.
+def customer_pages(spark, d):
+    """HTML pages holding each nation's customers as a two-level-header table, ``PAGE_ROWS`` or so a page.
 
-    ``nation`` is a fixed 25-row table at every scale, so one page per
-    region (5 rows each) is bounded by construction.
+    The pages have what simple patterns get wrong: spans, missing end tags, comments,
+    entities and nested tags.
     """
-    n = SI.table(spark, d, "nation")
-    # end tags left out, the region's key spans all of its rows, a table in a comment before
-    cells = F.concat(F.col("n_nationkey").cast("string"), F.lit("<td><b>"), F.col("n_name"), F.lit("</b>"))
-    rows = F.array_sort(F.collect_list(F.struct("n_nationkey", cells.alias("c"))))["c"]
-    body = n.groupBy("n_regionkey").agg(rows.alias("rows"))
-    key = F.concat(F.lit("<td rowspan="), F.size("rows").cast("string"), F.lit(">"), F.col("n_regionkey").cast("string"))
-    trs = F.array_join(F.transform("rows", lambda c, i: F.concat(
-        F.lit("<tr><td>"), c, F.when(i == 0, key).otherwise(F.lit("")))), "")
-    head = ("<table class=\"lineup\"><thead><tr><th colspan=2>Nation</th><th rowspan=2>Region Key</th></tr>"
+    c = SI.table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    tr = F.concat(F.lit("<tr><td>"), F.col("c_custkey").cast("string"), F.lit("<td><b>"),
+                  F.replace("c_name", F.lit("#"), F.lit("&#35;&amp;")), F.lit("</b><td>"), F.col("c_nationkey").cast("string"))
+    head = ("<html><body><!-- <table><tr><td>old</table> --><p>Customers</p>"
+            "<table class=\"lineup\"><thead><tr><th colspan=2>Customer</th><th rowspan=2>Nation Key</th></tr>"
             "<tr><th>Key</th><th>Name</th></tr></thead><tbody>")
-    return body.select(F.col("n_regionkey").cast("long").alias("page_id"),
-                       F.concat(F.lit("<html><body><!-- <table><tr><td>old</table> --><p>Nations</p>" + head), trs,
-                                F.lit("</tbody></table></body></html>")).alias("html"))
+    pages = html.table_pages(_dealt(c.withColumn("tr", tr), "c_nationkey", PAGE_ROWS), ["c_nationkey", "part"],
+                             "c_custkey", "tr", head, "</tbody></table></body></html>")
+    return pages.select((F.col("c_nationkey") * 1_000_000 + F.col("part")).cast("long").alias("page_id"), "html")
 
 
 def q_html_table_rows(spark, d):
     """Parse the first table of each page back into typed rows."""
-    rows = html.html_tables(nation_pages(spark, d))
-    named = html.table_columns(rows, [("Nation Key", "k"), ("Nation Name", "name"), ("Region Key", "r")])
-    return named.select(F.col("k").cast("int").alias("n_nationkey"), F.col("name").alias("n_name"),
-                        F.col("r").cast("int").alias("n_regionkey"))
+    rows = html.html_tables(customer_pages(spark, d))
+    named = html.table_columns(rows, [("Customer Key", "k"), ("Customer Name", "name"), ("Nation Key", "n")])
+    return named.select(F.col("k").cast("long").alias("c_custkey"), F.col("name").alias("c_name"),
+                        F.col("n").cast("int").alias("c_nationkey"))
 
 
 def q_page_elements_div_ad(spark, d):
@@ -654,17 +662,17 @@ LINEUP_HEADERS = ["Navio Ship", "IMO", "Cheg/Arrival d/m/y", "Mercadoria Goods",
 
 
 def lineup_pages(spark, d):
-    """One landed line-up page per customer: a table with the header row and a row per order."""
+    """Landed line-up pages of each customer, ``PAGE_ROWS`` orders or so each: a table with the
+    header row and a row per order."""
     raw = lineup_raw(spark, d)
     head = "<table><tr>" + "".join(f"<th>{h}</th>" for h in LINEUP_HEADERS) + "</tr>"
     cells = [F.concat(F.lit("<td>"), F.coalesce(F.col(f"`{h}`"), F.lit(""))) for h in LINEUP_HEADERS]
-    rows = raw.withColumn("o_orderkey", F.regexp_extract(F.col("`Navio Ship`"), r"([0-9]+)$", 1).cast("long")).join(
-        SI.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("page_id")), "o_orderkey")
-    pages = rows.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct(
-        "o_orderkey", F.concat(F.lit("<tr>"), *cells).alias("tr"))))["tr"], "").alias("trs"))
-    return pages.select("page_id", F.col("page_id").cast("string").alias("batch_id"), F.lit("lineup").alias("kind"),
-                        F.concat(F.lit("<html><body><h2>Navios esperados</h2>" + head), "trs",
-                                 F.lit("</table></body></html>")).alias("html"))
+    rows = raw.select(F.regexp_extract(F.col("`Navio Ship`"), r"([0-9]+)$", 1).cast("long").alias("key"),
+                      F.concat(F.lit("<tr>"), *cells).alias("tr")).join(
+        SI.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("page_id")), "key")
+    body = html.table_pages(_dealt(rows, "page_id", PAGE_ROWS), ["page_id", "part"], "key", "tr",
+                            "<html><body><h2>Navios esperados</h2>" + head, "</table></body></html>")
+    return body.select("page_id", F.col("page_id").cast("string").alias("batch_id"), F.lit("lineup").alias("kind"), "html")
 
 
 def q_lineup_pages(spark, d):
@@ -690,16 +698,22 @@ def q_stream_weather(spark, d):
 
 
 def _land_events(spark, d, repeats: bool) -> str:
-    """Land weather readings as parquet; with ``repeats`` the click/view readings
-    are landed a second time as exact copies (the 15-day re-fetch)."""
+    """Land weather readings as parquet; with ``repeats`` the click/view readings are landed a
+    second time as exact copies (the 15-day re-fetch), some readings have no location, and
+    some are empty ones without a time, many of them alike."""
     w = (SI.weather(spark, d).withColumn("loc_id", F.col("loc_id").cast("string"))
          .withColumn("timestamp_leitura", F.col("timestamp_leitura").cast("timestamp")))
+    if repeats:
+        timeless, homeless = F.col("event_id") % 50 == 9, F.col("event_id") % 50 == 7
+        kind = F.when(timeless, 1).when(homeless, 2).otherwise(0)
+        w = w.select(*[(F.when(kind != 2, F.col(c)) if c == "loc_id" else F.when(kind != 1, F.col(c))).alias(c)
+                       for c in w.columns], F.col("event_id").alias("sent_id"))
     path = scratch_path(spark, "landing-events")
-    w.repartition(_land_parts(spark)).write.mode("append").parquet(path)
+    w.drop("sent_id").repartition(_land_parts(spark)).write.mode("append").parquet(path)
     if repeats:
-        e = SI.table(spark, d, "events").select("event_id", "event_type")
-        w.join(e.filter(F.col("event_type").isin("click", "view")), "event_id", "left_semi") \
-            .write.mode("append").parquet(path)
+        e = SI.table(spark, d, "events").select(F.col("event_id").alias("sent_id"), "event_type")
+        w.join(e.filter(F.col("event_type").isin("click", "view")), "sent_id", "left_semi") \
+            .drop("sent_id").write.mode("append").parquet(path)
     return path
 
 
@@ -738,6 +752,7 @@ def q_stream_contingency(spark, d):
     """Road pages land and are scored, the batches' news pages later; a row per batch."""
     from ..streaming import streams
     pages = contingency_pages(spark, d)
+    pages = pages.withColumn("batch_id", F.when(F.col("page_id") % 40 != 3, F.col("batch_id")))  # the rest is a batch too
     out, ckpt = scratch_path(spark, "stream-news"), scratch_path(spark, "ckpt-news")
     landing = scratch_path(spark, "landing-news")
     for kind in ("road", "news"):
@@ -763,7 +778,7 @@ def q_run_cycle(spark, d):
     raw = SI.weather_raw(spark, d).select(
         F.col("loc_id").cast("string").alias("loc_id"), "humidity", "precip", "windspeed",
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"))
-    files.write_weather_csv(raw.repartition(_land_parts(spark), "loc_id"), f"{landing}/weather")
+    files.write_weather_csv(_dealt(raw, "loc_id", FILE_ROWS).drop("part"), f"{landing}/weather")
     lineup_pages(spark, d).repartition(_land_parts(spark)).write.parquet(f"{landing}/lineup")
     contingency_pages(spark, d).select("page_id", "batch_id", "kind", "html").repartition(_land_parts(spark)) \
         .write.parquet(f"{landing}/news")

@@ -282,7 +282,7 @@ SELECT {key_hash('ship', 'imo', 'when_text', 'o_orderstatus', 'weight', 'o_order
        {LINEUP_FIELDS}
 FROM raw WHERE imo IS NOT NULL"""
 
-SQL["html_table_rows"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+SQL["html_table_rows"] = "SELECT c_custkey, replace(c_name, '#', '#&') AS c_name, c_nationkey FROM customer"
 
 SQL["page_elements_div_ad"] = elements_sql("div", "ad")
 SQL["page_links_first5"] = elements_sql("a", None, 5)
@@ -295,13 +295,13 @@ SELECT page_id, CAST(length(t) AS BIGINT) AS text_chars,
 FROM t"""
 
 
-def _contingency_sql() -> str:
+def _contingency_sql(batch: str = "CAST(page_id AS VARCHAR)") -> str:
     from .catalog import STANDIN_RULES as R
     (w1, wt1, m1), (w2, wt2, m2) = R.road_tiers
     link_pat, group = element_pattern(R.link_tag, R.link_class)
     hit = contains_any("text", R.news_words)
     return f"""
-WITH base AS (SELECT page_id, CAST(page_id AS VARCHAR) AS batch_id, html FROM pages),
+WITH base AS (SELECT page_id, {batch} AS batch_id, html FROM pages),
 road AS (SELECT batch_id, page_id, lower({page_text('html')}) AS t FROM base),
 road_hit AS (
   SELECT batch_id, 0 AS src, page_id, 0 AS ord,
@@ -546,11 +546,13 @@ FROM weather
 QUALIFY row_number() OVER (PARTITION BY loc_id ORDER BY timestamp_leitura DESC NULLS LAST, event_id DESC) = 1"""
 
 SQL["stream_dedup"] = f"""WITH {WEATHER}
-SELECT event_id, CAST(loc_id AS VARCHAR) AS loc_id, timestamp_leitura, precipitacao_mm, velocidade_vento,
-       umidade, alerta_critico
-FROM weather"""
+SELECT event_id, CASE WHEN event_id % 50 <> 7 THEN CAST(loc_id AS VARCHAR) END AS loc_id, timestamp_leitura,
+       precipitacao_mm, velocidade_vento, umidade, alerta_critico
+FROM weather WHERE event_id % 50 <> 9
+UNION ALL SELECT DISTINCT NULL, CAST(loc_id AS VARCHAR), NULL::TIMESTAMP, NULL, NULL, NULL, NULL
+FROM weather WHERE event_id % 50 = 9"""
 
-SQL["stream_contingency"] = SQL["contingency_score"]
+SQL["stream_contingency"] = _contingency_sql("CASE WHEN page_id % 40 <> 3 THEN CAST(page_id AS VARCHAR) END")
 
 SQL["run_cycle"] = f"""WITH {WEATHER_RAW}
 SELECT 'fato_clima' AS table_name, loc_id AS key, at_time, amount, text FROM (

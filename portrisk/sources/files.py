@@ -48,48 +48,65 @@ def _fields(line: Column) -> Column:
         x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(F.trim(x)))
 
 
-def weather_files(reader, path: str | Sequence[str], schema: T.StructType = S.WEATHER_CSV,
-                  loc_col: str = "loc_id") -> DataFrame:
-    """Landed weather exports, one row per file: (loc_col, file, header, lines, missing).
+def weather_lines(reader, path: str | Sequence[str], loc_col: str = "loc_id") -> DataFrame:
+    """Lines of the landed weather exports: (loc_col, file, start, value).
 
-    ``reader`` is ``spark.read`` or ``spark.readStream``.  An export is the days of one
-    location, so a file is a small unit of work; its own header line says where its columns
-    are.  ``missing`` names the columns of ``schema`` that the header lacks.  The location is
-    the ``loc_col=<id>`` folder, whether one path or a list of paths is given.  (Its name is
-    decoded twice: as a path's text and as a partition folder's.)
+    ``reader`` is ``spark.read`` or ``spark.readStream``.  A file of any size is split among
+    tasks; ``start`` is where a line's split begins.  The location is the ``loc_col=<id>``
+    folder, whether one path or a list of paths is given.  (Its name is decoded twice: as a
+    path's text and as a partition folder's.)
     """
-    texts = reader.option("recursiveFileLookup", True).text(path if isinstance(path, str) else list(path), wholetext=True)
+    texts = reader.option("recursiveFileLookup", True).text(path if isinstance(path, str) else list(path))
     at = F.col("_metadata.file_path")
-    lines = F.filter(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
-    header = F.transform(_fields(F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit(""))), F.lower)
+    return texts.select(F.try_url_decode(F.try_url_decode(F.regexp_extract(at, rf"/{loc_col}=([^/]+)/", 1))).alias(loc_col),
+                        at.alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                        F.regexp_replace("value", "^\ufeff", "").alias("value"))
+
+
+def weather_headers(lines: DataFrame, schema: T.StructType = S.WEATHER_CSV, loc_col: str = "loc_id") -> DataFrame:
+    """One row per file of ``weather_lines``: (loc_col, file, line, header, missing).
+
+    ``line`` is the file's first line with any text, ``header`` its fields in lower case;
+    ``missing`` names the columns of ``schema`` that it lacks.  Rows of a scan come in file
+    order, so the first line is the one with the least row id of its file's first split.
+    """
+    first = lines.filter("start = 0").withColumn("id", F.monotonically_increasing_id())
+    least = first.groupBy(loc_col, "file").agg(F.min(F.struct(F.trim("value") == "", "id", "value"))["value"].alias("line"))
     wanted = F.array(*[F.lit(f.name.lower()) for f in schema.fields])
-    return (texts.select(F.try_url_decode(F.try_url_decode(F.regexp_extract(at, rf"/{loc_col}=([^/]+)/", 1))).alias(loc_col),
-                         at.alias("file"), lines.alias("lines"))
-            .withColumn("header", header).withColumn("missing", F.array_except(wanted, "header")))
+    return (least.withColumn("header", F.transform(_fields(F.col("line")), F.lower))
+            .withColumn("missing", F.array_except(wanted, "header")))
 
 
-def weather_rows(landed: DataFrame, schema: T.StructType = S.WEATHER_CSV, loc_col: str = "loc_id",
-                 quarantine: bool = False) -> DataFrame:
+def weather_rows(lines: DataFrame, headers: DataFrame, schema: T.StructType = S.WEATHER_CSV,
+                 loc_col: str = "loc_id", quarantine: bool = False) -> DataFrame:
     """Readings of the files that have every column, picked by header name.
 
-    A field that does not fit its type is NULL.  ``quarantine=True`` adds the raw text of
-    lines with too few or too many fields in ``_corrupt_record`` (NULL for good lines).
+    A field that does not fit its type is NULL; lines equal to their file's header are headers.
+    ``quarantine=True`` adds the raw text of lines with too few or too many fields in
+    ``_corrupt_record`` (NULL for good lines).  The headers, a row per file, are joined to
+    the lines by file; Spark broadcasts them below its threshold.
     """
-    rows = (landed.filter(F.size("missing") == 0)
-            .select(loc_col, "header", F.explode(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))).alias("line"))
-            .withColumn("fields", _fields(F.col("line"))))
+    of = headers.filter(F.size("missing") == 0).select(F.col("file").alias("of_file"), "header", "line")
+    rows = (lines.filter(F.trim("value") != "").join(of, F.col("file") == F.col("of_file")).filter("value <> line")
+            .withColumn("fields", _fields(F.col("value"))))
     cols = [F.nullif(F.try_element_at("fields", F.array_position("header", f.name.lower()).cast("int")), F.lit(""))
             .try_cast(f.dataType).alias(f.name) for f in schema.fields]
-    bad = [F.when(F.size("fields") != F.size("header"), F.col("line")).alias(CORRUPT)] if quarantine else []
+    bad = [F.when(F.size("fields") != F.size("header"), F.col("value")).alias(CORRUPT)] if quarantine else []
     return rows.select(*cols, *bad, loc_col)
 
 
-def weather_rejects(landed: DataFrame, loc_col: str = "loc_id") -> DataFrame:
+def weather_rejects(headers: DataFrame, loc_col: str = "loc_id") -> DataFrame:
     """The files that were left out: (loc_col, file, reason).  The others load."""
-    return landed.filter(F.size("missing") > 0).select(
+    return headers.filter(F.size("missing") > 0).select(
         loc_col, "file", F.concat(F.lit("missing columns: "), F.array_join("missing", ", ")).alias("reason"))
 
 
+def weather_files(reader, path: str | Sequence[str], schema: T.StructType = S.WEATHER_CSV,
+                  loc_col: str = "loc_id") -> DataFrame:
+    """The catalogue of landed weather exports, a row per file (``weather_headers``)."""
+    return weather_headers(weather_lines(reader, path, loc_col), schema, loc_col)
+
+
 def read_weather_csv(spark: SparkSession, path: str | Sequence[str],
                      schema: T.StructType = S.WEATHER_CSV, loc_col: str = "loc_id",
                      quarantine: bool = False) -> DataFrame:
@@ -98,7 +115,8 @@ def read_weather_csv(spark: SparkSession, path: str | Sequence[str],
     A location with no files, or only files that lack a column (``weather_rejects``),
     contributes no rows, and the others load.
     """
-    return weather_rows(weather_files(spark.read, path, schema, loc_col), schema, loc_col, quarantine)
+    lines = weather_lines(spark.read, path, loc_col)
+    return weather_rows(lines, weather_headers(lines, schema, loc_col), schema, loc_col, quarantine)
 
 
 def write_weather_csv(df: DataFrame, path: str, loc_col: str = "loc_id") -> None:
@@ -174,16 +192,18 @@ def read_ndjson(spark: SparkSession, path: str, schema: T.StructType,
 # ---------------------------------------------------------------------------
 
 def split_json_rows(texts: DataFrame, schema: T.StructType, text_col: str = "json",
-                    keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+                    keep: Sequence[str] = (), required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Parse JSON text rows against ``schema``; return (accepted, rejected).
 
-    A row is rejected when its text is not a JSON object or a field does not
-    fit its type; the rejected frame keeps the raw text and a reason.
+    A row is rejected when its text is not a JSON object, a field does not fit its type or a
+    ``required`` column is NULL; the rejected frame keeps the raw text and a reason.
     """
     parsed = parse_json_rows(texts, schema, text_col, keep)
-    accepted = parsed.filter("accepted").select(*keep, *[f.name for f in schema.fields])
-    rejected = parsed.filter("not accepted").select(*keep, "raw", F.lit(
-        "row does not match table schema").alias("reason"))
+    lacks = F.array_join(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required], F.lit(None).cast("string")), ", ")
+    parsed = parsed.withColumn("reason", F.when(~F.col("accepted"), F.lit("row does not match table schema"))
+                               .when(lacks != "", F.concat(F.lit("NULL in required column "), lacks)))
+    accepted = parsed.filter("reason is null").select(*keep, *[f.name for f in schema.fields])
+    rejected = parsed.filter("reason is not null").select(*keep, "raw", "reason")
     return accepted, rejected
 
 

@@ -43,6 +43,16 @@ def html_tables(pages: DataFrame, table_index: int = 0, id_col: str = "page_id",
             .select(id_col, *keep, "row", "header", "cells"))
 
 
+def table_pages(rows: DataFrame, keys: list[str], order_by: str, row_col: str, head: str, tail: str) -> DataFrame:
+    """The way back: one page per ``keys`` (its columns and ``html``), ``head`` with the table's
+    header, the markup of its rows in order, ``tail``.  A page is one value, so a key of many
+    rows should be dealt into parts first and have ``part`` among the keys; each part's page
+    carries the header."""
+    body = F.array_sort(F.collect_list(F.struct(F.col(order_by).alias("k"), F.col(row_col).alias("row"))))["row"]
+    return (rows.groupBy(*keys).agg(F.array_join(body, "").alias("_body"))
+            .select(*keys, F.concat(F.lit(head), "_body", F.lit(tail)).alias("html")))
+
+
 #: Begins every error about a page's headers, by which the cycle knows one.
 HEADER_ERROR = "line-up header: "
 
