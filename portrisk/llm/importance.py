@@ -80,24 +80,48 @@ def windows(text: str | None, orders: int = ORDERS) -> Iterator[tuple[int, np.nd
         carried = flat[keep[0][0]:keep[-1][1]] + " " if keep else ""
 
 
-def histogram(rows: DataFrame, text_col: str = "text", dims: int = DIMS, orders: int = ORDERS) -> DataFrame:
-    """(bucket, n): windows of all texts of ``rows`` by bucket, buckets without any left out.
+def _width(dims: int) -> str:
+    return "<u2" if dims <= 1 << 16 else "<u4"
 
-    Each task counts its own texts and sends ``dims`` numbers at most.  Null texts have no
-    window, repeated rows count each, an empty table gives an empty table.
+
+def features(rows: DataFrame, id_col: str | None, text_col: str = "text", dims: int = DIMS,
+             orders: int = ORDERS) -> DataFrame:
+    """The written table (id, n_words, n_features, buckets) of all rows, tokenised once.
+
+    ``buckets`` are the buckets of a text's windows, packed as little-endian unsigned integers
+    of 16 bits (of 32 for more than 65,536 buckets).  Null texts have no window.
     """
     prepare(rows.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b.column(1).to_pylist():
+                got = list(windows(text, orders))
+                packed = b"".join((found % dims).astype(_width(dims)).tobytes() for _, found in got)
+                out.append((sum(n for n, _ in got), sum(len(found) for _, found in got), packed))
+            yield pa.record_batch([b.column(0), *(pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)),
+                                   pa.array([r[2] for r in out], pa.binary())],
+                                  names=["id", "n_words", "n_features", "buckets"])
+    id_ = F.lit(None) if id_col is None else F.col(id_col)
+    return stored(rows.select(id_.cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(
+        run, "id long, n_words long, n_features long, buckets binary"), "features")
+
+
+def histogram(table: DataFrame, dims: int = DIMS) -> DataFrame:
+    """(bucket, n): windows of all rows of ``features`` by bucket, buckets without any left out.
+
+    Each task counts its own rows and sends ``dims`` numbers at most; an empty table gives an
+    empty table.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(dims, np.int64)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                for _, found in windows(text, orders):
-                    counts += np.bincount(found % dims, minlength=dims)
+            for packed in b.column(0).to_pylist():
+                counts += np.bincount(np.frombuffer(packed, _width(dims)), minlength=dims)
         at = np.nonzero(counts)[0]
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["bucket", "n"])
-    part = rows.select(F.col(text_col).cast("string")).mapInArrow(run, "bucket int, n long")
-    return part.groupBy("bucket").agg(F.sum("n").alias("n"))
+    return table.select("buckets").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(raw: DataFrame, target: DataFrame, dims: int = DIMS) -> DataFrame:
@@ -120,26 +144,17 @@ def noise(id_: Column, seed: int = SEED) -> Column:
     return F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / F.lit(4294967296.0))))
 
 
-def weights(docs: DataFrame, gain: list[int], id_col: str = "doc_id", text_col: str = "text",
-            orders: int = ORDERS) -> DataFrame:
-    """(id, n_words, n_features, weight) for every row of ``docs``; no words weigh 0."""
-    prepare(docs.sparkSession)
+def weights(table: DataFrame, gain: list[int]) -> DataFrame:
+    """(id, n_words, n_features, weight) for every row of ``features``; no windows weigh 0."""
     dims = len(gain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = np.array(gain, np.int64)
         for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                words = features = weight = 0
-                for n, found in windows(text, orders):
-                    words, features = words + n, features + len(found)
-                    weight += int(of[found % dims].sum())
-                out.append((words, features, weight))
-            yield pa.record_batch([b.column(0), *(pa.array([r[k] for r in out], pa.int64()) for k in range(3))],
+            weight = [int(of[np.frombuffer(packed, _width(dims))].sum()) for packed in b.column(3).to_pylist()]
+            yield pa.record_batch([*b.columns[:3], pa.array(weight, pa.int64())],
                                   names=["id", "n_words", "n_features", "weight"])
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(
-        run, "id long, n_words long, n_features long, weight long")
+    return table.mapInArrow(run, "id long, n_words long, n_features long, weight long")
 
 
 def ranked(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -151,15 +166,17 @@ def ranked(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     null for rows with fewer than ``least_words`` words and for rows not drawn.  Null texts
     have no words; a null id comes after all others; rows that repeat an id are rows of their
     own with the same noise; an empty target counts as a target without windows; an empty
-    table of documents gives an empty table; other columns are ignored.  Only the ``dims``
-    gains pass through the driver; ranks come from sums over ranges of scores.
+    table of documents gives an empty table; other columns are ignored.  Texts are tokenised
+    once and their buckets written (about the size of the texts), because tokenising costs
+    far more than reading them again; only the ``dims`` gains pass through the driver; ranks
+    come from sums over ranges of scores.
     """
     spark = docs.sparkSession
     prepare(spark)
-    table = gains(histogram(docs, text_col, dims, orders), histogram(target, target_col, dims, orders), dims)
-    gain = [r["gain"] for r in table.orderBy("bucket").collect()]
-    found = weights(docs, gain, id_col, text_col, orders)
-    found = stored(found.withColumn("score", F.col("weight") + noise(F.col("id"), seed)), "weights")
+    table = features(docs, id_col, text_col, dims, orders)
+    aim = features(target, None, target_col, dims, orders)
+    gain = [r["gain"] for r in gains(histogram(table, dims), histogram(aim, dims), dims).orderBy("bucket").collect()]
+    found = stored(weights(table, gain).withColumn("score", F.col("weight") + noise(F.col("id"), seed)), "weights")
     fit = found.filter(F.col("n_words") >= least_words)
     most = fit.count() * percent // 100
     order = [F.col("score").desc(), F.col("id").asc_nulls_last(), F.col("n_features")]
