@@ -9,6 +9,8 @@ NumPy's or scikit-learn's bit for bit; the properties are tested instead.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -123,14 +125,16 @@ def fit_risk_model(train: DataFrame, trees: int = S.RF_TREES, depth: int = S.RF_
 
 def forest_nodes(spark: SparkSession, path: str) -> DataFrame:
     """The nodes of a saved model's trees as rows: (tree, node, feature, gain, rows, prediction,
-    left, right, threshold)."""
+    left, right, threshold, counts).  ``counts`` are the training rows by class; a node's number
+    is its place in the tree from 0."""
     nodes = spark.read.parquet(f"{path}/stages/*/data")
     n = F.col("nodeData")
     return nodes.select(
         F.col("treeID").alias("tree"), n["id"].alias("node"), n["split"]["featureIndex"].alias("feature"),
         n["gain"].alias("gain"), n["rawCount"].cast("double").alias("rows"), n["prediction"].alias("prediction"),
         n["leftChild"].alias("left"), n["rightChild"].alias("right"),
-        F.try_element_at(n["split"]["leftCategoriesOrThreshold"], F.lit(1)).alias("threshold"))
+        F.try_element_at(n["split"]["leftCategoriesOrThreshold"], F.lit(1)).alias("threshold"),
+        n["impurityStats"].alias("counts"))
 
 
 def importances(nodes: DataFrame) -> DataFrame:
@@ -158,6 +162,72 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
                       F.col("prediction").cast("int").alias("prediction"))
 
 
+def walk(nodes: DataFrame, df: DataFrame, depth: int = S.RF_DEPTH) -> DataFrame:
+    """M7 without MLlib: every row of ``df`` taken down the saved trees, with ``walk_probability``
+    of class 1 and ``walk_prediction``.
+
+    The trees are one array of node arrays (bounded by trees x 2^depth) that an expression
+    walks row by row: left where the feature is at most the threshold, a missing feature
+    right.  A tree votes with the class shares of its leaf; trees deeper than ``depth`` fail.
+    """
+    rows = F.col("counts")[0] + F.col("counts")[1]
+    node = F.struct("feature", "threshold", "left", "right", (F.col("counts")[0] / rows).alias("p0"),
+                    (F.col("counts")[1] / rows).alias("p1"))
+    trees = nodes.groupBy("tree").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("node", node.alias("n")))), lambda x: x["n"]).alias("nodes"))
+    forest = trees.agg(F.transform(F.array_sort(F.collect_list(F.struct("tree", "nodes"))), lambda x: x["nodes"]).alias("f"))
+    steps = F.sequence(F.lit(1), F.lit(depth))
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in S.MODEL_FEATURES])
+
+    def leaf(tree: Column) -> Column:
+        def step(n: Column, _: Column) -> Column:
+            left = F.get(x, n["feature"]) <= n["threshold"]
+            return F.when(n["left"] < 0, n).otherwise(F.get(tree, F.when(left, n["left"]).otherwise(n["right"])))
+        return F.aggregate(steps, F.get(tree, F.lit(0)), step)
+
+    def vote(sums: Column, tree: Column) -> Column:
+        end = leaf(tree)
+        deep = F.raise_error(F.lit("a tree is deeper than the walk")).cast("double")
+        return F.struct((sums["v0"] + F.when(end["left"] < 0, end["p0"]).otherwise(deep)).alias("v0"),
+                        (sums["v1"] + end["p1"]).alias("v1"))
+    votes = F.aggregate(F.col("_forest"), F.struct(F.lit(0.0).alias("v0"), F.lit(0.0).alias("v1")), vote)
+    return (df.withColumn("_forest", forest.scalar()).withColumn("_votes", votes)
+            .select(*df.columns, (F.col("_votes.v1") / (F.col("_votes.v0") + F.col("_votes.v1"))).alias("walk_probability"),
+                    (F.col("_votes.v1") > F.col("_votes.v0")).cast("int").alias("walk_prediction")))
+
+
+def breaks(nodes: DataFrame, feature: str) -> list[float]:
+    """The thresholds of one feature in all trees, ascending: between two of them a forest is
+    constant.  There are fewer than the bins the forest was fitted with."""
+    at = nodes.filter((F.col("feature") == S.MODEL_FEATURES.index(feature)) & (F.col("left") >= 0))
+    return [r["threshold"] for r in at.select("threshold").distinct().orderBy("threshold").collect()]
+
+
+def sweeps(model: PipelineModel, nodes: DataFrame, base: DataFrame, values: dict[str, Sequence[float]]) -> DataFrame:
+    """M8 over several features at once: (feature, value, mean, min and max probability, rows).
+
+    Each feature is set to each of its values while the others stay.  Values between the same
+    two thresholds share a scoring, so a base row is scored once for each interval that holds
+    a value, however fine the sweep is, and the result is written out for each value.
+    """
+    shared: list[tuple[str, float, list[float]]] = []
+    for feature, all_ in values.items():
+        at, intervals = breaks(nodes, feature), {}
+        for v in all_:
+            intervals.setdefault(bisect_left(at, float(v)), []).append(float(v))
+        shared += [(feature, vs[0], vs) for vs in intervals.values()]
+    one = lambda t: F.struct(F.lit(t[0]).alias("feature"), F.lit(t[1]).alias("at"),
+                             F.array(*[F.lit(v) for v in t[2]]).alias("of"))
+    grid = sized(base, len(shared)).withColumn("_set", F.explode(F.array(*[one(t) for t in shared])))
+    for feature in values:
+        grid = grid.withColumn(feature, F.when(F.col("_set.feature") == feature, F.col("_set.at")).otherwise(F.col(feature)))
+    per = score(model, grid).groupBy("_set").agg(
+        F.avg("risk_probability").alias("mean_probability"), F.min("risk_probability").alias("min_probability"),
+        F.max("risk_probability").alias("max_probability"), F.count(F.lit(1)).cast("bigint").alias("rows"))
+    return per.select(F.col("_set.feature").alias("feature"), F.explode("_set.of").alias("value"), "mean_probability",
+                      "min_probability", "max_probability", "rows")
+
+
 def sweep(model: PipelineModel, base: DataFrame, feature: str,
           values: Sequence[float] = tuple(S.SWEEP_WIND_VALUES)) -> DataFrame:
     """M8: one-factor sensitivity over a set of base rows.
@@ -197,6 +267,51 @@ def scenario_grid(model: PipelineModel, ships: DataFrame, news_score: Column,
     return scored.withColumn("tier", probability_tier("risk_probability"))
 
 
+def _ranges(at: Sequence[float], lo: int, hi: int) -> list[tuple[int, int]]:
+    """The whole numbers from ``lo`` to ``hi`` as ranges that no threshold parts."""
+    ends = sorted({math.floor(t) for t in at if lo <= t < hi}) + [hi]
+    return list(zip([lo, *[e + 1 for e in ends[:-1]]], ends))
+
+
+def risk_surface(model: PipelineModel, nodes: DataFrame, ships: DataFrame, news_score: Column,
+                 sliders: dict[str, tuple[int, int]] | None = None, group_col: str = "terminal") -> DataFrame:
+    """M9 at every setting: the simulator's sliders (whole numbers from, to) cut into cells in
+    which the forest is constant, per group: ``<feature>_from`` and ``_to`` of each slider,
+    nlp_risk_score, risk_probability, tier.
+
+    A forest changes only at its thresholds, so one setting of a cell is scored for all of
+    them, and one scoring serves all groups.  There are at most bins^3 cells.
+    """
+    sliders = sliders or S.SCENARIO_SLIDERS
+    cells = ships.sparkSession.range(1).select(F.coalesce(news_score.cast("double"), F.lit(0.0)).alias("nlp_risk_score"))
+    for feature, (lo, hi) in sliders.items():
+        cut = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _ranges(breaks(nodes, feature), lo, hi)]
+        cells = (cells.withColumn("_r", F.explode(F.array(*cut)))
+                 .select("*", F.col("_r.a").alias(f"{feature}_from"), F.col("_r.b").alias(f"{feature}_to"),
+                         F.col("_r.a").cast("double").alias(feature)).drop("_r"))
+    keep = ["nlp_risk_score", *[f"{f}_{end}" for f in sliders for end in ("from", "to")], "risk_probability"]
+    scored = score(model, sized(cells)).select(F.struct(*keep).alias("c"))
+    each = scored.agg(F.collect_list("c").alias("cells"))  # bounded by the bins
+    return (ships.select(group_col).distinct().withColumn("_c", F.explode(each.scalar()))
+            .select(group_col, "_c.*").withColumn("tier", probability_tier("risk_probability")))
+
+
+def surface_at(surface: DataFrame, settings: DataFrame, nodes: DataFrame, sliders: dict[str, tuple[int, int]] | None = None,
+               group_col: str = "terminal") -> DataFrame:
+    """``settings`` (a group and whole numbers for every slider) with the probability of their
+    cell, found by equality on the cell's ends; settings outside the sliders are left out."""
+    sliders = sliders or S.SCENARIO_SLIDERS
+    left, on = settings, [F.col(group_col) == F.col("_group")]
+    cells = surface.select(F.col(group_col).alias("_group"), F.col("risk_probability").alias("surface_probability"),
+                           *[F.col(f"{f}_from").alias(f"_{f}") for f in sliders])
+    for feature, (lo, hi) in sliders.items():
+        starts = F.array(*[F.lit(a) for a, _ in _ranges(breaks(nodes, feature), lo, hi)])
+        v = F.col(feature)
+        left = left.withColumn(f"_at_{feature}", F.array_max(F.filter(starts, lambda a: a <= v))).filter(v.between(lo, hi))
+        on.append(F.col(f"_at_{feature}") == F.col(f"_{feature}"))
+    return left.join(cells, on).select(*settings.columns, "surface_probability")
+
+
 def score_fleet(model: PipelineModel, features: DataFrame) -> DataFrame:
     """Every ship row scored and tiered."""
     scored = score(model, sized(features))
@@ -225,6 +340,7 @@ def load_model(path: str) -> PipelineModel:
 
 __all__ = [
     "uniform", "sized", "synth_features", "label_features", "assembler", "split_flag", "train_test_split",
-    "fit_risk_model", "forest_nodes", "importances", "score", "sweep", "scenario_grid", "score_fleet",
+    "fit_risk_model", "forest_nodes", "importances", "score", "walk", "breaks", "sweep", "sweeps", "scenario_grid",
+    "risk_surface", "surface_at", "score_fleet",
     "evaluate", "save_model", "load_model",
 ]

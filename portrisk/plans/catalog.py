@@ -638,12 +638,60 @@ def q_sensitivity_sweep(spark, d):
     return ml.sweep(trained_model(spark, d), base, "wind_feature")
 
 
+def _news_now(spark, d):
+    return state.current_value(news_standin(spark, d), "score_risco", "timestamp_leitura", "cont_id")
+
+
 def q_stress_test(spark, d):
-    """M8 as the original has it: the base row (current news score) over 17 wind values."""
-    cur = state.current_value(news_standin(spark, d), "score_risco", "timestamp_leitura", "cont_id")
-    base = spark.createDataFrame([tuple(S.SWEEP_BASE.values())], ", ".join(f"{k} double" for k in S.SWEEP_BASE))
-    base = base.withColumn("nlp_risk_score", F.coalesce(cur, F.lit(0.0)))
-    return ml.sweep(trained_model(spark, d), base, "wind_feature")
+    """M8: the fleet at the current news score under every wind 0..80 and every rain 0..100."""
+    nodes = ml.forest_nodes(spark, model_path(spark, d))
+    base = _fleet(spark, d).select(*S.MODEL_FEATURES).withColumn("nlp_risk_score", F.coalesce(_news_now(spark, d), F.lit(0.0)))
+    return ml.sweeps(trained_model(spark, d), nodes, base, {"wind_feature": range(81), "rain_feature": range(101)})
+
+
+def q_forest_walk(spark, d):
+    """The fleet scored by the model and by a walk of its saved trees: ships, and
+    those whose probability (to 1e-9) or class differs."""
+    nodes = ml.forest_nodes(spark, model_path(spark, d))
+    both = ml.walk(nodes, ml.score(trained_model(spark, d), ml.sized(_fleet(spark, d).select("ship_id", *S.MODEL_FEATURES))))
+    apart = F.abs(F.col("risk_probability") - F.col("walk_probability")) > 1e-9
+    return both.agg(F.count(F.lit(1)).alias("ships"), F.count_if(F.coalesce(apart, F.lit(True))).alias("other_probability"),
+                    F.count_if(F.col("prediction") != F.col("walk_prediction")).alias("other_class"))
+
+
+def _surface(spark, d):
+    nodes = ml.forest_nodes(spark, model_path(spark, d))
+    return ml.risk_surface(trained_model(spark, d), nodes, _fleet(spark, d), _news_now(spark, d)), nodes
+
+
+def q_risk_surface(spark, d):
+    """Per terminal, the risk at every setting of the simulator, as cells of equal risk."""
+    return _surface(spark, d)[0]
+
+
+def q_risk_surface_check(spark, d):
+    """M9: settings that the cells of each terminal hold, and settings made from its ships that
+    the model scores otherwise than their cell says (to 1e-9)."""
+    surface, nodes = _surface(spark, d)
+    surface = files.read_table(spark, _written(spark, surface))
+    size = lambda f: F.col(f"{f}_to").cast("long") - F.col(f"{f}_from") + 1
+    held = surface.groupBy("terminal").agg(
+        F.sum(size("quantidade_estimada") * size("rain_feature") * size("wind_feature")).alias("settings"))
+    at = _fleet(spark, d).select(
+        "terminal", (F.pmod(F.floor("quantidade_estimada"), F.lit(145001)) + 5000).alias("quantidade_estimada"),
+        (F.col("ship_id") % 101).alias("rain_feature"), (F.col("lineup_id") % 51).alias("wind_feature"),
+        F.coalesce(_news_now(spark, d), F.lit(0.0)).alias("nlp_risk_score"))
+    asked = ml.surface_at(surface, at, nodes)
+    scored = ml.score(trained_model(spark, d), ml.sized(asked))
+    apart = F.abs(F.col("risk_probability") - F.col("surface_probability")) > 1e-9
+    found = scored.groupBy("terminal").agg(F.count(F.lit(1)).alias("ships"), F.count_if(apart).alias("other_probability"))
+    return held.join(found, "terminal")
+
+
+def _written(spark, df) -> str:
+    path = scratch_path(spark, "surface")
+    df.write.parquet(path)
+    return path
 
 
 def q_scenario_grid(spark, d):
@@ -892,6 +940,9 @@ QUERIES: dict[str, Query] = {
     "score_fleet": q_score_fleet,
     "sensitivity_sweep": q_sensitivity_sweep,
     "stress_test": q_stress_test,
+    "forest_walk": q_forest_walk,
+    "risk_surface": q_risk_surface,
+    "risk_surface_check": q_risk_surface_check,
     "scenario_grid": q_scenario_grid,
     "lineup_pages": q_lineup_pages,
     "stream_weather": q_stream_weather,

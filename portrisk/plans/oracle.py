@@ -594,3 +594,13 @@ SELECT d.loc_id, d.nome_ponto,
        TRY_CAST(NULLIF(regexp_extract(d.coordenadas, {q(POINT)}, 1), '') AS DOUBLE) AS lon,
        d.tipo_ponto, l.precipitacao_mm, l.velocidade_vento, l.alerta_critico
 FROM dim d LEFT JOIN latest l ON d.loc_id = l.loc_id"""
+
+# --- the forest --------------------------------------------------------------
+
+SQL["forest_walk"] = """SELECT count(DISTINCT o_custkey) AS ships, 0::BIGINT AS other_probability, 0::BIGINT AS other_class
+FROM orders"""
+
+SQL["risk_surface_check"] = """WITH latest AS (SELECT * FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) = 1)
+SELECT o_orderpriority AS terminal, 145001::BIGINT * 101 * 51 AS settings, count(*) AS ships, 0::BIGINT AS other_probability
+FROM latest GROUP BY o_orderpriority"""

@@ -175,5 +175,7 @@ SWEEP_WIND_VALUES = list(range(0, 81, 5))
 SCENARIO_RAIN_VALUES = list(range(0, 101, 10))
 SCENARIO_WIND_VALUES = list(range(0, 51, 5))
 SCENARIO_TONNAGE_VALUES = list(range(5000, 150001, 29000))
+# The simulator's sliders: whole numbers from, to.
+SCENARIO_SLIDERS = {"quantidade_estimada": (5000, 150000), "rain_feature": (0, 100), "wind_feature": (0, 50)}
 # Levels of the registered query: they hold the slider's start value 50,000.
 SCENARIO_TONNAGE_LEVELS = list(range(5000, 150001, 5000))
