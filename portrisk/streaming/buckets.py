@@ -68,7 +68,8 @@ class BucketTable:
         name = uuid.uuid4().hex[:16]
         at = f"{self.path}/data/bucket_write={name}"
         rows.repartition("bucket_key").write.partitionBy("bucket_key").parquet(at)
-        return name, [n.removeprefix("bucket_key=") for n in self._names(f"data/bucket_write={name}") if n.startswith("bucket_key=")]
+        return name, sorted(n.removeprefix("bucket_key=") for n in self._names(f"data/bucket_write={name}")
+                            if n.startswith("bucket_key="))
 
     def commit(self, version: int, folders: Folders, schema: T.StructType) -> None:
         """Make ``folders`` the table as of ``version``, by one rename; then remove what is left over."""
