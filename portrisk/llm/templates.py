@@ -1,11 +1,16 @@
 """Main text of web pages by removing site templates.
 
-Each page is parsed into elements.  The subtrees of its block elements are hashed, Spark
-counts per host on how many different contents each hash occurs and at which places among its
-siblings, and subtrees that recur on many of them at the same place are deleted.  What is a
-menu, header, footer, sidebar, notice, advert, form or comment list by its own tag, role or
-class is deleted on any host, also on one with a single page.  The text of what is left of the
-article (or main, or body) is the result.
+Each page is parsed into elements, and Spark counts per host, over its different contents:
+
+* subtrees: hashes of block elements with their words, and their places among their siblings;
+  those that recur on many contents at the same place are deleted;
+* shapes: hashes of an element's path of tags and class words, without any text, with its share
+  of the page's text and of links.  Menus, adverts and footers whose words differ recur in
+  their shape; a shape that recurs on the host and holds little of its pages' text is deleted.
+
+Tags and class words tell prose, which no shape deletes, and what needs less evidence (a
+``nav``, a class "ad").  Only on hosts too small to count do they decide alone, and an
+``article`` or ``main`` is then returned by itself.
 """
 
 from __future__ import annotations
@@ -22,8 +27,16 @@ from pyspark.sql import functions as F
 
 from portrisk.llm.common import per_batch, prepare, stored
 
+#: Contents from which a host is counted; on smaller ones tags and class words decide.
+COUNTED = 20
+#: A shape is template on the majority of a host's contents if it holds less than this share of their text.
+SMALL = 0.15
+#: A list, table or part with a heading must also hold this share of its text in links.
+LINKY = 0.5
+#: A shape marked by its tag, role or class needs this many contents.
+MIN_MARKED = 2
 #: A subtree is template text when it is on this many contents of a host and on this share of
-#: them; on MANY contents it is on any host, however large.
+#: them; blocks that are no prose are on MANY contents, however large the host.
 MIN_PAGES = 4
 SHARE = 0.1
 MANY = 20
@@ -32,8 +45,12 @@ MAJORITY = 0.5
 #: Prose inside an article needs the majority, and this many contents.
 MIN_PROSE = 32
 #: Kinds of subtrees, the last two bits of their hashes: blocks; headings and parts of lists and
-#: tables (always at the same place, so that MANY is not enough); prose inside an article; other prose.
+#: tables; prose inside an article; other prose.
 PLAIN, FIXED, QUOTED, LOOSE = 0, 1, 2, 3
+#: What is known of a shape: marked by its tag, role or class; prose or in prose; holds a heading or an article.
+MARKED, IN_PROSE, HEADED = 1, 2, 4
+#: Ways to read a page: on a small host, on a counted one, and to count.
+BY_WORDS, BY_COUNTS, TO_COUNT = 0, 1, 2
 
 _TOKEN = re.compile(r"""<!--(?P<note>.*?)(?:-->|\Z)
   |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']+|"[^"]*"|'[^']*')*+)>
@@ -50,6 +67,8 @@ BLOCKS = HEADINGS | _set("""address article aside blockquote body center dd deta
     tbody td tfoot th thead tr ul br""")
 #: Elements that are never part of an article.
 NEVER = RAW | _set("head nav footer aside form menu dialog button annotation annotation-xml metadata desc")
+#: Those without any text to show.
+SILENT = RAW | _set("head annotation annotation-xml metadata desc")
 #: Prose: what articles quote from each other.
 PROSE = HEADINGS | _set("p blockquote pre ul ol dl table figure")
 PARTS = _set("li dt dd thead tbody tfoot tr td th figcaption caption summary")
@@ -71,6 +90,7 @@ ENDS = {"li": (_set("li"), _set("ul ol menu")), "dt": (_set("dt dd"), _set("dl")
         "tr": (_set("tr td th"), _set("table")), "td": (_set("td th"), _set("tr table")),
         "th": (_set("td th"), _set("tr table")), "option": (_set("option"), _set("select"))}
 _WORD = re.compile(r"[^a-z0-9]+")
+_DIGIT = re.compile(r"[0-9]")
 _FOLD = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -82,6 +102,10 @@ class _Open:
     found: int  # and its subtrees in the list of those found
     never: bool
     spare: bool = False  # an article inside it is returned if the page has no other text
+    path: int = 0  # hash of the tags and class words down to it
+    about: int = 0  # MARKED, IN_PROSE, HEADED
+    chars: int = 0  # text of the page before it, and that in links
+    links: int = 0
     marks: list[str] = field(default_factory=list)  # of its children, in order
     blocks: list[int | None] = field(default_factory=list)  # its block elements, counted ones by hash
 
@@ -102,11 +126,15 @@ def _marked(attrs: str, inside: bool) -> frozenset[str]:
 
 
 class Page:
-    """One parse of a page.  ``template``: hashes of subtrees to delete."""
+    """One parse of a page.  ``template``: hashes of subtrees and shapes to delete."""
 
-    def __init__(self, source: str | None, template: frozenset[int] = frozenset()) -> None:
-        self.template = template
+    def __init__(self, source: str | None, template: frozenset[int] = frozenset(), way: int = BY_WORDS,
+                 words: bool = True) -> None:
+        self.template, self.way, self.words = template, way, words
         self.found: list[tuple[int, int]] = []  # (hash, place) of each counted subtree, two places each
+        self.shapes: dict[int, list[int]] = {}  # by path: text, text in links, what is known
+        self.chars = self.links = 0
+        self._prose: list[str] = []
         self._out: list[str | None] = []  # text, None between blocks
         self._spare: list[str | None] = []
         self._roots: dict[str, list[tuple[int, int, int]]] = {"article": [], "main": []}
@@ -115,7 +143,10 @@ class Page:
         self._parse(source or "")
 
     def text(self) -> str:
-        """Blocks of the article (else main, else the whole page), joined by one space."""
+        """Blocks of the article (else main, else the whole page), joined by one space; of all that
+        is left of the page where its host was counted."""
+        if self.way != BY_WORDS:
+            return _text(self._out)
         spans = _outer(self._roots["article"]) or _outer(self._roots["main"]) or [(0, len(self._out))]
         return _text([part for a, b in spans for part in [*self._out[a:b], None]]) or _text(self._spare)
 
@@ -124,9 +155,8 @@ class Page:
         return sorted({(h, 0) for h, _ in self.found}.union(self.found))
 
     def content(self) -> int:
-        """Hash of the article's subtrees (of all block subtrees without one)."""
-        marks = [m for _, _, m in self._roots["article"] or self._roots["main"]]
-        return _hash(" ".join(map(str, marks or sorted({h for h, _ in self.found}))))
+        """Hash of the headings, paragraphs and the like (of all text without any)."""
+        return _hash(" ".join(" ".join(self._prose).split()) or _text(self._out))
 
     def _parse(self, source: str) -> None:
         at = 0
@@ -155,7 +185,15 @@ class Page:
         if "&" in text:
             text = html.unescape(text)
         self._out.append(text)
-        self._stack[-1].marks.append(" ".join(text.split()))
+        words = text.split()
+        e = self._stack[-1]
+        e.marks.append(" ".join(words))
+        if words and self.way == TO_COUNT:
+            n = sum(map(len, words))
+            self.chars += n
+            self.links += n if self._count.get("a") else 0
+            if e.about & IN_PROSE and not e.about & MARKED:
+                self._prose.append(text)
 
     def _start(self, tag: str, attrs: str) -> None:
         if tag in BLOCKS:
@@ -179,12 +217,20 @@ class Page:
         inside = bool(self._count.get("article") or self._count.get("main"))
         self._count[tag] = self._count.get(tag, 0) + 1
         never, words = tag in NEVER, frozenset()
-        if tag == "header" and not inside:
+        if not self.words:
+            never = tag in SILENT
+        elif tag == "header" and not inside:
             never = True
         elif attrs and tag not in ("html", "body", "main", "header") and tag not in HEADINGS:
             words = _marked(attrs, inside)
-        self._stack.append(_Open(tag, attrs, len(self._out), len(self.found), never or bool(words),
-                                 _COMMENTS.isdisjoint(words)))
+        e = _Open(tag, attrs, len(self._out), len(self.found), never or bool(words), _COMMENTS.isdisjoint(words))
+        if self.way != BY_WORDS:
+            up = self._stack[-1]
+            e.path, e.about, e.chars, e.links = up.path, up.about & (MARKED | IN_PROSE), self.chars, self.links
+            if tag in BLOCKS or e.never:
+                e.path = _path(up.path, tag, attrs)
+            e.about |= (MARKED if e.never else 0) | (IN_PROSE if tag in PROSE or tag in PARTS else 0)
+        self._stack.append(e)
 
     def _end(self, tag: str) -> None:
         if self._count.get(tag):
@@ -198,10 +244,21 @@ class Page:
         mark = _hash(f"<{e.tag} {e.attrs.strip()}>" + "\x00".join(e.marks))
         self._stack[-1].marks.append(str(mark))
         self._place(e)
+        up = self._stack[-1]
+        up.about |= HEADED if e.tag in HEADINGS or e.tag in self._roots else e.about & HEADED
         if e.tag not in BLOCKS and not e.never:
             return e.tag
         holds = any(r[0] >= e.at for spans in self._roots.values() for r in spans)
-        if e.never and not (holds and e.tag == "form"):
+        if self.way == TO_COUNT and self.chars > e.chars and e.tag not in ("html", "body"):
+            s = self.shapes.setdefault(e.path, [0, 0, 0])
+            s[0], s[1] = s[0] + self.chars - e.chars, s[1] + self.links - e.links
+            s[2] |= (e.about & HEADED) | (MARKED if e.never else 0) | up.about & IN_PROSE | (
+                IN_PROSE if e.tag in PROSE or e.tag in PARTS else 0)
+        if e.tag in SILENT:
+            self._drop(e, False)
+        elif self.way == BY_COUNTS and e.path in self.template and not holds:
+            self._drop(e, False)
+        elif e.never and self.way == BY_WORDS and not (holds and e.tag == "form"):
             self._drop(e, holds and e.spare)
         else:
             kept = holds or e.tag in ("html", "body", "article", "main") or not any(e.marks)
@@ -237,6 +294,17 @@ class Page:
                 self.found += [(h, of + 2 * i + 2), (h, of + 2 * (len(e.blocks) - i) + 1)]
 
 
+def _path(above: int, tag: str, attrs: str) -> int:
+    """Hash of a path of tags, each with the words of its class and role; names with digits, such
+    as numbers of pages, and the attributes of the whole page count for nothing."""
+    names = set()
+    if tag not in ("html", "body"):
+        for m in _ATTR.finditer(attrs):
+            if m[1].lower() != "id":
+                names.update(t.lower() for t in (m[2] or m[3] or m[4] or "").split() if not _DIGIT.search(t))
+    return _hash(f"{above} {tag} {' '.join(sorted(names))}")
+
+
 def _outer(roots: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
     for a, b, _ in sorted(roots, key=lambda r: (r[0], -r[1])):
@@ -277,67 +345,110 @@ def _key(url: Column, html_col: Column) -> list[Column]:
             F.xxhash64(F.lit(1), text).alias("key2")]
 
 
-def subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, key, key2, content, found): of every page, what is counted: the hashes of its block
-    subtrees with place 0, and with the places at which they are."""
+def subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html", words: bool = True) -> DataFrame:
+    """(host, key, key2, content, chars, found, shapes): of every page, what is counted: the hashes
+    of its block subtrees with place 0, and with the places at which they are; its shapes with
+    their text, text in links and what is known of them."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        contents, ends, hashes, places = [], [0], [], []
+        contents, chars, ends, hashes, places = [], [], [0], [], []
+        shapes, shape_ends = [], [0]
         for source in b.column(3).to_pylist():
-            page = Page(source)
+            page = Page(source, way=TO_COUNT, words=words)
             contents.append(page.content())
+            chars.append(page.chars)
             for h, place in page.places():
                 hashes.append(h)
                 places.append(place)
             ends.append(len(hashes))
+            shapes += [(h, *v) for h, v in sorted(page.shapes.items())]
+            shape_ends.append(len(shapes))
         pairs = pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(places, pa.int64())], ["hash", "place"])
-        return pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(contents, pa.int64()),
-                                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
-                               names=[*KEY, "content", "found"])
-    return per_batch(pages.select(*_key(F.col(url_col), F.col(html_col)), F.col(html_col).cast("string").alias("html")),
-                     run, "host string, key long, key2 long, content long, found array<struct<hash: long, place: long>>")
-
-
-def site_templates(found: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
-    """(host, hash): the recurring subtrees of every host.
-
-    Pages with the same content count once, so copies of an article make no template.
-    """
-    found = stored(found.groupBy("host", "content").agg(F.min("found").alias("found")), "contents")
-    size = found.groupBy("host").agg(F.count(F.lit(1)).alias("contents"))
-    each = (found.select("host", F.inline("found")).groupBy("host", "hash", "place")
+        shaped = pa.StructArray.from_arrays([pa.array([x[k] for x in shapes], pa.int64()) for k in range(4)],
+                                            ["hash", "chars", "links", "about"])
+        return pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(contents, pa.int64()), pa.array(chars, pa.int64()),
+                                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+                                pa.ListArray.from_arrays(pa.array(shape_ends, pa.int32()), shaped)],
+                               names=[*KEY, "content", "chars", "found", "shapes"])
+    return per_batch(pages.select(*_key(F.col(url_col), F.col(html_col)), F.col(html_col).cast("string").alias("html")), run,
+                     "host string, key long, key2 long, content long, chars long, found array<struct<hash: long, place: long>>, "
+                     "shapes array<struct<hash: long, chars: long, links: long, about: long>>")
+
+
+def contents_of(found: DataFrame) -> DataFrame:
+    """The written table of a host's different contents, of equal ones one row, so that copies of
+    an article make no template."""
+    one = F.min(F.struct("found", "chars", "shapes")).alias("m")
+    return stored(found.groupBy("host", "content").agg(one).select("host", "content", "m.*"), "contents")
+
+
+def site_templates(contents: DataFrame, sizes: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE,
+                   many: int = MANY) -> DataFrame:
+    """(host, hash): the subtrees that recur on the contents of each host; ``sizes`` has a row
+    (host, contents) per host.  Pages without html have none; no pages give an empty table."""
+    each = (contents.select("host", F.inline("found")).groupBy("host", "hash", "place")
             .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
             .groupBy("host", "hash").agg(F.max(F.expr("if(place = 0, n, 0)")).alias("n"),
                                          F.max(F.expr("if(place = 0, 0, n)")).alias("placed")))
     kind, n, placed, all_ = F.col("hash").bitwiseAND(3), F.col("n"), F.col("placed"), F.col("contents")
     enough = (F.when(kind == PLAIN, n >= F.least(share * all_, F.lit(float(many))))
-              .when(kind == FIXED, placed >= MAJORITY * all_)
               .when(kind == QUOTED, placed >= F.greatest(MAJORITY * all_, F.lit(float(MIN_PROSE))))
-              .otherwise(placed >= F.least(MAJORITY * all_, F.lit(float(many)))))
+              .otherwise(placed >= MAJORITY * all_))
     same_place = (kind == PLAIN) | (placed >= MAJORITY * n)
-    return each.join(size, "host").filter(enough & same_place).select("host", "hash")
+    return each.join(sizes, "host").filter(enough & same_place).select("host", "hash")
+
+
+def site_shapes(contents: DataFrame, sizes: DataFrame, counted: int = COUNTED) -> DataFrame:
+    """(host, hash): the shapes that recur on the contents of each host of ``counted`` or more
+    and hold little of their text.
+
+    Prose is never one, but for lists of links; what holds a heading or an article is none
+    unless most of it is links.  A shape marked by tag, role or class needs MIN_MARKED
+    contents, whatever its share.
+    """
+    each = (contents.filter("chars > 0").select("host", F.col("chars").alias("all_chars"), F.inline("shapes"))
+            .groupBy("host", "hash").agg(
+                F.count(F.lit(1)).alias("n"), F.avg(F.col("chars") / F.col("all_chars")).alias("share"),
+                (F.sum("links") / F.sum("chars")).alias("linked"), F.bit_or("about").alias("about")))
+    has = lambda bit: F.col("about").bitwiseAND(bit) > 0
+    plain = ((F.col("n") >= MAJORITY * F.col("contents")) & (F.col("share") < SMALL)
+             & (~(has(IN_PROSE) | has(HEADED)) | (F.col("linked") >= LINKY)))
+    marked = has(MARKED) & (F.col("n") >= MIN_MARKED)
+    return (each.join(sizes.filter(F.col("contents") >= counted), "host").filter(marked | plain).select("host", "hash"))
 
 
 def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, id_col: str = "page_id",
-               url_col: str = "url", html_col: str = "html", many: int = MANY) -> DataFrame:
+               url_col: str = "url", html_col: str = "html", many: int = MANY, counted: int = COUNTED,
+               words: bool = True) -> DataFrame:
     """(id, url, text) of every row of ``pages``: its main text, empty if there is none.
 
-    Null html counts as empty, null urls as one host; ids pass through, null or repeated; a
-    truncated page is read as far as it goes; other columns are ignored; an empty table gives
-    an empty table.
+    Hosts of ``counted`` different contents or more are read by what recurs on them, smaller
+    ones by tags and class words, with what recurs.  ``words=False`` leaves tags and class
+    words aside in marking elements.  Null html counts as empty, null urls as one host; ids pass
+    through, null or repeated; a truncated page is read as far as it goes; other columns are
+    ignored; an empty table gives an empty table.
     """
     prepare(pages.sparkSession)
-    found = stored(subtrees(pages, url_col, html_col), "subtrees")
-    recurring = stored(site_templates(found, min_pages, share, many), "templates")
-    each = found.select(*KEY, F.inline("found")).filter("place = 0").drop("place")
-    lists = (each.join(recurring, ["host", "hash"]).groupBy(*KEY).agg(F.collect_set("hash").alias("template")))
-    lists = stored(lists.select(*[F.col(k).alias(f"of_{k}") for k in KEY], "template"), "page-templates")
+    found = stored(subtrees(pages, url_col, html_col, words), "subtrees")
+    contents = contents_of(found)
+    sizes = stored(contents.groupBy("host").agg(F.count(F.lit(1)).alias("contents")), "hosts")
+    recurring = stored(site_templates(contents, sizes, min_pages, share, many), "templates")
+    shapes = stored(site_shapes(contents, sizes, counted), "shapes")
+    keys = (found.select(*KEY).distinct().join(sizes, "host")
+            .select(*KEY, (F.col("contents") >= counted).alias("is_counted")))
+    def recurring_of(column: str, hashes: DataFrame) -> DataFrame:
+        own = found.select(*KEY, F.inline(column)).select(*KEY, "hash").distinct()
+        return own.join(hashes, ["host", "hash"]).select(*KEY, "hash")
+    each = recurring_of("found", recurring).union(recurring_of("shapes", shapes))
+    lists = keys.join(each.groupBy(*KEY).agg(F.collect_set("hash").alias("template")), KEY, "left")
+    lists = stored(lists.select(*[F.col(k).alias(f"of_{k}") for k in KEY], "is_counted", "template"), "page-templates")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"), *_key(F.col(url_col), F.col(html_col)))
-    same = [F.col(k) == F.col(f"of_{k}") for k in KEY]
-    joined = rows.join(lists, same, "left").select("id", "url", "html", "template")
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in KEY]
+    joined = rows.join(lists, same, "left").select("id", "url", "html", "template", "is_counted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [Page(t, frozenset(k or ())).text() for t, k in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts = [Page(t, frozenset(k or ()), BY_COUNTS if c else BY_WORDS, words).text()
+                     for t, k, c in zip(*(b.column(n).to_pylist() for n in (2, 3, 4)))]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
     return joined.mapInArrow(run, "id long, url string, text string")

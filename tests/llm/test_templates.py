@@ -3,6 +3,7 @@ import re
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from portrisk.llm import templates
 from portrisk.llm.queries import QUERIES
@@ -122,3 +123,90 @@ def test_quoted_passage_without_article_survives(spark):
 ])
 def test_marks(source, want):
     assert Page(source).text() == want
+
+
+SF = "/root/testdata/sf0.1"
+
+
+def sf_pages(spark, divs=False):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    if divs:
+        pages = pages.withColumn("html", F.regexp_replace("html", "(</?)article(?=[ >])", "$1div"))
+    return pages
+
+
+@pytest.fixture(scope="module")
+def truth():
+    pages = pd.read_parquet(f"{SF}/pages.parquet")
+    host = pages.url.str.extract(r"//([^/:]+)")[0].str.lower()
+    contents = pages.html.groupby(host).nunique()
+    return {i: brute(h) for i, h in zip(pages.page_id, pages.html)}, set(pages.page_id[host.map(contents) >= 20])
+
+
+def right(df, want, ids):
+    return sum(r["text"] == want[r["id"]] for r in df.collect() if r["id"] in ids) / len(ids)
+
+
+def test_recurrence_alone_finds_the_article(spark, truth):
+    want, large = truth
+    assert len(large) > 2000  # neither ``article`` nor a word of a tag or class tells the templates here
+    assert right(templates.main_texts(sf_pages(spark, divs=True), words=False), want, large) >= 0.95
+    assert right(templates.main_texts(sf_pages(spark, divs=True)), want, set(want)) >= 0.95
+    shared = {r["id"]: r["text"] for r in templates.main_texts(sf_pages(spark)).filter("id = 263").collect()}
+    again = {r["id"]: r["text"] for r in templates.main_texts(sf_pages(spark, divs=True)).filter("id = 263").collect()}
+    assert shared == again == {263: want[263]}  # its last paragraph is on 26 of 308 contents
+
+
+def test_without_removal_templates_stay(spark, truth, monkeypatch):
+    want, large = truth
+    assert right(templates.main_texts(sf_pages(spark)), want, set(want)) == 1
+    for name in ("site_templates", "site_shapes"):
+        found = getattr(templates, name)
+        monkeypatch.setattr(templates, name, lambda *a, found=found, **k: found(*a, **k).limit(0))
+    assert right(templates.main_texts(sf_pages(spark)), want, large) < 0.05
+
+
+def test_counts_against_brute_force(spark):
+    page = lambda i: (f"<body class='p{i}'><div class='nav x{i}'><ul><li><a href=/{i}>menu {i}</a></ul></div><div><h1>T{i}</h1>"
+                      f"<p>{'story ' * (30 + i)}</p>" + ("<section>See also</section>" if i % 4 == 0 else "")
+                      + "</div><div class=foot>End " + "x" * i + "</div></body>")
+    rows = [(i, "http://a.example/", page(i % 30)) for i in range(45)]  # 15 copies
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    contents = templates.contents_of(templates.subtrees(pages))
+    sizes = contents.groupBy("host").agg(F.count(F.lit(1)).alias("contents"))
+    assert [tuple(r) for r in sizes.collect()] == [("a.example", 30)]
+    counts, shapes = {}, {}
+    for i in range(30):
+        p = Page(page(i), way=templates.TO_COUNT)
+        for h, place in p.places():
+            counts[h, place] = counts.get((h, place), 0) + 1
+        for h, (chars, links, about) in p.shapes.items():
+            shapes.setdefault(h, []).append((chars / p.chars, chars, links, about))
+    want = set()
+    for (h, place), n in counts.items():
+        placed = max([m for (g, q), m in counts.items() if g == h and q] or [0])
+        limit = {0: min(3.0, 20), 1: 15, 2: 32, 3: 15}[h & 3]
+        if place == 0 and n >= 4 and (n if h & 3 == 0 else placed) >= limit and (h & 3 == 0 or placed >= n / 2):
+            want.add(h)
+    assert {r["hash"] for r in templates.site_templates(contents, sizes).collect()} == want and len(want) == 1  # See also
+    want = set()
+    for h, seen in shapes.items():
+        about = 0
+        for s in seen:
+            about |= s[3]
+        linked = sum(s[2] for s in seen) / sum(s[1] for s in seen)
+        small = len(seen) >= 15 and sum(s[0] for s in seen) / len(seen) < 0.15 and (not about & 6 or linked >= 0.5)
+        if about & 1 and len(seen) >= 2 or small:
+            want.add(h)
+    assert {r["hash"] for r in templates.site_shapes(contents, sizes).collect()} == want
+    got = {r["id"]: r["text"] for r in templates.main_texts(pages).collect()}
+    assert all(got[i] == f"T{i % 30} " + " ".join(["story"] * (30 + i % 30)) for i in got)
+
+
+def test_shapes_leave_prose_headings_and_the_main_block(spark):
+    got = texts(spark, [f"<div class=top>Site {i}</div><div class=row><div class=lead><h2>Head {i}</h2></div><div class=body><p>own {i} "
+                        f"{'word ' * 40}</p><blockquote>said {i}</blockquote></div></div><div class=box><h3>More</h3><ul><li>"
+                        f"<a href=a>other story {i}</a><li><a href=b>one more {i + 1}</a></ul></div>" for i in range(25)])
+    assert all(got[i] == f"Head {i} own {i} " + "word " * 40 + f"said {i}" for i in got)
+    got = texts(spark, [f"<div>Site {i}</div><p>own {i}</p>" for i in range(19)])  # too small to count
+    assert all(got[i] == f"Site {i} own {i}" for i in got)
