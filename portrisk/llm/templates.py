@@ -33,8 +33,9 @@ COUNTED = 20
 SMALL = 0.15
 #: A list, table or part with a heading must also hold this share of its text in links.
 LINKY = 0.5
-#: A shape marked by its tag, role or class needs this many contents.
-MIN_MARKED = 2
+#: A shape marked by its tag, role or class needs this many contents, and this share of them, so
+#: that a host has no more template shapes than a hundred times the shapes of a page.
+MIN_MARKED, MARKED_SHARE = 2, 0.01
 #: A subtree is template text when it is on this many contents of a host and on this share of
 #: them; blocks that are no prose are on MANY contents, however large the host.
 MIN_PAGES = 4
@@ -402,8 +403,8 @@ def site_shapes(contents: DataFrame, sizes: DataFrame, counted: int = COUNTED) -
     and hold little of their text.
 
     Prose is never one, but for lists of links; what holds a heading or an article is none
-    unless most of it is links.  A shape marked by tag, role or class needs MIN_MARKED
-    contents, whatever its share.
+    unless most of it is links.  A shape marked by tag, role or class needs few contents,
+    whatever its share of their text.
     """
     each = (contents.filter("chars > 0").select("host", F.col("chars").alias("all_chars"), F.inline("shapes"))
             .groupBy("host", "hash").agg(
@@ -412,7 +413,7 @@ def site_shapes(contents: DataFrame, sizes: DataFrame, counted: int = COUNTED) -
     has = lambda bit: F.col("about").bitwiseAND(bit) > 0
     plain = ((F.col("n") >= MAJORITY * F.col("contents")) & (F.col("share") < SMALL)
              & (~(has(IN_PROSE) | has(HEADED)) | (F.col("linked") >= LINKY)))
-    marked = has(MARKED) & (F.col("n") >= MIN_MARKED)
+    marked = has(MARKED) & (F.col("n") >= F.greatest(F.lit(float(MIN_MARKED)), MARKED_SHARE * F.col("contents")))
     return (each.join(sizes.filter(F.col("contents") >= counted), "host").filter(marked | plain).select("host", "hash"))
 
 
@@ -432,19 +433,20 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHAR
     contents = contents_of(found)
     sizes = stored(contents.groupBy("host").agg(F.count(F.lit(1)).alias("contents")), "hosts")
     recurring = stored(site_templates(contents, sizes, min_pages, share, many), "templates")
-    shapes = stored(site_shapes(contents, sizes, counted), "shapes")
-    keys = (found.select(*KEY).distinct().join(sizes, "host")
-            .select(*KEY, (F.col("contents") >= counted).alias("is_counted")))
-    def recurring_of(column: str, hashes: DataFrame) -> DataFrame:
-        own = found.select(*KEY, F.inline(column)).select(*KEY, "hash").distinct()
-        return own.join(hashes, ["host", "hash"]).select(*KEY, "hash")
-    each = recurring_of("found", recurring).union(recurring_of("shapes", shapes))
-    lists = keys.join(each.groupBy(*KEY).agg(F.collect_set("hash").alias("template")), KEY, "left")
-    lists = stored(lists.select(*[F.col(k).alias(f"of_{k}") for k in KEY], "is_counted", "template"), "page-templates")
+    # a row per counted host, of bounded length; and one per page that holds a recurring subtree
+    shapes = site_shapes(contents, sizes, counted).groupBy(F.col("host").alias("of_shapes")).agg(
+        F.collect_list("hash").alias("shapes"))
+    hosts = stored(sizes.filter(F.col("contents") >= counted).select(F.col("host").alias("of_counted"))
+                   .join(shapes, F.col("of_counted") == F.col("of_shapes"), "left").select("of_counted", "shapes"), "counted")
+    each = found.select(*KEY, F.inline("found")).filter("place = 0").select(*KEY, "hash").join(recurring, ["host", "hash"])
+    lists = each.groupBy(*KEY).agg(F.collect_list("hash").alias("template"))
+    lists = stored(lists.select(*[F.col(k).alias(f"of_{k}") for k in KEY], "template"), "page-templates")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"), *_key(F.col(url_col), F.col(html_col)))
-    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in KEY]
-    joined = rows.join(lists, same, "left").select("id", "url", "html", "template", "is_counted")
+    same = [F.col(k) == F.col(f"of_{k}") for k in KEY]
+    joined = (rows.join(lists, same, "left").join(hosts, F.col("host") == F.col("of_counted"), "left")
+              .select("id", "url", "html", F.array_union(F.coalesce("template", F.array()), F.coalesce("shapes", F.array()))
+                      .alias("template"), F.col("of_counted").isNotNull().alias("is_counted")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
