@@ -2,7 +2,7 @@
 
 Unit vectors are turned by fast pseudo-random rotations (three rounds of random signs and a
 Hadamard transform) and assigned to the nearest signed axis.  Each table has its own
-rotation; a query looks into the buckets of its ``probes`` nearest axes in every table.
+rotation; a query looks into the buckets of its nearest axes in every table, a share of all axes.
 What it finds there is reranked by exact inner products in double precision.  Equal vectors
 are indexed once with their smallest ids, and what is too large for a task is split, so a hot
 vector or cluster is spread over tasks.
@@ -10,6 +10,7 @@ vector or cluster is spread over tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 from portrisk.llm.common import prepare, stored
 
 TABLES = 8
-PROBES = 16
+#: Share of the axes that a query probes in every table, by the most components it holds for.
+#: In wide spaces the nearest of unrelated vectors are hardly nearer than the rest, and take
+#: more axes to find.
+SHARES = ((64, 1 / 8), (128, 1 / 6), (math.inf, 1 / 5))
 SEED = 2
 #: Neighbouring axes whose buckets share a task: a query goes there once for all it probes.
 AXES = 32
@@ -51,6 +55,11 @@ def signed_axes(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
     return np.concatenate([turned, -turned], axis=1)
 
 
+def default_probes(axes: int) -> int:
+    """Axes to probe out of ``axes`` signed ones, by their width."""
+    return math.ceil(axes * next(share for width, share in SHARES if axes <= 2 * width))
+
+
 def usable(vector: Column) -> Column:
     """Not null, not empty, not all zero, every component a finite number."""
     bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -111,13 +120,14 @@ def placed(index: DataFrame, tables: int, seed: int) -> DataFrame:
         run, f"v {kind}, ids array<long>, width int, tab int, axes int, axis int")
 
 
-def probing(queries: DataFrame, probes: int, tables: int, seed: int) -> DataFrame:
-    """Every query once for each table and group of axes it probes, with those axes."""
+def probing(queries: DataFrame, probes: int | None, tables: int, seed: int) -> DataFrame:
+    """Every query once for each table and group of axes it probes, with those axes; without
+    ``probes`` their number follows the vectors' width."""
     kind = queries.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, d, t, near in _axes(batches, tables, seed):
-            best = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
+            best = np.argsort(-near, axis=1, kind="stable")[:, :probes or default_probes(near.shape[1])].astype(np.int32)
             for g in range(-(-near.shape[1] // AXES)):
                 inside = best // AXES == g
                 at = np.nonzero(inside.any(axis=1))[0]
@@ -152,7 +162,7 @@ def nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: i
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (qid[:0], ids[:0], np.zeros(0))
 
 
-def search(table: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES,
+def search(table: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int | None = None,
            seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the k nearest rows found for each query row of ``table``.
 

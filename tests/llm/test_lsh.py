@@ -72,3 +72,44 @@ def test_odd_rows(spark):
     got = answers(lsh.search(df, F.col("id") % 20 == 0, k=3))
     assert got == {0: [(20, 0.5), (1, 0.0), (9, -2.0)], 20: [(0, 0.5), (1, 0.5), (9, -1.0)]}
     assert lsh.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def drawn(n, width, kind, seed=0):
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, width))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if kind == "log-normal":
+        v *= np.exp(rng.normal(size=(n, 1)) * 0.5)
+    if kind == "some long":
+        v[rng.random(n) < 0.01] *= 5
+    return v
+
+
+@pytest.mark.parametrize("n, width", [(2000, 64), (2000, 128), (2000, 384), (20000, 64), (20000, 128), (20000, 384)])
+@pytest.mark.parametrize("kind", ["equal", "log-normal", "some long"])
+def test_recall_of_probed_buckets(n, width, kind):
+    """Buckets that a query probes hold 0.9 of its 20 nearest, whatever the width and lengths."""
+    v, asked = drawn(n, width, kind), np.arange(40)
+    score = v[asked] @ v.T
+    score[asked, asked] = -np.inf
+    top = np.argpartition(-score, 20, axis=1)[:, :20]
+    seen = np.zeros((len(asked), n), bool)
+    for t in range(lsh.TABLES):
+        near = lsh.signed_axes(v, t)
+        probed = np.zeros((len(asked), near.shape[1]), bool)
+        best = np.argsort(-near[asked], axis=1)[:, :lsh.default_probes(near.shape[1])]
+        probed[asked[:, None], best] = True
+        seen |= probed[:, near.argmax(axis=1)]
+    assert np.take_along_axis(seen, top, axis=1).mean() >= 0.9 and seen.mean() < 0.85
+
+
+@pytest.mark.parametrize("width, kind", [(100, "log-normal"), (384, "some long")])
+def test_recall_of_search_on_wide_and_unequal_vectors(spark, width, kind):
+    v = drawn(2000, width, kind, 3)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(5)
+    got = answers(lsh.search(rows, F.col("id") % 50 == 0, k=20))
+    assert recall(got, brute(np.arange(2000), v, range(0, 2000, 50), 20)) >= 0.9
+
+
+def test_wider_vectors_probe_more_axes():
+    assert [lsh.default_probes(2 * w) for w in (2, 64, 128, 512)] == [1, 16, 43, 205]
