@@ -14,6 +14,7 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -212,20 +213,47 @@ def _entries(index: CuckooIndex) -> pd.DataFrame:
                          "keep_row": [v[0][1] for _, v in live], "group_size": [v[1] for _, v in live]})
 
 
-def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(digest, body): the normalised texts, each once a map task as far as it can tell.
+#: Bits of the map of shared digests that every task holds (8 MB), whatever their number.
+FILTER_BITS = 26
 
-    A text is left out only after it was found byte for byte equal to one passed on before.
+
+def shared_bits(shared: DataFrame, digest_bytes: int) -> np.ndarray:
+    """A map with the first bits of every digest in ``shared`` (key), as 64-bit words.
+
+    Digests are uniform, so a text that is no copy passes with a chance of about their number
+    over 2^FILTER_BITS.  The map's size is fixed; when the digests outgrow it, it lets more
+    texts pass and is still right.
     """
+    bits = min(FILTER_BITS, 8 * digest_bytes)
+    head = F.conv(F.rpad(F.hex(F.substring("key", 1, 4)), 8, "0"), 16, 10).cast("long")
+    places = shared.select(F.shiftright(head, 32 - bits).alias("place"))
+    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(place % 64 AS int))")).alias("bits")).toArrow()
+    found = np.zeros(max(1, (1 << bits) // 64), np.int64)
+    found[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return found.view(np.uint64)
+
+
+def _texts(docs: DataFrame, text_col: str, shared: DataFrame, digest_bytes: int) -> DataFrame:
+    """(digest, body): the normalised texts whose digests may be in ``shared``, each once a map
+    task as far as it can tell.
+
+    Texts are left out whose digests are surely not shared, and those found byte for byte
+    equal to one passed on before.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(shared_bits(shared, digest_bytes))
+    shift = 32 - min(FILTER_BITS, 8 * digest_bytes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, bytes] = {}
-        room = FOLD_BYTES
+        room, words = FOLD_BYTES, held.value
         for b in batches:
             out = []
             for t in b.column(0).to_pylist():
                 body = normalised(t)
                 d = hashlib.sha256(body).digest()
-                if seen.get(d) == body:
+                place = int.from_bytes(d[:4], "big") >> shift
+                if not int(words[place >> 6]) >> (place & 63) & 1 or seen.get(d) == body:
                     continue
                 if d not in seen and len(body) <= room:
                     seen[d] = body
@@ -252,7 +280,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = F.substring("digest", 1, digest_bytes)
     # content of the digests with several rows: equal to the first and the last text or not
     shared = live.filter("group_size > 1").select("key")
-    content = (_texts(docs, text_col).withColumn("key", key).join(shared.hint("shuffle_hash"), "key", "left_semi")
+    content = (_texts(docs, text_col, shared, digest_bytes).withColumn("key", key).join(shared.hint("shuffle_hash"), "key", "left_semi")
                .groupBy("key").agg(F.min("body").alias("low"), F.max("body").alias("high")))
     clash = stored(content.filter("low <> high").select("key"), "clashes")
     found = rows.withColumn("key", key).join(live, "key")

@@ -81,3 +81,17 @@ def test_index_takes_batches_and_deletions(spark):
     assert {bytes(r["key"]): (r["keep_id"], r["group_size"]) for r in got} == {digest(k): v for k, v in want.items()}
     same = cuckoo.updated_index(live, table(later).limit(0), removed.limit(0)).collect()
     assert sorted(map(str, same)) == sorted(map(str, live.collect()))
+
+
+def test_map_of_shared_digests_admits_all_of_them_and_few_others(spark):
+    digest = lambda k: hashlib.sha256(str(k).encode()).digest()
+    for size in (1, 2, 32):
+        held = {digest(k)[:size] for k in range(300)}
+        shared = spark.createDataFrame([(bytearray(d),) for d in held], "key binary")
+        words, shift = cuckoo.shared_bits(shared, size), 32 - min(cuckoo.FILTER_BITS, 8 * size)
+        passes = lambda d: bool(int(words[(int.from_bytes(d[:4], "big") >> shift) >> 6]) >> ((int.from_bytes(d[:4], "big") >> shift) & 63) & 1)
+        assert all(passes(digest(k)) for k in range(300))
+        others = sum(passes(digest(k)) for k in range(300, 5300)) / 5000
+        assert others <= len(held) / (1 << min(cuckoo.FILTER_BITS, 8 * size)) + 0.05
+        assert len(words) * 8 <= 8 << 20
+    assert not cuckoo.shared_bits(shared.limit(0), 32).any()
