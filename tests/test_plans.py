@@ -54,7 +54,8 @@ def test_asof_windows_are_keyed_by_range(spark):
 # pages need a parser, and models are fitted while the plan is built
 PARSED = {"html_table_rows", "page_elements_div_ad", "page_links_first5", "page_text_hits", "contingency_score",
           "contingency_portuguese", "lineup_pages"}
-MODELS = {"model_fit", "model_evaluation", "importances", "score_fleet", "sensitivity_sweep", "stress_test", "scenario_grid"}
+MODELS = {"model_fit", "model_evaluation", "importances", "score_fleet", "sensitivity_sweep", "stress_test", "scenario_grid",
+          "forest_walk", "risk_surface", "risk_surface_check"}
 
 
 @pytest.mark.parametrize("name", [n for n in C.QUERIES if n not in PARSED | MODELS])
