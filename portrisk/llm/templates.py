@@ -108,7 +108,7 @@ class _Open:
     chars: int = 0  # text of the page before it, and that in links
     links: int = 0
     marks: list[str] = field(default_factory=list)  # of its children, in order
-    blocks: list[int | None] = field(default_factory=list)  # its block elements, counted ones by hash
+    blocks: list[tuple[int, int] | None] = field(default_factory=list)  # its block elements, counted ones by hash and path
 
 
 def _marked(attrs: str, inside: bool) -> frozenset[str]:
@@ -132,7 +132,7 @@ class Page:
     def __init__(self, source: str | None, template: frozenset[int] = frozenset(), way: int = BY_WORDS,
                  words: bool = True) -> None:
         self.template, self.way, self.words = template, way, words
-        self.found: list[tuple[int, int]] = []  # (hash, place) of each counted subtree, two places each
+        self.found: list[tuple[int, int, int]] = []  # (hash, place, path) of each counted subtree, two places each
         self.shapes: dict[int, list[int]] = {}  # by path: text, text in links, what is known
         self.chars = self.links = 0
         self._prose: list[str] = []
@@ -151,9 +151,12 @@ class Page:
         spans = _outer(self._roots["article"]) or _outer(self._roots["main"]) or [(0, len(self._out))]
         return _text([part for a, b in spans for part in [*self._out[a:b], None]]) or _text(self._spare)
 
-    def places(self) -> list[tuple[int, int]]:
-        """(hash, 0) and (hash, place) of every counted subtree, once each."""
-        return sorted({(h, 0) for h, _ in self.found}.union(self.found))
+    def places(self) -> list[tuple[int, int, int]]:
+        """(hash, 0, its least path) and (hash, place, 0) of every counted subtree, once each."""
+        paths: dict[int, int] = {}
+        for h, _, path in self.found:
+            paths[h] = min(paths.get(h, path), path)
+        return sorted({(h, 0, path) for h, path in paths.items()} | {(h, place, 0) for h, place, _ in self.found})
 
     def content(self) -> int:
         """Hash of the headings, paragraphs and the like (of all text without any)."""
@@ -268,7 +271,7 @@ class Page:
                 kept = True
             kind = (PLAIN if e.tag not in PROSE and e.tag not in PARTS else QUOTED if inside
                     else FIXED if e.tag in HEADINGS or e.tag in PARTS else LOOSE)
-            self._stack[-1].blocks.append(None if kept else mark & ~3 | kind)
+            self._stack[-1].blocks.append(None if kept else (mark & ~3 | kind, e.path))
             if not kept and mark & ~3 | kind in self.template:
                 self._drop(e, False)
             elif e.tag in self._roots:
@@ -290,9 +293,10 @@ class Page:
     def _place(self, e: _Open) -> None:
         """Places of the counted children of ``e``: in it, from its beginning and from its end."""
         of = xxhash.xxh32_intdigest(e.tag) << 24
-        for i, h in enumerate(e.blocks):
-            if h is not None:
-                self.found += [(h, of + 2 * i + 2), (h, of + 2 * (len(e.blocks) - i) + 1)]
+        for i, block in enumerate(e.blocks):
+            if block is not None:
+                h, path = block
+                self.found += [(h, of + 2 * i + 2, path), (h, of + 2 * (len(e.blocks) - i) + 1, path)]
 
 
 def _path(above: int, tag: str, attrs: str) -> int:
@@ -351,27 +355,26 @@ def subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html", wor
     of its block subtrees with place 0, and with the places at which they are; its shapes with
     their text, text in links and what is known of them."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        contents, chars, ends, hashes, places = [], [], [0], [], []
+        contents, chars, ends, places = [], [], [0], []
         shapes, shape_ends = [], [0]
         for source in b.column(3).to_pylist():
             page = Page(source, way=TO_COUNT, words=words)
             contents.append(page.content())
             chars.append(page.chars)
-            for h, place in page.places():
-                hashes.append(h)
-                places.append(place)
-            ends.append(len(hashes))
+            places += page.places()
+            ends.append(len(places))
             shapes += [(h, *v) for h, v in sorted(page.shapes.items())]
             shape_ends.append(len(shapes))
-        pairs = pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(places, pa.int64())], ["hash", "place"])
-        shaped = pa.StructArray.from_arrays([pa.array([x[k] for x in shapes], pa.int64()) for k in range(4)],
-                                            ["hash", "chars", "links", "about"])
+
+        def structs(rows: list[tuple], names: list[str]) -> pa.Array:
+            return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names)
+        pairs, shaped = structs(places, ["hash", "place", "path"]), structs(shapes, ["hash", "chars", "links", "about"])
         return pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(contents, pa.int64()), pa.array(chars, pa.int64()),
                                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
                                 pa.ListArray.from_arrays(pa.array(shape_ends, pa.int32()), shaped)],
                                names=[*KEY, "content", "chars", "found", "shapes"])
     return per_batch(pages.select(*_key(F.col(url_col), F.col(html_col)), F.col(html_col).cast("string").alias("html")), run,
-                     "host string, key long, key2 long, content long, chars long, found array<struct<hash: long, place: long>>, "
+                     "host string, key long, key2 long, content long, chars long, found array<struct<hash: long, place: long, path: long>>, "
                      "shapes array<struct<hash: long, chars: long, links: long, about: long>>")
 
 
@@ -384,18 +387,20 @@ def contents_of(found: DataFrame) -> DataFrame:
 
 def site_templates(contents: DataFrame, sizes: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE,
                    many: int = MANY) -> DataFrame:
-    """(host, hash): the subtrees that recur on the contents of each host; ``sizes`` has a row
-    (host, contents) per host.  Pages without html have none; no pages give an empty table."""
+    """(host, hash, path): the subtrees that recur on the contents of each host; ``sizes`` has a
+    row (host, contents) per host, ``path`` is null for a subtree found on several paths.
+    Pages without html have none; no pages give an empty table."""
     each = (contents.select("host", F.inline("found")).groupBy("host", "hash", "place")
-            .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-            .groupBy("host", "hash").agg(F.max(F.expr("if(place = 0, n, 0)")).alias("n"),
-                                         F.max(F.expr("if(place = 0, 0, n)")).alias("placed")))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("lo"), F.max("path").alias("hi"))
+            .filter(F.col("n") >= min_pages).groupBy("host", "hash")
+            .agg(F.max(F.expr("if(place = 0, n, 0)")).alias("n"), F.max(F.expr("if(place = 0, 0, n)")).alias("placed"),
+                 F.max(F.expr("if(place = 0 AND lo = hi, lo, NULL)")).alias("path")))
     kind, n, placed, all_ = F.col("hash").bitwiseAND(3), F.col("n"), F.col("placed"), F.col("contents")
     enough = (F.when(kind == PLAIN, n >= F.least(share * all_, F.lit(float(many))))
               .when(kind == QUOTED, placed >= F.greatest(MAJORITY * all_, F.lit(float(MIN_PROSE))))
               .otherwise(placed >= MAJORITY * all_))
     same_place = (kind == PLAIN) | (placed >= MAJORITY * n)
-    return each.join(sizes, "host").filter(enough & same_place).select("host", "hash")
+    return each.join(sizes, "host").filter(enough & same_place).select("host", "hash", "path")
 
 
 def site_shapes(contents: DataFrame, sizes: DataFrame, counted: int = COUNTED) -> DataFrame:
@@ -432,10 +437,14 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHAR
     found = stored(subtrees(pages, url_col, html_col, words), "subtrees")
     contents = contents_of(found)
     sizes = stored(contents.groupBy("host").agg(F.count(F.lit(1)).alias("contents")), "hosts")
-    recurring = stored(site_templates(contents, sizes, min_pages, share, many), "templates")
+    shapes = stored(site_shapes(contents, sizes, counted), "shapes")
+    # what is deleted by its shape needs no mention page by page
+    by_shape = shapes.select(F.col("host").alias("of"), F.col("hash").alias("shape"))
+    recurring = stored(site_templates(contents, sizes, min_pages, share, many)
+                       .join(by_shape, (F.col("host") == F.col("of")) & (F.col("path") == F.col("shape")), "left_anti")
+                       .select("host", "hash"), "templates")
     # a row per counted host, of bounded length; and one per page that holds a recurring subtree
-    shapes = site_shapes(contents, sizes, counted).groupBy(F.col("host").alias("of_shapes")).agg(
-        F.collect_list("hash").alias("shapes"))
+    shapes = shapes.groupBy(F.col("host").alias("of_shapes")).agg(F.collect_list("hash").alias("shapes"))
     hosts = stored(sizes.filter(F.col("contents") >= counted).select(F.col("host").alias("of_counted"))
                    .join(shapes, F.col("of_counted") == F.col("of_shapes"), "left").select("of_counted", "shapes"), "counted")
     each = found.select(*KEY, F.inline("found")).filter("place = 0").select(*KEY, "hash").join(recurring, ["host", "hash"])

@@ -178,7 +178,7 @@ def test_counts_against_brute_force(spark):
     counts, shapes = {}, {}
     for i in range(30):
         p = Page(page(i), way=templates.TO_COUNT)
-        for h, place in p.places():
+        for h, place, _ in p.places():
             counts[h, place] = counts.get((h, place), 0) + 1
         for h, (chars, links, about) in p.shapes.items():
             shapes.setdefault(h, []).append((chars / p.chars, chars, links, about))
