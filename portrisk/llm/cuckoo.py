@@ -306,7 +306,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` does not keep."""
+    """``docs`` without the rows that ``exact_groups`` does not keep, columns unchanged.
+
+    Null texts count as empty and are equal to empty ones; a null id is less than any other; of
+    rows alike in id and text one stays; an empty table gives an empty table.
+    """
     prepare(docs.sparkSession)
     rows, key = keyed(docs, id_col)
     tied = exact_groups(rows, key, text_col)

@@ -89,7 +89,11 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP,
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = SEED,
           id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is emitted, columns unchanged."""
+    """The mix itself: every row of ``docs`` as often as it is emitted, columns unchanged.
+
+    Nulls, ties and repeated rows as in ``mix_plan``: rows with a null or repeated id are
+    sampled one by one under keys of their own; an empty table gives an empty table.
+    """
     prepare(docs.sparkSession)
     rows, key = keyed(docs, id_col)
     of, times, nth = (free_name(rows, c) for c in ("mix_of", "mix_times", "mix_nth"))
