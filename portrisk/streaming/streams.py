@@ -67,18 +67,18 @@ def weather_stream(spark: SparkSession, landing: str, out_path: str, checkpoint:
 def _append_epoch(rows: DataFrame, path: str, epoch: int) -> None:
     """Append an epoch's rows to a plain table: its files carry the epoch's number, and files of
     the same epoch that a lost driver left are removed first."""
-    spark = rows.sparkSession
-    staged = f"{scratch_path(spark, 'epoch')}"
-    rows.write.parquet(staged)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path
-    fs = jpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(jpath(path))
+    spark, base = rows.sparkSession, path.rstrip("/")
     mark = f"epoch-{epoch:09d}-"
-    for s in fs.globStatus(jpath(f"{path.rstrip('/')}/{mark}*")):
+    staged = f"{base}/_{mark}staged"  # readers pass over names that begin so
+    rows.write.mode("overwrite").parquet(staged)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jpath(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in fs.globStatus(jpath(f"{base}/{mark}*")):
         fs.delete(s.getPath(), False)
     for s in fs.globStatus(jpath(f"{staged}/*.parquet")):
-        if not fs.rename(s.getPath(), jpath(f"{path.rstrip('/')}/{mark}{s.getPath().getName()}")):
-            raise RuntimeError(f"could not move {s.getPath()} to {path}")
+        if not fs.rename(s.getPath(), jpath(f"{base}/{mark}{s.getPath().getName()}")):
+            raise RuntimeError(f"could not move {s.getPath()} to {base}")
+    fs.delete(jpath(staged), True)
 
 
 # ---------------------------------------------------------------------------

@@ -58,3 +58,23 @@ def test_lines_with_too_few_fields_are_kept_apart(spark, tmp_path):
     (tmp_path / "loc_id=A" / "a.csv").write_text("datetime,precip,windspeed,humidity\nx,1,2,3\nx,1\nx,1,2,3,4\ndatetime,precip,windspeed,humidity\n")
     got = files.read_weather_csv(spark, str(tmp_path), quarantine=True)
     assert rows(got, "precip", files.CORRUPT) == [(1.0, "x,1"), (1.0, "x,1,2,3,4"), (1.0, None)]
+
+
+def test_stream_replays_an_epoch_without_duplicates(spark, landed, scratch, monkeypatch):
+    from portrisk.operators.ingest import normalize_weather
+    from portrisk.streaming import streams
+    path, want = landed
+    out, ckpt = scratch("o"), scratch("c")
+    append = streams._append_epoch
+
+    def crash(rows_, at, epoch):
+        append(rows_, at, epoch)
+        raise RuntimeError("driver lost")  # before the checkpoint has the epoch
+    monkeypatch.setattr(streams, "_append_epoch", crash)
+    with pytest.raises(Exception, match="driver lost"):
+        streams.weather_stream(spark, path, out, ckpt, max_files=2).awaitTermination()
+    monkeypatch.setattr(streams, "_append_epoch", append)
+    streams.weather_stream(spark, path, out, ckpt, max_files=2).awaitTermination()
+    got = spark.read.parquet(out)
+    batch = normalize_weather(files.read_weather_csv(spark, path))
+    assert got.count() == len(want) and got.exceptAll(batch.select(*got.columns)).count() == 0
