@@ -69,3 +69,22 @@ def test_asof_with_odd_times(spark):
 def test_scoring_tasks_follow_the_rows(spark):
     assert ml.sized(spark.range(10_001)).rdd.getNumPartitions() == 3
     assert ml.sized(spark.range(1000), rows_each=17).rdd.getNumPartitions() == 4
+
+
+def test_hot_keys_land_in_several_files_and_pages(spark, tmp_path):
+    from portrisk.plans import catalog as C
+    from portrisk.sources import html
+    data = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("loc"),
+                                    F.concat(F.lit("<tr><td>"), "id", F.lit("<td>v"), F.col("id") % 7).alias("tr"))
+    dealt = C._dealt(data, "loc", 100)
+    assert dealt.count() == 3000 and dealt.filter("loc = 'hot'").select("part").distinct().count() == 10
+    assert dealt.filter("loc <> 'hot'").agg(F.max("part")).first()[0] == 0
+    pages = html.table_pages(dealt, ["loc", "part"], "id", "tr", "<table><tr><th>Id<th>Value</tr>", "</table>")
+    assert pages.filter("loc = 'hot'").count() == 10
+    pages = pages.withColumn("page_id", F.xxhash64("loc", "part"))
+    read = html.html_tables(pages, keep=["loc"])
+    got = {(r.loc, r.cells[0], r.cells[1]) for r in read.collect()}
+    assert got == {(r.loc, str(r.id), f"v{r.id % 7}") for r in data.collect()}
+    assert read.groupBy("page_id").count().agg(F.max("count")).first()[0] < 160  # about 100 rows a page
+    dealt.select("id", "loc").write.partitionBy("loc").csv(str(tmp_path / "files"))
+    assert len(list((tmp_path / "files").glob("loc=hot/*.csv"))) > 1
