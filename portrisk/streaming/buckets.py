@@ -43,8 +43,11 @@ class BucketTable:
         return sorted(int(n[:-5]) for n in self._names("manifest") if n.endswith(".json") and n[0] not in "._")
 
     def _manifest(self, version: int) -> dict:
-        text = self.spark.read.text(f"{self.path}/manifest/{version:012d}.json", wholetext=True).first()[0]
-        return json.loads(text)
+        stream = self._fs.open(self._paths(f"{self.path}/manifest/{version:012d}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def folders(self, before: int | None = None) -> Folders:
         """Folders by bucket in the newest manifest, or in the newest one older than ``before``."""
