@@ -805,7 +805,8 @@ def q_stream_contingency(spark, d):
     landing = scratch_path(spark, "landing-news")
     for kind in ("road", "news"):
         _land_pages(spark, pages.filter(F.col("kind") == kind), landing)
-        _await(streams.contingency_stream(spark, landing, out, ckpt, lambda epoch: RUN_TS, STANDIN_RULES, max_files=4))
+        _await(streams.contingency_stream(spark, landing, out, ckpt, lambda epoch: RUN_TS, STANDIN_RULES, max_files=4,
+                                          buckets=16))
     return _ntz(streams.read_contingencies(spark, out))
 
 
