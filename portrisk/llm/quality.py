@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ from portrisk.llm.common import in_training, prepare, sample_ids, texts_of
 
 #: Bytes under a filter, filters of each layer, bytes between chunks (a chunk is twice that).
 WIDTH, FILTERS, HIDDEN, HOP = 4, 12, 8, 128
-#: Bound of the training sample, per label.
-MAX_LABELLED = 1500
+#: Bounds of the training sample: rows of each label, UTF-8 bytes of a text.
+MAX_LABELLED, MAX_BYTES = 1500, 1 << 18
 THRESHOLD = 0.5
 #: Bytes of a text that are read at a time (a multiple of HOP).
 PIECE = HOP << 13
@@ -179,16 +179,36 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Net:
+        label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES) -> Net:
     """A net from whole texts of the training folds: at most ``max_labelled`` rows of each label,
-    chosen by a hash of the id.  An id labelled both ways counts as label 0."""
+    chosen by a hash of the id, of which texts over ``max_bytes`` are not learnt from.
+
+    One task trains on the sample and returns the net alone.  Rows without id and labels that
+    are null teach nothing, null texts count as empty, rows that repeat an id are all learnt
+    from, an id labelled both ways counts as label 0; without texts of both labels every text
+    scores the share of label 1 (0.5 without labels or documents).
+    """
+    prepare(docs.sparkSession)
     known = labels.filter(in_training(id_col) & F.col(label_col).isNotNull())
     low = sample_ids(known.filter(F.col(label_col) == 0), max_labelled, id_col)
-    high = [i for i in sample_ids(known.filter(F.col(label_col) == 1), max_labelled, id_col) if i not in set(low)]
+    high = sample_ids(known.filter(F.col(label_col) == 1), max_labelled, id_col)
     label = {i: 1 for i in high} | {i: 0 for i in low}
-    found = texts_of(docs, set(label), id_col, text_col).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
-    ids = found.column("id").to_pylist()
-    return train([as_bytes(t) for t in found.column("text").to_pylist()], np.array([label[i] for i in ids]))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, known_as = [], []
+        for b in batches:
+            known_as += [label[i] for i in b.column(0).to_pylist()]
+            texts += [as_bytes(t) for t in b.column(1).to_pylist()]
+        net = train(texts, np.array(known_as))
+        parts = [(f.name, np.asarray(getattr(net, f.name), np.float32)) for f in fields(Net)]
+        yield pa.record_batch([pa.array([name for name, _ in parts]), pa.array([x.tobytes() for _, x in parts], pa.binary()),
+                               pa.array([list(x.shape) for _, x in parts], pa.list_(pa.int32()))],
+                              names=["name", "data", "shape"])
+    found = texts_of(docs, set(label), id_col, text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
+    trained = (found.filter(F.octet_length("text") <= max_bytes).repartition(1).sortWithinPartitions("id", "text")
+               .mapInArrow(learn, "name string, data binary, shape array<int>"))
+    got = {r["name"]: np.frombuffer(r["data"], np.float32).reshape(r["shape"]).copy() for r in trained.collect()}
+    return Net(**got) if got else train([], np.array([]))  # no documents, so no task
 
 
 def scored(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text",

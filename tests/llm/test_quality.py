@@ -81,3 +81,23 @@ def test_odd_rows(spark, small_net):
     assert len({r["score"] for r in got if r["id"] in (1, 2)}) == 1 and quality.scored(docs.limit(0), net).count() == 0
     labels = spark.createDataFrame([(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
     assert quality.scored(docs, quality.fit(docs, labels)).filter("score = 0.5").count() == len(rows)
+
+
+def test_fit_trains_on_bounded_whole_texts(spark, small_net):
+    texts, labels, _ = small_net
+    rows = [(3 * i + k, bytes(t).decode()) for i, t in enumerate(texts) for k in range(3)]
+    docs = spark.createDataFrame([*rows, (1000, "## " * 200), (1001, None)], "doc_id long, text string").repartition(4)
+    marks = [(i, int(labels[i // 3])) for i, _ in rows] + [(1000, 1), (1000, 0), (1001, 1)]
+    known = spark.createDataFrame(marks, "doc_id long, quality int")
+    training = lambda i: zlib.crc32(str(i).encode()) % 3 != 1
+    for most in (quality.MAX_BYTES, 300):
+        want = sorted((i, t or "") for i, t in [*rows, (1000, "## " * 200), (1001, "")]
+                      if training(i) and len((t or "").encode()) <= most)
+        label = dict(marks) | {1000: 0}
+        net = quality.train([quality.as_bytes(t) for _, t in want], np.array([label[i] for i, _ in want]))
+        got = quality.fit(docs, known, max_bytes=most)
+        for name in ("taps", "lift", "usual", "spread", "chunk", "chunk_lift", "out", "bias"):
+            a, b = getattr(got, name), getattr(net, name)
+            assert a.shape == np.shape(b) and np.allclose(a, b, atol=1e-6), name
+    one = quality.fit(docs.limit(0), known)
+    assert quality.Reader(one).score("x") == 0.5
