@@ -27,8 +27,6 @@ TABLES = 8
 #: more axes to find.
 SHARES = ((64, 1 / 8), (128, 1 / 6), (math.inf, 1 / 5))
 SEED = 2
-#: Neighbouring axes whose buckets share a task: a query goes there once for all it probes.
-AXES = 32
 #: Most index rows and most queries in one task, about.
 CHUNK = 16384
 
@@ -89,53 +87,75 @@ def classes(rows: DataFrame, most: int) -> DataFrame:
 
 
 def _axes(batches: Iterator[pa.RecordBatch], tables: int, seed: int) -> Iterator[tuple]:
-    """(rows, width, table, closeness to every axis) for the vectors ``v`` of each batch."""
+    """(rows, width, closeness to every axis table by table) for the vectors ``v`` of each batch."""
     for b in batches:
         v = b.column(b.schema.get_field_index("v"))
         sizes = np.array([len(x) for x in v])
         for d in np.unique(sizes):
             part = b.take(pa.array(np.nonzero(sizes == d)[0]))
             x = part.column(b.schema.get_field_index("v")).flatten().to_numpy(zero_copy_only=False)
-            for t in range(tables):
-                yield part, int(d), t, signed_axes(x.reshape(len(part), d).astype(np.float64), t, seed)
-
-
-def _keys(n: int, d: int, t: int, group: np.ndarray) -> list[pa.Array]:
-    return [pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(group.astype(np.int32))]
-
-
-KEY = ["width", "tab", "axes"]  # axes: number of the group of neighbouring axes
+            x = x.reshape(len(part), d).astype(np.float64)
+            yield part, pa.array(np.full(len(part), d, np.int32)), (signed_axes(x, t, seed) for t in range(tables))
 
 
 def placed(index: DataFrame, tables: int, seed: int) -> DataFrame:
-    """Every class of ``index`` once for each table, with the axis nearest to it."""
+    """Every class of ``index`` with the axis nearest to it in each table."""
     kind = index.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, d, t, near in _axes(batches, tables, seed):
-            axis = near.argmax(axis=1).astype(np.int32)
-            yield pa.record_batch([*part.columns, *_keys(len(part), d, t, axis // AXES), pa.array(axis)],
-                                  names=["v", "ids", *KEY, "axis"])
-    return index.select("v", "ids").mapInArrow(
-        run, f"v {kind}, ids array<long>, width int, tab int, axes int, axis int")
+        for part, width, tables_ in _axes(batches, tables, seed):
+            axis = np.stack([near.argmax(axis=1) for near in tables_], axis=1)
+            yield pa.record_batch([*part.columns, width, pa.array(axis.tolist(), pa.list_(pa.int32()))],
+                                  names=["v", "ids", "width", "axis"])
+    return index.select("v", "ids").mapInArrow(run, f"v {kind}, ids array<long>, width int, axis array<int>")
 
 
 def probing(queries: DataFrame, probes: int | None, tables: int, seed: int) -> DataFrame:
-    """Every query once for each table and group of axes it probes, with those axes; without
-    ``probes`` their number follows the vectors' width."""
+    """Every query with the axes it probes in each table; without ``probes`` their number
+    follows the vectors' width."""
     kind = queries.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, d, t, near in _axes(batches, tables, seed):
-            best = np.argsort(-near, axis=1, kind="stable")[:, :probes or default_probes(near.shape[1])].astype(np.int32)
-            for g in range(-(-near.shape[1] // AXES)):
-                inside = best // AXES == g
-                at = np.nonzero(inside.any(axis=1))[0]
-                axes = pa.array([best[i][inside[i]] for i in at], pa.list_(pa.int32()))
-                yield pa.record_batch([*part.take(pa.array(at)).columns, *_keys(len(at), d, t, np.full(len(at), g)), axes],
-                                      names=["id", "v", *KEY, "probed"])
-    return queries.select("id", "v").mapInArrow(
-        run, f"id long, v {kind}, width int, tab int, axes int, probed array<int>")
+        for part, width, tables_ in _axes(batches, tables, seed):
+            probed = np.stack([np.argsort(-near, axis=1, kind="stable")[:, :probes or default_probes(near.shape[1])]
+                               for near in tables_], axis=1)
+            yield pa.record_batch([*part.columns, width, pa.array(probed.tolist(), pa.list_(pa.list_(pa.int32())))],
+                                  names=["id", "v", "width", "probed"])
+    return queries.select("id", "v").mapInArrow(run, f"id long, v {kind}, width int, probed array<array<int>>")
+
+
+KEY = ["width", "tab", "grp"]
+
+
+def grouped(index: DataFrame) -> DataFrame:
+    """(of_width, of_tab, grp_of): the group of each axis of each table, a row per table and width.
+
+    Neighbouring axes share a group, and so a task, while about ``CHUNK`` rows of ``placed``
+    are in it; as rows grow, every axis becomes a group, and a query goes to the rows of the
+    axes it probes only.
+    """
+    table = Window.partitionBy("width", "tab").orderBy("axis")
+    n = (index.select("width", F.posexplode("axis").alias("tab", "axis")).groupBy("width", "tab", "axis")
+         .agg(F.count(F.lit(1)).alias("n")))
+    group = F.floor((F.sum("n").over(table) - F.col("n")) / CHUNK).cast("int")
+    gap = F.col("axis") - F.lag("axis", 1, -1).over(table)  # axes without rows go with the next one
+    each = n.select("width", "tab", F.struct("axis", group.alias("grp"), gap.alias("gap")).alias("e"))
+    return each.groupBy(F.col("width").alias("of_width"), F.col("tab").alias("of_tab")).agg(
+        F.expr("flatten(transform(array_sort(collect_list(e)), x -> array_repeat(x.grp, x.gap)))").alias("grp_of"))
+
+
+def dealt(index: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``placed`` and ``probing`` rows by ``KEY``: a class once a table with its axis, a query
+    once for each group it probes with those axes."""
+    groups = stored(grouped(index), "groups")
+    same = (F.col("width") == F.col("of_width")) & (F.col("tab") == F.col("of_tab"))
+    left = (index.select("v", "ids", "width", F.posexplode("axis").alias("tab", "axis")).join(groups, same)
+            .select("v", "ids", "width", "tab", F.get("grp_of", "axis").alias("grp"), "axis"))
+    asked = queries.select("id", "v", "width", F.posexplode("probed").alias("tab", "probed")).join(groups, same)
+    each = F.expr("explode(filter(array_distinct(transform(probed, a -> get(grp_of, a))), g -> g IS NOT NULL))")
+    right = (asked.select("id", "v", "width", "tab", "probed", "grp_of", each.alias("grp"))
+             .select("id", "v", *KEY, F.expr("filter(probed, a -> get(grp_of, a) = grp)").alias("probed")))
+    return left, right
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -177,8 +197,8 @@ def search(table: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES
     rows = stored(vectors(table, id_col, vector_col), "vectors")
     index = stored(classes(rows, k + 1), "classes")
     queries = rows.filter(is_query)
-    found = _compared(placed(index, tables, seed), probing(queries, probes, tables, seed), KEY, k)
-    found = stored(_ranked(found, k), "found")
+    left, right = dealt(stored(placed(index, tables, seed), "placed"), stored(probing(queries, probes, tables, seed), "probing"))
+    found = stored(_ranked(_compared(left, right, KEY, k), k), "found")
     # exact way for queries that found fewer than k
     got = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     short = stored(queries.join(got.withColumnRenamed("query_id", "of"), F.col("id") == F.col("of"), "left")
@@ -196,18 +216,19 @@ def _compared(index: DataFrame, queries: DataFrame, key: list[str], k: int) -> D
     """(query_id, id, score): for every query its k nearest of each part of its buckets.
 
     The index rows (axis) and the queries (probed: axes) of one key are dealt into parts of
-    about ``CHUNK``; every part of the one meets every part of the other.
+    about ``CHUNK``; every part of the one meets every part of the other.  The parts' numbers
+    are a written table with a row per key, broadcast by Spark's own check of its size.
     """
     def parts(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias(name))
     sizes = stored(parts(index, "x_parts").join(parts(queries, "q_parts"), key)
-                   .withColumnsRenamed({c: f"{c}_of" for c in key}), "buckets")  # a row per key: tables x groups of axes
+                   .withColumnsRenamed({c: f"{c}_of" for c in key}), "buckets")
     same = [F.col(c) == F.col(f"{c}_of") for c in key]
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = (index.join(F.broadcast(sizes), same)
+    left = (index.join(sizes, same)
             .select(*key, F.pmod(F.xxhash64("v"), F.col("x_parts")).cast("int").alias("x_part"),
                     all_of("q_parts").alias("q_part"), "v", "ids", "axis"))
-    right = (queries.join(F.broadcast(sizes), same)
+    right = (queries.join(sizes, same)
              .select(*key, all_of("x_parts").alias("x_part"),
                      F.pmod(F.xxhash64("id"), F.col("q_parts")).cast("int").alias("q_part"), "id", "v", "probed"))
 
