@@ -27,6 +27,8 @@ TABLES = 8
 #: more axes to find.
 SHARES = ((64, 1 / 8), (128, 1 / 6), (math.inf, 1 / 5))
 SEED = 2
+#: Neighbouring axes whose buckets share a task: a query goes there once for all it probes.
+AXES = 32
 #: Most index rows and most queries in one task, about.
 CHUNK = 16384
 
@@ -127,34 +129,15 @@ def probing(queries: DataFrame, probes: int | None, tables: int, seed: int) -> D
 KEY = ["width", "tab", "grp"]
 
 
-def grouped(index: DataFrame) -> DataFrame:
-    """(of_width, of_tab, grp_of): the group of each axis of each table, a row per table and width.
-
-    Neighbouring axes share a group, and so a task, while about ``CHUNK`` rows of ``placed``
-    are in it; as rows grow, every axis becomes a group, and a query goes to the rows of the
-    axes it probes only.
-    """
-    table = Window.partitionBy("width", "tab").orderBy("axis")
-    n = (index.select("width", F.posexplode("axis").alias("tab", "axis")).groupBy("width", "tab", "axis")
-         .agg(F.count(F.lit(1)).alias("n")))
-    group = F.floor((F.sum("n").over(table) - F.col("n")) / CHUNK).cast("int")
-    gap = F.col("axis") - F.lag("axis", 1, -1).over(table)  # axes without rows go with the next one
-    each = n.select("width", "tab", F.struct("axis", group.alias("grp"), gap.alias("gap")).alias("e"))
-    return each.groupBy(F.col("width").alias("of_width"), F.col("tab").alias("of_tab")).agg(
-        F.expr("flatten(transform(array_sort(collect_list(e)), x -> array_repeat(x.grp, x.gap)))").alias("grp_of"))
-
-
 def dealt(index: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``placed`` and ``probing`` rows by ``KEY``: a class once a table with its axis, a query
-    once for each group it probes with those axes."""
-    groups = stored(grouped(index), "groups")
-    same = (F.col("width") == F.col("of_width")) & (F.col("tab") == F.col("of_tab"))
-    left = (index.select("v", "ids", "width", F.posexplode("axis").alias("tab", "axis")).join(groups, same)
-            .select("v", "ids", "width", "tab", F.get("grp_of", "axis").alias("grp"), "axis"))
-    asked = queries.select("id", "v", "width", F.posexplode("probed").alias("tab", "probed")).join(groups, same)
-    each = F.expr("explode(filter(array_distinct(transform(probed, a -> get(grp_of, a))), g -> g IS NOT NULL))")
-    right = (asked.select("id", "v", "width", "tab", "probed", "grp_of", each.alias("grp"))
-             .select("id", "v", *KEY, F.expr("filter(probed, a -> get(grp_of, a) = grp)").alias("probed")))
+    once for each group of axes it probes with those axes."""
+    group = lambda a: F.floor(a / AXES).cast("int")
+    left = (index.select("v", "ids", "width", F.posexplode("axis").alias("tab", "axis"))
+            .select("v", "ids", "width", "tab", group(F.col("axis")).alias("grp"), "axis"))
+    asked = queries.select("id", "v", "width", F.posexplode("probed").alias("tab", "probed"))
+    right = (asked.select("*", F.explode(F.array_distinct(F.transform("probed", group))).alias("grp"))
+             .select("id", "v", *KEY, F.filter("probed", lambda a: group(a) == F.col("grp")).alias("probed")))
     return left, right
 
 
