@@ -165,7 +165,9 @@ def _folded(rows: DataFrame, digest_bytes: int) -> DataFrame:
 def live_index(rows: DataFrame, digest_bytes: int = 32, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The index's live entries: (key, keep_id, keep_row, group_size), one row per digest.
 
-    ``rows``: (id, digest, row).  Of a digest's rows the greatest (id, row) is the holder.
+    ``rows``: (id, digest, row).  Of a digest's rows the greatest (id, row) is the holder; rows
+    that repeat an id, a row or all of them count one by one; texts of any length are digests
+    here; no rows give an empty table.
     """
     buckets = max(1, -(-rows.count() // bucket_rows))
 

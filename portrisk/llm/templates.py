@@ -389,7 +389,8 @@ def site_templates(contents: DataFrame, sizes: DataFrame, min_pages: int = MIN_P
                    many: int = MANY) -> DataFrame:
     """(host, hash, path): the subtrees that recur on the contents of each host; ``sizes`` has a
     row (host, contents) per host, ``path`` is null for a subtree found on several paths.
-    Pages without html have none; no pages give an empty table."""
+    Pages without html have none, pages with equal contents count as one, null urls are one
+    host; counts that just reach a threshold recur; no pages give an empty table."""
     each = (contents.select("host", F.inline("found")).groupBy("host", "hash", "place")
             .agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("lo"), F.max("path").alias("hi"))
             .filter(F.col("n") >= min_pages).groupBy("host", "hash")
