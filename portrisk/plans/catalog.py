@@ -583,9 +583,8 @@ def trained_model(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _MODELS:
         train, _ = ml.train_test_split(_synth(spark, d), "o_orderkey")
-        model = ml.fit_risk_model(train)  # the forest persists its own bagged input
-        path = ml.save_model(model, scratch_path(spark, "risk-model"))
-        _MODELS[key] = ml.load_model(path), path
+        path = scratch_path(spark, "risk-model")
+        _MODELS[key] = ml.fit_risk_model(train, path=path), path  # the forest persists its own bagged input
     return _MODELS[key][0]
 
 
@@ -597,7 +596,8 @@ def model_path(spark, d) -> str:
 def q_model_fit(spark, d):
     """Fit the forest anew, save it and read its trees back: nodes and leaves per tree."""
     train, _ = ml.train_test_split(_synth(spark, d), "o_orderkey", stratify=S.MODEL_LABEL)
-    path = ml.save_model(ml.fit_risk_model(train), scratch_path(spark, "risk-fit"))
+    path = scratch_path(spark, "risk-fit")
+    ml.fit_risk_model(train, path=path)
     return ml.forest_nodes(spark, path).groupBy("tree").agg(
         F.count(F.lit(1)).cast("bigint").alias("nodes"), F.count_if(F.col("left") < 0).cast("bigint").alias("leaves"))
 
