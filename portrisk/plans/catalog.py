@@ -49,6 +49,15 @@ def _land_parts(spark) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+#: Files of a landing that a stream reads a few at a time: longer with more data, not more of
+#: them, so that a stream's micro-batches do not follow a setting of shuffles.
+LANDED_FILES = 12
+
+
+def _land_files(spark) -> int:
+    return min(_land_parts(spark), LANDED_FILES)
+
+
 def _weather_str(spark, d):
     return SI.weather(spark, d).withColumn("loc_id", F.col("loc_id").cast("string"))
 
@@ -757,11 +766,11 @@ def _land_events(spark, d, repeats: bool) -> str:
         w = w.select(*[(F.when(kind != 2, F.col(c)) if c == "loc_id" else F.when(kind != 1, F.col(c))).alias(c)
                        for c in w.columns], F.col("event_id").alias("sent_id"))
     path = scratch_path(spark, "landing-events")
-    w.drop("sent_id").repartition(_land_parts(spark)).write.mode("append").parquet(path)
+    w.drop("sent_id").repartition(_land_files(spark)).write.mode("append").parquet(path)
     if repeats:
         e = SI.table(spark, d, "events").select(F.col("event_id").alias("sent_id"), "event_type")
         w.join(e.filter(F.col("event_type").isin("click", "view")), "sent_id", "left_semi") \
-            .drop("sent_id").write.mode("append").parquet(path)
+            .drop("sent_id").repartition(_land_files(spark)).write.mode("append").parquet(path)
     return path
 
 
@@ -790,9 +799,9 @@ def q_stream_dedup(spark, d):
 
 
 def _land_pages(spark, df: DataFrame, path: str) -> str:
-    # landing produces many files (one per writer task), as a real landing zone does
+    # landing produces several files (one per writer task), as a real landing zone does
     df.select(F.col("page_id").cast("long"), F.col("batch_id").cast("string"), "kind", "html") \
-        .repartition(_land_parts(spark)).write.mode("append").parquet(path)
+        .repartition(_land_files(spark)).write.mode("append").parquet(path)
     return path
 
 

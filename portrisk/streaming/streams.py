@@ -93,11 +93,16 @@ def pages_source(spark: SparkSession, landing: str, schema: T.StructType = S.PAG
     return reader.load(landing)
 
 
+def _over_cores(pages: DataFrame) -> DataFrame:
+    """Pages of a micro-batch's few files dealt over the cores: parsing them is the work."""
+    return pages.repartition(pages.sparkSession.sparkContext.defaultParallelism, "page_id", "html")
+
+
 def lineup_stream(spark: SparkSession, landing: str, out_path: str, checkpoint: str,
                   run_ts, available_now: bool = True, max_files: int | None = None) -> StreamingQuery:
     """R2: landed line-up pages -> X2 -> append to ``fato_lineup``."""
     pages = pages_source(spark, landing, max_files=max_files)
-    return _start(lineup_from_pages(pages, run_ts), out_path, checkpoint, available_now)
+    return _start(lineup_from_pages(_over_cores(pages), run_ts), out_path, checkpoint, available_now)
 
 
 def _each(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str,
@@ -132,7 +137,7 @@ def contingency_stream(spark: SparkSession, landing: str, out_path: str, checkpo
     def run(batch: DataFrame, epoch: int) -> None:
         s = batch.sparkSession
         table = BucketTable(s, f"{base}/alerts")
-        new = page_alerts(batch, rules).withColumn("bucket_key", bucket_of(["batch_id"], buckets))
+        new = page_alerts(_over_cores(batch), rules).withColumn("bucket_key", bucket_of(["batch_id"], buckets))
         staged = scratch_path(s, "alerts")  # pages are parsed once
         new.write.parquet(staged)
         new = s.read.schema(new.schema).parquet(staged)

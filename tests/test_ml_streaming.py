@@ -241,3 +241,17 @@ def test_stream_dedup_late_files(spark, scratch):
     streams.dedup_stream(src, ["loc_id", "timestamp_leitura"], "timestamp_leitura", out, ckpt) \
         .awaitTermination()
     assert rows(streams.read_deduplicated(spark, out), "v") == [(0.5,), (1.0,), (2.0,), (3.0,)]
+
+
+def test_landed_files_do_not_follow_the_shuffle_partitions(spark, scratch):
+    from portrisk.plans import catalog as C
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        events = C._land_events(spark, "/root/testdata/sf0.001", repeats=True)
+        pages = C._land_pages(spark, C.contingency_pages(spark, "/root/testdata/sf0.001"), scratch("landed-pages"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert len(spark.read.parquet(events).inputFiles()) <= 2 * C.LANDED_FILES
+    assert len(spark.read.parquet(pages).inputFiles()) <= C.LANDED_FILES
+    assert spark.read.parquet(pages).count() == C.contingency_pages(spark, "/root/testdata/sf0.001").count()
