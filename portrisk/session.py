@@ -28,6 +28,9 @@ BASE_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     # target reducer size; AQE coalesces small partitions and splits skewed ones
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    # folders of a landing are listed in this many tasks at most (10,000 by default, a task a folder):
+    # each task's result goes to the driver
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -65,7 +68,8 @@ def apply_session_conf(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled",
                 "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
-                "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+                "spark.sql.adaptive.autoBroadcastJoinThreshold",
+                "spark.sql.sources.parallelPartitionDiscovery.parallelism"):
         spark.conf.set(key, BASE_CONF[key])
 
 

@@ -78,3 +78,20 @@ def test_stream_replays_an_epoch_without_duplicates(spark, landed, scratch, monk
     got = spark.read.parquet(out)
     batch = normalize_weather(files.read_weather_csv(spark, path))
     assert got.count() == len(want) and got.exceptAll(batch.select(*got.columns)).count() == 0
+
+
+def test_folders_of_a_landing_are_listed_in_few_tasks(spark, scratch):
+    path = scratch("many-locations")
+    rows = spark.range(150).selectExpr("cast(id as string) loc_id", "'2024-01-01 00:00:00' datetime", "1.0 precip",
+                                       "2.0 windspeed", "3.0 humidity")
+    files.write_weather_csv(rows, path)
+    sc = spark.sparkContext
+    sc.setJobGroup("landing-listed", "listing")
+    try:
+        assert files.read_weather_csv(spark, path).count() == 150
+        tracker = sc.statusTracker()
+        info = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("landing-listed") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    listed = [i.numTasks for i in info if i is not None and i.name.startswith("text at")]
+    assert listed and max(listed) <= 64
