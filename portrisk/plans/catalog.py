@@ -583,30 +583,32 @@ def q_split_hash(spark, d):
                                  F.sum(S.MODEL_LABEL).cast("bigint").alias("positives"))
 
 
+_PATHS: dict[tuple[str, str], str] = {}
 _MODELS: dict[tuple[str, str], object] = {}
 
 
-def trained_model(spark, d):
-    """Fit once per session and table dir, save to the shared dir and
-    serve the reloaded model (the saved copy is what other processes read)."""
+def model_path(spark, d) -> str:
+    """Fit once per session and table dir and save to the shared dir, which other
+    processes read; its trees are read from there without the model."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _MODELS:
+    if key not in _PATHS:
         train, _ = ml.train_test_split(_synth(spark, d), "o_orderkey")
-        path = scratch_path(spark, "risk-model")
-        _MODELS[key] = ml.fit_risk_model(train, path=path), path  # the forest persists its own bagged input
-    return _MODELS[key][0]
+        _PATHS[key] = ml.fit_saved(train, path=scratch_path(spark, "risk-model"))  # the forest persists its own bagged input
+    return _PATHS[key]
 
 
-def model_path(spark, d) -> str:
-    trained_model(spark, d)
-    return _MODELS[spark.sparkContext.applicationId, d][1]
+def trained_model(spark, d):
+    """The saved model, loaded once per session and table dir."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        _MODELS[key] = ml.load_model(model_path(spark, d))
+    return _MODELS[key]
 
 
 def q_model_fit(spark, d):
     """Fit the forest anew, save it and read its trees back: nodes and leaves per tree."""
     train, _ = ml.train_test_split(_synth(spark, d), "o_orderkey", stratify=S.MODEL_LABEL)
-    path = scratch_path(spark, "risk-fit")
-    ml.fit_risk_model(train, path=path)
+    path = ml.fit_saved(train, path=scratch_path(spark, "risk-fit"))
     return ml.forest_nodes(spark, path).groupBy("tree").agg(
         F.count(F.lit(1)).cast("bigint").alias("nodes"), F.count_if(F.col("left") < 0).cast("bigint").alias("leaves"))
 
