@@ -220,3 +220,28 @@ def test_create_and_drop_tables(spark, scratch):
 def test_load_report(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "loc_id string")
     assert rows(files.load_report(df)) == [("a", 2), ("b", 1)]
+
+
+def test_a_cell_of_a_table_takes_few_calls():
+    import sys
+    from portrisk.functions.text import read_table
+    page = "<table><tr><th>a<th>b</tr>" + "<tr><td>1<td>x y" * 200 + "</table>"
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+    sys.setprofile(count)
+    try:
+        header, rows = read_table(page)
+    finally:
+        sys.setprofile(None)
+    assert header == ["a", "b"] and rows == [["1", "x y"]] * 200
+    assert calls / 400 < 60
+
+
+def test_bare_tags_end_what_tags_with_attributes_end_and_raw_text_stays_raw():
+    from portrisk.functions.text import read_table, read_text
+    rows = "<tr><td>1<td>a<b>b</b><tr><td>2<td><table><tr><td>in</table></table>"
+    assert read_table("<table>" + rows) == read_table("<table x=1>" + rows.replace("<td>", "<td k>").replace("<tr>", "<TR>"))
+    assert read_text("<title>a &amp; b</title><p>c<script>if (a<b) <td></script>d<style><p></style>e") == "a & bcde"
