@@ -394,8 +394,12 @@ def q_contingency_json(spark, d):
 
 
 def contingency_pages_pt(spark, d):
-    """Portuguese road and news pages of each order, written with entities and nested tags."""
-    o = SI.table(spark, d, "orders")
+    """Portuguese road and news pages of each order, written with entities and nested tags.
+
+    The orders are dealt to tasks by row: parsing their pages is the work, and a file's few bytes
+    would give it few tasks."""
+    o = SI.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").repartition(
+        _land_parts(spark), "o_orderkey")
     road = (F.when(F.col("o_orderstatus") == "F", F.lit("Interdi&ccedil;&atilde;o <b>total</b>"))
             .when(F.col("o_orderstatus") == "O", F.lit("Tr&#225;fego <i>intenso</i>")).otherwise(F.lit("Livre &#x110000;")))
     head = (F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("Paralisa&ccedil;&atilde;o dos <b>portu&aacute;rios</b> "))

@@ -102,3 +102,13 @@ def test_contingency_from_json_and_rejects(spark):
     assert [r.cont_id for r in good.collect()] == ["a"]
     assert bad.count() == 3
     assert good.filter(F.col("score_risco") == 0.5).count() == 1
+
+
+def test_pages_of_one_file_of_orders_are_parsed_over_the_cores(spark):
+    from portrisk.plans import catalog
+    from tests.conftest import SF_SMALL
+    pages = catalog.contingency_pages_pt(spark, SF_SMALL)
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
+    sizes = [r["count"] for r in pages.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2 * orders
+    assert len(sizes) >= 2 * spark.sparkContext.defaultParallelism and max(sizes) < orders
