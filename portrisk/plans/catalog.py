@@ -591,21 +591,21 @@ _PATHS: dict[tuple[str, str], str] = {}
 _MODELS: dict[tuple[str, str], object] = {}
 
 
-def model_path(spark, d) -> str:
+def model_path(spark, d, synth: DataFrame | None = None) -> str:
     """Fit once per session and table dir and save to the shared dir, which other
     processes read; its trees are read from there without the model."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _PATHS:
-        train, _ = ml.train_test_split(_synth(spark, d), "o_orderkey")
+        train, _ = ml.train_test_split(_synth(spark, d) if synth is None else synth, "o_orderkey")
         _PATHS[key] = ml.fit_saved(train, path=scratch_path(spark, "risk-model"))  # the forest persists its own bagged input
     return _PATHS[key]
 
 
-def trained_model(spark, d):
+def trained_model(spark, d, synth: DataFrame | None = None):
     """The saved model, loaded once per session and table dir."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _MODELS:
-        _MODELS[key] = ml.load_model(model_path(spark, d))
+        _MODELS[key] = ml.load_model(model_path(spark, d, synth))
     return _MODELS[key]
 
 
@@ -626,8 +626,9 @@ def q_split_stratified(spark, d):
 
 def q_model_evaluation(spark, d):
     """Confusion matrix of the forest on the held-out split."""
-    _, test = ml.train_test_split(_synth(spark, d), "o_orderkey")
-    cm, _ = ml.evaluate(ml.score(trained_model(spark, d), ml.sized(test)))
+    synth = _synth(spark, d)
+    _, test = ml.train_test_split(synth, "o_orderkey")
+    cm, _ = ml.evaluate(ml.score(trained_model(spark, d, synth), ml.sized(test)))
     return cm
 
 
