@@ -843,7 +843,7 @@ def q_run_cycle(spark, d):
     raw = SI.weather_raw(spark, d).select(
         F.col("loc_id").cast("string").alias("loc_id"), "humidity", "precip", "windspeed",
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"))
-    files.write_weather_csv(_dealt(raw, "loc_id", FILE_ROWS).drop("part"), f"{landing}/weather")
+    files.write_weather_exports(raw.repartition(_land_parts(spark)), f"{landing}/weather", FILE_ROWS)
     lineup_pages(spark, d).repartition(_land_parts(spark)).write.parquet(f"{landing}/lineup")
     contingency_pages(spark, d).select("page_id", "batch_id", "kind", "html").repartition(_land_parts(spark)) \
         .write.parquet(f"{landing}/news")

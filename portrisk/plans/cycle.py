@@ -52,8 +52,8 @@ def run_cycle(spark: SparkSession, landing: str, warehouse: str, run_ts,
               rules: Rules = Rules()) -> DataFrame:
     """B1: run the three steps on ``landing/{weather,lineup,news}``.
 
-    Landing layout: ``weather/loc_id=<id>/*.csv`` (S1), ``lineup/`` and
-    ``news/`` parquet pages (``page_id, batch_id, kind, html``).  Tables are
+    Landing layout: ``weather/loc_id=<id>/*.csv`` or ``weather/*.csv`` with a column
+    ``loc_id`` (S1), ``lineup/`` and ``news/`` parquet pages (``page_id, batch_id, kind, html``).  Tables are
     appended under ``warehouse``, the weather and line-up facts by day (``dia``).
     Returns ``(step, rows, outcome)``.
 

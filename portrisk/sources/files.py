@@ -53,8 +53,8 @@ def weather_lines(reader, path: str | Sequence[str], loc_col: str = "loc_id") ->
 
     ``reader`` is ``spark.read`` or ``spark.readStream``.  A file of any size is split among
     tasks; ``start`` is where a line's split begins.  The location is the ``loc_col=<id>``
-    folder, whether one path or a list of paths is given.  (Its name is decoded twice: as a
-    path's text and as a partition folder's.)
+    folder, whether one path or a list of paths is given, and empty without one.  (Its name is
+    decoded twice: as a path's text and as a partition folder's.)
     """
     texts = reader.option("recursiveFileLookup", True).text(path if isinstance(path, str) else list(path))
     at = F.col("_metadata.file_path")
@@ -84,7 +84,8 @@ def weather_rows(lines: DataFrame, headers: DataFrame, schema: T.StructType = S.
     A field that does not fit its type is NULL; lines equal to their file's header are headers.
     ``quarantine=True`` adds the raw text of lines with too few or too many fields in
     ``_corrupt_record`` (NULL for good lines).  The headers, a row per file, are joined to
-    the lines by file; Spark broadcasts them below its threshold.
+    the lines by file; Spark broadcasts them below its threshold.  Lines of a file outside any
+    location's folder name theirs in the file's ``loc_col`` column, if it has one.
     """
     of = headers.filter(F.size("missing") == 0).select(F.col("file").alias("of_file"), "header", "line")
     rows = (lines.filter(F.trim("value") != "").join(of, F.col("file") == F.col("of_file")).filter("value <> line")
@@ -92,7 +93,9 @@ def weather_rows(lines: DataFrame, headers: DataFrame, schema: T.StructType = S.
     cols = [F.nullif(F.try_element_at("fields", F.array_position("header", f.name.lower()).cast("int")), F.lit(""))
             .try_cast(f.dataType).alias(f.name) for f in schema.fields]
     bad = [F.when(F.size("fields") != F.size("header"), F.col("value")).alias(CORRUPT)] if quarantine else []
-    return rows.select(*cols, *bad, loc_col)
+    at = F.array_position("header", loc_col.lower()).cast("int")
+    own = F.nullif(F.get("fields", at - 1), F.lit(""))
+    return rows.select(*cols, *bad, F.when((F.col(loc_col) == "") & (at > 0), own).otherwise(F.col(loc_col)).alias(loc_col))
 
 
 def weather_rejects(headers: DataFrame, loc_col: str = "loc_id") -> DataFrame:
@@ -110,7 +113,8 @@ def weather_files(reader, path: str | Sequence[str], schema: T.StructType = S.WE
 def read_weather_csv(spark: SparkSession, path: str | Sequence[str],
                      schema: T.StructType = S.WEATHER_CSV, loc_col: str = "loc_id",
                      quarantine: bool = False) -> DataFrame:
-    """Header CSV files below ``<path>/loc_id=<id>/``, all locations in one scan.
+    """Header CSV files below ``<path>/loc_id=<id>/``, all locations in one scan, and files of
+    many locations with a column ``loc_id`` beside those folders.
 
     A location with no files, or only files that lack a column (``weather_rejects``),
     contributes no rows, and the others load.
@@ -124,6 +128,13 @@ def write_weather_csv(df: DataFrame, path: str, loc_col: str = "loc_id") -> None
     (df.write.mode("append").partitionBy(loc_col).option("header", True).option("escape", '"').csv(path))
 
 
+def write_weather_exports(df: DataFrame, path: str, rows_per_file: int) -> None:
+    """Land readings of many locations, named in a column, as header CSV files of at most
+    ``rows_per_file``: files follow the readings and not the locations."""
+    (df.write.mode("append").option("maxRecordsPerFile", rows_per_file).option("header", True)
+     .option("escape", '"').csv(path))
+
+
 # ---------------------------------------------------------------------------
 # S3 parquet append, S7/S8 scans
 # ---------------------------------------------------------------------------

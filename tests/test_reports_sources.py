@@ -245,3 +245,21 @@ def test_bare_tags_end_what_tags_with_attributes_end_and_raw_text_stays_raw():
     rows = "<tr><td>1<td>a<b>b</b><tr><td>2<td><table><tr><td>in</table></table>"
     assert read_table("<table>" + rows) == read_table("<table x=1>" + rows.replace("<td>", "<td k>").replace("<tr>", "<TR>"))
     assert read_text("<title>a &amp; b</title><p>c<script>if (a<b) <td></script>d<style><p></style>e") == "a & bcde"
+
+
+def test_plain_cells_are_read_as_their_tags_one_by_one(monkeypatch):
+    import random
+    import re
+    from portrisk.functions import text
+    calls, start = [], text._Tables.handle_starttag
+    monkeypatch.setattr(text._Tables, "handle_starttag", lambda self, tag, attrs: calls.append(tag) or start(self, tag, attrs))
+    body = "".join(f"<tr><td>a {i}<td>  b  {i} </td> <td>c</td>" for i in range(50))
+    assert text.read_table(f"<table>{body}</table>") == (["0", "1", "2"], [[f"a {i}", f"b {i}", "c"] for i in range(50)])
+    assert len(calls) <= 1 + 50 * 3  # not a call a cell
+    rng = random.Random(3)
+    parts = ["<tr>", "<td>", "<td>", "</td>", "</tr>", "<th>", "x", " y  z", "\n", "&amp;", "<b>", "</b>", "<table>", "</table>", "<td rowspan=2>",
+             "<td colspan=2>", "<thead>", "</thead>", "<template>", "</template>", "<script>", "</script>", "<!-- <td> -->", "<TD>", "<"]
+    pages = ["<table><tr>" + "".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(5000)]
+    fast = [(text.read_table(p), text.read_table(p, 1)) for p in pages]
+    monkeypatch.setattr(text, "_PLAIN", re.compile("(?!)"))
+    assert fast == [(text.read_table(p), text.read_table(p, 1)) for p in pages]

@@ -95,3 +95,29 @@ def test_folders_of_a_landing_are_listed_in_few_tasks(spark, scratch):
         sc.setLocalProperty("spark.jobGroup.id", None)
     listed = [i.numTasks for i in info if i is not None and i.name.startswith("text at")]
     assert listed and max(listed) <= 64
+
+
+def test_files_of_many_locations_name_them_in_a_column(spark, tmp_path):
+    (tmp_path / "loc_id=7").mkdir()
+    (tmp_path / "loc_id=7" / "a.csv").write_text("loc_id,datetime,precip,windspeed,humidity\n9,x,1,2,3\n")  # its folder decides
+    (tmp_path / "b.csv").write_text('datetime,LOC_ID,precip,windspeed,humidity\ny,"a, ""b""",1,2,3\nz,,1,2,3\n')
+    (tmp_path / "c.csv").write_text("datetime,precip,windspeed,humidity\nw,1,2,3\n")  # names no location
+    got = files.read_weather_csv(spark, str(tmp_path), quarantine=True)
+    assert rows(got, "datetime", "loc_id", files.CORRUPT) == [("w", "", None), ("x", "7", None), ("y", 'a, "b"', None), ("z", None, None)]
+
+
+def test_the_cycles_weather_files_follow_readings_and_not_locations(spark, scratch, monkeypatch):
+    from portrisk.plans import catalog
+    from tests.conftest import SF_SMALL
+    made = {}
+    monkeypatch.setattr(catalog, "scratch_path", lambda s, name: made.setdefault(name, scratch(name)))
+    got = catalog.q_run_cycle(spark, SF_SMALL).filter("table_name = 'fato_clima'")
+    readings = catalog.SI.table(spark, SF_SMALL, "events")
+    assert got.count() == readings.count() > 0
+    assert rows(got.select("key").distinct()) == rows(readings.selectExpr("cast(user_id as string)").distinct())
+    landed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(made["landing-cycle"] + "/weather")
+    few, files_ = catalog._land_parts(spark), landed.count()
+    assert files_ <= few < readings.select("user_id").distinct().count()
+    path = scratch("bounded")
+    files.write_weather_exports(readings.selectExpr("'a' loc_id", "'x' datetime").coalesce(1), path, readings.count() // 2 + 1)
+    assert spark.read.format("binaryFile").load(path).count() == 2
