@@ -24,7 +24,7 @@ NODES = ("treeID int, nodeData struct<id int, prediction double, impurity double
          "leftCategoriesOrThreshold array<double>, numCategories int>>")
 
 
-def _bin(x: Column, cuts: Sequence[float]) -> Column:
+def bin_of(x: Column, cuts: Sequence[float]) -> Column:
     """How many of the ascending ``cuts`` lie below ``x``; NaN lies above all."""
     def within(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -66,7 +66,7 @@ def thresholds(rows: DataFrame, features: int, max_bins: int) -> list[list[float
                 at = sorted(few)
         at = [a for a in at if a < last]
         after.append([*at[:max_bins - 2], last] if f["missing"] and last is not None else at)
-    pieces = F.array(*[F.struct(F.lit(i).alias("f"), _bin(c, after[i]).alias("bin"), number(c).alias("x")) for i, c in enumerate(x)])
+    pieces = F.array(*[F.struct(F.lit(i).alias("f"), bin_of(c, after[i]).alias("bin"), number(c).alias("x")) for i, c in enumerate(x)])
     least = {(r["f"], r["bin"]): r["least"] for r in rows.select(F.explode(pieces).alias("p")).groupBy("p.f", "p.bin")
              .agg(F.min("p.x").alias("least")).collect()}  # a row a bin
     return [[a if least.get((i, k + 1)) is None else _between(a, least[i, k + 1]) for k, a in enumerate(at)]
@@ -77,7 +77,7 @@ def cells(rows: DataFrame, cuts: Sequence[Sequence[float]]) -> DataFrame:
     """Rows of each class in each cell of the bins that ``cuts`` make: (cell, n0, n1)."""
     cell = F.lit(0).cast("bigint")
     for i, at in enumerate(cuts):
-        cell = cell * F.lit(len(at) + 1) + _bin(F.col(f"x{i}"), at)
+        cell = cell * F.lit(len(at) + 1) + bin_of(F.col(f"x{i}"), at)
     return rows.select(cell.alias("cell"), "label").groupBy("cell").agg(
         F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
 
@@ -205,4 +205,4 @@ _ARROW = pa.schema([("treeID", pa.int32()), ("nodeData", pa.struct([
     ("split", pa.struct([("featureIndex", pa.int32()), ("leftCategoriesOrThreshold", pa.list_(pa.float64())),
                          ("numCategories", pa.int32())]))]))])
 
-__all__ = ["fit_nodes", "thresholds", "cells", "grow", "saved", "plain", "NODES"]
+__all__ = ["fit_nodes", "bin_of", "thresholds", "cells", "grow", "saved", "plain", "NODES"]

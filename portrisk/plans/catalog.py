@@ -651,7 +651,7 @@ def q_score_fleet(spark, d):
 def q_sensitivity_sweep(spark, d):
     """M8: wind 0..80 step 5 over every ship of the fleet (partial dependence)."""
     base = _fleet(spark, d).select(*S.MODEL_FEATURES)
-    return ml.sweep(trained_model(spark, d), base, "wind_feature")
+    return ml.sweep(trained_model(spark, d), base, "wind_feature", nodes=ml.forest_nodes(spark, model_path(spark, d)))
 
 
 def _news_now(spark, d):

@@ -119,3 +119,46 @@ def test_labels_of_one_class_and_labels_that_are_none(spark, scratch):
     assert [(r.rows > 0, r.left, r.prediction, r.counts[1]) for r in ml.forest_nodes(spark, path).collect()] == [(True, -1, 0.0, 0.0)] * 3
     with pytest.raises(Exception, match="neither 0 nor 1"):
         ml.fit_saved(data.withColumn(S.MODEL_LABEL, F.when(F.col("k") > 5, 1)), trees=3, depth=3, max_bins=4, path=scratch("no-label"))
+
+
+@pytest.fixture(scope="module")
+def model_and_nodes(spark):
+    from portrisk.session import scratch_path
+    path = ml.fit_saved(synthetic(spark), trees=15, depth=6, path=scratch_path(spark, "sweep-forest"))
+    return ml.load_model(path), ml.forest_nodes(spark, path)
+
+
+def test_a_sweep_with_nodes_shares_scorings_and_equals_the_plain_one(spark, model_and_nodes, monkeypatch):
+    model, nodes = model_and_nodes
+    nan = float("nan")
+    odd = [(k, *[[None, nan, 5.0, 1e9][(k // 4 ** f) % 4] for f in range(4)], 0) for k in range(256)]
+    base = synthetic(spark, 200).select(*S.MODEL_FEATURES).union(spark.createDataFrame(odd, SCHEMA).select(*S.MODEL_FEATURES))
+    want = {r.value: r for r in ml.sweep(model, base, "wind_feature").collect()}
+    scored, score = [], ml.score
+    monkeypatch.setattr(ml, "score", lambda m, df: scored.append(df.count()) or score(m, df))
+    many = base.crossJoin(spark.range(30).select(F.col("id").alias("copy"))).drop("copy")
+    ml.sweep(model, base, "wind_feature", nodes=nodes).collect()
+    got = ml.sweep(model, many, "wind_feature", nodes=nodes)
+    assert got.columns == ["value", "mean_probability", "min_probability", "max_probability", "rows"]
+    got = {r.value: r for r in got.collect()}
+    assert scored[0] == scored[1] < 456 * len(S.SWEEP_WIND_VALUES)  # thirty times the rows, as many scorings
+    assert got.keys() == want.keys() and len(got) == len(S.SWEEP_WIND_VALUES)
+    for v, r in want.items():
+        assert got[v].rows == 30 * r.rows == 30 * 456
+        assert all(abs(got[v][c] - r[c]) < 1e-12 for c in ("mean_probability", "min_probability", "max_probability"))
+
+
+def test_sensitivity_sweep_scores_cells_and_not_ships(spark, model_and_nodes, monkeypatch):
+    from portrisk.plans import catalog
+    from tests.conftest import SF_SMALL
+    model, nodes = model_and_nodes
+    monkeypatch.setattr(catalog, "trained_model", lambda *a: model)
+    monkeypatch.setattr(catalog, "model_path", lambda *a: "")
+    monkeypatch.setattr(ml, "forest_nodes", lambda *a: nodes)
+    base = catalog._fleet(spark, SF_SMALL).select(*S.MODEL_FEATURES)
+    want = {r.value: r for r in ml.sweep(model, base, "wind_feature").collect()}
+    swept, sweeps = [], ml.sweeps
+    monkeypatch.setattr(ml, "sweeps", lambda *a: swept.append(a) or sweeps(*a))
+    got = {r.value: r for r in catalog.q_sensitivity_sweep(spark, SF_SMALL).collect()}
+    assert len(swept) == 1 and got.keys() == want.keys()
+    assert all(g.rows == want[v].rows and abs(g.mean_probability - want[v].mean_probability) < 1e-12 for v, g in got.items())
