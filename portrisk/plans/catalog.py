@@ -85,15 +85,16 @@ def _dealt(rows, key: str, most: int):
     return dealt.repartition(_land_parts(rows.sparkSession), key, "part")
 
 
-def _weather_exports(spark, d) -> list[DataFrame]:
+def _weather_exports(spark, d, by_location: bool = True) -> list[DataFrame]:
     """Wide exports of differing headers, the second kind partly broken: locations whose id
-    leaves 13 by 97 send files without the rain column."""
+    leaves 13 by 97 send files without the rain column.  ``by_location`` deals the readings of a
+    location to writers of its own."""
     raw = SI.weather_raw(spark, d).select(
         F.col("loc_id").alias("of"), F.col("loc_id").cast("string").alias("loc_id"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "precip", "windspeed", "humidity",
         F.concat(F.lit("loc, "), F.col("loc_id").cast("string")).alias("name"),
         F.lit('partly "cloudy", rain').alias("conditions"), (F.col("event_id") % 40).alias("tempmax"))
-    raw = _dealt(raw, "loc_id", FILE_ROWS)
+    raw = _dealt(raw, "loc_id", FILE_ROWS) if by_location else raw.repartition(_land_parts(spark))
     broken = F.col("of") % 97 == 13
     return [rows.select("loc_id", *cols) for rows, cols in (
         (raw.filter(~broken & (F.col("of") % 2 == 0)), ["name", "datetime", "tempmax", "humidity", "precip", "windspeed"]),
@@ -750,14 +751,20 @@ def _await(query) -> None:
         raise RuntimeError(str(query.exception()))
 
 
+#: Weather files of a stream's micro-batch: with ``FILE_ROWS`` readings each at most, micro-batches
+#: are bounded and follow readings.
+STREAM_FILES = 100
+
+
 def q_stream_weather(spark, d):
-    """Landed per-location CSV read as a stream -> P1 -> appended table, restarted once."""
+    """Landed weather CSV, of which each reading names its location, read as a stream -> P1 ->
+    appended table, restarted for each kind of export that lands."""
     from ..streaming import streams
     out, ckpt = scratch_path(spark, "stream-weather"), scratch_path(spark, "ckpt-weather")
     landing = scratch_path(spark, "landing-weather")
-    for rows in _weather_exports(spark, d):  # the next ones land after the stream has stopped
-        files.write_weather_csv(rows, landing)
-        _await(streams.weather_stream(spark, landing, out, ckpt, run_ts=RUN_TS, max_files=500))
+    for rows in _weather_exports(spark, d, by_location=False):  # the next ones land after the stream has stopped
+        files.write_weather_exports(rows, landing, FILE_ROWS)
+        _await(streams.weather_stream(spark, landing, out, ckpt, run_ts=RUN_TS, max_files=STREAM_FILES))
     return _ntz(spark.read.parquet(out))
 
 

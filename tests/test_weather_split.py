@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from portrisk.sources import files
 
@@ -121,3 +122,22 @@ def test_the_cycles_weather_files_follow_readings_and_not_locations(spark, scrat
     path = scratch("bounded")
     files.write_weather_exports(readings.selectExpr("'a' loc_id", "'x' datetime").coalesce(1), path, readings.count() // 2 + 1)
     assert spark.read.format("binaryFile").load(path).count() == 2
+
+
+def test_the_streams_weather_files_follow_readings_and_not_locations(spark, scratch, monkeypatch):
+    from portrisk.plans import catalog
+    from tests.conftest import SF_SMALL
+    batch = catalog.q_weather_csv_roundtrip(spark, SF_SMALL)
+    want, made = rows(batch), {}
+    monkeypatch.setattr(catalog, "scratch_path", lambda s, name: made.setdefault(name, scratch(name)))
+    monkeypatch.setattr(catalog, "FILE_ROWS", 40)
+    monkeypatch.setattr(catalog, "STREAM_FILES", 5)
+    got = catalog.q_stream_weather(spark, SF_SMALL)
+    assert rows(got.select(*batch.columns)) == want and want
+    landed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(made["landing-weather"])
+    paths = [r.path for r in landed.select("path").collect()]
+    assert not any("loc_id=" in p for p in paths)  # a folder a location
+    lines = spark.read.text(made["landing-weather"], recursiveFileLookup=True).groupBy(F.input_file_name()).count()
+    assert lines.agg(F.max("count")).first()[0] <= 41  # with its header
+    batches = spark.read.format("binaryFile").load(made["ckpt-weather"] + "/commits").filter("not path like '%.crc'")
+    assert -(-len(paths) // 5) <= batches.count() <= len(paths) // 5 + 3  # three landings of five files a micro-batch
